@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, exact, mixing, tokencount, tokenfile
+from . import bytebpe, exact, lattice, minhash, mixing, pii, suffix, tokencount, tokenfile
 
 TOKEN_LIMIT = 2048
 END_ID = 2
@@ -67,6 +67,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of each document: counts, a digest of the base kinds, and all."""
+    found = pii.spans(_docs(spark, sf_dir).select("doc_id", "text"))
+    kinds = [pii.count_of(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *kinds, F.sha2(pii.joined(pii.base_only(F.col("spans"))), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of each document."""
+    return minhash.groups(_docs(spark, sf_dir)).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of each embedding."""
+    return lattice.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of each document."""
     g = exact.groups(_docs(spark, sf_dir))
@@ -92,13 +109,22 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_ids(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the strings of 50 bytes that an earlier one has."""
+    return suffix.remove_repeats(_docs(spark, sf_dir), keep_text=False).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_pii": op4_pii,
+        "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_token_files": op9_token_files,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
