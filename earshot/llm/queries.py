@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, exact, lattice, minhash, mixing, pii, suffix, tokencount, tokenfile
+from . import bytebpe, exact, lattice, minhash, mixing, pii, quality, suffix, tokencount, tokenfile
 
 TOKEN_LIMIT = 2048
 END_ID = 2
+QUALITY = 0.3
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,19 @@ def byte_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def held_out() -> Column:
+    """Rows kept from training."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for each document."""
+    docs = _docs(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out())
+    out = quality.score(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     mixed = mixing.with_copies(_docs(spark, sf_dir).select("doc_id", "text", "source"))
@@ -116,6 +130,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_mixing": op2_mixing,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_pii": op4_pii,
