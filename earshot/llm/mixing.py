@@ -71,7 +71,7 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     # A hot source is split by AQE; sources are few as a rule, and then Catalyst broadcasts them by their size.
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     targets = targets.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n"))).drop("_source")
-    rows = join_even(sized.withColumn("_key", key), targets, ["_key"])
+    rows = join_even(sized.withColumn("_key", key), targets, ["_key"], merge=False)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)

@@ -47,16 +47,19 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def join_even(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_even(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", merge: bool = True) -> DataFrame:
     """Equi-join whose hot keys AQE may split.
 
     Skew splitting needs a plain exchange below both sides, and an aggregate
     that is already partitioned by the key has none.  A second key derived from
-    the first makes the planner deal out both sides for the join itself.
+    the first makes the planner deal out both sides for the join itself.  With
+    ``merge`` it is a sort-merge join at every size, so that no plan changes
+    when one side outgrows the broadcast limit; without, Catalyst chooses.
     """
     salt = "_even"
     h = F.pmod(F.xxhash64(*on), F.lit(1 << 20))
-    return left.withColumn(salt, h).join(right.withColumn(salt, h), [*on, salt], how).drop(salt)
+    right = right.withColumn(salt, h)
+    return left.withColumn(salt, h).join(right.hint("merge") if merge else right, [*on, salt], how).drop(salt)
 
 
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
