@@ -9,7 +9,7 @@ is as cheap as any other.
 
 Defined cases: null texts equal empty ones; texts of any length are compared
 whole; of equal texts the smallest doc_id stays, and rows that repeat that
-doc_id all stay; an empty table gives an empty result; other columns are not
+doc_id all stay; a row without doc_id is in no group and stays; an empty table gives an empty result; other columns are not
 read, so their names can't clash.
 """
 
@@ -128,9 +128,10 @@ def groups(docs: DataFrame, incoming: Column | None = None) -> DataFrame:
     texts = documents(docs.withColumn("_new", incoming), "doc_id", "text", "_new").withColumn("_norm", normalised(F.col("text")))
     texts = texts.select("doc_id", "_new", "_norm", F.sha2("_norm", 256).alias("sha"))
     rows = materialize(texts.select("doc_id", "_new", "sha"), "digests")
+    texts, known = texts.filter("doc_id is not null"), rows.filter("doc_id is not null")
     buckets = max(1, -(-rows.count() // BUCKET))
     key = F.xxhash64("sha")
-    each = rows.groupBy("sha").agg(F.count_if(~F.col("_new")).alias("old"), F.count_if(F.col("_new")).alias("new"))
+    each = known.groupBy("sha").agg(F.count_if(~F.col("_new")).alias("old"), F.count_if(F.col("_new")).alias("new"))
     each = each.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "key"), F.lit(buckets)).cast("int"))
     each = materialize(each, "distinct")
     filters = materialize(snapshot_filters(each.filter("old > 0")), "filters")
@@ -143,7 +144,7 @@ def groups(docs: DataFrame, incoming: Column | None = None) -> DataFrame:
     broken = F.raise_error(F.lit("two texts share a SHA-256 digest"))
     same = materialize(same.select("sha", F.when(F.col("_texts") > 1, broken.cast("bigint")).otherwise(F.col("_keep")).alias("_keep"), "_n").filter("_n > 1"), "groups")
     out = join_even(rows, same, ["sha"], "left")
-    return out.select("doc_id", "sha", F.coalesce("_keep", "doc_id").alias("keep_id"), F.coalesce("_n", F.lit(1)).alias("group_size"))
+    return out.select("doc_id", "sha", F.when(F.col("doc_id").isNotNull(), F.coalesce("_keep", "doc_id")).alias("keep_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_n", F.lit(1))).otherwise(F.lit(1)).alias("group_size"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

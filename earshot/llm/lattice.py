@@ -7,7 +7,7 @@ a cell are verified in double precision.  Equal vectors are one node, so copies
 are never expanded into pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing; vectors of different lengths never link; rows
+components link with nothing, nor do rows without vec_id; vectors of different lengths never link; rows
 that repeat a vec_id count as other vectors; an empty table gives an empty
 result; other columns are not read, so their names can't clash.
 """
@@ -93,10 +93,11 @@ def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> tuple[np
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vector of the rows that can link, the vector as doubles."""
+    """vec_id, the vector as doubles, and whether the row can link."""
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.filter(fine & F.exists("vector", lambda x: x != 0))
+    able = F.col("vec_id").isNotNull() & fine & F.exists("vector", lambda x: x != 0)
+    return v.withColumn("good", F.coalesce(able, F.lit(False)))
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -150,18 +151,17 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def linked(vectors: DataFrame) -> DataFrame:
     """Per row of ``vectors``: vec_id, n_links and component_id."""
     small_batches(vectors.sparkSession, 4000)
-    ids = vectors.select("vec_id")
-    rows = materialize(usable(vectors).withColumn("key", F.sha2(F.to_json("vector"), 256)), "vectors")
-    nodes = rows.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    rows = usable(vectors).withColumn("key", F.when(F.col("good"), F.sha2(F.to_json("vector"), 256)))
+    rows = materialize(rows.select("vec_id", "key", F.when(F.col("good"), F.col("vector")).alias("vector")), "vectors")
+    nodes = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     nodes = materialize(nodes, "nodes")
     links = materialize(verified(candidates(nodes), nodes).select("a", "b"), "links")
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
     counted = ends.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("others"))
     known = nodes.select("key", "node", "copies").join(counted, "node", "left").join(components(links), "node", "left")
     known = materialize(known.select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "classes")
-    good = join_even(rows.select("vec_id", "key"), known, ["key"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
-    lone = materialize(ids, "ids").join(rows.select("vec_id").distinct(), "vec_id", "left_anti")
-    return good.union(lone.select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    out = join_even(rows.select("vec_id", "key"), known, ["key"], "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
 
 
 __all__ = ["candidates", "cells", "linked", "usable", "verified"]

@@ -126,6 +126,8 @@ def count_of(spans_: Column, kind: str) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in brackets; of overlapping spans the first counts."""
+    names = docs.columns
+    docs = docs.withColumnRenamed("spans", "_spans_before")
     found = spans(docs).withColumn("_whole", F.coalesce(F.col("text"), F.lit("")))
     whole = F.col("_whole")
 
@@ -136,4 +138,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.char_length(whole))))
-    return found.withColumn("text", text).select(*docs.columns)
+    return found.withColumn("text", text).select(*docs.columns).toDF(*names)

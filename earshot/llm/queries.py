@@ -46,7 +46,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     mixed = mixing.with_copies(_docs(spark, sf_dir).select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return mixed.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
 
 
 OP2_SQL = r"""
@@ -90,18 +90,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near copies of each document."""
-    return minhash.groups(_docs(spark, sf_dir)).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return minhash.groups(_docs(spark, sf_dir)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and group of each embedding."""
-    return lattice.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return lattice.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of each document."""
     g = exact.groups(_docs(spark, sf_dir))
-    return g.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return g.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 OP7_SQL = r"""

@@ -10,7 +10,8 @@ table in shared storage, numbered by part and place in ascending doc_id order;
 
 Defined cases: a null or empty text has the end id only; a document never spans
 segments, so a very long one makes a longer segment; repeated rows of a doc_id
-each get their own ids, next to each other; an empty table writes no segment;
+each get their own ids, next to each other; rows
+without doc_id come first; an empty table writes no segment;
 other columns of ``docs`` are not read, so their names can't clash.
 """
 
@@ -34,6 +35,8 @@ from .vectext import ragged
 MAGIC = b"EBP1"
 #: Ids in a block; ids after which a segment ends.
 BLOCK_IDS, SEGMENT_IDS = 1 << 16, 1 << 20
+#: Stands for a null doc_id in files; it sorts first, as null does.
+NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sBBIQQI")  # magic, bytes an id, planes a block, ids a block, ids, documents, blocks
 
 
@@ -129,7 +132,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, to: str | None = None, bi
             return pa.RecordBatch.from_pylist([{"part": part, "place": place, "n_docs": len(all_docs), "n_ids": size, "payload": payload}], schema=pa.schema([("part", pa.int32()), ("place", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())]))
 
         for batch in batches:
-            texts, doc = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy()
+            texts, doc = batch.column("text").to_pylist(), batch.column("doc_id").fill_null(NO_ID).to_numpy()
             for k, some in char_blocks(texts):
                 ids, n = ids_of(some, path)
                 whole = np.full(len(ids) + len(n), end_id, np.uint32)
@@ -178,4 +181,4 @@ def read_ids(spark: SparkSession, at: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("whole"))  # one row for each written part
     parts = parts.select("part", (F.sum("whole").over(Window.orderBy("part")) - F.col("whole")).alias("ahead"))
     base = before.join(parts, "part").select("part", "place", (F.col("ahead") + F.col("here")).alias("base"))
-    return found.join(base, ["part", "place"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+    return found.join(base, ["part", "place"]).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
