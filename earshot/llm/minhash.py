@@ -4,14 +4,16 @@ Every permutation gives two signature values, its minimum and its maximum over
 a document's shingle hashes, so half the hash evaluations are enough; values
 are banded in fours.  Documents with equal sets are one node.  In each bucket
 of a band all members are compared with one hub, the member whose buckets are
-largest, since that is the text most of a family derives from; what the hubs
-leave apart is compared between different components until no bucket mixes
-components that were not compared.  Each link is confirmed on whole sets.
+largest, since that is the text most of a family derives from; documents with
+too many shingles of their own to link at all are set aside before; what the
+hubs leave apart is compared between different components by prefix filtering,
+rarest shingles first.  Each link is confirmed on whole sets.
 
 Defined cases: texts with fewer words than a shingle have one shingle, the
 whole sequence; null texts, and texts without words, have none, link with
 nothing and stay; texts of any length count whole; rows that repeat a doc_id
-with one text are one node; an empty table gives an empty result; other columns
+are one node; a row without doc_id
+links with nothing and stays; an empty table gives an empty result; other columns
 are not read, so their names can't clash.
 """
 
@@ -21,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import binaries
 from .graph import components
-from .session import discard, documents, join_even, materialize, small_batches
+from .session import discard, documents, join_even, materialize, release, small_batches
 from .vectext import U64, Words, blocks, mix
 
 SHINGLE = 5
@@ -35,7 +37,7 @@ PERMUTATIONS, ROWS = 48, 4
 #: Members that are compared with a hub in one task.
 TASK_MEMBERS = 256
 #: Rounds of hubs before what is left is compared outright.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 _rng = np.random.default_rng(5)
 _MULTIPLY = _rng.integers(1, 2**64, PERMUTATIONS, dtype=np.uint64) | U64(1)
@@ -164,6 +166,61 @@ def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(found.distinct(), "confirmed")
 
 
+def _shingle_rows(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingle) of the nodes' texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for block in blocks(t.encode() for t in batch.column("text").to_pylist()):
+                values, upto = shingle_sets(block)
+                owner = np.repeat(batch.column("doc_id").slice(at, len(block)).to_numpy(), np.diff(upto))
+                for k in range(0, len(values), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(owner[part]), pa.array(values.view(np.int64)[part])], names=["node", "shingle"])
+                at += len(block)
+
+    return _texts_of(docs, nodes.select(F.col("node").alias("doc_id"))).select("doc_id", "text").mapInArrow(run, "node long, shingle long")
+
+
+def _worth_it(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the nodes (node, n) that may link at all.
+
+    Shingles that no other of these nodes has can't be in an intersection.  A
+    node that has too many of them is below the threshold with every other one,
+    so it needs no comparison.
+    """
+    each = _shingle_rows(docs, nodes)
+    lone = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    left = F.col("n") - F.coalesce("lone", F.lit(0))
+    return join_even(nodes, lone, ["node"], "left").filter(left * 100 >= F.col("n") * PERCENT).select("node")
+
+
+def _rest_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (hub, hub_n, member, n) of nodes (node, n, component) in different components that may still link.
+
+    Prefix filtering: with shingles ordered from the rarest on, two sets above
+    the threshold share one of their first few, and enough can follow it.  Of
+    the nodes that share a shingle, those outside the largest component are
+    compared with all others, so members of one component never meet.
+    """
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("size"))
+    nodes = materialize(join_even(nodes, sizes, ["component"]), "rest")
+    each = _shingle_rows(docs, nodes).distinct()
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = join_even(each, often, ["shingle"]).withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")))
+    n = F.col("n")
+    first = n - F.ceil(n * PERCENT / 100) + 1
+    prefix = materialize(join_even(ranked, nodes, ["node"]).filter(F.col("place") <= first).select("shingle", "place", "node", "n", "component", "size"), "prefix")
+    mixed = prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("size", "component")).alias("main")).filter("low <> high")
+    inside = materialize(join_even(prefix, mixed.select("shingle", "main"), ["shingle"]).drop("size"), "prefix")
+    rest = inside.filter("component <> main").select("shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("other"), F.col("place").alias("at"))
+    apart = (F.col("component") < F.col("other")) | ((F.col("component") > F.col("other")) & (F.col("component") == F.col("main")))
+    follow = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("at")) + 1
+    enough = follow * (100 + PERCENT) >= (F.col("n") + F.col("hub_n")) * PERCENT
+    return join_even(inside, rest, ["shingle"]).filter(apart & near("n", "hub_n") & enough).select("hub", "hub_n", F.col("node").alias("member"), "n")
+
+
 def near(n: str, m: str) -> F.Column:
     """Sizes that the threshold allows."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
@@ -173,8 +230,15 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between nodes (node, n, bands) so that components are those of all links."""
     buckets = materialize(_buckets(nodes), "buckets")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
-    buckets_ = materialize(join_even(buckets, sizes, ["bucket"]).select("bucket", "node", "n", "many"), "buckets")
+    shared = materialize(join_even(buckets, sizes, ["bucket"]).select("bucket", "node", "n"), "buckets")
     discard(buckets)
+    able = materialize(_worth_it(docs, shared.select("node", "n").distinct()), "able")
+    release(docs.sparkSession)
+    shared_ = materialize(join_even(shared, able, ["node"]), "buckets")
+    discard(shared)
+    sizes = shared_.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
+    buckets_ = materialize(join_even(shared_, sizes, ["bucket"]), "buckets")
+    discard(shared_)
     weight = buckets_.groupBy("node").agg(F.sum("many").alias("weight"))
     live = materialize(join_even(buckets_.drop("many"), weight, ["node"]).withColumn("component", F.col("node")), "live")
     discard(buckets_)
@@ -187,11 +251,9 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         if round_ < HUB_ROUNDS:
             pairs = join_even(live, mixed.select("bucket", "hub"), ["bucket"]).filter("component <> hub.component").select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("node").alias("member"), "n")
-        else:  # members outside a bucket's main component against all its other components
-            inside = join_even(live, mixed.select("bucket", F.col("hub.component").alias("main")), ["bucket"])
-            inside = materialize(inside, "mixed")
-            rest = inside.filter("component <> main").select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("other"))
-            pairs = join_even(inside, rest, ["bucket"]).filter((F.col("component") < F.col("other")) | ((F.col("component") > F.col("other")) & (F.col("component") == F.col("main")))).select("hub", "hub_n", F.col("node").alias("member"), "n")
+        else:
+            left = join_even(live, mixed.select("bucket"), ["bucket"]).select("node", "n", "component").distinct()
+            pairs = _rest_pairs(docs, left)
         pairs = pairs.filter(near("n", "hub_n")).select(F.least("hub", "member").alias("x"), F.greatest("hub", "member").alias("y"), (F.col("hub") < F.col("member")).alias("first")).distinct()
         pairs = pairs.groupBy("x", "y").agg(F.max("first").alias("first"))
         if tried is not None:
@@ -213,6 +275,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             joined = join_even(joined, hubs, ["bucket"]).withColumn("weight", F.when(F.col("component") == F.col("_h"), -1).otherwise(F.col("weight"))).drop("_h")
             live, before = materialize(joined, "live"), live
             discard(before)
+            release(docs.sparkSession)
     empty = docs.sparkSession.createDataFrame([], "a long, b long")
     return empty if known is None else known
 
@@ -220,13 +283,13 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
     rows = materialize(signed(docs), "signed")
-    nodes = rows.filter("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
     merged = components(links(docs, nodes))
     classes = join_even(nodes.select("set1", "set2", "node"), merged, ["node"], "left").select("set1", "set2", F.coalesce("component", "node").alias("component"))
     classes = materialize(classes, "classes")
     out = join_even(rows.select("doc_id", "n_shingles", "set1", "set2"), classes, ["set1", "set2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

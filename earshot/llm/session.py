@@ -7,6 +7,7 @@ then costs a re-read, never a recomputation of the whole job.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan refers to any more, instead of when the driver happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts may be long: keep the Arrow batches that Python workers hold small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
