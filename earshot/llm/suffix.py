@@ -12,7 +12,8 @@ shards, whose sorted strings are then merged by binary search.
 Defined cases: null and empty texts have nothing to remove; a text that equals
 an earlier one is removed whole if it is long enough; texts of any length are
 read whole; rows that repeat a doc_id are one document and don't remove each
-other; an empty table gives an empty result; other columns are not read, so
+other; rows without doc_id come after all others, as one document; an empty table
+gives an empty result; other columns are not read, so
 their names can't clash.
 """
 
@@ -28,14 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import discard, documents, materialize, small_batches
+from .session import discard, documents, materialize, release, small_batches
 from .vectext import U64, blocks, prefix_hash, ragged, span_hash
 
 LENGTH, ANCHOR = 50, 20
 #: Bytes of text in a pack, and for each bucket of anchors or shard of regions.
 PACK, BUCKET = 4 << 20, 4 << 20
-#: Documents that share an anchor before its regions are dealt over all shards.
-HOT = 1000
+#: Documents that share an anchor before its regions are dealt over all shards;
+#: the regions of that many documents fill a shard by themselves.
+HOT = BUCKET // (2 * LENGTH - ANCHOR)
+#: Stands for a null doc_id: such rows come after all others, as one document.
+NO_ID = (1 << 63) - 1
 _WINDOW = LENGTH - ANCHOR + 1
 _SLICE = 1 << 22
 _LOW = U64((1 << 24) - 1)
@@ -164,7 +168,7 @@ def packs(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -183,7 +187,8 @@ def packs(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return documents(docs).mapInArrow(run, PACKED)
+    named = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    return named.mapInArrow(run, PACKED)
 
 
 def _open(docs: bytes, sizes: bytes, texts: bytes) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -271,7 +276,7 @@ def _region_rows(n: int):
         rows: list[tuple] = []
         if pack.num_rows and shared.num_rows:
             some, hot = _joined_keys(shared.column("marks")), _joined_keys(shared.column("hot"))
-            hashes, keys, sizes, owners, texts, flags = [], [], [], [], [], []
+            hashes, keys, sizes, owners, texts, flags, more = [], [], [], [], [], [], []
             for ids, block in _open(*(pack.column(c)[0].as_py() for c in ("docs", "sizes", "texts"))):
                 a = Anchors(block)
                 is_hot = _inside(a.mark, hot)
@@ -279,16 +284,20 @@ def _region_rows(n: int):
                 h = a.region_hash(which)
                 owner = ids[a.doc[which]]
                 order = np.lexsort((owner, h))
-                keep = order[np.concatenate(([True], h[order][1:] != h[order][:-1]))] if len(order) else order
+                first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1]))) if len(order) else order
+                keep, last = order[first], order[np.append(first[1:], len(order)) - 1] if len(order) else order
+                several = owner[keep] != owner[last]
                 which, h = which[keep], h[keep]
                 size = a.high[which] + LENGTH - a.low[which]
+                more.append(several)
                 hashes.append(h)
                 flags.append(is_hot[which])
                 keys.append(np.where(is_hot[which], h, a.mark[which]))
                 sizes.append(size)
                 owners.append(owner[keep])
                 texts.append(a.data[ragged(a.low[which], size)])
-            h, key, size, owner, data, flag = (np.concatenate(x) for x in (hashes, keys, sizes, owners, texts, flags))
+            h, key, size, owner, data, flag, some_more = (np.concatenate(x) for x in (hashes, keys, sizes, owners, texts, flags, more))
+            z = zstandard.ZstdCompressor(level=3)
             begin = np.cumsum(size) - size
             number = pack.column("pack")[0].as_py()
             for hot_ in (False, True):
@@ -296,7 +305,7 @@ def _region_rows(n: int):
                 order, edge = _dealt(key[part], n)
                 for k in np.flatnonzero(np.diff(edge)).tolist():
                     w = part[order[edge[k] : edge[k + 1]]]
-                    rows.append((k, number, hot_, h[w].tobytes(), size[w].astype(np.uint8).tobytes(), owner[w].tobytes(), data[ragged(begin[w], size[w])].tobytes()))
+                    rows.append((k, number, hot_, h[w].tobytes(), (size[w] | (some_more[w].astype(np.int64) << 7)).astype(np.uint8).tobytes(), owner[w].tobytes(), z.compress(data[ragged(begin[w], size[w])].tobytes())))
         cols = list(zip(*rows)) or [[] for _ in empty]
         return pa.table({c: pa.array(x, t) for (c, t), x in zip(empty.items(), cols)})
 
@@ -312,8 +321,11 @@ class _Shard:
         self.count = np.fromiter(map(len, hashes), np.int64, len(hashes))
         self.hash = np.concatenate(hashes)
         size = np.frombuffer(b"".join(table.column("sizes").to_pylist()), np.uint8).astype(np.int64)
+        self.several, size = size > 127, size & 127  # the high bit tells of more documents in the pack
         owner = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
-        data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+        z = zstandard.ZstdDecompressor()
+        data = np.frombuffer(b"".join(map(z.decompress, table.column("bytes").to_pylist())), np.uint8)
+        self.own = owner
         order = np.lexsort((owner, self.hash))
         first = np.concatenate(([True], self.hash[order][1:] != self.hash[order][:-1]))
         self.of = np.empty(len(order), np.int64)
@@ -329,7 +341,7 @@ class _Shard:
         return ragged(self.begin, self.size - LENGTH + 1)
 
     def answer(self, low: np.ndarray) -> pa.Table:
-        """(pack, hashes, docs, covered): for each region its smallest doc and, as bits, which of that doc's strings an earlier one has."""
+        """(pack, hashes, docs, covered): for each region that matters its smallest doc and, as bits, which of that doc's strings an earlier one has."""
         n = self.size - LENGTH + 1
         at = self.strings()
         earlier = low[at] < np.repeat(self.doc, n)
@@ -337,26 +349,38 @@ class _Shard:
         bits = np.bitwise_or.reduceat(np.where(earlier, np.uint32(1) << bit.astype(np.uint32), np.uint32(0)), np.cumsum(n) - n)
         out, upto = [], np.concatenate(([0], np.cumsum(self.count)))
         for k, p in enumerate(self.packs):
-            w = self.of[upto[k] : upto[k + 1]]
-            out.append((p, self.hash[upto[k] : upto[k + 1]].tobytes(), self.doc[w].tobytes(), bits[w].astype(np.uint32).tobytes()))
-        cols = list(zip(*out))
+            here = slice(upto[k], upto[k + 1])
+            w = self.of[here]
+            tells = (self.doc[w] < self.own[here]) | (bits[w] > 0) | self.several[here]
+            w = w[tells]
+            if not len(w):
+                continue
+            out.append((p, self.hash[here][tells].tobytes(), self.doc[w].tobytes(), bits[w].astype(np.uint32).tobytes()))
+        cols = list(zip(*out)) or [[], [], [], []]
         return pa.table({"pack": pa.array(cols[0], pa.int64()), "hashes": pa.array(cols[1], pa.binary()), "docs": pa.array(cols[2], pa.binary()), "covered": pa.array(cols[3], pa.binary())})
 
 
+#: A resolved shard: its answers, or for a hot one its sorted strings (range, shard, strings, docs) and its regions again.
+RESOLVED = "kind string, shard int, pack long, range int, hashes binary, sizes binary, docs binary, covered binary, bytes binary"
+_RESOLVED = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("pack", pa.int64()), ("range", pa.int32()), *((c, pa.binary()) for c in ("hashes", "sizes", "docs", "covered", "bytes"))])
 ANSWER = "pack long, hashes binary, docs binary, covered binary"
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    s = _Shard(table)
-    return s.answer(smallest_owner(s.data, s.begin, s.end, s.doc))
+def _resolved(kind: str, table: pa.Table) -> pa.Table:
+    """The table with the columns of RESOLVED; what it lacks is null."""
+    n = table.num_rows
+    own = {c: table.column(c) for c in table.column_names} | {"kind": pa.array([kind] * n, pa.string())}
+    return pa.table([own[f.name] if f.name in own else pa.nulls(n, f.type) for f in _RESOLVED], schema=_RESOLVED)
 
 
-def _runs(n: int):
-    """Of a hot shard: its distinct strings, sorted, with their smallest doc, dealt over n ranges by hash."""
+def _resolve(n: int):
+    """Answers of a shard, or its share of the merge over n ranges."""
 
     def run(table: pa.Table) -> pa.Table:
         s = _Shard(table)
         low = smallest_owner(s.data, s.begin, s.end, s.doc)
+        if not table.column("hot")[0].as_py():
+            return _resolved("answer", s.answer(low))
         at = s.strings()
         h = span_hash(prefix_hash(s.data), at, at + LENGTH)
         _, one = np.unique(h, return_index=True)
@@ -368,7 +392,9 @@ def _runs(n: int):
             turn = np.argsort(_sortable(text), kind="stable")
             rows.append((k, shard, text[turn].tobytes(), low[w][turn].tobytes()))
         cols = list(zip(*rows)) or [[], [], [], []]
-        return pa.table({"range": pa.array(cols[0], pa.int32()), "shard": pa.array(cols[1], pa.int32()), "strings": pa.array(cols[2], pa.binary()), "docs": pa.array(cols[3], pa.binary())})
+        runs = pa.table({"range": pa.array(cols[0], pa.int32()), "shard": pa.array(cols[1], pa.int32()), "bytes": pa.array(cols[2], pa.binary()), "docs": pa.array(cols[3], pa.binary())})
+        again = table.select(["shard", "pack", "hashes", "sizes", "docs", "bytes"])
+        return pa.concat_tables([_resolved("run", runs), _resolved("regions", again)])
 
     return run
 
@@ -384,7 +410,7 @@ def _sortable(strings: np.ndarray) -> np.ndarray:
 def _merge_runs(table: pa.Table) -> pa.Table:
     """The sorted strings of several shards: each is looked up in the others by binary search; returns each shard its smallest docs."""
     shards = table.column("shard").to_pylist()
-    runs = [_sortable(np.frombuffer(x, np.uint8)) for x in table.column("strings").to_pylist()]
+    runs = [_sortable(np.frombuffer(x, np.uint8)) for x in table.column("bytes").to_pylist()]
     docs_ = [np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()]
     known, low = runs[0], docs_[0].copy()
     for run, doc in zip(runs[1:], docs_[1:]):
@@ -393,7 +419,7 @@ def _merge_runs(table: pa.Table) -> pa.Table:
         low[at[same]] = np.minimum(low[at[same]], doc[same])
         known, low = np.insert(known, at[~same], run[~same]), np.insert(low, at[~same], doc[~same])
     out = [low[np.searchsorted(known, run)].tobytes() for run in runs]
-    return pa.table({"shard": pa.array(shards, pa.int32()), "strings": table.column("strings"), "docs": pa.array(out, pa.binary())})
+    return pa.table({"shard": pa.array(shards, pa.int32()), "strings": table.column("bytes"), "docs": pa.array(out, pa.binary())})
 
 
 def _resolve_hot(table: pa.Table, merged: pa.Table) -> pa.Table:
@@ -459,18 +485,23 @@ def _cut(keep_text: bool):
 
 def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, the bytes that stay."""
+    spark = docs.sparkSession
     stored = materialize(packs(docs), "packs")
     held = stored.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
     n = max(1, -(-3 * held // BUCKET))  # packs hold about a third of the bytes of their texts
     marks = stored.mapInArrow(_mark_rows(n), "bucket int, pack long, marks binary, counts binary")
     shared = materialize(marks.groupBy("bucket").applyInArrow(_shared_marks, "pack long, marks binary, hot binary"), "shared")
+    del marks
+    release(spark)
     kind = "shard int, pack long, hot boolean, hashes binary, sizes binary, docs binary, bytes binary"
-    regions = materialize(stored.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_region_rows(n), kind), "regions")
-    answers = regions.filter("not hot").groupBy("shard").applyInArrow(_resolve, ANSWER)
-    hot = regions.filter("hot")
-    runs = hot.groupBy("shard").applyInArrow(_runs(n), "range int, shard int, strings binary, docs binary")
-    merged = runs.groupBy("range").applyInArrow(_merge_runs, "shard int, strings binary, docs binary")
-    answers = answers.union(hot.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(_resolve_hot, ANSWER))
-    answers = materialize(answers, "answers")
-    discard(regions, shared)
-    return stored.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_cut(keep_text), RESULT)
+    regions = stored.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_region_rows(n), kind)
+    resolved = materialize(regions.groupBy("shard", "hot").applyInArrow(_resolve(n), RESOLVED), "resolved")
+    del regions
+    discard(shared)
+    release(spark)
+    answers = resolved.filter("kind = 'answer'").select("pack", "hashes", "docs", "covered")
+    merged = resolved.filter("kind = 'run'").select("range", "shard", "bytes", "docs").groupBy("range").applyInArrow(_merge_runs, "shard int, strings binary, docs binary")
+    hot = resolved.filter("kind = 'regions'").select("shard", "pack", "hashes", "sizes", "docs", "bytes")
+    hot = materialize(hot.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(_resolve_hot, ANSWER), "hot")
+    out = stored.groupBy("pack").cogroup(answers.union(hot).groupBy("pack")).applyInArrow(_cut(keep_text), RESULT)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
