@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import discard, join_even, materialize
+from .session import discard, join_even, materialize, release
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         after = materialize(_star(_star(now, small=False), small=True), "links")
         row = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
+        release(after.sparkSession)  # small rounds leave many small shuffle files
         now = after
         if tuple(row) == mark:
             break

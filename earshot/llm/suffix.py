@@ -48,8 +48,8 @@ _LOW = U64((1 << 24) - 1)
 # -- suffix arrays -----------------------------------------------------------
 
 
-def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes by their first ``depth`` bytes at least: an order of eight bytes, doubled on groups that are not sorted yet."""
+def suffix_order(data: np.ndarray) -> np.ndarray:
+    """All suffixes in order: by eight bytes, doubled on groups that are not sorted yet until none is left."""
     n = len(data)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     key = np.zeros(n, U64)
@@ -60,7 +60,7 @@ def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = 8
-    while h < depth:
+    while h < n:
         edge = np.append(np.flatnonzero(new), n)
         alone = np.diff(edge) == 1
         at = ragged(edge[:-1][~alone], np.diff(edge)[~alone])  # places in groups of several
