@@ -14,6 +14,9 @@ from earshot.llm import bytebpe, exact, minhash, mixing, quality
 from earshot.llm.queries import QUALITY, byte_pattern, held_out, tokenizer_file
 from earshot.llm.session import materialize
 
+#: Near copies share at least this part of their five-word shingles; op5 has its own figure.
+NEAR_PERCENT = 80
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -27,8 +30,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return minhash.deduplicate(docs)
+    """One document of each group of near copies stays, linked from a similarity of 0.8 on."""
+    return minhash.deduplicate(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from .session import discard, documents, join_even, materialize, release, small_
 from .vectext import U64, Words, blocks, mix
 
 SHINGLE = 5
+#: Least similarity of linked documents where the caller names none.
 PERCENT = 85
 PERMUTATIONS, ROWS = 48, 4
 #: Members that are compared with a hub in one task.
@@ -127,7 +128,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return join_even(documents(docs), wanted, ["doc_id"])
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (hub, member) of distinct documents whose sets are near enough.
 
     A hub's members are dealt out over groups of bounded size, each of which
@@ -157,7 +158,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 other = np.frombuffer(held[i].as_py(), U64)
                 at = np.minimum(np.searchsorted(own, other), len(own) - 1)
                 both = int((own[at] == other).sum())
-                if 100 * both >= PERCENT * (len(own) + len(other) - both):
+                if 100 * both >= percent * (len(own) + len(other) - both):
                     good.append(d)
         return pa.table({"a": pa.array([hub] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
@@ -183,7 +184,7 @@ def _shingle_rows(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _texts_of(docs, nodes.select(F.col("node").alias("doc_id"))).select("doc_id", "text").mapInArrow(run, "node long, shingle long")
 
 
-def _worth_it(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _worth_it(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of the nodes (node, n) that may link at all.
 
     Shingles that no other of these nodes has can't be in an intersection.  A
@@ -193,10 +194,10 @@ def _worth_it(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     each = _shingle_rows(docs, nodes)
     lone = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("lone"))
     left = F.col("n") - F.coalesce("lone", F.lit(0))
-    return join_even(nodes, lone, ["node"], "left").filter(left * 100 >= F.col("n") * PERCENT).select("node")
+    return join_even(nodes, lone, ["node"], "left").filter(left * 100 >= F.col("n") * percent).select("node")
 
 
-def _rest_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _rest_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, hub_n, member, n) of nodes (node, n, component) in different components that may still link.
 
     Prefix filtering: with shingles ordered from the rarest on, two sets above
@@ -210,29 +211,29 @@ def _rest_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     often = each.groupBy("shingle").agg(F.count("*").alias("often"))
     ranked = join_even(each, often, ["shingle"]).withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")))
     n = F.col("n")
-    first = n - F.ceil(n * PERCENT / 100) + 1
+    first = n - F.ceil(n * percent / 100) + 1
     prefix = materialize(join_even(ranked, nodes, ["node"]).filter(F.col("place") <= first).select("shingle", "place", "node", "n", "component", "size"), "prefix")
     mixed = prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("size", "component")).alias("main")).filter("low <> high")
     inside = materialize(join_even(prefix, mixed.select("shingle", "main"), ["shingle"]).drop("size"), "prefix")
     rest = inside.filter("component <> main").select("shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("other"), F.col("place").alias("at"))
     apart = (F.col("component") < F.col("other")) | ((F.col("component") > F.col("other")) & (F.col("component") == F.col("main")))
     follow = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("at")) + 1
-    enough = follow * (100 + PERCENT) >= (F.col("n") + F.col("hub_n")) * PERCENT
-    return join_even(inside, rest, ["shingle"]).filter(apart & near("n", "hub_n") & enough).select("hub", "hub_n", F.col("node").alias("member"), "n")
+    enough = follow * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent
+    return join_even(inside, rest, ["shingle"]).filter(apart & near("n", "hub_n", percent) & enough).select("hub", "hub_n", F.col("node").alias("member"), "n")
 
 
-def near(n: str, m: str) -> F.Column:
+def near(n: str, m: str, percent: int) -> F.Column:
     """Sizes that the threshold allows."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) between nodes (node, n, bands) so that components are those of all links."""
     buckets = materialize(_buckets(nodes), "buckets")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
     shared = materialize(join_even(buckets, sizes, ["bucket"]).select("bucket", "node", "n"), "buckets")
     discard(buckets)
-    able = materialize(_worth_it(docs, shared.select("node", "n").distinct()), "able")
+    able = materialize(_worth_it(docs, shared.select("node", "n").distinct(), percent), "able")
     release(docs.sparkSession)
     shared_ = materialize(join_even(shared, able, ["node"]), "buckets")
     discard(shared)
@@ -253,8 +254,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             pairs = join_even(live, mixed.select("bucket", "hub"), ["bucket"]).filter("component <> hub.component").select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("node").alias("member"), "n")
         else:
             left = join_even(live, mixed.select("bucket"), ["bucket"]).select("node", "n", "component").distinct()
-            pairs = _rest_pairs(docs, left)
-        pairs = pairs.filter(near("n", "hub_n")).select(F.least("hub", "member").alias("x"), F.greatest("hub", "member").alias("y"), (F.col("hub") < F.col("member")).alias("first")).distinct()
+            pairs = _rest_pairs(docs, left, percent)
+        pairs = pairs.filter(near("n", "hub_n", percent)).select(F.least("hub", "member").alias("x"), F.greatest("hub", "member").alias("y"), (F.col("hub") < F.col("member")).alias("first")).distinct()
         pairs = pairs.groupBy("x", "y").agg(F.max("first").alias("first"))
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
@@ -264,7 +265,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 break
             continue
         hub = F.when(F.col("first"), F.col("x")).otherwise(F.col("y"))
-        good = _confirm(docs, pairs.select(hub.alias("hub"), F.when(F.col("first"), F.col("y")).otherwise(F.col("x")).alias("member")))
+        good = _confirm(docs, pairs.select(hub.alias("hub"), F.when(F.col("first"), F.col("y")).otherwise(F.col("x")).alias("member")), percent)
         known = good if known is None else known.union(good)
         tried = pairs.select("x", "y") if tried is None else tried.union(pairs.select("x", "y"))
         if round_ < HUB_ROUNDS:
@@ -280,19 +281,19 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return empty if known is None else known
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links of that similarity or more."""
     rows = materialize(signed(docs), "signed")
     nodes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
-    merged = components(links(docs, nodes))
+    merged = components(links(docs, nodes, percent))
     classes = join_even(nodes.select("set1", "set2", "node"), merged, ["node"], "left").select("set1", "set2", F.coalesce("component", "node").alias("component"))
     classes = materialize(classes, "classes")
     out = join_even(rows.select("doc_id", "n_shingles", "set1", "set2"), classes, ["set1", "set2"], "left")
     return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with their columns."""
-    gone = materialize(groups(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = materialize(groups(docs, percent).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
