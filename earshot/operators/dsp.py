@@ -249,6 +249,12 @@ def resample(x: np.ndarray, up: int, down: int, taps: int = 64) -> np.ndarray:
 SPECTRUM = "levels_db array<double>, peaks_hz array<double>, centroid_hz double, rolloff_85_hz double, low_pct double, mid_pct double, high_pct double"
 
 
+def _small_batches(pcm: DataFrame) -> DataFrame:
+    """chunk_id and pcm; samples are many, so the Arrow batches that Python workers hold get few rows."""
+    pcm.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return pcm.select("chunk_id", "pcm")
+
+
 def spectra(pcm: DataFrame) -> DataFrame:
     """(chunk_id, spectrum columns) of chunks (chunk_id, pcm array<double>)."""
 
@@ -256,7 +262,7 @@ def spectra(pcm: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([{"chunk_id": i, **spectrum(np.array(x))} for i, x in zip(pdf["chunk_id"], pdf["pcm"])])
 
-    return pcm.select("chunk_id", "pcm").mapInPandas(run, f"chunk_id long, {SPECTRUM}")
+    return _small_batches(pcm).mapInPandas(run, f"chunk_id long, {SPECTRUM}")
 
 
 def mel_means(pcm: DataFrame, bands: int = 64) -> DataFrame:
@@ -267,7 +273,7 @@ def mel_means(pcm: DataFrame, bands: int = 64) -> DataFrame:
             rows = [(i, log_mel(np.array(x), bands=bands)) for i, x in zip(pdf["chunk_id"], pdf["pcm"])]
             yield pd.DataFrame([{"chunk_id": i, "frames": len(m), "mel": m.mean(axis=0).round(6).tolist()} for i, m in rows])
 
-    return pcm.select("chunk_id", "pcm").mapInPandas(run, "chunk_id long, frames int, mel array<double>")
+    return _small_batches(pcm).mapInPandas(run, "chunk_id long, frames int, mel array<double>")
 
 
 def loudness_of(pcm: DataFrame) -> DataFrame:

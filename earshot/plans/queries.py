@@ -219,11 +219,11 @@ def resource_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spectrum_bands(spark: SparkSession, d: str) -> DataFrame:
-    return dsp.spectra(dsp.tones(chunks(spark, d).filter("device_id = 'dev-0'").orderBy("chunk_id").limit(64)))
+    return dsp.spectra(dsp.tones(chunks(spark, d)))
 
 
 def mel_features(spark: SparkSession, d: str) -> DataFrame:
-    return dsp.mel_means(dsp.tones(chunks(spark, d).filter("device_id = 'dev-0'").orderBy("chunk_id").limit(64)))
+    return dsp.mel_means(dsp.tones(chunks(spark, d)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
