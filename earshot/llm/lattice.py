@@ -26,7 +26,7 @@ from .session import join_even, materialize, small_batches
 from .vectext import U64, mix
 
 COSINE = 0.95
-#: Tables, neighbouring cells probed in each, and the side of the lattice.
+#: Tables, neighbouring cells probed in each, and the side of the lattice in 64 dimensions.
 TABLES, PROBES, SIDE = 14, 6, 0.12
 
 
@@ -65,6 +65,11 @@ def minimal_vectors() -> np.ndarray:
     return np.array(out)
 
 
+def side(dim: int) -> float:
+    """The lattice's side: eight of ``dim`` directions hold 8 / dim of a squared distance."""
+    return SIDE * (64 / dim) ** 0.5
+
+
 def projections(dim: int, tables: int = TABLES, seed: int = 8) -> np.ndarray:
     """For each table eight orthonormal directions, scaled to the side."""
     rng = np.random.default_rng(seed)
@@ -72,7 +77,7 @@ def projections(dim: int, tables: int = TABLES, seed: int = 8) -> np.ndarray:
     for t in range(tables):
         g = rng.standard_normal((dim, max(8, 8)))
         out[t] = np.linalg.qr(g)[0][:, :8] if dim >= 8 else g / np.sqrt(8)
-    return out / SIDE
+    return out / side(dim)
 
 
 def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
