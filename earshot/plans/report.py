@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.acoustics import leq, level_percentiles
+from ..functions.acoustics import is_night, leq, level_percentiles
 from ..functions.text import level_anchor
 from ..operators import peaks, profiles, scoring, segment, votes
 from ..sources.events import chunks as table_chunks
@@ -16,7 +16,7 @@ from ..sources.labels import SILENCE, LabelMap
 
 
 def _rows(df: DataFrame) -> list[dict[str, Any]]:
-    """Rows of a result whose size is fixed (hours of a day, categories, a top-k)."""
+    """Rows of a result whose size is fixed (hours of a day, categories, a top-k) or one for each covered hour."""
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
@@ -36,9 +36,11 @@ def build(chunks: DataFrame, labels: LabelMap = LabelMap(), site: str | None = N
             "leq_context": anchor, "location": profiles.location(chunks, site).first()[0], "recordings": profiles.recording_summary(chunks).count(), "top_disturbances": _rows(top.drop("us")),
             "comfort_rating": next(iter(_rows(scoring.comfort(chunks))), None), "lived_experience": _rows(scoring.badges(periods.crossJoin(peak), F.col("peak")))[0], "guideline": _rows(scoring.who_check(periods))[0],
         }
-        zone_b = {"typical_day": _rows(profiles.typical_day(chunks).orderBy("hour"))}
+        zone_b = {"typical_day": _rows(profiles.typical_day(chunks).orderBy("hour")), "timeline": _rows(profiles.with_gaps(profiles.timeline(chunks, covered_s)).orderBy("hour"))}
+        period = F.when(is_night(F.hour("dt_local")), "night").otherwise("day").alias("period")
         zone_c = {
             "sound_diet": _rows(profiles.sound_diet(events)), "time_budget": _rows(profiles.time_budget(voted, [])),
+            "time_budget_period": _rows(profiles.time_budget(voted, [period])), "time_budget_hourly": _rows(profiles.time_budget(voted, [F.hour("dt_local").alias("hour")])),
             "events": _rows(events.orderBy(F.col("duration_s").desc(), F.col("max_dba").desc(), "start_rn").limit(12)),
         }
         return {"zone_a": zone_a, "zone_b": zone_b, "zone_c": zone_c, "takeaway": takeaway(zone_a, zone_b, zone_c)}
