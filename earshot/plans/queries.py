@@ -176,6 +176,7 @@ def fixed_capture_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zero_shot_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest prompts of every row; the tables have no prompts, so the rows with vec_id < 16 stand for the bounded table of them."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     prompts = e.filter("vec_id < 16").select(F.col("vec_id").alias("prompt_id"), "embedding")
     return embed.zero_shot(e, prompts).select("vec_id", "rank", "prompt_id", round_to(F.col("confidence"), 6).alias("confidence"))
