@@ -2,7 +2,8 @@
 
 Pieces come from the pattern of the rank file; each unknown piece is encoded by
 a segment tree over its byte positions (``bpe.py``) and remembered in a bounded
-table of the Python worker.  Ids and decoded bytes are the operator's outputs.
+table of the Python worker.  Of a text with a code point of class ODD (``pretok.py``)
+the part around it, up to a space between ASCII words, is encoded by tiktoken.  Ids and decoded bytes are the operator's outputs.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; texts
 of any length are encoded whole; repeated rows each give a row; an empty table

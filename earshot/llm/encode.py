@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -13,6 +14,8 @@ from . import bpe, pretok
 from .vectext import U64
 
 CHARS = 1 << 19
+#: Between ASCII words every pattern here ends a piece, and neither NFC nor lower case reaches across.
+CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
 
 def char_blocks(texts: list[str], limit: int = CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -54,6 +57,11 @@ def special_strings(path: str) -> tuple[str, ...]:
         return tuple(x["content"] for x in json.load(f)["added_tokens"])
 
 
+def cut(text: str, spaced: bool, path: str) -> list[str]:
+    """Parts of a text that are encoded apart; one with special strings stays whole."""
+    return [text] if not spaced and any(s in text for s in special_strings(path)) else CUT.split(text)
+
+
 class Block:
     """Pieces of a block of texts: bounds, hashes, the first piece of each text; ``odd`` texts are for the library."""
 
@@ -103,7 +111,9 @@ def ids_of(texts: list[str], path: str, pattern: str | None = None) -> tuple[np.
     if len(block.odd):
         own = []
         for i in block.odd.tolist():
-            if spaced:
+            if len(parts := cut(texts[i], spaced, path)) > 1:
+                own.append(ids_of(parts, path, pattern)[0])
+            elif spaced:
                 own.append(rank_library(path, pattern).encode_ordinary(texts[i]))
             else:
                 own.append(word_library(path).encode(texts[i], add_special_tokens=False).ids)

@@ -25,7 +25,7 @@ _LIMIT = 0x110000
 
 @cache
 def classes() -> np.ndarray:
-    """Class by code point; those assigned after Unicode 9, or not at all, are ODD."""
+    """Class by code point; those assigned after Unicode 3.2 (save U+1F300 to U+1F64F), or not at all, and surrogates are ODD."""
     out = np.full(_LIMIT, OTHER, np.uint8)
     old = unicodedata.ucd_3_2_0
     for c in range(_LIMIT):

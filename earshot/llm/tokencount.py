@@ -9,8 +9,9 @@ Counts come in two kinds: ``inside`` (the piece goes on) and ``closed`` (the
 text ends here, so the last token carries the word end).
 
 Defined cases: a null or empty text counts 0; texts of any length are counted
-whole; texts with special strings or unusual characters are counted by the
-library itself; repeated rows each give a row; an empty table gives an empty
+whole; texts with special strings, and the parts between ASCII words that aren't
+NFC or have a character of class ODD (``pretok.py``) or whose lower case depends on
+context or is several characters, are counted by the library itself; repeated rows each give a row; an empty table gives an empty
 result; other columns of ``docs`` are not read, so their names can't clash.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .encode import Block, char_blocks, word_library
+from .encode import Block, char_blocks, cut, word_library
 from .session import documents, small_batches
 from .vectext import BYTE_VALUE, U64, IdCache, powers, prefix_hash, ragged
 
@@ -159,7 +160,8 @@ def count_texts(texts: list[str], path: str) -> np.ndarray:
     upto = np.concatenate(([0], np.cumsum(known.pool[at].astype(np.int64) + (known.pool[at + 1].astype(np.int64) << 16))))
     out = np.diff(upto[block.first])
     for i in block.odd.tolist():
-        out[i] = len(word_library(path).encode(texts[i], add_special_tokens=False).ids)
+        parts = cut(texts[i], False, path)
+        out[i] = count_texts(parts, path).sum() if len(parts) > 1 else len(word_library(path).encode(texts[i], add_special_tokens=False).ids)
     return out
 
 
