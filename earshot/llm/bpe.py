@@ -6,6 +6,12 @@ equal ranks, the leftmost position.  The root names the next merge, and a merge
 changes three leaves: its own, that of the position it swallows and that of its
 left neighbour.  The trees of all pieces of a like length are rows of one numpy
 array, so one step merges one pair in each of thousands of pieces.
+
+A long piece is encoded in parts that overlap.  Which tokens a text has is
+decided between neighbours alone: a row of tokens of which any two neighbours
+are the encoding of their own bytes is the encoding of the whole.  So two parts
+join at any token that both have in the same place; parts without one are
+encoded again as one part.
 """
 
 from __future__ import annotations
@@ -22,6 +28,9 @@ _NONE = np.int32(2**31 - 1)
 _CELLS = 1 << 19
 #: Widest piece whose rank and position fit in 32 bits.
 _NARROW = 1 << 14
+#: Widest part of a long piece and bytes from one part to the next, in turn: most pieces join at the
+#: first pair, repeats of any short period keep step with the second, and the last is a piece at once.
+_PARTS = ((512, 288), (2048, 1440), (1 << 40, 1 << 40))
 
 
 class PairTable:
@@ -79,7 +88,7 @@ class Vocabulary:
         """Ids of all pieces data[begin : begin + size] in turn, and how many each has."""
         n = len(begin)
         if not n:
-            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         out_ids: list[np.ndarray] = []
         count, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
         at, todo = 0, np.arange(n)
@@ -88,21 +97,67 @@ class Vocabulary:
         if self.apart:
             known = np.array([self.apart.get(data[b : b + k].tobytes(), -1) for b, k in zip(begin.tolist(), size.tolist())])
             hit = np.flatnonzero(known >= 0)
-            out_ids.append(known[hit].astype(np.uint16))
+            out_ids.append(known[hit].astype(np.uint32))
             count[hit], place[hit] = 1, np.arange(len(hit))
             at, todo = len(hit), np.flatnonzero(known < 0)
-        width = 1 << np.ceil(np.log2(np.maximum(size[todo], 2))).astype(np.int64)
+        for k in todo[size[todo] > _PARTS[0][0]].tolist():
+            ids = self._long(data, int(begin[k]), int(size[k]), True, 0)
+            out_ids.append(ids)
+            count[k], place[k] = len(ids), at
+            at += len(ids)
+        todo = todo[size[todo] <= _PARTS[0][0]]
+        parts, ids, many = self._rows(data, begin[todo], size[todo], np.ones(len(todo), bool))
+        count[todo[parts]] = many
+        place[todo[parts]] = at + np.cumsum(many) - many
+        out_ids.append(ids)
+        return np.concatenate(out_ids)[ragged(place, count)], count
+
+    def _rows(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the pieces, their ids in that order, and how many each has; ``closed``: the last byte ends a word."""
+        order, out_ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        width = 1 << np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64)
         for w in np.unique(width):
-            rows = todo[width == w]
+            rows = np.flatnonzero(width == w)
             step = max(1, _CELLS // int(w))
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
-                ids, many = self._merge(data, begin[part], size[part], int(w))
+                ids, many = self._merge(data, begin[part], size[part], closed[part], int(w))
+                order.append(part)
                 out_ids.append(ids)
-                count[part] = many
-                place[part] = at + np.concatenate(([0], np.cumsum(many)))[:-1]
-                at += len(ids)
-        return np.concatenate(out_ids)[ragged(place, count)], count
+                counts.append(many)
+        return np.concatenate(order), np.concatenate(out_ids), np.concatenate(counts)
+
+    def _long(self, data: np.ndarray, begin: int, size: int, closed: bool, level: int) -> np.ndarray:
+        """Ids of one long piece, from parts that overlap."""
+        whole, step = _PARTS[level]
+        if size <= whole:
+            return self._rows(data, np.array([begin]), np.array([size]), np.array([closed]))[1]
+        low = np.arange(0, size - (whole - step), step)
+        high = np.minimum(low + whole, size)
+        order, ids, many = self._rows(data, begin + low, high - low, (high == size) & closed)
+        parts: list[tuple] = [(a, b, None) for a, b in zip(low.tolist(), high.tolist())]
+        found = list(zip(order.tolist(), np.split(ids, np.cumsum(many)[:-1])))
+        while True:
+            for k, x in found:
+                at = parts[k][0] + np.cumsum(self.size[x]) - self.size[x]
+                parts[k] = (*parts[k][:2], (x.astype(np.int64), at))
+            # Where each part hands over to the next: the first token that both have in the same place.
+            cuts = []
+            for (_, _, (x, at)), (_, _, (y, bt)) in zip(parts, parts[1:]):
+                same = np.intersect1d(at << 32 | x, bt << 32 | y)
+                cuts.append(int(same[0]) >> 32 if len(same) else -1)
+            if all(c >= 0 for c in cuts):
+                break
+            joined: list[tuple] = []
+            for part, cut in zip(parts, [0, *cuts]):
+                if cut < 0:
+                    joined[-1] = (joined[-1][0], part[1], None)
+                else:
+                    joined.append(part)
+            parts = joined
+            found = [(k, self._long(data, begin + a, b - a, closed and b == size, level + 1)) for k, (a, b, x) in enumerate(parts) if x is None]
+        edges = zip([0, *cuts], [*cuts, size])
+        return np.concatenate([x[(at >= a) & (at < b)] for (_, _, (x, at)), (a, b) in zip(parts, edges)]).astype(np.uint32)
 
     def _apart(self) -> dict[bytes, int]:
         """Tokens that merging alone doesn't make from their bytes; a piece that equals one of them is that token."""
@@ -114,14 +169,14 @@ class Vocabulary:
         same[own] = ids[upto[own]] == own
         return {self.tokens[k]: k for k in np.flatnonzero(~same & (self.size > 0)).tolist()}
 
-    def _merge(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    def _merge(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, closed: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(begin)
         col = np.arange(w)
         inside = col[None, :] < size[:, None]
         ids = np.full((n, w + 1), -1, np.int32)
         flat = data[ragged(begin, size)]
         ids[:, :w][inside] = self.first[flat]
-        full = np.flatnonzero(size > 0)
+        full = np.flatnonzero((size > 0) & closed)
         ids[full, size[full] - 1] = self.final[data[begin[full] + size[full] - 1]]
         after = np.broadcast_to(np.minimum(col + 1, w), (n, w)).copy()
         after = np.where(after >= size[:, None], w, after)
@@ -171,7 +226,7 @@ class Vocabulary:
             rows = rows[tree[rows, 1] < none]
         ids = ids[:, :w]
         alive = ids >= 0
-        return ids[alive].astype(np.uint16), alive.sum(axis=1)
+        return ids[alive].astype(np.uint32), alive.sum(axis=1)
 
 
 @cache

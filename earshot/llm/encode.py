@@ -11,7 +11,7 @@ from functools import cache
 import numpy as np
 
 from . import bpe, pretok
-from .vectext import U64
+from .vectext import Spans
 
 CHARS = 1 << 19
 #: Between ASCII words every pattern here ends a piece, and neither NFC nor lower case reaches across.
@@ -63,7 +63,7 @@ def cut(text: str, spaced: bool, path: str) -> list[str]:
 
 
 class Block:
-    """Pieces of a block of texts: bounds, hashes, the first piece of each text; ``odd`` texts are for the library."""
+    """Pieces of a block of texts: bounds, UTF-8 bytes, the first piece of each text; ``odd`` texts are for the library."""
 
     def __init__(self, texts: list[str], spaced: bool, path: str) -> None:
         odd = np.zeros(len(texts), bool)
@@ -82,20 +82,22 @@ class Block:
             data, offset = pretok.code_points(texts)
             low = None if spaced else pretok.lower()[data]
         if not spaced:
-            data = low
+            data = low.astype(np.uint32)
         self.odd = np.flatnonzero(odd)
         self.data, self.offset = data, offset
         self.start, self.end = pretok.pieces(data, offset, spaced)
-        self.hash = pretok.hashes(data, self.start, self.end)
         self.first = np.searchsorted(self.start, offset)
+        if int(data.max(initial=0)) < 0x80:
+            raw, begin, end = data.astype(np.uint8), self.start, self.end
+        else:
+            upto = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(1 + (data > 0x7F) + (data > 0x7FF).view(np.uint8) + (data > 0xFFFF), out=upto[1:])
+            raw, begin, end = np.frombuffer(data.tobytes().decode("utf-32-le").encode(), np.uint8), upto[self.start], upto[self.end]
+        self.spans = Spans(raw, begin, end - begin)
 
     def raw(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """UTF-8 bytes of the block, and where some pieces begin in them and how long they are."""
-        upto = np.zeros(len(self.data) + 1, np.int64)
-        np.cumsum(1 + (self.data > 0x7F) + (self.data > 0x7FF).view(np.uint8) + (self.data > 0xFFFF), out=upto[1:])
-        raw = np.frombuffer(self.data.tobytes().decode("utf-32-le").encode(), np.uint8)
-        begin = upto[self.start[which]]
-        return raw, begin, upto[self.end[which]] - begin
+        return self.spans.raw, self.spans.begin[which], self.spans.size[which]
 
 
 def ids_of(texts: list[str], path: str, pattern: str | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +105,7 @@ def ids_of(texts: list[str], path: str, pattern: str | None = None) -> tuple[np.
     spaced = pattern is not None
     vocabulary = bpe.rank_file(path) if spaced else bpe.merge_file(path)
     block = Block(texts, spaced, path)
-    cache_ = bpe.cached_ids(path)
-    number = cache_.resolve(block.hash, lambda which: vocabulary.encode(*block.raw(which)))
-    ids, counts = cache_.ids(number)
+    ids, counts = bpe.cached_ids(path).resolve(block.spans, lambda which: vocabulary.encode(*block.raw(which)))
     upto = np.concatenate(([0], np.cumsum(counts)))[block.first]
     n = np.diff(upto)
     if len(block.odd):
@@ -119,10 +119,10 @@ def ids_of(texts: list[str], path: str, pattern: str | None = None) -> tuple[np.
                 own.append(word_library(path).encode(texts[i], add_special_tokens=False).ids)
         parts = np.split(ids, upto[1:-1])
         for i, x in zip(block.odd.tolist(), own):
-            parts[i] = np.array(x, np.uint16)
+            parts[i] = np.array(x, np.uint32)
             n[i] = len(x)
         ids = np.concatenate(parts)
     return ids, n
 
 
-__all__ = ["Block", "char_blocks", "ids_of", "rank_library", "word_library", "U64"]
+__all__ = ["Block", "char_blocks", "ids_of", "rank_library", "word_library"]

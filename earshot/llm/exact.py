@@ -121,7 +121,11 @@ def groups(docs: DataFrame, incoming: Column | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, sha (of the normalised text), keep_id and group_size.
 
     ``incoming`` says which rows are the new batch; the others are the immutable
-    snapshot.  Without it, half of the rows by a hash of their doc_id are.
+    snapshot.  Without it, half of the rows by a hash of their doc_id are.  The
+    digests of both sides are grouped apart.  The snapshot's make filters and
+    exact buckets; the batch is screened, and only its positives meet the
+    buckets.  Digests that one side holds several times are known from its own
+    groups.
     """
     if incoming is None:
         incoming = F.pmod(F.xxhash64(F.lit("batch"), "doc_id"), F.lit(2)) == 1
@@ -131,26 +135,32 @@ def groups(docs: DataFrame, incoming: Column | None = None) -> DataFrame:
     texts, known = texts.filter("doc_id is not null"), rows.filter("doc_id is not null")
     buckets = max(1, -(-rows.count() // BUCKET))
     key = F.xxhash64("sha")
-    each = known.groupBy("sha").agg(F.count_if(~F.col("_new")).alias("old"), F.count_if(F.col("_new")).alias("new"))
-    each = each.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "key"), F.lit(buckets)).cast("int"))
-    each = materialize(each, "distinct")
-    filters = materialize(snapshot_filters(each.filter("old > 0")), "filters")
-    positive = screen(each.filter("new > 0"), filters)
-    within = each.filter("old > 1 or new > 1").select("sha")
-    checked = materialize(positive.union(within).distinct(), "positives")
+
+    def side(new: bool) -> DataFrame:
+        each = known.filter(F.col("_new") if new else ~F.col("_new")).groupBy("sha").agg(F.count("*").alias("many")).withColumn("key", key)
+        return materialize(each.withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "key"), F.lit(buckets)).cast("int")), "batch" if new else "snapshot")
+
+    snapshot, batch = side(False), side(True)
+    filters = materialize(snapshot_filters(snapshot), "filters")
+    positive = materialize(screen(batch, filters), "positives")
+    across = join_even(positive, snapshot.select("sha"), ["sha"])  # a filter's false positives have no bucket
+    within = snapshot.filter("many > 1").select("sha").union(batch.filter("many > 1").select("sha"))
+    checked = materialize(across.union(within).distinct(), "several")
     # Byte check: whole texts are the grouping key, so only equal bytes meet.
     same = join_even(texts, checked, ["sha"]).groupBy("sha", "_norm").agg(F.min("doc_id").alias("_keep"), F.count("*").alias("_n"))
     same = same.groupBy("sha").agg(F.min("_keep").alias("_keep"), F.sum("_n").alias("_n"), F.count("*").alias("_texts"))
     broken = F.raise_error(F.lit("two texts share a SHA-256 digest"))
-    same = materialize(same.select("sha", F.when(F.col("_texts") > 1, broken.cast("bigint")).otherwise(F.col("_keep")).alias("_keep"), "_n").filter("_n > 1"), "groups")
+    same = materialize(same.select("sha", F.when(F.col("_texts") > 1, broken.cast("bigint")).otherwise(F.col("_keep")).alias("_keep"), "_n"), "groups")
     out = join_even(rows, same, ["sha"], "left")
     return out.select("doc_id", "sha", F.when(F.col("doc_id").isNotNull(), F.coalesce("_keep", "doc_id")).alias("keep_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_n", F.lit(1))).otherwise(F.lit(1)).alias("group_size"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    gone = materialize(groups(docs).filter("doc_id <> keep_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns; a row is known by its doc_id and its text."""
+    gone = materialize(groups(docs).filter("doc_id <> keep_id").select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha")).distinct(), "gone")
+    sha = F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))), 256)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), sha.alias("_sha"))
+    return keyed.join(gone, ["_doc", "_sha"], "left_anti").select("_row.*")
 
 
 __all__ = ["build_filter", "deduplicate", "groups", "may_contain", "normalised", "screen", "snapshot_filters"]

@@ -25,6 +25,8 @@ OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
 LEAST = 0.6
 #: Code points on either side of a span that are searched for context words.
 NEAR = 48
+#: Parts of a text whose lengths are added up in one fold; what a fold holds grows with its square.
+FOLD = 128
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", True, 0.7, r"\bip\b|address|host|server", "version|release"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", True, 0.8, "card|visa|credit|payment|pay", "order|isbn|serial"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", True, 0.8, "phone|call|tel|mobile|fax", "order|serial"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", False, 0.8, "iban|account|bank|transfer", "serial|model"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", False, 0.7, "iban|account|bank|transfer", "serial|model"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", False, 0.4, "ssn|social security|tax", "part|serial|model"),
 )
 
@@ -89,7 +91,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     def located(k: Kind) -> Column:
         parts = F.col(f"_m_{k.name}")
-        zero = F.struct(F.char_length(F.element_at(parts, 1)).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("found"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("found"))
 
         def step(acc: Column, part: Column) -> Column:
             value = F.substring_index(part, CLOSE, 1)
@@ -97,7 +99,15 @@ def spans(docs: DataFrame) -> DataFrame:
             one = F.struct(acc["at"].alias("start"), stop.alias("stop"), value.alias("value"))
             return F.struct((acc["at"] + F.char_length(part) - 1).alias("at"), F.array_append(acc["found"], one).alias("found"))
 
-        return F.when(F.size(parts) > 1, F.aggregate(F.slice(parts, 2, F.size(parts)), zero, step, lambda acc: acc["found"]))
+        # Folds of FOLD parts each, from 0 on, and one more over their lengths.
+        folds = F.transform(F.sequence(F.lit(2), F.size(parts), F.lit(FOLD)), lambda k: F.aggregate(F.slice(parts, k, F.lit(FOLD)), zero, step))
+        begins = F.aggregate(folds, F.array(F.char_length(F.element_at(parts, 1))), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["at"]))
+
+        def moved(fold: Column, begin: Column) -> Column:
+            return F.transform(fold["found"], lambda x: F.struct((x["start"] + begin).alias("start"), (x["stop"] + begin).alias("stop"), x["value"].alias("value")))
+
+        placed = F.transform(F.arrays_zip(folds.alias("fold"), F.slice(begins, 1, F.size(folds)).alias("begin")), lambda z: moved(z["fold"], z["begin"]))
+        return F.when(F.size(parts) > 1, F.flatten(placed))
 
     df = df.withColumns({f"_f_{k.name}": located(k) for k in KINDS}).drop(*marked)
 

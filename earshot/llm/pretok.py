@@ -3,7 +3,7 @@
 Both families of tokenizers split a text into pieces by the classes letter,
 number, white space and other; the pieces are encoded apart.  Here a block of
 texts becomes one array of code points and the pieces become two arrays of
-bounds, with one hash for each piece.  Texts with code points whose class
+bounds.  Texts with code points whose class
 differs between Unicode versions are left to the library itself.
 """
 
@@ -15,8 +15,6 @@ from functools import cache
 
 import numpy as np
 
-from .vectext import U64, mix, powers
-
 LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
 #: The code points of Unicode's White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -60,16 +58,6 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate(([0], np.cumsum(sizes)))
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end]."""
-    n = len(data) + 1
-    up, down = powers(n)
-    p = np.zeros(n, U64)
-    v = (data.astype(U64) + U64(1)) * U64(0xD6E8FEB86659FD93)
-    np.cumsum((v ^ (v >> U64(32))) * up[:-1], dtype=U64, out=p[1:])
-    return mix((p[end] - p[start]) * down[start] + (end - start).astype(U64))
-
-
 def pieces(data: np.ndarray, offset: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the pieces, in order.
 

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ SAMPLE = 6000
 SMOOTH, COST, PASSES = 1.0, 1.0, 12
 #: Features whose counts are summed in one task.
 _RANGE = 1 << 14
+#: Partitions' counts that one task sums.
+FAN_IN = 64
 
 
 def features(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +161,7 @@ def neutral() -> Model:
 
 
 def _gather(fraction: float):
-    """Counts by range of n-grams and label, numbers of rows (range -2), and the n-grams of sampled rows (range -1)."""
+    """Counts by range of n-grams, label and partition (key), numbers of rows (range -2), and the n-grams of sampled rows (range -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
@@ -185,7 +188,8 @@ def _gather(fraction: float):
         yield batch_of([-2, -2], [0, 1], rows.tolist(), [b"", b""])
         for r in range((1 << BITS) // _RANGE):
             part = counts[:, r * _RANGE : (r + 1) * _RANGE]
-            yield batch_of([r, r], [0, 1], [0, 0], [part[0].tobytes(), part[1].tobytes()])
+            here = TaskContext.get().partitionId()
+            yield batch_of([r, r], [0, 1], [here, here], [part[0].tobytes(), part[1].tobytes()])
 
     return run
 
@@ -195,7 +199,16 @@ def _sum_counts(table: pa.Table) -> pa.Table:
     for chunk in table.column("payload").chunks:
         for x in chunk:
             whole += np.frombuffer(x.as_py(), np.int64)
-    return pa.table({"range": table.column("range").slice(0, 1), "label": table.column("label").slice(0, 1), "payload": pa.array([whole.tobytes()], pa.binary())})
+    return pa.table({c: table.column(c).slice(0, 1) for c in ("range", "label", "key")} | {"payload": pa.array([whole.tobytes()], pa.binary())})
+
+
+def _summed(counts: DataFrame, parts: int) -> DataFrame:
+    """Counts of all ``parts`` partitions together; no task sums more than FAN_IN of them at once."""
+    kind = "range int, label int, key long, payload binary"
+    while parts > 1:
+        counts = counts.withColumn("key", F.floor(F.col("key") / FAN_IN)).groupBy("range", "label", "key").applyInArrow(_sum_counts, kind)
+        parts = -(-parts // FAN_IN)
+    return counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality") -> Model:
@@ -210,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     n = {r["label"]: r["n"] for r in found.filter("range = -2").groupBy("label").agg(F.sum("key").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return neutral()
-    summed = found.filter("range >= 0").groupBy("range", "label").applyInArrow(_sum_counts, "range int, label int, payload binary")
+    summed = _summed(found.filter("range >= 0"), 1 + found.filter("range >= 0").agg(F.max("key")).first()[0])
     counts = np.zeros((2, 1 << BITS), np.int64)
     for r in summed.collect():  # a fixed number of rows, two for each range of n-grams
         counts[r["label"], r["range"] * _RANGE : (r["range"] + 1) * _RANGE] = np.frombuffer(r["payload"], np.int64)

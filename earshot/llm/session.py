@@ -7,7 +7,6 @@ then costs a re-read, never a recomputation of the whole job.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -16,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
+    """The folder that driver and executors share; where the session names none, a local master gets a temporary one and a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="earshot-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -43,14 +44,13 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no plan refers to any more, instead of when the driver happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts may be long: keep the Arrow batches that Python workers hold small."""
+    """Texts may be long: keep the Arrow batches that Python workers hold small.
+
+    Spark has this bound for a session only, so it stays set for what runs
+    later; every operator of this subpackage sets the same.  A batch is also
+    bounded in bytes, by spark.sql.execution.arrow.maxBytesPerBatch.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

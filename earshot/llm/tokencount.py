@@ -6,7 +6,9 @@ one token may follow another is decided by undoing their merges across the
 border.  So the count at a prefix is one more than at a shorter prefix, and a
 table of counts answers truncation and budget questions without encoding again.
 Counts come in two kinds: ``inside`` (the piece goes on) and ``closed`` (the
-text ends here, so the last token carries the word end).
+text ends here, so the last token carries the word end).  Short pieces are
+rows of one table; on a long one an automaton names the tokens that end at each
+place, and the same programme walks along it.
 
 Defined cases: a null or empty text counts 0; texts of any length are counted
 whole; texts with special strings, and the parts between ASCII words that aren't
@@ -18,7 +20,7 @@ result; other columns of ``docs`` are not read, so their names can't clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,10 @@ from .session import documents, small_batches
 from .vectext import BYTE_VALUE, U64, IdCache, powers, prefix_hash, ragged
 
 _CELLS = 1 << 20
+#: Longer pieces are walked along one by one.
+_ROW = 512
+#: Answers of the walk that are remembered.
+_KNOWN = 1 << 20
 #: Larger blocks than elsewhere: the more unknown pieces meet, the less a step of the tables costs each.
 CHARS = 1 << 21
 
@@ -56,6 +62,8 @@ class PrefixCounter:
         _, down = powers(len(p))
         h = (p[v.begin + v.size] - p[v.begin]) * down[v.begin]
         inner, final = ids[~ends[ids]], ids[ends[ids]]
+        self.kinds = inner.tolist(), final.tolist()
+        self.known: dict[int, bool] = {}
         self.inner, self.final = _Spans(h[inner], inner), _Spans(h[final], final)
 
     def follows(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -79,6 +87,63 @@ class PrefixCounter:
             at, a, b, limit = (x[keep] for x in (at, a, b, limit))
         return out
 
+    @cached_property
+    def automata(self) -> tuple:
+        """Automata of the tokens inside a word and of those that end one, and the pairs that merge."""
+        import ahocorasick
+
+        out = []
+        for kind in self.kinds:
+            one = ahocorasick.Automaton()
+            for k in kind:
+                one.add_word(self.vocabulary.tokens[k].decode("latin-1"), k)
+            one.make_automaton()
+            out.append(one)
+        return *out, {(a << 32) | b: c for a, b, c in self.vocabulary.pair_ids.tolist()}, self.left.tolist(), self.right.tolist()
+
+    def follows_one(self, a: int, b: int) -> bool:
+        """``follows`` for one pair."""
+        key = (a << 32) | b
+        if (known := self.known.get(key)) is not None:
+            return known
+        if len(self.known) >= _KNOWN:
+            self.known.clear()
+        _, _, pairs, left, right = self.automata
+        limit, good = 1 << 40, True
+        while True:
+            joined = pairs.get((a << 32) | b)
+            if joined is not None and joined < limit:
+                good = False
+                break
+            if right[a] != a and (a > b or left[b] == b):
+                limit, a = a, right[a]
+            elif left[b] != b:
+                limit, b = b + 1, left[b]
+            else:
+                break
+        self.known[key] = good
+        return good
+
+    def walk(self, piece: bytes, every: bool) -> tuple[np.ndarray, np.ndarray]:
+        """``table`` for one piece of any length."""
+        inner, final, *_ = self.automata
+        text, n, size = piece.decode("latin-1"), len(piece), self.vocabulary.size.tolist()
+        last, inside, closed = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        follows, done = self.follows_one, -1
+        for at, token in inner.iter(text):
+            if at != done:
+                j = at + 1 - size[token]
+                if j == 0 or follows(last[j], token):
+                    last[at + 1], inside[at + 1], done = token, inside[j] + 1, at
+        done = -1
+        from_ = 0 if every else max(0, n - self.longest)
+        for at, token in final.iter(text, from_):
+            if at != done and (every or at == n - 1):
+                j = at + 1 - size[token]
+                if j == 0 or follows(last[j], token):
+                    closed[at + 1], done = inside[j] + 1, at
+        return np.array(inside), np.array(closed)
+
     def table(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
         """Counts inside and closed at each prefix of pieces data[begin : begin + size]; not ``every``: closed at the end only."""
         n, w = len(begin), int(size.max())
@@ -113,7 +178,10 @@ class PrefixCounter:
     def counts(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Tokens of whole pieces."""
         out = np.zeros(len(begin), np.int64)
-        order = np.argsort(size, kind="stable")
+        for k in np.flatnonzero(size > _ROW).tolist():
+            out[k] = self.walk(data[begin[k] : begin[k] + size[k]].tobytes(), every=False)[1][-1]
+        order = np.flatnonzero(size <= _ROW)
+        order = order[np.argsort(size[order], kind="stable")]
         k = 0
         while k < len(order):
             w = int(size[order[k]])
@@ -152,13 +220,10 @@ def count_texts(texts: list[str], path: str) -> np.ndarray:
 
     def fresh(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = counter(path).counts(*block.raw(which))
-        return np.stack((n & 0xFFFF, n >> 16), axis=1).astype(np.uint16).ravel(), np.full(len(n), 2)
+        return n.astype(np.uint32), np.ones(len(n), np.int64)
 
-    known = cached_counts(path)
-    number = known.resolve(block.hash, fresh)
-    at = known.begin[number]
-    upto = np.concatenate(([0], np.cumsum(known.pool[at].astype(np.int64) + (known.pool[at + 1].astype(np.int64) << 16))))
-    out = np.diff(upto[block.first])
+    n, _ = cached_counts(path).resolve(block.spans, fresh)
+    out = np.diff(np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[block.first])
     for i in block.odd.tolist():
         parts = cut(texts[i], False, path)
         out[i] = count_texts(parts, path).sum() if len(parts) > 1 else len(word_library(path).encode(texts[i], add_special_tokens=False).ids)
@@ -175,9 +240,9 @@ def prefix_counts(text: str, path: str) -> np.ndarray:
     done, at = 0, 0
     for s, e, b, k in zip(block.start.tolist(), block.end.tolist(), begin.tolist(), size.tolist()):
         out[at : s + 1] = done
-        _, closed = counter(path).table(raw, np.array([b]), np.array([k]), every=True)
+        closed = counter(path).walk(raw[b : b + k].tobytes(), every=True)[1]
         wide = np.cumsum([len(chr(c).encode()) for c in block.data[s:e].tolist()])
-        out[s + 1 : e + 1] = done + closed[0, wide]
+        out[s + 1 : e + 1] = done + closed[wide]
         if e - s == 3 and block.data[s] == 39:  # cut before its last letter, the contraction is two pieces
             out[s + 2] = done + 2
         done, at = int(out[e]), e

@@ -35,8 +35,8 @@ from .vectext import ragged
 MAGIC = b"EBP1"
 #: Ids in a block; ids after which a segment ends.
 BLOCK_IDS, SEGMENT_IDS = 1 << 16, 1 << 20
-#: Stands for a null doc_id in files; it sorts first, as null does.
-NO_ID = -(1 << 63)
+#: Bytes of text in one range of doc_ids.
+RANGE_BYTES = 64 << 20
 _HEAD = struct.Struct("<4sBBIQQI")  # magic, bytes an id, planes a block, ids a block, ids, documents, blocks
 
 
@@ -58,13 +58,14 @@ def from_planes(planes: list[bytes], n: int, width: int, bits: bool) -> np.ndarr
     return np.ascontiguousarray(table).view(f"<u{width}").ravel()
 
 
-def pack(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, bits: bool = False, block: int = BLOCK_IDS) -> bytes:
-    """A segment of documents whose ids stand one after the other."""
+def pack(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, bits: bool = False, block: int = BLOCK_IDS, missing: np.ndarray | None = None) -> bytes:
+    """A segment of documents whose ids stand one after the other; ``missing`` marks those without doc_id."""
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     ids = ids.astype(f"<u{width}")
     z = zstandard.ZstdCompressor(level=3)
     chunks = [z.compress(p) for k in range(0, len(ids), block) for p in to_planes(ids[k : k + block], bits)]
-    directory = z.compress(doc_ids.astype("<i8").tobytes() + counts.astype("<i8").tobytes())
+    missing = np.zeros(len(doc_ids), bool) if missing is None else missing
+    directory = z.compress(doc_ids.astype("<i8").tobytes() + counts.astype("<i8").tobytes() + np.packbits(missing).tobytes())
     planes = width * (8 if bits else 1)
     head = _HEAD.pack(MAGIC, width, planes, block, len(ids), len(doc_ids), len(chunks) // planes)
     index = np.fromiter(map(len, [*chunks, directory]), "<u4", len(chunks) + 1)
@@ -88,9 +89,14 @@ class Segment:
 
     def documents(self) -> tuple[np.ndarray, np.ndarray]:
         """doc_id and number of ids of each document, in order."""
-        both = np.frombuffer(self._chunk(len(self.at) - 2), "<i8")
+        both = np.frombuffer(self._chunk(len(self.at) - 2), "<i8", 2 * self.n_docs)
         return both[: self.n_docs], both[self.n_docs :]
 
+    def missing(self) -> np.ndarray:
+        """Which documents have no doc_id."""
+        bits = np.frombuffer(self._chunk(len(self.at) - 2), np.uint8, offset=16 * self.n_docs)
+        return np.unpackbits(bits, count=self.n_docs).astype(bool)
+
     def read(self, start: int = 0, count: int | None = None) -> np.ndarray:
         """Ids start to start + count; only the blocks that hold them are decompressed."""
         stop = self.n_ids if count is None else min(self.n_ids, start + count)
@@ -124,15 +130,15 @@ def write_ids(docs: DataFrame, path: str, end_id: int, to: str | None = None, bi
     to = to or f"{shared_dir(spark)}/earshot-ids-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, held, docs_, counts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, place, held, docs_, counts, lacks, size = TaskContext.get().partitionId(), 0, [], [], [], [], 0
 
         def segment() -> pa.RecordBatch:
             all_docs, all_counts = np.concatenate(docs_), np.concatenate(counts)
-            payload = pack(np.concatenate(held), all_docs, all_counts, bits)
+            payload = pack(np.concatenate(held), all_docs, all_counts, bits, missing=np.concatenate(lacks))
             return pa.RecordBatch.from_pylist([{"part": part, "place": place, "n_docs": len(all_docs), "n_ids": size, "payload": payload}], schema=pa.schema([("part", pa.int32()), ("place", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())]))
 
         for batch in batches:
-            texts, doc = batch.column("text").to_pylist(), batch.column("doc_id").fill_null(NO_ID).to_numpy()
+            texts, doc, lack = batch.column("text").to_pylist(), batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_null().to_numpy(False)
             for k, some in char_blocks(texts):
                 ids, n = ids_of(some, path)
                 whole = np.full(len(ids) + len(n), end_id, np.uint32)
@@ -140,15 +146,20 @@ def write_ids(docs: DataFrame, path: str, end_id: int, to: str | None = None, bi
                 whole[ragged(begin, n)] = ids
                 held.append(whole)
                 docs_.append(doc[k : k + len(some)])
+                lacks.append(lack[k : k + len(some)])
                 counts.append(n + 1)
                 size += len(whole)
                 if size >= SEGMENT_IDS:
                     yield segment()
-                    place, held, docs_, counts, size = place + 1, [], [], [], 0
+                    place, held, docs_, counts, lacks, size = place + 1, [], [], [], [], 0
         if held:
             yield segment()
 
-    ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = documents(docs)
+    ranges = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
+    # The row's place breaks ties, so that a doc_id that very many rows repeat is dealt over ranges too.
+    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(ranges, "doc_id", "_row").sortWithinPartitions("doc_id", "_row").drop("_row")
     ordered.mapInArrow(run, SEGMENTS).write.parquet(to)
     return to
 
@@ -164,6 +175,7 @@ def read_ids(spark: SparkSession, at: str) -> DataFrame:
             for part, place, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "place", "payload"))):
                 s = Segment(payload)
                 doc, n = s.documents()
+                lack = s.missing()
                 upto = np.concatenate(([0], np.cumsum(n)))
                 ids = s.read().astype("<u4")
                 step = 2048
@@ -171,7 +183,7 @@ def read_ids(spark: SparkSession, at: str) -> DataFrame:
                     some = upto[k : k + step + 1]
                     m = len(some) - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, place, np.int32)), pa.array(doc[k : k + step]), pa.array(some[:-1]), pa.array(n[k : k + step]), binaries(ids[some[0] : some[-1]].view(np.uint8), 4 * (some - some[0]))],
+                        [pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, place, np.int32)), pa.array(doc[k : k + step], mask=lack[k : k + step]), pa.array(some[:-1]), pa.array(n[k : k + step]), binaries(ids[some[0] : some[-1]].view(np.uint8), 4 * (some - some[0]))],
                         names=["part", "place", "doc_id", "within", "n_tokens", "ids"],
                     )
 
@@ -181,4 +193,4 @@ def read_ids(spark: SparkSession, at: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("whole"))  # one row for each written part
     parts = parts.select("part", (F.sum("whole").over(Window.orderBy("part")) - F.col("whole")).alias("ahead"))
     base = before.join(parts, "part").select("part", "place", (F.col("ahead") + F.col("here")).alias("base"))
-    return found.join(base, ["part", "place"]).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+    return found.join(base, ["part", "place"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")

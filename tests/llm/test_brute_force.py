@@ -54,16 +54,68 @@ def test_decode_is_the_inverse(spark):
     assert {r["doc_id"]: bytes(r["decoded"]) for r in out} == {i: t.encode() for i, t in enumerate(texts)}
 
 
-def test_cache_starts_anew_when_full():
-    from earshot.llm.vectext import IdCache
+def spans_of(texts):
+    from earshot.llm.vectext import Spans
 
-    cache = IdCache(most=50)
-    rng = np.random.default_rng(0)
+    size = np.array([len(t) for t in texts])
+    return Spans(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size)
+
+
+@pytest.mark.parametrize("bits", [64, 6, 0])
+def test_cache_compares_bytes_and_starts_anew(monkeypatch, bits):
+    """Also where very many strings share a hash."""
+    from earshot.llm.vectext import IdCache, Spans
+
+    whole = Spans.hashes
+    monkeypatch.setattr(Spans, "hashes", lambda self, seed=0: whole(self, seed) & np.uint64(2**bits - 1))
+    cache, rng = IdCache(most=50), random.Random(0)
     for _ in range(30):
-        h = rng.integers(1, 200, 100).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        make = lambda which, h=h: ((h[which] >> np.uint64(50)).astype(np.uint16), np.ones(len(which), np.int64))
-        ids, n = cache.ids(cache.resolve(h, make))
-        assert (n == 1).all() and (ids == (h >> np.uint64(50)).astype(np.uint16)).all()
+        texts = [bytes(rng.choices(b"abc", k=rng.choice((0, 1, 2, 3, 9, 17, 200)))) for _ in range(100)]
+        make = lambda which, t=texts: (np.concatenate([np.frombuffer(t[i], np.uint8) for i in which] or [np.zeros(0, np.uint8)]).astype(np.uint32), np.array([len(t[i]) for i in which], np.int64))
+        ids, n = cache.resolve(spans_of(texts), make)
+        assert n.tolist() == [len(t) for t in texts] and bytes(ids.astype(np.uint8)) == b"".join(texts)
+
+
+def thue_morse(n):
+    """A text and its complement that every polynomial hash modulo a power of two takes for equal."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return [t, t.translate(str.maketrans("ab", "ba"))]
+
+
+LONG = {
+    "thue-morse": thue_morse(4096), "run": ["=" * 5000], "period": ["abc" * 3000, "abcabcd" * 1500], "wide": ["日本" * 2000, "😂" * 1000],
+    "letters": ["".join(random.Random(4).choices("etaoinshrdlu", k=k)) for k in (511, 513, 2049, 9001)], "tokens": ["".join(random.Random(5).choices(["the", "ing", "tion", "un"], k=4000))],
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_pieces_equal_the_library(kind):
+    lib, ranks = encode.word_library(WORD), encode.rank_library(BYTES, queries.byte_pattern())
+    for t in LONG[kind]:
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert encode.ids_of([t], WORD)[0].tolist() == want and tokencount.count_texts([t], WORD)[0] == len(want)
+        assert encode.ids_of([t], BYTES, queries.byte_pattern())[0].tolist() == ranks.encode_ordinary(t)
+    both = encode.ids_of(LONG[kind], BYTES, queries.byte_pattern())[0]
+    assert bpe.rank_file(BYTES).decode(both).tobytes() == "".join(LONG[kind]).encode()
+
+
+def test_a_megabyte_without_spaces_takes_seconds():
+    import time
+
+    text = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20))
+    began = time.time()
+    ids = encode.ids_of([text], BYTES, queries.byte_pattern())[0]
+    n = tokencount.count_texts([text], WORD)[0]
+    assert time.time() - began < 60  # a few seconds on an idle machine
+    assert bpe.rank_file(BYTES).decode(ids).tobytes() == text.encode()
+    assert n == len(encode.word_library(WORD).encode(text, add_special_tokens=False).ids)
+
+
+def test_shingles_of_thue_morse_texts_differ():
+    values, upto = minhash.shingle_sets([t.encode() for t in thue_morse(4096)])
+    assert upto.tolist() == [0, 1, 2] and values[0] != values[1]
 
 
 @pytest.mark.parametrize("bits", [False, True])
