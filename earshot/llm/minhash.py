@@ -2,19 +2,24 @@
 
 Every permutation gives two signature values, its minimum and its maximum over
 a document's shingle hashes, so half the hash evaluations are enough; values
-are banded in fours.  Documents with equal sets are one node.  In each bucket
-of a band all members are compared with one hub, the member whose buckets are
-largest, since that is the text most of a family derives from; documents with
-too many shingles of their own to link at all are set aside before; what the
-hubs leave apart is compared between different components by prefix filtering,
-rarest shingles first.  Each link is confirmed on whole sets.
+are banded in fours.  Documents with equal sets are one node.  Texts move once:
+those of nodes that share a bucket become a table that all later steps read.
+Nodes with too many shingles of their own to link at all are set aside.  In
+each bucket all members are compared with one hub, the member whose buckets are
+largest, since that is the text most of a family derives from.  What the hubs
+leave apart is compared by classes: shingles that exactly the same nodes have
+are one class with a weight, and sets become short lists of classes.  Prefix
+filtering, rarest classes first, brings lists together; their overlaps are
+products of blocks, and a block leaves a forest of its links, so a family of
+loose copies gives no rows for its pairs.  Each link is confirmed on whole sets
+by 128-bit digests of its shingles.
 
 Defined cases: texts with fewer words than a shingle have one shingle, the
 whole sequence; null texts, and texts without words, have none, link with
 nothing and stay; texts of any length count whole; rows that repeat a doc_id
-are one node; a row without doc_id
-links with nothing and stays; an empty table gives an empty result; other columns
-are not read, so their names can't clash.
+are nodes by their sets, and share a fate only where their texts are equal; a
+row without doc_id links with nothing and stays; an empty table gives an empty
+result; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import binaries
@@ -37,8 +42,8 @@ PERCENT = 85
 PERMUTATIONS, ROWS = 48, 4
 #: Members that are compared with a hub in one task.
 TASK_MEMBERS = 256
-#: Rounds of hubs before what is left is compared outright.
-HUB_ROUNDS = 1
+#: Nodes of a block that is multiplied with another one, and classes at a time.
+BLOCK, CLASSES = 512, 4096
 
 _rng = np.random.default_rng(5)
 _MULTIPLY = _rng.integers(1, 2**64, PERMUTATIONS, dtype=np.uint64) | U64(1)
@@ -46,26 +51,40 @@ _ADD = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
 _PLACE = _rng.integers(1, 2**64, 64, dtype=np.uint64) | U64(1)
 
 
-def shingle_sets(block: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text in turn, and where each text's begin."""
+def shingle_sets(block: list[bytes], width: int = SHINGLE, checks: bool = False) -> tuple[np.ndarray, ...]:
+    """Sorted distinct shingle hashes of each text in turn, and where each text's begin; ``checks``: also other hashes of the same shingles."""
     words = Words(block, lower=True)
-    h = words.hashes()
     n = np.diff(words.first)
-    at = np.zeros(max(len(h) - width + 1, 0), U64)
-    for k in range(width if len(at) else 0):
-        at += h[k : len(h) - width + 1 + k] * _PLACE[k]
-    at = mix(at + U64(width))
-    sets, upto = [], np.zeros(len(block) + 1, np.int64)
+
+    def hashes(seed: int) -> tuple[np.ndarray, np.ndarray]:
+        h = words.hashes(seed)
+        at = np.zeros(max(len(h) - width + 1, 0), U64)
+        for k in range(width if len(at) else 0):
+            at = mix(at + h[k : len(h) - width + 1 + k] + _PLACE[k])
+        return h, at
+
+    def short(h: np.ndarray) -> np.ndarray:
+        out = np.zeros(1, U64)
+        for k in range(len(h)):
+            out = mix(out + h[k] + _PLACE[width + k])
+        return out
+
+    both = [hashes(seed) for seed in range(1 + checks)]
+    sets, more, upto = [], [], np.zeros(len(block) + 1, np.int64)
     for i, (first, many) in enumerate(zip(words.first.tolist(), n.tolist())):
         if many >= width:
-            one = np.unique(at[first : first + many - width + 1])
+            here = slice(first, first + many - width + 1)
+            one, where = np.unique(both[0][1][here], return_index=True) if checks else (np.unique(both[0][1][here]), None)
+            other = both[1][1][here][where] if checks else None
         elif many:
-            one = mix((h[first : first + many] * _PLACE[:many]).sum(keepdims=True, dtype=U64) + U64(many))
+            one, *rest = (short(h[first : first + many]) for h, _ in both)
+            other = rest[0] if rest else None
         else:
-            one = at[:0]
+            one = other = both[0][1][:0]
         sets.append(one)
+        more.append(other)
         upto[i + 1] = upto[i] + len(one)
-    return np.concatenate(sets), upto
+    return (np.concatenate(sets), upto, np.concatenate(more)) if checks else (np.concatenate(sets), upto)
 
 
 def signatures(values: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -79,11 +98,11 @@ def signatures(values: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, n_shingles long, set1 long, set2 long, bands binary"
+SIGNED = "doc_id long, text string, n_shingles long, set1 long, set2 long, bands binary"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, a 128-bit digest of the set, and a 64-bit hash for each band."""
+    """Per row: doc_id, text, n_shingles, a 128-bit digest of the set, and a 64-bit hash for each band."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +122,8 @@ def signed(docs: DataFrame) -> DataFrame:
                     for k in range(2):
                         key[k, full] = mix(np.add.reduceat(mix(values + U64(11 + k)), begin) + n[full].astype(U64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(block)), pa.array(n), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), binaries(sig.view(np.uint8).ravel(), np.arange(len(block) + 1) * 8 * bands)],
-                    names=["doc_id", "n_shingles", "set1", "set2", "bands"],
+                    [batch.column(c).slice(at, len(block)) for c in ("doc_id", "text")] + [pa.array(n), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), binaries(sig.view(np.uint8).ravel(), np.arange(len(block) + 1) * 8 * bands)],
+                    names=["doc_id", "text", "n_shingles", "set1", "set2", "bands"],
                 )
                 at += len(block)
 
@@ -123,103 +142,175 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "bands").mapInArrow(run, "node long, n long, bucket long")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, ..., text) of the wanted documents; a doc_id that repeats has one of its texts."""
-    return join_even(documents(docs), wanted, ["doc_id"])
+def _blocks(batch: pa.RecordBatch, **options: bool) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
+    """Shingle sets of the texts of a batch: the number of the first text, how many, and what ``shingle_sets`` gives."""
+    at = 0
+    for block in blocks(t.encode() for t in batch.column("text").to_pylist()):
+        yield at, len(block), shingle_sets(block, **options)
+        at += len(block)
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (hub, member) of distinct documents whose sets are near enough.
+def _confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (hub, member) of nodes whose sets are near enough, as (a, b); ``texts`` has node and text.
 
     A hub's members are dealt out over groups of bounded size, each of which
     gets the hub's set too.
     """
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("many"))
     dealt = join_even(pairs, sizes, ["hub"])
-    dealt = dealt.select("hub", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("many") / TASK_MEMBERS)).alias("group"))
-    dealt = materialize(dealt, "dealt")
-    wanted = dealt.select(F.col("member").alias("doc_id"), "hub", "group").union(dealt.select(F.col("hub").alias("doc_id"), "hub", "group").distinct())
+    dealt = materialize(dealt.select("hub", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("many") / TASK_MEMBERS)).alias("group")), "dealt")
+    wanted = dealt.select(F.col("member").alias("node"), "hub", "group").union(dealt.select(F.col("hub").alias("node"), "hub", "group").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for block in blocks(t.encode() for t in batch.column("text").to_pylist()):
-                values, upto = shingle_sets(block)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, len(block)) for c in ("doc_id", "hub", "group")] + [binaries(values.view(np.uint8), 8 * upto)], names=["doc_id", "hub", "group", "shingles"])
-                at += len(block)
+            for at, many, (values, upto, checks) in _blocks(batch, checks=True):
+                both = [binaries(v.view(np.uint8), 8 * upto) for v in (values, checks)]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, many) for c in ("node", "hub", "group")] + both, names=["node", "hub", "group", "shingles", "checks"])
 
     def compare(table: pa.Table) -> pa.Table:
-        hub = table.column("hub")[0].as_py()
-        docs_, held = table.column("doc_id").to_pylist(), table.column("shingles")
-        own = np.frombuffer(held[docs_.index(hub)].as_py(), U64)
+        hub, nodes = table.column("hub")[0].as_py(), table.column("node").to_pylist()
+        get = lambda i: (np.frombuffer(table.column(c)[i].as_py(), U64) for c in ("shingles", "checks"))
+        own, own_check = get(nodes.index(hub))
         good = []
-        for i, d in enumerate(docs_):
+        for i, d in enumerate(nodes):
             if d != hub:
-                other = np.frombuffer(held[i].as_py(), U64)
+                other, check = get(i)
                 at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                both = int((own[at] == other).sum())
+                both = int(((own[at] == other) & (own_check[at] == check)).sum())
                 if 100 * both >= percent * (len(own) + len(other) - both):
                     good.append(d)
         return pa.table({"a": pa.array([hub] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
-    found = _texts_of(docs, wanted).mapInArrow(sets, "doc_id long, hub long, group long, shingles binary")
-    found = found.groupBy("hub", "group").applyInArrow(compare, "a long, b long")
-    return materialize(found.distinct(), "confirmed")
+    found = join_even(texts, wanted, ["node"]).select("node", "hub", "group", "text").mapInArrow(sets, "node long, hub long, group long, shingles binary, checks binary")
+    return materialize(found.groupBy("hub", "group").applyInArrow(compare, "a long, b long"), "confirmed")
 
 
-def _shingle_rows(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingle) of the nodes' texts."""
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """(node, shingle) of the texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for block in blocks(t.encode() for t in batch.column("text").to_pylist()):
-                values, upto = shingle_sets(block)
-                owner = np.repeat(batch.column("doc_id").slice(at, len(block)).to_numpy(), np.diff(upto))
+            for at, many, (values, upto) in _blocks(batch):
+                owner = np.repeat(batch.column("node").slice(at, many).to_numpy(), np.diff(upto))
                 for k in range(0, len(values), 1 << 16):
                     part = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(owner[part]), pa.array(values.view(np.int64)[part])], names=["node", "shingle"])
-                at += len(block)
 
-    return _texts_of(docs, nodes.select(F.col("node").alias("doc_id"))).select("doc_id", "text").mapInArrow(run, "node long, shingle long")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingle long")
 
 
-def _worth_it(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of the nodes (node, n) that may link at all.
+def _worth_it(texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the nodes (node, n, text) that may link at all.
 
     Shingles that no other of these nodes has can't be in an intersection.  A
     node that has too many of them is below the threshold with every other one,
     so it needs no comparison.
     """
-    each = _shingle_rows(docs, nodes)
-    lone = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    lone = _shingle_rows(texts).groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("lone"))
     left = F.col("n") - F.coalesce("lone", F.lit(0))
-    return join_even(nodes, lone, ["node"], "left").filter(left * 100 >= F.col("n") * percent).select("node")
+    return join_even(texts.select("node", "n"), lone, ["node"], "left").filter(left * 100 >= F.col("n") * percent).select("node")
+
 
+def _classed(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Per node of ``nodes`` (node, n, component) that may link with one of another component: its prefix and its whole list of classes.
 
-def _rest_pairs(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, hub_n, member, n) of nodes (node, n, component) in different components that may still link.
+    A class is all shingles that exactly the same nodes have; it is named by
+    their number and 128 bits of their hashes.  Shingles of one component alone
+    are in no intersection that matters.
+    """
+    each = _shingle_rows(join_even(texts, nodes.select("node"), ["node"]))
+    each = materialize(join_even(each, nodes.select("node", "component"), ["node"]), "shingles")
+    names = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)]
+    kinds = each.groupBy("shingle").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high"), *names).filter("low <> high")
+    kinds = kinds.select("shingle", "many", F.xxhash64("many", "x1", "x2").alias("class"))
+    weights = join_even(each.drop("component"), kinds, ["shingle"]).groupBy("node", "many", "class").agg(F.count("*").alias("weight"))
+    lists = weights.groupBy("node").agg(F.sum("weight").alias("whole"), F.array_sort(F.collect_list(F.struct("many", "class", "weight"))).alias("list"))  # a node's own shingles at most
+    rows = join_even(nodes, lists, ["node"]).filter(F.col("whole") * 100 >= F.col("n") * percent)
 
-    Prefix filtering: with shingles ordered from the rarest on, two sets above
-    the threshold share one of their first few, and enough can follow it.  Of
-    the nodes that share a shingle, those outside the largest component are
-    compared with all others, so members of one component never meet.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, weights = batch.column("classes"), batch.column("weights")
+            prefix = []
+            for i, (n, whole) in enumerate(zip(batch.column("n").to_pylist(), batch.column("whole").to_pylist())):
+                # Another set near enough shares at least n * percent / 100 shingles, so one of the first classes.
+                left = whole - np.concatenate(([0], np.cumsum(weights[i].values.to_numpy())[:-1]))
+                prefix.append(classes[i].values.to_numpy()[100 * left >= n * percent])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "n", "component")] + [pa.array(prefix, pa.list_(pa.int64())), classes, weights], names=["node", "n", "component", "prefix", "classes", "weights"])
+
+    rows = rows.select("node", "n", "component", "whole", F.col("list.class").alias("classes"), F.col("list.weight").alias("weights"))
+    return materialize(rows.mapInArrow(run, "node long, n long, component long, prefix array<long>, classes array<long>, weights array<long>"), "classes")
+
+
+def forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a symmetric link matrix that keep its components: nodes and the neighbour that each hangs on."""
+    seen = ~good.any(axis=1)
+    nodes, parents = [], []
+    for k in range(len(good)):
+        if seen[k]:
+            continue
+        seen[k], edge = True, np.array([k])
+        while len(edge):
+            new = np.flatnonzero(good[edge].any(axis=0) & ~seen)
+            seen[new] = True
+            nodes.append(new)
+            parents.append(edge[good[np.ix_(edge, new)].argmax(axis=0)] if len(new) else new)
+            edge = new
+    return (np.concatenate(nodes), np.concatenate(parents)) if nodes else (np.zeros(0, np.int64),) * 2
+
+
+def _rest_pairs(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, member) of nodes (node, n, component) in different components, so that links between them reach as far as all of theirs do.
+
+    Of the nodes that share a prefix class, those outside the largest component
+    (left) are compared with all others (right), so members of one component
+    never meet.  Both are dealt into blocks, and each left block meets each right one.
     """
-    sizes = nodes.groupBy("component").agg(F.count("*").alias("size"))
-    nodes = materialize(join_even(nodes, sizes, ["component"]), "rest")
-    each = _shingle_rows(docs, nodes).distinct()
-    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
-    ranked = join_even(each, often, ["shingle"]).withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")))
-    n = F.col("n")
-    first = n - F.ceil(n * percent / 100) + 1
-    prefix = materialize(join_even(ranked, nodes, ["node"]).filter(F.col("place") <= first).select("shingle", "place", "node", "n", "component", "size"), "prefix")
-    mixed = prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("size", "component")).alias("main")).filter("low <> high")
-    inside = materialize(join_even(prefix, mixed.select("shingle", "main"), ["shingle"]).drop("size"), "prefix")
-    rest = inside.filter("component <> main").select("shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("other"), F.col("place").alias("at"))
-    apart = (F.col("component") < F.col("other")) | ((F.col("component") > F.col("other")) & (F.col("component") == F.col("main")))
-    follow = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("at")) + 1
-    enough = follow * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent
-    return join_even(inside, rest, ["shingle"]).filter(apart & near("n", "hub_n", percent) & enough).select("hub", "hub_n", F.col("node").alias("member"), "n")
+    lists = _classed(texts, nodes, percent)
+    prefix = lists.select("node", "component", F.explode("prefix").alias("class"))
+    per = prefix.groupBy("class", "component").agg(F.count("*").alias("c"))
+    per = per.groupBy("class").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("rights"), F.max("c").alias("most"), F.count("*").alias("several")).filter("several > 1")
+    blocks_ = lambda c: F.ceil(c / BLOCK).cast("int")
+    per = per.select("class", "main", blocks_(F.col("rights")).alias("nr"), blocks_(F.col("rights") - F.col("most")).alias("nl"))
+    met = join_even(prefix, per, ["class"])
+
+    def dealt(mine: str, others: str, left: bool) -> DataFrame:
+        rows = met.filter("component <> main") if left else met
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col(mine)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        l, r = ("own", "other") if left else ("other", "own")
+        return rows.select("class", "node", F.col(l).alias("l"), F.col(r).alias("r"), F.lit(left).alias("left"), "main")
+
+    placed = join_even(dealt("nl", "nr", True).union(dealt("nr", "nl", False)), lists.drop("prefix").withColumnRenamed("classes", "list"), ["node"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        main = table.column("main")[0].as_py()
+        is_left = table.column("left").to_numpy(zero_copy_only=False)
+        node, n, component = (table.column(c).to_numpy() for c in ("node", "n", "component"))
+        lists_, weights = (table.column(c).combine_chunks() for c in ("list", "weights"))
+        keys, weight, size = lists_.flatten().to_numpy(), weights.flatten().to_numpy(), np.diff(lists_.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(node)), size)
+        a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        place = np.empty(len(node), np.int64)
+        place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+        known, at = np.unique(keys, return_inverse=True)
+        sides = [np.bincount(at[is_left[owner] == side], minlength=len(known)) > 0 for side in (True, False)]
+        column = np.where(sides[0] & sides[1], np.cumsum(sides[0] & sides[1]) - 1, -1)[at]  # classes that both sides have
+        both = np.zeros((len(a), len(b)))
+        for k in range(0, int(column.max(initial=-1)) + 1, CLASSES):
+            some = (column >= k) & (column < k + CLASSES)
+            x, y = np.zeros((len(a), CLASSES), np.float32), np.zeros((len(b), CLASSES), np.float32)
+            for matrix, side, value in ((x, True, weight), (y, False, np.ones(len(keys)))):
+                w = np.flatnonzero(some & (is_left[owner] == side))
+                matrix[place[owner[w]], column[w] - k] = value[w]
+            both += x @ y.T
+        good = 100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)
+        good &= component[a][:, None] != component[b][None, :]
+        name, where = np.unique(node, return_inverse=True)  # a node may be on both sides
+        square = np.zeros((len(name), len(name)), bool)
+        square[np.ix_(where[a], where[b])] = good
+        one, other = forest(square | square.T)
+        return pa.table({"hub": pa.array(name[other], pa.int64()), "member": pa.array(name[one], pa.int64())})
+
+    return materialize(placed.groupBy("class", "l", "r").applyInArrow(compare, "hub long, member long").distinct(), "rest")
 
 
 def near(n: str, m: str, percent: int) -> F.Column:
@@ -227,71 +318,59 @@ def near(n: str, m: str, percent: int) -> F.Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a, b) between nodes (node, n, bands) so that components are those of all links."""
+def links(rows: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Confirmed links (a, b) between nodes (node, row, n, bands) so that components are those of all links; ``rows`` has row and text."""
     buckets = materialize(_buckets(nodes), "buckets")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
     shared = materialize(join_even(buckets, sizes, ["bucket"]).select("bucket", "node", "n"), "buckets")
-    discard(buckets)
-    able = materialize(_worth_it(docs, shared.select("node", "n").distinct(), percent), "able")
+    wanted = join_even(nodes.select("node", "row", "n"), shared.select("node").distinct(), ["node"])
+    texts = materialize(join_even(rows.select("row", "text"), wanted, ["row"]).select("node", "n", "text"), "texts")
+    able = materialize(_worth_it(texts, percent), "able")
     shared_ = materialize(join_even(shared, able, ["node"]), "buckets")
-    discard(shared)
     sizes = shared_.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
-    buckets_ = materialize(join_even(shared_, sizes, ["bucket"]), "buckets")
-    discard(shared_)
-    weight = buckets_.groupBy("node").agg(F.sum("many").alias("weight"))
-    live = materialize(join_even(buckets_.drop("many"), weight, ["node"]).withColumn("component", F.col("node")), "live")
-    discard(buckets_)
-    known: DataFrame | None = None
-    tried: DataFrame | None = None
-    for round_ in range(HUB_ROUNDS + 1):
-        mixed = live.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("node", "n", "component"), F.struct("weight", -F.col("node"))).alias("hub")).filter("low <> high")
-        mixed = materialize(mixed, "hubs")
-        if mixed.isEmpty():
-            break
-        if round_ < HUB_ROUNDS:
-            pairs = join_even(live, mixed.select("bucket", "hub"), ["bucket"]).filter("component <> hub.component").select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("node").alias("member"), "n")
-        else:
-            left = join_even(live, mixed.select("bucket"), ["bucket"]).select("node", "n", "component").distinct()
-            pairs = _rest_pairs(docs, left, percent)
-        pairs = pairs.filter(near("n", "hub_n", percent)).select(F.least("hub", "member").alias("x"), F.greatest("hub", "member").alias("y"), (F.col("hub") < F.col("member")).alias("first")).distinct()
-        pairs = pairs.groupBy("x", "y").agg(F.max("first").alias("first"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if round_ >= HUB_ROUNDS:
-                break
-            continue
-        hub = F.when(F.col("first"), F.col("x")).otherwise(F.col("y"))
-        good = _confirm(docs, pairs.select(hub.alias("hub"), F.when(F.col("first"), F.col("y")).otherwise(F.col("x")).alias("member")), percent)
-        known = good if known is None else known.union(good)
-        tried = pairs.select("x", "y") if tried is None else tried.union(pairs.select("x", "y"))
-        if round_ < HUB_ROUNDS:
-            # A component that gave a bucket its hub gives it none again; buckets of one component are done.
-            merged = materialize(components(known).withColumnRenamed("component", "_c"), "merged")
-            hubs = mixed.select("bucket", F.col("hub.node").alias("node")).join(merged, "node", "left").select("bucket", F.coalesce("_c", "node").alias("_h"))
-            joined = join_even(live.drop("component"), merged, ["node"], "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
-            joined = join_even(joined, hubs, ["bucket"]).withColumn("weight", F.when(F.col("component") == F.col("_h"), -1).otherwise(F.col("weight"))).drop("_h")
-            live, before = materialize(joined, "live"), live
-            discard(before)
-    empty = docs.sparkSession.createDataFrame([], "a long, b long")
-    return empty if known is None else known
+    live = materialize(join_even(shared_, sizes, ["bucket"]), "live")
+    discard(buckets, shared, shared_)
+    weight = live.groupBy("node").agg(F.sum("many").alias("weight"))
+    live = materialize(join_even(live.drop("many"), weight, ["node"]), "weighed")
+    hubs = live.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("hub"))
+    pairs = join_even(live, hubs, ["bucket"]).filter("node <> hub.node").select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("node").alias("member"), "n")
+    pairs = pairs.filter(near("n", "hub_n", percent)).select("hub", "member").distinct()
+    known = _confirm(texts, materialize(pairs, "pairs"), percent)
+    # What lies in one bucket but in several components is compared further.
+    merged = materialize(components(known), "merged")
+    joined = materialize(join_even(live, merged, ["node"], "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "joined")
+    mixed = joined.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    left = materialize(join_even(joined, mixed, ["bucket"]).select("node", "n", "component").distinct(), "left")
+    more = _confirm(texts, _rest_pairs(texts, left, percent), percent)
+    discard(live, joined)
+    return known.union(more)
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links of that similarity or more."""
-    rows = materialize(signed(docs), "signed")
-    nodes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "nodes")
-    merged = components(links(docs, nodes, percent))
-    classes = join_even(nodes.select("set1", "set2", "node"), merged, ["node"], "left").select("set1", "set2", F.coalesce("component", "node").alias("component"))
-    classes = materialize(classes, "classes")
-    out = join_even(rows.select("doc_id", "n_shingles", "set1", "set2"), classes, ["set1", "set2"], "left")
-    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _grouped(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """``groups`` with a digest of each row's text."""
+    rows = materialize(signed(docs).withColumn("row", F.monotonically_increasing_id()), "signed")
+    able = rows.filter("n_shingles > 0 and doc_id is not null")
+    nodes = able.groupBy("set1", "set2").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    merged = components(links(rows, nodes, percent))
+    known = materialize(join_even(nodes.select("set1", "set2", "node", "low"), merged, ["node"], "left").withColumn("component", F.coalesce("component", "node")), "known")
+    lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = materialize(join_even(known, lowest, ["component"]).select("set1", "set2", "component_id"), "classes")
+    digest = F.md5(F.col("text").cast("binary")).alias("digest")
+    out = join_even(rows.select("doc_id", "n_shingles", "set1", "set2", digest), classes, ["set1", "set2"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "digest", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with their columns."""
-    gone = materialize(groups(docs, percent).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, one document of each group, with their columns; a row is known by its doc_id and its text."""
+    gone = _grouped(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
+    gone = materialize(gone.distinct(), "gone")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), digest.alias("_digest"))
+    return keyed.join(gone, ["_doc", "_digest"], "left_anti").select("_row.*")

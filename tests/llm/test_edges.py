@@ -91,3 +91,17 @@ def test_sources_tie_and_null(spark):
     out = {r["doc_id"]: r for r in mixing.with_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert [out[i]["_mix_size"] for i in (1, 2, 3, 4, 5)] == [3, 0, 1, 0, 50]
     assert out[1]["_mix_target"] == 9.0 and out[3]["_mix_target"] == 3.0 and abs(out[5]["_mix_target"] - 42.0) < 1e-9
+
+
+def test_a_row_without_a_copy_stays_where_its_doc_id_repeats(spark):
+    docs = spark.createDataFrame([(1, "A A"), (2, "A  A"), (2, "B")], "doc_id long, text string")
+    assert sorted(map(tuple, exact.deduplicate(docs).collect())) == [(1, "A A"), (2, "B")]
+
+
+def test_extreme_ids_come_back(spark, word_file):
+    ids = [-(2**63), 2**63 - 1, None, 0]
+    docs = spark.createDataFrame([(i, WORDS) for i in ids], "doc_id long, text string")
+    key = lambda rows: sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in rows)
+    want = sorted((i is not None, i or 0) for i in ids)
+    assert key(tokenfile.read_ids(spark, tokenfile.write_ids(docs, word_file, 2)).collect()) == want
+    assert key(suffix.remove_repeats(docs).collect()) == want
