@@ -12,7 +12,8 @@ shards, whose sorted strings are then merged by binary search.
 Defined cases: null and empty texts have nothing to remove; a text that equals
 an earlier one is removed whole if it is long enough; texts of any length are
 read whole; rows that repeat a doc_id are one document and don't remove each
-other; rows without doc_id come after all others, as one document; an empty table
+other; rows without doc_id come after all others, as one document with any of the
+largest possible doc_id; an empty table
 gives an empty result; other columns are not read, so
 their names can't clash.
 """
@@ -30,15 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import discard, documents, materialize, small_batches
-from .vectext import U64, blocks, prefix_hash, ragged, span_hash
+from .vectext import U64, Spans, blocks, prefix_hash, ragged, span_hash
 
 LENGTH, ANCHOR = 50, 20
 #: Bytes of text in a pack, and for each bucket of anchors or shard of regions.
 PACK, BUCKET = 4 << 20, 4 << 20
+#: Bytes of text from which on packs grow, and the largest pack.
+PACKS, MOST = 1 << 30, 16 << 20
 #: Documents that share an anchor before its regions are dealt over all shards;
 #: the regions of that many documents fill a shard by themselves.
 HOT = BUCKET // (2 * LENGTH - ANCHOR)
-#: Stands for a null doc_id: such rows come after all others, as one document.
+#: Orders rows without doc_id: they come after all others, as one document (with any of this doc_id).
 NO_ID = (1 << 63) - 1
 _WINDOW = LENGTH - ANCHOR + 1
 _SLICE = 1 << 22
@@ -157,14 +160,14 @@ class Anchors:
         self.mark = h[at[new]]
 
     def region_hash(self, which: np.ndarray) -> np.ndarray:
-        return span_hash(self.prefix, self.low[which], self.high[which] + LENGTH)
+        return Spans(self.data, self.low[which], self.high[which] + LENGTH - self.low[which]).hashes()
 
 
-PACKED = "pack long, docs binary, sizes binary, texts binary"
+PACKED = "pack long, docs binary, missing binary, sizes binary, texts binary"
 
 
-def packs(docs: DataFrame) -> DataFrame:
-    """The texts in compressed packs of some megabytes, each a row; later passes name a pack by its number."""
+def packs(docs: DataFrame, most: int = PACK) -> DataFrame:
+    """The texts in compressed packs of ``most`` bytes, each a row; later passes name a pack by its number."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,22 +176,23 @@ def packs(docs: DataFrame) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            one = {"pack": number, "docs": np.array(ids, np.int64).tobytes(), "sizes": sizes.tobytes(), "texts": z.compress(b"".join(texts))}
-            return pa.RecordBatch.from_pylist([one], schema=pa.schema([("pack", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())]))
+            missing = np.packbits([d is None for d in ids]).tobytes()
+            docs_ = np.array([NO_ID if d is None else d for d in ids], np.int64)
+            one = {"pack": number, "docs": docs_.tobytes(), "missing": missing, "sizes": sizes.tobytes(), "texts": z.compress(b"".join(texts))}
+            return pa.RecordBatch.from_pylist([one], schema=pa.schema([("pack", pa.int64()), *((c, pa.binary()) for c in ("docs", "missing", "sizes", "texts"))]))
 
         for batch in batches:
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids.append(d)
                 texts.append(t := t.encode())
                 size += len(t)
-                if size >= PACK or len(ids) >= 1 << 16:
+                if size >= most or len(ids) >= 1 << 16:
                     yield row()
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
             yield row()
 
-    named = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    return named.mapInArrow(run, PACKED)
+    return documents(docs).mapInArrow(run, PACKED)
 
 
 def _open(docs: bytes, sizes: bytes, texts: bytes) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -209,8 +213,13 @@ def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
+def _named(marks: np.ndarray, n: int) -> np.ndarray:
+    """Anchors as their bucket and 32 bits more; two anchors that this takes for one only make more regions."""
+    return (marks % U64(n)) << U64(32) | marks >> U64(32)
+
+
 def _mark_rows(n: int):
-    """(bucket, pack, marks, counts): the distinct anchors of each pack and in how many of its documents they are."""
+    """(bucket, pack, marks, often, counts): a pack's distinct anchors in the bucket, which of them several of its documents have, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,42 +227,47 @@ def _mark_rows(n: int):
                 marks, owners = [], []
                 for ids, block in _open(*rest):
                     a = Anchors(block)
-                    marks.append(a.mark)
+                    marks.append(_named(a.mark, n))
                     owners.append(ids[a.doc])
                 mark, owner = np.concatenate(marks), np.concatenate(owners)
                 order = np.lexsort((owner, mark))
                 mark, owner = mark[order], owner[order]
                 fresh = np.concatenate(([True], (mark[1:] != mark[:-1]) | (owner[1:] != owner[:-1]))) if len(mark) else np.zeros(0, bool)
                 one, count = np.unique(mark[fresh], return_counts=True)
-                order, edge = _dealt(one, n)
-                one, count = one[order], np.minimum(count[order], 65535).astype(np.uint16)
+                edge = np.searchsorted(one, np.arange(n + 1, dtype=U64) << U64(32))
                 full = np.flatnonzero(np.diff(edge))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array(np.full(len(full), pack)), pa.array([one[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary()), pa.array([count[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())],
-                    names=["bucket", "pack", "marks", "counts"],
-                )
+                low, several, rows = one.astype(np.uint32), np.flatnonzero(count > 1), []
+                at = np.searchsorted(several, edge)
+                for k in full.tolist():
+                    w = several[at[k] : at[k + 1]]
+                    rows.append((low[edge[k] : edge[k + 1]].tobytes(), (w - edge[k]).astype(np.uint32).tobytes(), count[w].astype(np.uint32).tobytes()))
+                cols = list(zip(*rows)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), pack))] + [pa.array(c, pa.binary()) for c in cols], names=["bucket", "pack", "marks", "often", "counts"])
 
     return run
 
 
 def _shared_marks(table: pa.Table) -> pa.Table:
     """Of a bucket, for each pack those of its anchors that more than one document has, and which of them are hot."""
-    packs_ = table.column("pack").to_pylist()
-    marks = [np.frombuffer(x, U64) for x in table.column("marks").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()]).astype(np.int64)
+    get = lambda c, i: np.frombuffer(table.column(c)[i].as_py(), np.uint32)
+    rows = range(table.num_rows)
+    marks = [get("marks", i) for i in rows]
     size = np.fromiter(map(len, marks), np.int64, len(marks))
-    whole = np.concatenate(marks)
+    upto = np.concatenate(([0], np.cumsum(size)))
+    whole, counts = np.concatenate(marks), np.ones(upto[-1], np.int64)
+    for i in rows:
+        counts[upto[i] + get("often", i)] = get("counts", i)
     order = np.argsort(whole, kind="stable")
-    ranked = whole[order]
-    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    first = np.flatnonzero(np.concatenate(([True], whole[order][1:] != whole[order][:-1])))
     total = np.add.reduceat(counts[order], first)
     many = np.empty(len(whole), np.int64)
     many[order] = np.repeat(total, np.diff(np.append(first, len(whole))))
-    out, upto = [], np.concatenate(([0], np.cumsum(size)))
-    for k, p in enumerate(packs_):
-        here = many[upto[k] : upto[k + 1]]
+    bucket, out = U64(table.column("bucket")[0].as_py()) << U64(32), []
+    for i, p in enumerate(table.column("pack").to_pylist()):
+        here = many[upto[i] : upto[i + 1]]
         if (here > 1).any():
-            out.append((p, marks[k][(here > 1) & (here < HOT)].tobytes(), marks[k][here >= HOT].tobytes()))
+            names = bucket | marks[i].astype(U64)
+            out.append((p, names[(here > 1) & (here < HOT)].tobytes(), names[here >= HOT].tobytes()))
     cols = list(zip(*out)) or [[], [], []]
     return pa.table({"pack": pa.array(cols[0], pa.int64()), "marks": pa.array(cols[1], pa.binary()), "hot": pa.array(cols[2], pa.binary())})
 
@@ -279,8 +293,9 @@ def _region_rows(n: int):
             hashes, keys, sizes, owners, texts, flags, more = [], [], [], [], [], [], []
             for ids, block in _open(*(pack.column(c)[0].as_py() for c in ("docs", "sizes", "texts"))):
                 a = Anchors(block)
-                is_hot = _inside(a.mark, hot)
-                which = np.flatnonzero(is_hot | _inside(a.mark, some))
+                name = _named(a.mark, n)
+                is_hot = _inside(name, hot)
+                which = np.flatnonzero(is_hot | _inside(name, some))
                 h = a.region_hash(which)
                 owner = ids[a.doc[which]]
                 order = np.lexsort((owner, h))
@@ -305,7 +320,7 @@ def _region_rows(n: int):
                 order, edge = _dealt(key[part], n)
                 for k in np.flatnonzero(np.diff(edge)).tolist():
                     w = part[order[edge[k] : edge[k + 1]]]
-                    rows.append((k, number, hot_, h[w].tobytes(), (size[w] | (some_more[w].astype(np.int64) << 7)).astype(np.uint8).tobytes(), owner[w].tobytes(), z.compress(data[ragged(begin[w], size[w])].tobytes())))
+                    rows.append((k, number, hot_, h[w].tobytes(), (size[w] | (some_more[w].astype(np.int64) << 7)).astype(np.uint8).tobytes(), z.compress(owner[w].tobytes()), z.compress(data[ragged(begin[w], size[w])].tobytes())))
         cols = list(zip(*rows)) or [[] for _ in empty]
         return pa.table({c: pa.array(x, t) for (c, t), x in zip(empty.items(), cols)})
 
@@ -322,8 +337,8 @@ class _Shard:
         self.hash = np.concatenate(hashes)
         size = np.frombuffer(b"".join(table.column("sizes").to_pylist()), np.uint8).astype(np.int64)
         self.several, size = size > 127, size & 127  # the high bit tells of more documents in the pack
-        owner = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
         z = zstandard.ZstdDecompressor()
+        owner = np.frombuffer(b"".join(map(z.decompress, table.column("docs").to_pylist())), np.int64)
         data = np.frombuffer(b"".join(map(z.decompress, table.column("bytes").to_pylist())), np.uint8)
         self.own = owner
         order = np.lexsort((owner, self.hash))
@@ -382,7 +397,7 @@ def _resolve(n: int):
         if not table.column("hot")[0].as_py():
             return _resolved("answer", s.answer(low))
         at = s.strings()
-        h = span_hash(prefix_hash(s.data), at, at + LENGTH)
+        h = Spans(s.data, at, np.full(len(at), LENGTH)).hashes()
         _, one = np.unique(h, return_index=True)
         order, edge = _dealt(h[one], n)
         shard, rows = table.column("shard")[0].as_py(), []
@@ -429,10 +444,10 @@ def _resolve_hot(table: pa.Table, merged: pa.Table) -> pa.Table:
     strings = np.concatenate([np.frombuffer(x, np.uint8) for x in merged.column("strings").to_pylist()])
     docs_ = np.concatenate([np.frombuffer(x, np.int64) for x in merged.column("docs").to_pylist()])
     begin = np.arange(len(docs_)) * LENGTH
-    h = span_hash(prefix_hash(strings), begin, begin + LENGTH)
+    h = Spans(strings, begin, np.full(len(begin), LENGTH)).hashes()
     order = np.argsort(h)
     at = s.strings()
-    own = span_hash(prefix_hash(s.data), at, at + LENGTH)
+    own = Spans(s.data, at, np.full(len(at), LENGTH)).hashes()
     low = np.full(len(s.data), np.iinfo(np.int64).max)
     low[at] = docs_[order[np.searchsorted(h[order], own)]]
     return s.answer(low)
@@ -448,6 +463,7 @@ def _cut(keep_text: bool):
             h, doc, bits = (np.frombuffer(b"".join(answers.column(c).to_pylist()), t) for c, t in (("hashes", U64), ("docs", np.int64), ("covered", np.uint32)))
             order = np.argsort(h, kind="stable")
             h, doc, bits = h[order], doc[order], bits[order]
+            missing, done = np.unpackbits(np.frombuffer(pack.column("missing")[0].as_py(), np.uint8)), 0
             for ids, block in _open(*(pack.column(c)[0].as_py() for c in ("docs", "sizes", "texts"))):
                 a = Anchors(block)
                 edge = np.zeros(len(a.data) + 1, np.int32)
@@ -473,7 +489,8 @@ def _cut(keep_text: bool):
                     kept = t if not removed[k] else a.data[b[k] : e[k]][~gone[b[k] : e[k]]].tobytes()
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                     out["kept"].append(kept if keep_text else None)
-                out["doc_id"] += ids.tolist()
+                out["doc_id"] += [None if gone_ else d for d, gone_ in zip(ids.tolist(), missing[done:].tolist())]
+                done += len(block)
                 out["n_bytes"] += (e - b).tolist()
                 out["n_removed"] += removed.tolist()
                 out["n_spans"] += many.tolist()
@@ -485,11 +502,11 @@ def _cut(keep_text: bool):
 
 def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, the bytes that stay."""
-    spark = docs.sparkSession
-    stored = materialize(packs(docs), "packs")
-    held = stored.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
-    n = max(1, -(-3 * held // BUCKET))  # packs hold about a third of the bytes of their texts
-    marks = stored.mapInArrow(_mark_rows(n), "bucket int, pack long, marks binary, counts binary")
+    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A pack sends a row to each bucket, so packs grow with the square root of the input, up to what a task can hold.
+    stored = materialize(packs(docs, int(min(max(PACK, PACK * (bytes_ / PACKS) ** 0.5), MOST))), "packs")
+    n = max(1, -(-bytes_ // BUCKET))
+    marks = stored.mapInArrow(_mark_rows(n), "bucket int, pack long, marks binary, often binary, counts binary")
     shared = materialize(marks.groupBy("bucket").applyInArrow(_shared_marks, "pack long, marks binary, hot binary"), "shared")
     kind = "shard int, pack long, hot boolean, hashes binary, sizes binary, docs binary, bytes binary"
     regions = stored.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_region_rows(n), kind)
@@ -500,4 +517,4 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     hot = resolved.filter("kind = 'regions'").select("shard", "pack", "hashes", "sizes", "docs", "bytes")
     hot = materialize(hot.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(_resolve_hot, ANSWER), "hot")
     out = stored.groupBy("pack").cogroup(answers.union(hot).groupBy("pack")).applyInArrow(_cut(keep_text), RESULT)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return out
