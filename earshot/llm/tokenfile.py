@@ -36,7 +36,7 @@ MAGIC = b"EBP1"
 #: Ids in a block; ids after which a segment ends.
 BLOCK_IDS, SEGMENT_IDS = 1 << 16, 1 << 20
 #: Bytes of text in one range of doc_ids.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 24 << 20
 _HEAD = struct.Struct("<4sBBIQQI")  # magic, bytes an id, planes a block, ids a block, ids, documents, blocks
 
 

@@ -141,7 +141,7 @@ class IdCache:
     Long strings, and those whose hash another one has, are encoded each time.
     """
 
-    def __init__(self, most: int = 2_000_000) -> None:
+    def __init__(self, most: int = 1_000_000) -> None:
         self.most = most
         self.reset()
 
