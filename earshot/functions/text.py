@@ -13,11 +13,46 @@ def gap_label(hours: Column) -> Column:
 
 
 def duration_label(seconds: Column) -> Column:
-    """``X d Y h Z min``, without parts that are zero; ``< 1 min`` below that."""
-    minutes = F.floor(seconds / 60).cast("long")
-    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit)))
-    joined = F.concat_ws(" ", part(F.floor(minutes / 1440), " d"), part(F.floor(F.pmod(minutes, F.lit(1440)) / 60), " h"), part(F.pmod(minutes, F.lit(60)), " min"))
-    return F.when(minutes < 1, F.lit("< 1 min")).otherwise(joined)
+    """``X d Y h Z min`` without leading parts that are zero; ``< 1 min`` below that, ``0 min`` for none."""
+    whole = F.bround(seconds).cast("long")
+    days, hours, minutes = F.floor(whole / 86400), F.floor(F.pmod(whole, F.lit(86400)) / 3600), F.floor(F.pmod(whole, F.lit(3600)) / 60)
+    day = F.when(days > 0, F.concat(days.cast("string"), F.lit(" d")))
+    hour = F.when((days > 0) | (hours > 0), F.concat(hours.cast("string"), F.lit(" h")))
+    joined = F.concat_ws(" ", day, hour, F.concat(minutes.cast("string"), F.lit(" min")))
+    return F.when(whole < 0, F.lit(None).cast("string")).when(whole == 0, "0 min").when(whole < 60, "< 1 min").otherwise(joined)
+
+
+def timeout_label(hours: Column, minutes: Column) -> Column:
+    """A duration as ``Nh`` or ``Nm``; an hour where nothing is left of it."""
+    part = lambda c, k: F.greatest(F.coalesce(c.try_cast("double"), F.lit(0.0)), F.lit(0.0)) * F.lit(float(k))
+    total = F.bround(part(hours, 60) + part(minutes, 1)).cast("long")
+    total = F.when(total <= 0, F.lit(60)).otherwise(total)
+    return F.when(total % 60 == 0, F.concat((total / 60).cast("long").cast("string"), F.lit("h"))).otherwise(F.concat(total.cast("string"), F.lit("m")))
+
+
+def hour_label(hour: Column) -> Column:
+    """``15 Jan 13:00``."""
+    return F.date_format(hour, "dd MMM HH:mm")
+
+
+def day_label(hour: Column) -> Column:
+    """``15 Jan``."""
+    return F.date_format(hour, "dd MMM")
+
+
+def level_label(level: Column, digits: int = 0) -> Column:
+    """``54 dBA``; null where there is no level."""
+    return F.when(level.isNotNull(), F.format_string(f"%.{digits}f dBA", level.cast("double")))
+
+
+def utc_iso(at: Column) -> Column:
+    """A time in UTC to the millisecond, with Z, in a session whose zone is UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def recording_name(at: Column) -> Column:
+    """The id of a recording that starts at a time, in a session whose zone is UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss'Z'")
 
 
 def human_bytes(n: Column) -> Column:

@@ -1,14 +1,16 @@
-"""Arming, cooldown and the windows of captures.
+"""Arming, cooldown, onset and the windows of captures.
 
-The state of a device is small (last arm, running capture), so rows stream
-through a fold in order; the same fold serves batch and streaming.
+The state of a device is small (last arm, running capture, the rows of the
+lookback), so rows stream through a fold in order; the same fold serves batch
+and streaming.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+import math
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.labels import TriggerConfig
@@ -18,7 +20,7 @@ CHUNK_S = 0.975
 
 @dataclass
 class CaptureState:
-    """What a device carries from row to row."""
+    """What a device carries from row to row; ``levels`` are those of the lookback, ``run`` counts open rows up to now."""
 
     last_arm: float | None = None
     active: bool = False
@@ -27,6 +29,8 @@ class CaptureState:
     closed: int = 0
     decay: int = 0
     armed_id: int = -1
+    run: int = 0
+    levels: list[float] = field(default_factory=list)
 
 
 def arm_reason(label: str | None, dba: float, config: TriggerConfig) -> str | None:
@@ -35,13 +39,25 @@ def arm_reason(label: str | None, dba: float, config: TriggerConfig) -> str | No
     if name in {x.strip().lower() for x in config.trigger}:
         return f"label:{label}"
     if name in {x.strip().lower() for x in config.ambiguous} and dba >= config.loud_dba:
-        return f"ambiguous:{label}"
+        return f"ambiguous:{label}@dBA>={config.loud_dba}"
     return None
 
 
+def lookback_rows(config: TriggerConfig) -> int:
+    """Rows that the lookback reaches into."""
+    return max(1, math.ceil(config.lookback_s / CHUNK_S - 1e-9))
+
+
+def lead_seconds(run: int, rows: int, config: TriggerConfig) -> float:
+    """Seconds from the onset (the first open row of the run, and a pad before it) to now, as far as the lookback holds them."""
+    return min(min(run, rows) * CHUNK_S + config.pad_ms / 1000, min(rows * CHUNK_S, config.lookback_s))
+
+
 def step(state: CaptureState, now: float, label: str | None, dba: float, gate_open: bool, chunk_id: int, config: TriggerConfig) -> tuple[str, str, tuple | None]:
     """Status and reason of a row, and a capture that ends with it: (armed_id, end_reason, seconds, peak)."""
     done = None
+    state.run = state.run + 1 if gate_open else 0
+    state.levels = [*state.levels, dba][-lookback_rows(config) :]
 
     def streaks() -> str | None:
         state.closed = 0 if gate_open else state.closed + 1
@@ -60,19 +76,23 @@ def step(state: CaptureState, now: float, label: str | None, dba: float, gate_op
         return "pending", "capturing", done
     if not gate_open:
         return "gated", "gated", None
+    if len(state.levels) < min(config.warm_rows, lookback_rows(config)):
+        return "skipped", "buffer_warming", None
     reason = arm_reason(label, dba, config)
     if reason is None:
         return "skipped", "no_match", None
     if state.last_arm is not None and now - state.last_arm < config.cooldown_s:
         return "skipped", "cooldown", None
-    state.last_arm, state.active, state.armed_id = now, True, chunk_id
-    state.seconds, state.peak, state.closed, state.decay = min(CHUNK_S + config.pad_ms / 1000, config.max_event_s), dba, 0, 0
+    state.last_arm, state.active, state.armed_id, state.closed, state.decay = now, True, chunk_id, 0, 0
+    lead = lead_seconds(state.run, len(state.levels), config)
+    state.seconds = min(lead, config.max_event_s)
+    state.peak = max(state.levels[-math.ceil(lead / CHUNK_S - 1e-9) :])  # rows that the capture begins with
     if state.seconds >= config.max_event_s:
         state.active = False
-        done = (chunk_id, "capped", round(state.seconds, 3), dba)
+        done = (chunk_id, "capped", round(state.seconds, 3), state.peak)
     elif why := streaks():
         state.active = False
-        done = (chunk_id, why, round(state.seconds, 3), dba)
+        done = (chunk_id, why, round(state.seconds, 3), state.peak)
     return "scheduled", reason, done
 
 
@@ -83,11 +103,12 @@ def run_rows(state: CaptureState, pdf, config: TriggerConfig):
     """Rows of one device, in order, through the fold."""
     import pandas as pd
 
-    out = []
-    for r in pdf.itertuples(index=False):
-        status, reason, done = step(state, r.seconds, r.top_label, r.dba, not r.gated, r.chunk_id, config)
-        out.append((r.device_id, r.chunk_id, status, reason, *(done or (None, None, None, None))))
-    return pd.DataFrame(out, columns=["device_id", "chunk_id", "status", "reason", "capture_of", "end_reason", "event_seconds", "dba_peak"]).astype({"capture_of": "Int64"})
+    columns = (pdf[c].tolist() for c in ("seconds", "top_label", "dba", "gated", "chunk_id"))
+    found = [(status, reason, *(done or (None, None, None, None))) for status, reason, done in (step(state, now, label, dba, not gated, i, config) for now, label, dba, gated, i in zip(*columns))]
+    out = pd.DataFrame(found, columns=["status", "reason", "capture_of", "end_reason", "event_seconds", "dba_peak"])
+    out.insert(0, "device_id", pdf["device_id"].to_numpy())
+    out.insert(1, "chunk_id", pdf["chunk_id"].to_numpy())
+    return out.astype({"capture_of": "Int64"})
 
 
 def captures(chunks: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFrame:
@@ -106,6 +127,51 @@ def captures(chunks: DataFrame, config: TriggerConfig = TriggerConfig()) -> Data
     return rows.repartition("device_id").sortWithinPartitions("device_id", "dt_utc", "chunk_id").mapInPandas(run, SCHEMA)
 
 
+def onsets(rows: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFrame:
+    """Where an event that is noticed at a row began: (device_id, chunk_id, reason, rows_back, lead_s).
+
+    ``rows`` has gate_open, raw and floor.  The contiguous open rows up to a row
+    come first, then those whose level is above the floor by a margin, then the
+    row alone; a pad goes before, and the lookback bounds all.
+    """
+    order = Window.partitionBy("device_id").orderBy("dt_utc", "chunk_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("_n", F.row_number().over(order))
+    high = F.coalesce(F.col("raw") > F.col("floor") + F.lit(config.onset_margin_db), F.lit(False))
+
+    def run_of(good: Column) -> Column:
+        return F.col("_n") - F.coalesce(F.max(F.when(~good, F.col("_n"))).over(upto), F.lit(0))
+
+    held = F.least(F.col("_n"), F.lit(lookback_rows(config)))
+    out = numbered.withColumn("_open", run_of(F.col("gate_open"))).withColumn("_high", run_of(high))
+    reason = F.when(F.col("_open") > 0, "gate_open").when(F.col("_high") > 0, "energy_rise").otherwise("trigger_chunk")
+    run = F.least(F.when(F.col("_open") > 0, F.col("_open")).when(F.col("_high") > 0, F.col("_high")).otherwise(1), held)
+    lead = F.least(run * F.lit(CHUNK_S) + F.lit(config.pad_ms / 1000), F.least(F.col("_n") * F.lit(CHUNK_S), F.lit(config.lookback_s)))
+    return out.select("device_id", "chunk_id", reason.alias("reason"), (run - 1).cast("int").alias("rows_back"), lead.alias("lead_s"))
+
+
+def lookback(chunks: DataFrame, armed: DataFrame, seconds: float = 4.0) -> DataFrame:
+    """Rows that the lookback of each armed row (device_id, chunk_id) holds, with the seconds kept of each; the oldest one is cropped.
+
+    Rows are numbered by device, so it is an equi-join on a bounded number of places.
+    """
+    rows = math.ceil(seconds / CHUNK_S - 1e-9)
+    numbered = chunks.select("device_id", "chunk_id", F.row_number().over(Window.partitionBy("device_id").orderBy("dt_utc", "chunk_id")).alias("_n"))
+    at = numbered.join(armed.select("device_id", F.col("chunk_id")), ["device_id", "chunk_id"]).select("device_id", F.col("chunk_id").alias("armed_id"), F.posexplode(F.sequence(F.col("_n"), F.col("_n") - rows + 1, F.lit(-1))).alias("back", "_n"))
+    kept = F.least(F.lit(CHUNK_S), F.lit(seconds) - F.col("back") * F.lit(CHUNK_S))
+    return at.join(numbered, ["device_id", "_n"]).select("device_id", "armed_id", "chunk_id", "back", kept.alias("kept_s"))
+
+
+def fixed_fill(chunks: DataFrame, armed: DataFrame, before_s: float = 5.0, after_s: float = 5.0) -> DataFrame:
+    """What a window of fixed length around each armed row holds: seconds before (the row included) and after, and the zeros that pad both ends."""
+    order = Window.partitionBy("device_id").orderBy("dt_utc", "chunk_id")
+    numbered = chunks.withColumn("_n", F.row_number().over(order)).withColumn("_all", F.count("*").over(Window.partitionBy("device_id"))).select("device_id", "chunk_id", "_n", "_all")
+    at = numbered.join(armed.select("device_id", "chunk_id"), ["device_id", "chunk_id"])
+    pre = F.least(F.lit(before_s), F.col("_n") * F.lit(CHUNK_S))
+    post = F.least(F.lit(after_s), (F.col("_all") - F.col("_n")) * F.lit(CHUNK_S))
+    return at.select("device_id", F.col("chunk_id").alias("armed_id"), pre.alias("pre_s"), post.alias("post_s"), (F.lit(before_s) - pre).alias("pad_before_s"), (F.lit(after_s) - post).alias("pad_after_s"), (post >= after_s).alias("complete"))
+
+
 def fixed_windows(chunks: DataFrame, armed: DataFrame, before_s: float = 5.0, after_s: float = 5.0) -> DataFrame:
     """Chunks within a fixed window around each armed row (device_id, chunk_id, dt_utc).
 
@@ -118,4 +184,4 @@ def fixed_windows(chunks: DataFrame, armed: DataFrame, before_s: float = 5.0, af
     return right.join(left, ["device_id", "bucket"]).filter((F.col("t") >= F.col("at") - before_s) & (F.col("t") <= F.col("at") + after_s)).select("device_id", "armed_id", "chunk_id", (F.col("t") - F.col("at")).alias("offset_s"))
 
 
-__all__ = ["CaptureState", "SCHEMA", "arm_reason", "asdict", "captures", "fixed_windows", "run_rows", "step"]
+__all__ = ["CaptureState", "SCHEMA", "arm_reason", "asdict", "captures", "fixed_fill", "fixed_windows", "lead_seconds", "lookback", "onsets", "run_rows", "step"]

@@ -1,108 +1,201 @@
 """Ambient floor, warmth, hysteresis gate and smoothed gain.
 
-The parts that look back a fixed number of rows are windows; the gate itself
-is a fold over the rows of one device, in SQL: its state is whether it is open
-and for how many rows it has been below the opening level.
+A row has three levels: ``raw`` (RMS of the whole chunk, dBFS), ``level`` (the
+loudest sub-window's RMS, dBFS) and ``peak`` (largest amplitude).  The floor is
+that of ``raw``; the gate and its jumps look at ``level``; the gain brings the
+mean amplitude of the last open rows to the target, within the peak's and the
+floor's limits.  Each device's rows stream in order through one stage whose
+state is small, so a device with a third of all rows needs no more memory than
+another; batch, streaming and samples share it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import astuple, dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.acoustics import clamp, dbfs, from_dbfs
+from ..functions.acoustics import from_dbfs
+from . import dsp
 
 # The gate's settings.
 TARGET, MARGIN, SLACK = -23.0, 18.0, 12.0
 GAIN_MIN, GAIN_MAX, CEILING = 12.0, 40.0, 0.9
 WINDOW, SENSITIVITY, PERCENT = 300, 5.0, 0.1
 DELTA, DELTA_MIN, RELEASE, SMOOTH = 4.0, -55.0, 2, 5
+HIGHPASS_HZ, HIGHPASS_ORDER, SUBWINDOW_MS = 80.0, 4, 200.0
 #: dB between full scale and sound pressure.
 CALIBRATION = 120.0
+#: Amplitudes below this count as silence.
+EPSILON = 1e-12
+#: Rows whose windows are sorted at once.
+_ROWS = 4096
 
 
 def levels(chunks: DataFrame) -> DataFrame:
-    """Chunks with ``raw``, their level relative to full scale."""
-    return chunks.withColumn("raw", F.col("dba") - F.lit(CALIBRATION))
-
-
-def ambient(rows: DataFrame, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
-    """With floor (of the rows before, the current one excluded), delta, most gain and warmth."""
-    w = Window.partitionBy(*keys).orderBy("dt_utc", "chunk_id")
-    floor = F.coalesce(F.expr(f"percentile(raw, {PERCENT})").over(w.rowsBetween(-WINDOW, -1)), F.col("raw"))
-    out = rows.withColumn("floor", floor).withColumn("delta", F.col("raw") - F.lag("raw").over(w))
-    out = out.withColumn("max_gain", clamp(F.lit(TARGET) - F.col("floor") - F.lit(MARGIN), GAIN_MIN, GAIN_MAX))
-    return out.withColumn("warm", F.col("raw") + F.col("max_gain") >= F.lit(TARGET - SLACK))
-
-
-def _step(acc: Column, x: Column) -> Column:
-    above = (x["raw"] >= x["floor"] + F.lit(SENSITIVITY)) & x["warm"]
-    streak = F.when(acc["open"] & ~above, acc["streak"] + 1).otherwise(0)
-    open_ = F.when(acc["open"], streak < RELEASE).otherwise(above)
-    reason = F.when(acc["open"] & open_, "hold").when(open_, "l90").otherwise("closed")
-    jump = ~open_ & x["warm"] & (x["raw"] >= DELTA_MIN) & F.coalesce(x["delta"] >= DELTA, F.lit(False))  # also on the row that just closed it
-    one = F.struct(x["chunk_id"].alias("chunk_id"), (open_ | jump).alias("gate_open"), F.when(jump, "delta").otherwise(reason).alias("reason"))
-    return F.struct((open_ | jump).alias("open"), F.when(open_ & ~jump, streak).otherwise(0).alias("streak"), F.array_append(acc["out"], one).alias("out"))
-
-
-def gate_fold(rows: DataFrame, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
-    """(keys, chunk_id, gate_open, reason) by one SQL fold over each device's ordered rows; for short recordings."""
-    item = F.struct("dt_utc", "chunk_id", "raw", "floor", "delta", "warm")
-    kind = "array<struct<chunk_id:bigint,gate_open:boolean,reason:string>>"
-    zero = F.struct(F.lit(False).alias("open"), F.lit(0).alias("streak"), F.array().cast(kind).alias("out"))
-    per = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    return per.select(*keys, F.explode(F.aggregate("_rows", zero, _step, lambda a: a["out"])).alias("g")).select(*keys, "g.*")
-
-
-def gate_rows(state: tuple[bool, int], raw, floor, delta, warm) -> tuple[list[bool], list[str], tuple[bool, int]]:
-    """The same gate over lists, from a state and to a state; batch and streaming share it."""
-    open_, streak = state
-    opens, reasons = [], []
-    for r, f, d, w in zip(raw, floor, delta, warm):
-        above = r >= f + SENSITIVITY and w
+    """Chunks with raw, level and peak from their sound levels; where samples are at hand, ``from_samples`` measures them."""
+    level = F.coalesce("lafmax", "dba") - F.lit(CALIBRATION)
+    return chunks.withColumn("raw", F.col("dba") - F.lit(CALIBRATION)).withColumn("level", level).withColumn("peak", from_dbfs(level + F.lit(3.0)))
+
+
+@dataclass
+class GateState:
+    """What a device carries from row to row: raw levels of the window, the level before, the gate, amplitudes of the last open rows."""
+
+    history: list[float] = field(default_factory=list)
+    previous: float | None = None
+    open: bool = False
+    streak: int = 0
+    amplitudes: list[float] = field(default_factory=list)
+
+
+def floors(history: list[float], raw: np.ndarray) -> np.ndarray:
+    """For each row the percentile of the rows of the window before it, linear between two, to nine decimals; the first row has its own level."""
+    whole = np.concatenate((np.asarray(history, float), raw))
+    begin, out = len(history), np.empty(len(raw))
+    for k in range(begin, len(whole)):  # windows that aren't full yet
+        if k >= WINDOW:
+            break
+        some = np.sort(whole[:k]) if k else whole[:1]
+        at = (len(some) - 1) * PERCENT
+        low = some[int(at)]
+        out[k - begin] = low + (some[min(int(at) + 1, len(some) - 1)] - low) * (at - int(at))
+    full = max(0, WINDOW - begin)
+    at = (WINDOW - 1) * PERCENT
+    for k in range(full, len(raw), _ROWS):
+        stop = min(k + _ROWS, len(raw))
+        view = np.lib.stride_tricks.sliding_window_view(whole[begin + k - WINDOW : begin + stop - 1], WINDOW)
+        two = np.partition(view, (int(at), int(at) + 1), axis=1)[:, int(at) : int(at) + 2]
+        out[k:stop] = two[:, 0] + (two[:, 1] - two[:, 0]) * (at - int(at))
+    return np.round(out, 9)
+
+
+def gate_rows(state: GateState, level: np.ndarray, floor: np.ndarray, delta: np.ndarray, warm: np.ndarray) -> tuple[list[bool], list[str], list[int]]:
+    """Whether the gate is open at each row, why, and its streak; from the state and to it."""
+    above = ((level >= floor + SENSITIVITY) & warm).tolist()
+    jump = (warm & (level >= DELTA_MIN) & (np.nan_to_num(delta, nan=-np.inf) >= DELTA)).tolist()
+    open_, streak = state.open, state.streak
+    opens, reasons, streaks = [], [], []
+    for a, j in zip(above, jump):
         if open_:
-            streak = 0 if above else streak + 1
+            streak = 0 if a else streak + 1
             open_ = streak < RELEASE
             reason = "hold" if open_ else "closed"
         else:
-            open_, reason = above, "l90" if above else "closed"
+            open_, reason = a, "l90" if a else "closed"
         if not open_:
             streak = 0
-            if w and d is not None and d == d and d >= DELTA and r >= DELTA_MIN:
+            if j:  # also on the row that just closed it
                 open_, reason = True, "delta"
-        opens.append(bool(open_))
+        opens.append(open_)
         reasons.append(reason)
-    return opens, reasons, (bool(open_), streak)
+        streaks.append(streak)
+    state.open, state.streak = open_, streak
+    return opens, reasons, streaks
+
+
+def stage_rows(state: GateState, raw: np.ndarray, level: np.ndarray, peak: np.ndarray) -> dict[str, np.ndarray | list]:
+    """The whole stage over rows in order, from the state and to it."""
+    floor = floors(state.history, raw)
+    before = np.concatenate(([np.nan if state.previous is None else state.previous], level))[: len(level)]
+    delta = level - before
+    most = np.clip(TARGET - floor - MARGIN, GAIN_MIN, GAIN_MAX)
+    warm = level + most >= TARGET - SLACK
+    opens, reasons, streaks = gate_rows(state, level, floor, delta, warm)
+    count = np.minimum(len(state.history) + 1 + np.arange(len(raw)), WINDOW)
+    is_open = np.array(opens, bool)
+    amplitude = 10.0 ** (raw / 20.0)
+    smooth, gain = np.where(is_open, 0.0, amplitude), np.zeros(len(raw))
+    at = np.flatnonzero(is_open)
+    if len(at):
+        kept = np.concatenate((state.amplitudes, amplitude[at]))
+        held = len(state.amplitudes)
+        for k, i in enumerate(at):
+            some = kept[max(0, held + k - SMOOTH + 1) : held + k + 1]
+            smooth[i] = some.sum() / len(some)
+        limit = np.where(peak[at] > EPSILON, CEILING / np.maximum(peak[at], EPSILON), np.inf)
+        gain[at] = np.minimum(np.minimum(10.0 ** (TARGET / 20.0) / np.maximum(smooth[at], EPSILON), limit), 10.0 ** (most[at] / 20.0))
+        state.amplitudes = kept[-(SMOOTH - 1) :].tolist()
+    if len(raw):
+        state.history = [*state.history, *raw.tolist()][-WINDOW:]
+        state.previous = float(level[-1])
+    return {
+        "floor": floor, "delta": delta, "max_gain": most, "warm": warm, "gate_open": opens, "reason": reasons, "streak": streaks,
+        "ambient_count": count, "smoothed": 20.0 * np.log10(np.maximum(smooth, EPSILON)), "gain": gain,
+    }
+
+
+STAGE = "floor double, delta double, max_gain double, warm boolean, gate_open boolean, reason string, streak int, ambient_count int, smoothed double, gain double"
+
+
+def _frame(pdf: pd.DataFrame, keys: list[str], state: GateState) -> pd.DataFrame:
+    out = stage_rows(state, *(pdf[c].to_numpy(float) for c in ("raw", "level", "peak")))
+    return pd.DataFrame({**{k: pdf[k] for k in keys}, **out})
+
+
+def stage(rows: DataFrame) -> DataFrame:
+    """(device_id, chunk_id, raw, level, peak) and the columns of STAGE, from rows with dt_utc too."""
+    keys = ["device_id", "chunk_id", "raw", "level", "peak"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        device, state = None, GateState()
+        for pdf in batches:
+            for _, g in pdf.groupby((pdf["device_id"] != pdf["device_id"].shift()).cumsum(), sort=False):
+                if (first := g["device_id"].iloc[0]) != device:
+                    device, state = first, GateState()
+                yield _frame(g, keys, state)
+
+    ordered = rows.select("device_id", "dt_utc", "chunk_id", "raw", "level", "peak").repartition("device_id").sortWithinPartitions("device_id", "dt_utc", "chunk_id")
+    return ordered.mapInPandas(run, f"device_id string, chunk_id long, raw double, level double, peak double, {STAGE}")
+
+
+def metadata(staged: DataFrame) -> DataFrame:
+    """A staged row's diagnostics as events hold them: rounded values, and the settings."""
+    one = lambda c: F.round(F.col(c), 1)
+    fixed = {
+        "gate_mode": "dynamic_l90", "hpf_hz": HIGHPASS_HZ, "hpf_order": HIGHPASS_ORDER, "target_dbfs": TARGET, "ambient_gain_margin_db": MARGIN, "effective_slack_db": SLACK,
+        "max_gain_min_db": GAIN_MIN, "max_gain_ceiling_db": GAIN_MAX, "min_effective_dbfs": TARGET - SLACK, "ambient_window_chunks": WINDOW, "ambient_percentile": 100 * PERCENT,
+        "gate_sensitivity_db": SENSITIVITY, "gate_delta_db": DELTA, "gate_delta_min_dbfs": DELTA_MIN, "gate_subwindow_ms": SUBWINDOW_MS, "gate_release_chunks": RELEASE, "gain_smooth_chunks": SMOOTH,
+    }
+    values = {
+        "max_gain_db": one("max_gain"), "effective_level_dbfs": F.round(F.col("level") + F.col("max_gain"), 1), "ambient_noise_floor_dbfs": one("floor"), "ambient_sample_count": F.col("ambient_count"),
+        "silence_gate_open_dbfs": F.round(F.col("floor") + F.lit(SENSITIVITY), 1), "gate_level_dbfs": one("level"), "delta_rms_dbfs": F.round(F.nanvl(F.col("delta"), F.lit(None)), 1), "below_open_streak": F.col("streak"),
+        "gate_open_reason": F.col("reason"), "gate_open": F.col("gate_open"), "gated": ~F.col("gate_open"), "applied_gain": F.round("gain", 4), "raw_rms_dbfs": one("raw"), "smoothed_rms_dbfs": one("smoothed"),
+    }
+    parts = [F.lit(v).alias(k) for k, v in fixed.items()] + [v.alias(k) for k, v in values.items()]
+    return staged.select("device_id", "chunk_id", F.struct(*parts).alias("yamnet_preprocess"))
+
+
+def from_samples(pcm: DataFrame, rate: float = dsp.RATE) -> DataFrame:
+    """(device_id, dt_utc, chunk_id, raw, level, peak) of chunks (device_id, dt_utc, chunk_id, pcm); the high-pass remembers the chunk before."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        device, state, sos = None, None, dsp.highpass(HIGHPASS_ORDER, HIGHPASS_HZ, rate)
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                x = np.asarray(r.pcm, float)
+                if r.device_id != device:
+                    device, state = r.device_id, None
+                if state is None and len(x):
+                    state = dsp.settle(sos) * x[0]
+                y, state = dsp.run_filter(sos, x, state)
+                rms = lambda v: float(np.sqrt(np.mean(np.square(v)))) if len(v) else 0.0
+                dbfs = [20.0 * np.log10(max(v, EPSILON)) for v in (rms(y), dsp.subwindow_peak_rms(y, rate, SUBWINDOW_MS))]
+                out.append((r.device_id, r.dt_utc, r.chunk_id, *dbfs, float(np.abs(y).max(initial=0.0))))
+            yield pd.DataFrame(out, columns=["device_id", "dt_utc", "chunk_id", "raw", "level", "peak"])
 
+    rows = pcm.select("device_id", "dt_utc", "chunk_id", "pcm").repartition("device_id").sortWithinPartitions("device_id", "dt_utc", "chunk_id")
+    return rows.mapInPandas(run, "device_id string, dt_utc timestamp, chunk_id long, raw double, level double, peak double")
 
-def gate(rows: DataFrame) -> DataFrame:
-    """(device_id, chunk_id, gate_open, reason): each device's rows arrive sorted and stream through the fold batch by batch.
 
-    Only the fold's state is held, so a device with a third of all rows needs no more memory than another.
-    """
-    import pandas as pd
+def from_state(values: tuple | None) -> GateState:
+    """A state from the row that a stream keeps."""
+    return GateState(*values) if values else GateState()
 
-    def run(batches):
-        device, state = None, (False, 0)
-        for pdf in batches:
-            parts = []
-            for name, g in pdf.groupby((pdf["device_id"] != pdf["device_id"].shift()).cumsum(), sort=False):
-                first = g["device_id"].iloc[0]
-                if first != device:
-                    device, state = first, (False, 0)
-                opens, reasons, state = gate_rows(state, g["raw"], g["floor"], g["delta"], g["warm"])
-                parts.append(pd.DataFrame({"device_id": g["device_id"], "chunk_id": g["chunk_id"], "gate_open": opens, "reason": reasons}))
-            if parts:
-                yield pd.concat(parts)
-
-    ordered = rows.select("device_id", "dt_utc", "chunk_id", "raw", "floor", "delta", "warm").repartition("device_id").sortWithinPartitions("device_id", "dt_utc", "chunk_id")
-    return ordered.mapInPandas(run, "device_id string, chunk_id long, gate_open boolean, reason string")
-
-
-def smoothed_gain(rows: DataFrame, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
-    """Gain towards the target over the last rows that aren't gated, the current one included; needs ``gated`` and ``max_gain``."""
-    w = Window.partitionBy(*keys).orderBy("dt_utc", "chunk_id").rowsBetween(-(SMOOTH - 1), 0)
-    live = rows.filter(~F.col("gated"))
-    rms = F.avg(from_dbfs(F.col("raw"))).over(w)
-    gain = F.least(from_dbfs(F.lit(TARGET)) / F.greatest(rms, F.lit(1e-12)), from_dbfs(F.col("max_gain")))
-    return live.withColumn("smoothed", dbfs(rms)).withColumn("gain", gain)
+
+__all__ = ["GateState", "astuple", "floors", "from_samples", "from_state", "gate_rows", "levels", "metadata", "stage", "stage_rows"]

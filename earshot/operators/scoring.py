@@ -35,7 +35,7 @@ def comfort(chunks: DataFrame) -> DataFrame:
         grade, label = F.when(F.col("score") >= least, g).otherwise(grade), F.when(F.col("score") >= least, name).otherwise(label)
     has_day, has_night = F.col("l50_day_db").isNotNull(), F.col("l_night_db").isNotNull()
     cover = F.when(has_day & has_night, "full").when(has_day, "day only").when(has_night, "night only").otherwise("none")
-    return row.withColumn("grade", grade).withColumn("label", label).withColumn("coverage", cover).drop("_scale", "n")
+    return row.withColumn("grade", grade).withColumn("label", label).withColumn("coverage", cover).withColumn("insufficient", ~(has_day & has_night)).drop("_scale", "n")
 
 
 def badges(levels: DataFrame, peak: Column | None = None) -> DataFrame:
@@ -66,14 +66,65 @@ def who_check(levels: DataFrame) -> DataFrame:
     return levels.select("lnight_db", "lden_db", met[0].alias("night_met"), met[1].alias("day_met"), round_to(night - WHO_NIGHT).alias("night_delta"), round_to(day - WHO_DAY).alias("day_delta"), tone.alias("tone"))
 
 
+def experience(chunks: DataFrame, peak: Column | None = None) -> DataFrame:
+    """One row: period levels, badges, whether data are too few for a judgment, and the warning."""
+    from . import profiles
+
+    row = badges(profiles.period_levels(chunks) if peak is None else profiles.period_levels(chunks).crossJoin(chunks.agg(peak.alias("peak"))), None if peak is None else F.col("peak"))
+    night, day = F.col("lnight_db").isNotNull(), F.col("lday_db").isNotNull() | F.col("levening_db").isNotNull()
+    warning = F.when(~night, "no night").when(~day, "no day")
+    return row.withColumn("insufficient", ~(night & day)).withColumn("warning", warning)
+
+
 def resource_level(pct: Column, warn: float, critical: float) -> Column:
     """ok, warn or critical."""
     return F.when(pct.isNull(), "unknown").when(pct >= critical, "critical").when(pct >= warn, "warn").otherwise("ok")
 
 
+# Warning and critical bounds of a host's resources.
+CPU, MEMORY, TEMPERATURE, PING = (70.0, 90.0), (75.0, 90.0), (70.0, 80.0), (80.0, 200.0)
+WIFI, DISK_GIB, DISK_PCT = (-60.0, -70.0), (4.0, 1.0), (20.0, 10.0)
+
+
+def wifi_level(dbm: Column) -> Column:
+    return F.when(dbm.isNull(), "unknown").when(dbm < WIFI[1], "critical").when(dbm < WIFI[0], "warn").otherwise("ok")
+
+
+def wifi_pct(dbm: Column) -> Column:
+    """Signal strength of -90 to -30 dBm as 0 to 100."""
+    return round_to(clamp((dbm + F.lit(90.0)) / F.lit(60.0) * F.lit(100.0), 0.0, 100.0))
+
+
+def ping_level(ms: Column, ok: Column) -> Column:
+    return F.when(~F.coalesce(ok, F.lit(False)) | ms.isNull(), "critical").otherwise(resource_level(ms, *PING))
+
+
+def disk_level(free: Column, total: Column) -> Column:
+    """By free bytes and their share; a disk of no size has none."""
+    gib, pct = free / F.lit(float(1 << 30)), F.when(total > 0, F.lit(100.0) * free / total).otherwise(F.lit(0.0))
+    return F.when((gib < DISK_GIB[1]) | (pct < DISK_PCT[1]), "critical").when((gib < DISK_GIB[0]) | (pct < DISK_PCT[0]), "warn").otherwise("ok")
+
+
+def overall_level(*levels: Column) -> Column:
+    """The worst of several; unknown counts as ok."""
+    has = lambda name: F.lit(False) if not levels else F.array_contains(F.array(*levels), name)
+    return F.when(has("critical"), "critical").when(has("warn"), "warn").otherwise("ok")
+
+
+# What the bits of a throttle mask mean, now from bit 0 on and since the start from bit 16 on.
+THROTTLE = ("under_voltage", "freq_capped", "throttled", "soft_temp_limit")
+
+
 def throttle_flags(mask: Column) -> Column:
     """Levels of a throttle bit mask: bits 0 to 3 tell of now, bits 16 to 19 of before."""
     return F.when(mask.bitwiseAND(F.lit(0xF)) > 0, "critical").when(mask.bitwiseAND(F.lit(0xF0000)) > 0, "warn").otherwise("ok")
 
 
-__all__ = ["badges", "comfort", "percentile", "resource_level", "throttle_flags", "who_check"]
+def throttle_names(mask: Column, since_start: bool = False) -> Column:
+    """Which conditions a mask tells of, now or since the start."""
+    shift = 16 if since_start else 0
+    names = [F.when(mask.bitwiseAND(F.lit(1 << (k + shift))) > 0, F.lit(n)) for k, n in enumerate(THROTTLE)]
+    return F.array_compact(F.array(*names))
+
+
+__all__ = ["badges", "comfort", "disk_level", "experience", "overall_level", "percentile", "ping_level", "resource_level", "throttle_flags", "throttle_names", "who_check", "wifi_level", "wifi_pct"]

@@ -1,8 +1,8 @@
 """Acoustic events, label spans and chart samples: operators over row order.
 
 Global order without a partition key would put all rows into one task.  Rows
-are therefore ordered within days, one small row for each day carries counts
-and the last active row forward, and each day starts from what it is handed.
+are therefore ordered within hours, one small row for each hour carries counts
+and the last active row forward, and each hour starts from what it is handed.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from .votes import macro_of, with_themes, with_votes
 def numbered(rows: DataFrame, keys: list[str] | None = None, order: tuple[str, ...] = ("dt_utc", "chunk_id")) -> DataFrame:
     """``rows`` with ``rn`` (from 1, over all rows or by ``keys``) and ``n`` (their number)."""
     keys = keys or []
-    day = rows.withColumn("_day", F.to_date("dt_utc"))
-    local = Window.partitionBy(*keys, "_day").orderBy(*order)
-    sizes = day.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
-    over = Window.partitionBy(*keys).orderBy("_day") if keys else Window.orderBy("_day")
+    day = rows.withColumn("_slice", F.date_trunc("hour", "dt_utc"))
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    sizes = day.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    sizes = sizes.select(*keys, "_day", (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n"))
-    joined = day.withColumn("_rn", F.row_number().over(local)).join(F.broadcast(sizes) if not keys else sizes, [*keys, "_day"])
+    sizes = sizes.select(*keys, "_slice", (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n"))
+    joined = day.withColumn("_rn", F.row_number().over(local)).join(sizes, [*keys, "_slice"])
     return joined.withColumn("rn", F.col("_rn") + F.col("_before")).drop("_rn", "_before")
 
 
@@ -33,28 +33,36 @@ def members(chunks: DataFrame, threshold: Column, labels: LabelMap) -> DataFrame
     gap = labels.max_gap
     rows = numbered(chunks).withColumn("active", F.col("dba") >= threshold)
     on = F.when(F.col("active"), F.col("rn"))
-    local = Window.partitionBy("_day").orderBy("rn")
+    local = Window.partitionBy("_slice").orderBy("rn")
     rows = rows.withColumn("_prev", F.last(on, True).over(local.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_last", F.last(on, True).over(local))
-    days = rows.groupBy("_day").agg(F.max(on).alias("_on"))
-    carried = days.select("_day", F.max("_on").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    rows = rows.join(F.broadcast(carried), "_day")  # a row for each day
+    days = rows.groupBy("_slice").agg(F.max(on).alias("_on"))
+    carried = days.select("_slice", F.max("_on").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    rows = rows.join(carried, "_slice")
     rows = rows.withColumn("_prev", F.coalesce("_prev", "_carry")).withColumn("_last", F.coalesce("_last", "_carry"))
     start = F.col("active") & (F.col("_prev").isNull() | (F.col("rn") - F.col("_prev") - 1 > gap))
     rows = rows.withColumn("_start", start.cast("int")).withColumn("_local", F.sum("_start").over(local))
-    starts = rows.groupBy("_day").agg(F.sum("_start").alias("_s"))
-    starts = starts.select("_day", (F.sum("_s").over(Window.orderBy("_day")) - F.col("_s")).alias("_ahead"))
-    rows = rows.join(F.broadcast(starts), "_day").withColumn("event", F.col("_local") + F.col("_ahead"))
+    starts = rows.groupBy("_slice").agg(F.sum("_start").alias("_s"))
+    starts = starts.select("_slice", (F.sum("_s").over(Window.orderBy("_slice")) - F.col("_s")).alias("_ahead"))
+    rows = rows.join(starts, "_slice").withColumn("event", F.col("_local") + F.col("_ahead"))
     rows = rows.filter((F.col("event") > 0) & (F.col("rn") - F.col("_last") <= gap))
     by = Window.partitionBy("event")
     rows = rows.withColumn("first_rn", F.min("rn").over(by)).withColumn("_l", F.max(on).over(by))
     closed = F.col("n") - F.col("_l") > gap
     rows = rows.withColumn("end_rn", F.when(closed, F.col("_l") + gap).otherwise(F.col("_l"))).filter("rn <= end_rn")
-    return rows.drop("_prev", "_last", "_carry", "_start", "_local", "_ahead", "_l", "_day")
+    return rows.drop("_prev", "_last", "_carry", "_start", "_local", "_ahead", "_l", "_slice")
 
 
-def acoustic_events(chunks: DataFrame, labels: LabelMap = LabelMap(), threshold: Column | None = None, rules=THEME_RULES) -> DataFrame:
-    """One row for each event: bounds, duration, levels, the label that most chunks vote for, and its macro."""
-    rows = members(with_votes(chunks, labels, rules), F.lit(labels.threshold) if threshold is None else threshold, labels)
+def acoustic_events(chunks: DataFrame, labels: LabelMap = LabelMap(), threshold: DataFrame | None = None, rules=THEME_RULES) -> DataFrame:
+    """One row for each event: bounds, duration, levels, the label that most chunks vote for, and its macro.
+
+    ``threshold`` is a table of one row, as ``l90_threshold`` gives; without it the label map's counts.
+    """
+    voted = with_votes(chunks, labels, rules)
+    if threshold is None:
+        voted = voted.withColumn("_threshold", F.lit(labels.threshold))
+    else:
+        voted = voted.crossJoin(F.broadcast(threshold.select(F.col("threshold").alias("_threshold"))))  # one row
+    rows = members(voted, F.col("_threshold"), labels)
     per = rows.groupBy("event").agg(
         F.min("dt_utc").alias("start"), F.max("dt_utc").alias("end"), F.count("*").alias("chunk_count"), F.min("rn").alias("start_rn"),
         F.max("dba").alias("max_dba"), F.max("lafmax").alias("max_lafmax"), leq(F.col("dba")).alias("leq_db"),
@@ -70,11 +78,12 @@ def acoustic_events(chunks: DataFrame, labels: LabelMap = LabelMap(), threshold:
     return out.select("start_rn", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start_utc"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end_utc"), round_to(duration, 2).alias("duration_s"), "chunk_count", "max_dba", "max_lafmax", "leq_db", "dominant", "resolved", "macro")
 
 
-def l90_threshold(chunks: DataFrame, offset: float = 5.0) -> DataFrame:
-    """One row: the selection's quiet floor plus an offset."""
+def l90_threshold(chunks: DataFrame, offset: float = 5.0, default: float = LabelMap().threshold) -> DataFrame:
+    """One row: the selection's quiet floor plus an offset, two decimals; the default where there is no level."""
     from ..functions.acoustics import percentile
 
-    return chunks.agg((percentile(F.col("dba"), 10) + F.lit(offset)).alias("threshold"))
+    floor = chunks.agg(percentile(F.col("dba"), 10).alias("l90_db"))
+    return floor.select("l90_db", round_to(F.coalesce(F.col("l90_db") + F.lit(offset), F.lit(float(default))), 2).alias("threshold"))
 
 
 def label_spans(chunks: DataFrame, min_confidence: float = 0.25, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
@@ -89,7 +98,7 @@ def label_spans(chunks: DataFrame, min_confidence: float = 0.25, keys: tuple[str
 
 def change_markers(spans: DataFrame) -> DataFrame:
     """Where each span starts."""
-    return spans.select("device_id", "label", F.col("t0").alias("t"), F.col("height").alias("dba"))
+    return spans.select("device_id", "label", F.col("t0").alias("t"), F.col("height").alias("dba"), "confidence")
 
 
 def downsample(chunks: DataFrame, most: int = 1500) -> DataFrame:
@@ -99,7 +108,12 @@ def downsample(chunks: DataFrame, most: int = 1500) -> DataFrame:
     pick = F.max_by(F.struct(*rows.columns), F.struct("dba", "lafmax", -F.col("rn")))
     few = rows.filter(F.col("n") <= most) if most >= 2 else rows
     many = rows.filter(F.col("n") > most).groupBy(stretch.alias("_b")).agg(pick.alias("_r")).select("_r.*") if most >= 2 else rows.limit(0)
-    return few.unionByName(many).drop("_day")
+    return few.unionByName(many).drop("_slice")
+
+
+def inspect_marks(chunks: DataFrame, centre: str, seconds: int = 120, min_confidence: float = 0.0) -> DataFrame:
+    """Label spans of the rows of a window alone: a span that reaches beyond it is cut."""
+    return label_spans(inspect_window(chunks, centre, seconds), min_confidence)
 
 
 def inspect_window(chunks: DataFrame, centre: str, seconds: int = 120) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.acoustics import leq, level_percentiles, octave_edges, round_to
 from ..operators import capture, dsp, embed, gate, overview, peaks, profiles, scoring, segment, votes
-from ..sources.events import chunks
+from ..sources import events
+from ..sources.events import chunks, telemetry
 from ..sources.labels import theme_of
 
 #: About fourteen rows an hour in the smallest tables: the coverage rule is a parameter.
@@ -80,7 +81,16 @@ def time_budget_period(spark: SparkSession, d: str) -> DataFrame:
 
 
 def time_budget_hourly(spark: SparkSession, d: str) -> DataFrame:
-    return _budget(spark, d, [F.hour("dt_local").alias("hour")])
+    rows = profiles.hourly_budget(votes.with_votes(chunks(spark, d)), 12 * 0.975)
+    return rows.select(_stamp("hour"), "category", "place", "chunks", "seconds", "pct", "seconds_total", "is_gap", "gap_hours", "gap", "label", "period")
+
+
+def chart_categories(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.categories(votes.with_votes(chunks(spark, d)))
+
+
+def total_duration(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.total_seconds(chunks(spark, d))
 
 
 def acoustic_events(spark: SparkSession, d: str) -> DataFrame:
@@ -93,8 +103,8 @@ def acoustic_events_top(spark: SparkSession, d: str) -> DataFrame:
 
 def events_l90_threshold(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d)
-    threshold = segment.l90_threshold(c).first()["threshold"]
-    return segment.acoustic_events(c, threshold=F.lit(threshold)).select("start_rn", "chunk_count", "max_dba", "leq_db", F.lit(threshold).alias("threshold"))
+    threshold = segment.l90_threshold(c)
+    return segment.acoustic_events(c, threshold=threshold).select("start_rn", "chunk_count", "max_dba", "leq_db").crossJoin(threshold)  # one row
 
 
 def sound_diet(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +116,7 @@ def label_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_markers(spark: SparkSession, d: str) -> DataFrame:
-    return segment.change_markers(segment.label_spans(chunks(spark, d))).select("device_id", "label", _stamp("t"), "dba")
+    return segment.change_markers(segment.label_spans(chunks(spark, d))).select("device_id", "label", _stamp("t"), "dba", "confidence")
 
 
 def downsample_points(spark: SparkSession, d: str) -> DataFrame:
@@ -117,6 +127,10 @@ def inspect_window(spark: SparkSession, d: str) -> DataFrame:
     return segment.inspect_window(chunks(spark, d), CENTRE, 900).select("chunk_id", "device_id", "dba", "top_label")
 
 
+def inspect_marks(spark: SparkSession, d: str) -> DataFrame:
+    return segment.inspect_marks(chunks(spark, d), CENTRE, 900).select("device_id", "label", _stamp("t0"), _stamp("t1"), "height", "confidence", "rows")
+
+
 def top_disturbances(spark: SparkSession, d: str) -> DataFrame:
     return peaks.spaced_peaks(chunks(spark, d)).drop("us")
 
@@ -127,7 +141,36 @@ def peak_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overview_summary(spark: SparkSession, d: str) -> DataFrame:
-    return overview.summary(chunks(spark, d))
+    return overview.summary(telemetry(spark, d))
+
+
+def overview_identity(spark: SparkSession, d: str) -> DataFrame:
+    return overview.identity(telemetry(spark, d)).select("source_file", "first_device", "first_recording", _stamp("started_at"), _stamp("ended_at"), "heavy_ml")
+
+
+def overview_labels(spark: SparkSession, d: str) -> DataFrame:
+    return overview.label_lists(telemetry(spark, d))
+
+
+def recordings_catalog(spark: SparkSession, d: str) -> DataFrame:
+    return events.catalog(telemetry(spark, d)).select("name", "lines", "started", "duration_s", "duration", "heavy_ml", _stamp("modified"))
+
+
+def recording_bounds(spark: SparkSession, d: str) -> DataFrame:
+    edge = events.bounds(chunks(spark, d).select("source_file", "dt_utc", "chunk_id", "dba", "top_label"))
+    return edge.select("source_file", *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("first", "last") for c in ("chunk_id", "dba", "top_label")])
+
+
+def status_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return events.status(telemetry(spark, d), F.to_timestamp(F.lit("2024-02-01 00:00:00"))).withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def stored_events(spark: SparkSession, d: str) -> DataFrame:
+    t = telemetry(spark, d)
+    prediction = F.array(F.struct(F.col("top_label").alias("label"), F.col("top_confidence").alias("confidence")))
+    rows = t.withColumn("predictions", F.when(F.col("chunk_id") % 11 == 0, F.array().cast("array<struct<label:string,confidence:double>>")).otherwise(prediction))
+    rows = rows.withColumn("rms_unweighted", F.pow(F.lit(10.0), (F.col("dba") - 120.0) / 20.0)).withColumn("rms_a_weighted", F.col("rms_unweighted") / 2).withColumn("predictions", F.col("predictions"))
+    return events.build_events(rows).select("device_id", "created_at", "chunk_index", "recording_id", "rms_unweighted", "dBA_spl", "top_label", "top_confidence", "LAFmax_dB")
 
 
 def top_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -148,21 +191,47 @@ def who_check(spark: SparkSession, d: str) -> DataFrame:
     return scoring.who_check(profiles.period_levels(chunks(spark, d)))
 
 
-def _ambient(spark: SparkSession, d: str) -> DataFrame:
-    return gate.ambient(gate.levels(chunks(spark, d)))
+def _staged(spark: SparkSession, d: str) -> DataFrame:
+    return gate.stage(gate.levels(chunks(spark, d)))
 
 
 def ambient_floor(spark: SparkSession, d: str) -> DataFrame:
-    a = _ambient(spark, d)
-    return a.select("chunk_id", round_to(F.col("floor"), 6).alias("floor"), round_to(F.col("delta"), 6).alias("delta"), round_to(F.col("max_gain"), 6).alias("max_gain"), "warm")
+    return _staged(spark, d).select("chunk_id", round_to(F.col("floor"), 6).alias("floor"), round_to(F.nanvl("delta", F.lit(None)), 6).alias("delta"), round_to(F.col("max_gain"), 6).alias("max_gain"), "warm")
 
 
 def gate_state(spark: SparkSession, d: str) -> DataFrame:
-    return gate.gate(_ambient(spark, d))
+    return _staged(spark, d).select("device_id", "chunk_id", "gate_open", "reason", "streak")
 
 
 def gain_smoothing(spark: SparkSession, d: str) -> DataFrame:
-    return gate.smoothed_gain(_ambient(spark, d)).select("chunk_id", round_to(F.col("smoothed"), 6).alias("smoothed_dbfs"), round_to(F.col("gain"), 4).alias("gain"))
+    rows = _staged(spark, d)
+    return rows.select("chunk_id", "gate_open", round_to(F.col("smoothed"), 6).alias("smoothed_dbfs"), round_to(F.col("gain"), 4).alias("gain"))
+
+
+def gate_metadata(spark: SparkSession, d: str) -> DataFrame:
+    m = gate.metadata(_staged(spark, d))
+    names = ("ambient_noise_floor_dbfs", "silence_gate_open_dbfs", "gate_level_dbfs", "raw_rms_dbfs", "ambient_sample_count", "gated", "gate_open_reason")
+    return m.select("chunk_id", *[F.col(f"yamnet_preprocess.{n}").alias(n) for n in names])
+
+
+def capture_onsets(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d)
+    rows = c.join(_staged(spark, d).select("device_id", "chunk_id", "gate_open", "raw", "floor"), ["device_id", "chunk_id"])
+    return capture.onsets(rows)
+
+
+def _armed(c: DataFrame) -> DataFrame:
+    return c.filter((F.col("top_label") == "Vehicle") & (F.col("dba") >= 70))
+
+
+def lookback_rows(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d)
+    return capture.lookback(c, _armed(c))
+
+
+def fixed_capture_fill(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d)
+    return capture.fixed_fill(c, _armed(c))
 
 
 def arm_cooldown(spark: SparkSession, d: str) -> DataFrame:
@@ -171,8 +240,7 @@ def arm_cooldown(spark: SparkSession, d: str) -> DataFrame:
 
 def fixed_capture_windows(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d)
-    armed = c.filter((F.col("top_label") == "Vehicle") & (F.col("dba") >= 70))
-    return capture.fixed_windows(c, armed, 1800.0, 1800.0).groupBy("device_id", "armed_id").agg(F.count("*").alias("rows"), F.sum("chunk_id").alias("ids"))
+    return capture.fixed_windows(c, _armed(c), 1800.0, 1800.0).groupBy("device_id", "armed_id").agg(F.count("*").alias("rows"), F.sum("chunk_id").alias("ids"))
 
 
 def zero_shot_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -219,6 +287,29 @@ def resource_levels(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(scoring.resource_level(F.col("value"), 75.0, 90.0).alias("level"), scoring.throttle_flags(F.col("event_id") * 4099).alias("throttle")).agg(F.count("*").alias("rows"))
 
 
+def host_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of a host's resources, made from the table's values."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    v = F.col("value")
+    free, total = v * F.lit(float(1 << 28)), F.lit(float(1 << 34))
+    rows = e.select(
+        "event_id", scoring.wifi_level(-v).alias("wifi"), scoring.wifi_pct(-v).alias("wifi_pct"), scoring.ping_level(v, F.col("event_type") != "error").alias("ping"), scoring.disk_level(free, total).alias("disk"),
+        scoring.resource_level(v, *scoring.CPU).alias("cpu"), scoring.resource_level(v, *scoring.TEMPERATURE).alias("temperature"),
+        F.array_join(scoring.throttle_names(F.col("event_id") * 4099), ",").alias("now"), F.array_join(scoring.throttle_names(F.col("event_id") * 4099, True), ",").alias("since_start"),
+    )
+    return rows.withColumn("overall", scoring.overall_level(*map(F.col, ("wifi", "ping", "disk", "cpu", "temperature"))))
+
+
+def value_formats(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d)
+    n = F.col("chunk_id") % 400
+    return c.select("chunk_id", text.timeout_label((n % 30).cast("double"), (n % 61).cast("double")).alias("timeout"), text.level_label(F.col("dba"), 1).alias("level"), text.hour_label(F.date_trunc("hour", "dt_local")).alias("hour_label"), text.day_label(F.col("dt_local")).alias("day_label"), text.utc_iso(F.col("dt_utc")).alias("iso"), text.recording_name(F.col("dt_utc")).alias("recording"))
+
+
+def lived_experience(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.experience(chunks(spark, d)).select("lden_db", "sleep_badge", "office_badge", "baby_badge", "insufficient", "warning")
+
+
 def spectrum_bands(spark: SparkSession, d: str) -> DataFrame:
     return dsp.spectra(dsp.tones(chunks(spark, d)))
 
@@ -230,7 +321,8 @@ def mel_features(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         hourly_timeline, hourly_timeline_gaps, typical_day, leq_by_device, recording_summary, location, lden, vote_labels, theme_catalog,
-        time_budget_total, time_budget_period, time_budget_hourly, acoustic_events, acoustic_events_top, events_l90_threshold, sound_diet, label_spans,
+        time_budget_total, time_budget_period, time_budget_hourly, chart_categories, total_duration, inspect_marks, overview_identity, overview_labels, recordings_catalog, recording_bounds,
+        status_snapshot, stored_events, gate_metadata, capture_onsets, lookback_rows, fixed_capture_fill, host_levels, value_formats, lived_experience, acoustic_events, acoustic_events_top, events_l90_threshold, sound_diet, label_spans,
         change_markers, downsample_points, inspect_window, top_disturbances, peak_snippets, overview_summary, top_labels, comfort_rating, indoor_badges,
         who_check, ambient_floor, gate_state, gain_smoothing, arm_cooldown, fixed_capture_windows, zero_shot_topk, embedding_quality, frame_spans,
         json_props, export_projection, label_formats, octave_bands, resource_levels, spectrum_bands, mel_features,

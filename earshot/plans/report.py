@@ -24,23 +24,23 @@ def build(chunks: DataFrame, labels: LabelMap = LabelMap(), site: str | None = N
     """Zones A (levels), B (profiles) and C (composition) and the briefing; the chunks are read once and cached."""
     chunks = chunks.cache()
     try:
-        threshold = None if l90_offset is None else F.lit(segment.l90_threshold(chunks, l90_offset).first()["threshold"])
+        threshold = None if l90_offset is None else segment.l90_threshold(chunks, l90_offset, labels.threshold)
         voted = votes.with_votes(chunks, labels)
         events = segment.acoustic_events(chunks, labels, threshold)
         top = peaks.spaced_peaks(chunks)
         levels = _rows(chunks.agg(leq(F.col("dba")).alias("leq_db"), *level_percentiles(), F.count("*").alias("chunks")))[0]
         anchor = chunks.sparkSession.createDataFrame([(levels["l50_db"] if levels["l50_db"] is not None else levels["leq_db"],)], "v double").select(level_anchor(F.col("v"))).first()[0]
         periods = profiles.period_levels(chunks)
-        peak = top.agg(F.max("level").alias("peak"))
         zone_a = levels | {
-            "leq_context": anchor, "location": profiles.location(chunks, site).first()[0], "recordings": profiles.recording_summary(chunks).count(), "top_disturbances": _rows(top.drop("us")),
-            "comfort_rating": next(iter(_rows(scoring.comfort(chunks))), None), "lived_experience": _rows(scoring.badges(periods.crossJoin(peak), F.col("peak")))[0], "guideline": _rows(scoring.who_check(periods))[0],
+            "leq_context": anchor, "location": profiles.location(chunks, site).first()[0], "total": _rows(profiles.total_seconds(chunks))[0], "top_disturbances": _rows(top.drop("us")),
+            "comfort_rating": next(iter(_rows(scoring.comfort(chunks))), None), "lived_experience": _rows(scoring.experience(chunks, F.max(F.coalesce("lafmax", "dba"))))[0], "guideline": _rows(scoring.who_check(periods))[0],
         }
         zone_b = {"typical_day": _rows(profiles.typical_day(chunks).orderBy("hour")), "timeline": _rows(profiles.with_gaps(profiles.timeline(chunks, covered_s)).orderBy("hour"))}
         period = F.when(is_night(F.hour("dt_local")), "night").otherwise("day").alias("period")
         zone_c = {
-            "sound_diet": _rows(profiles.sound_diet(events)), "time_budget": _rows(profiles.time_budget(voted, [])),
-            "time_budget_period": _rows(profiles.time_budget(voted, [period])), "time_budget_hourly": _rows(profiles.time_budget(voted, [F.hour("dt_local").alias("hour")])),
+            "sound_diet": _rows(profiles.sound_diet(events)), "categories": [r["category"] for r in _rows(profiles.categories(voted, labels).orderBy("place"))],
+            "time_budget": _rows(profiles.time_budget(voted, [], labels).orderBy("place")), "time_budget_period": _rows(profiles.time_budget(voted, [period], labels).orderBy("period", "place")),
+            "time_budget_hourly": _rows(profiles.hourly_budget(voted, covered_s, labels).orderBy("hour", "place")),
             "events": _rows(events.orderBy(F.col("duration_s").desc(), F.col("max_dba").desc(), "start_rn").limit(12)),
         }
         return {"zone_a": zone_a, "zone_b": zone_b, "zone_c": zone_c, "takeaway": takeaway(zone_a, zone_b, zone_c)}
@@ -49,15 +49,17 @@ def build(chunks: DataFrame, labels: LabelMap = LabelMap(), site: str | None = N
 
 
 def stream(load: Callable[[], DataFrame], **options: Any) -> Iterator[dict[str, Any]]:
-    """Progress and then the report, or what went wrong."""
+    """Progress and then the report, or what went wrong; too little memory is told apart."""
     yield {"stage": "start"}
     try:
         yield {"stage": "loading"}
         rows = load()
+        yield {"stage": "loaded", "chunks": rows.count()}
         yield {"stage": "aggregating"}
         yield {"stage": "done", "report": build(rows, **options)}
     except Exception as e:  # noqa: BLE001 - the caller gets the error as a line
-        yield {"stage": "error", "message": str(e)[:500]}
+        short = isinstance(e, MemoryError) or "OutOfMemoryError" in str(e)
+        yield {"stage": "error", "code": "oom" if short else "failed", "message": str(e)[:500]}
 
 
 def day_band(hours: list[dict[str, Any]], within: float = 3.0) -> tuple[int, int] | None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.acoustics import CHUNK_SECONDS, round_to
+from ..functions.text import duration_label, utc_iso
 
 PREDICTION = "struct<label:string,confidence:double>"
 #: The columns of a stored event that analyses read.
@@ -44,6 +48,19 @@ def read_jsonl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parsed.select("source_file", "raw", *cols)
 
 
+#: Columns that a report reads.
+REPORT_COLUMNS = ("device_id", "created_at", "dBA_spl", "LAFmax_dB", "top_label", "top_confidence", "yamnet_preprocess", "clap_status")
+
+
+def read_for_report(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The columns of a report alone: a narrow schema, so the JSON reader skips spectra and the like; malformed lines are skipped."""
+    kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(EVENT_DDL).fields}
+    kinds["yamnet_preprocess"] = "struct<gated:boolean>"
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in REPORT_COLUMNS)
+    rows = spark.read.schema(f"{ddl}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(paths)
+    return rows.select(F.col("_metadata.file_name").alias("source_file"), *REPORT_COLUMNS, "_bad").filter(F.col("_bad").isNull()).drop("_bad")
+
+
 def parse_created(created: Column) -> Column:
     """ISO-8601 to a timestamp; without a zone it is UTC, malformed is null."""
     return F.try_to_timestamp(F.trim(created))
@@ -78,6 +95,29 @@ def chunks(spark: SparkSession, sf_dir: str, zone: str = "Europe/Amsterdam") ->
     return out.withColumn("dt_local", F.from_utc_timestamp("dt_utc", zone)).withColumn("source_file", F.concat("device_id", F.lit(".jsonl"))).withColumn("clap_status", F.lit(None).cast("string"))
 
 
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks with the fields of gate, captures and detector, made from the table's columns."""
+    c = chunks(spark, sf_dir)
+    i = F.col("chunk_id")
+    captured = F.when(i % 5 == 0, F.when(F.col("gated"), "gated").otherwise("triggered"))
+    detected = F.when(
+        i % 7 == 0,
+        F.struct(
+            F.when(F.col("gated"), "gated").otherwise("triggered").alias("status"), F.lit(10.0).alias("event_seconds"), F.col("top_label"), F.col("top_confidence"),
+            F.when(i % 2 == 0, F.array(*[F.struct(F.lit(n).alias("label"), F.col("top_confidence").alias("clip_confidence")) for n in ("Car", "Wind")])).alias("labels"),
+        ),
+    )
+    out = c.withColumn("gate_open", ~F.col("gated") & (i % 3 != 0)).withColumn("clap_status", captured).withColumn("clap_top_label", F.when(captured == "triggered", F.concat(F.lit("a "), F.lower("top_label"))))
+    return out.withColumn("dasm", detected).withColumn("recording_id", F.concat(F.col("device_id"), F.lit("-r"))).withColumn("chunk_index", (F.row_number().over(Window.partitionBy("source_file").orderBy("dt_utc", "chunk_id")) - 1).cast("int"))
+
+
+def bounds(events: DataFrame, order: Column | None = None) -> DataFrame:
+    """First and last event of each recording as structs, by time where no order is given."""
+    order = F.struct("dt_utc", "chunk_id") if order is None else order
+    whole = F.struct(*[c for c in events.columns if c != "source_file"])
+    return events.groupBy("source_file").agg(F.min_by(whole, order).alias("first"), F.max_by(whole, order).alias("last"))
+
+
 def recordings(events: DataFrame) -> DataFrame:
     """A row for each file: lines, first and last time, seconds, and which heavy model ran."""
     t = parse_created(F.col("created_at"))
@@ -85,6 +125,60 @@ def recordings(events: DataFrame) -> DataFrame:
     return events.groupBy("source_file").agg(F.count("*").alias("lines"), F.min(t).alias("started"), F.max(t).alias("ended"), (F.count("*") * F.lit(CHUNK_SECONDS)).alias("seconds"), heavy.alias("heavy_ml"))
 
 
+def catalog(events: DataFrame, files: DataFrame | None = None, zone: str = "Europe/Amsterdam") -> DataFrame:
+    """Recordings, newest first: lines, start (local, with the zone's name), seconds, heavy model, and size and audio of ``files``.
+
+    ``events`` has source_file, chunk_index, dt_utc, clap_status and dasm; the
+    last chunk_index counts lines where it is known.  ``files`` is (name, bytes,
+    modified) of the folder, audio files too.
+    """
+    heavy = F.when(F.bool_or(F.col("dasm").isNotNull()), "dasm").when(F.bool_or(F.col("clap_status").isNotNull()), "clap").otherwise("off")
+    last = F.max_by("chunk_index", "dt_utc")
+    per = events.groupBy(F.col("source_file").alias("name")).agg(F.count("*").alias("rows"), last.alias("last_index"), F.min("dt_utc").alias("started"), F.max("dt_utc").alias("ended"), heavy.alias("heavy_ml"))
+    if files is None:
+        per = per.withColumns({"bytes": F.lit(None).cast("long"), "modified": F.col("ended"), "audio": F.lit(None).cast("string")})
+    else:
+        per = with_audio(files.filter(F.lower("name").endswith(".jsonl")).join(per, "name", "left"), files.select("name"))
+    lines = F.coalesce(F.when(F.col("last_index") >= 0, F.col("last_index") + 1), F.col("rows"), F.lit(0)).cast("long")
+    seconds = F.floor((F.unix_micros("ended") - F.unix_micros("started")) / F.lit(1e6))
+    seconds = F.when((seconds == 0) & (lines >= 1), 1).otherwise(seconds).cast("long")
+    start = F.from_utc_timestamp(F.coalesce("started", "modified"), zone)
+    # Summer time moves the local clock; the zone's offset tells its name.
+    offset = F.unix_seconds(start) - F.unix_seconds(F.coalesce("started", "modified"))
+    name = F.format_string("UTC%+d", (offset / 3600).cast("int"))
+    for at in (datetime(2024, 1, 1, tzinfo=ZoneInfo(zone)), datetime(2024, 7, 1, tzinfo=ZoneInfo(zone))):
+        name = F.when(offset == int(at.utcoffset().total_seconds()), at.tzname()).otherwise(name)
+    label = F.concat(F.date_format(start, "yyyy-MM-dd HH:mm"), F.lit(" "), name)
+    out = per.select("name", "bytes", lines.alias("lines"), label.alias("started"), seconds.alias("duration_s"), duration_label(seconds).alias("duration"), F.coalesce("heavy_ml", F.lit("off")).alias("heavy_ml"), "audio", "modified")
+    return out.orderBy(F.col("modified").desc(), "name")
+
+
+def status(events: DataFrame, now: Column | None = None) -> DataFrame:
+    """A snapshot of each recording in progress: rows so far, last label and level, when it began and how long ago."""
+    edge = bounds(events)
+    now = F.current_timestamp() if now is None else now
+    index = F.col("last.chunk_index")
+    return edge.select(
+        "source_file", (F.coalesce(index, F.lit(-1)) + 1).cast("long").alias("chunk_count"), F.col("last.top_label").alias("last_label"), F.col("last.dba").alias("last_dba"), F.col("first.dt_utc").alias("started_at"),
+        F.floor((F.unix_micros(now) - F.unix_micros("first.dt_utc")) / F.lit(1e6)).cast("long").alias("elapsed_s"), F.coalesce("last.recording_id", "first.recording_id").alias("recording_id"),
+    )
+
+
+def build_events(rows: DataFrame, model: str = "yamnet", version: str = "1") -> DataFrame:
+    """Measured rows (levels, predictions and optional structs) as stored events: rounded, with their top label, absent parts left out.
+
+    Null fields are not written to JSON, so optional parts need no other shape.
+    """
+    top = F.get("predictions", F.lit(0))
+    has = set(rows.columns)
+    optional = [F.col(c) for c in ("spectrum", "yamnet_preprocess", "clap_status", "clap_predictions", "clap_top_label", "clap_top_confidence", "clap_meta", "dasm") if c in has]
+    return rows.select(
+        "device_id", utc_iso(F.col("dt_utc")).alias("created_at"), "chunk_index", "recording_id", F.round("rms_unweighted", 8).alias("rms_unweighted"), F.round("rms_a_weighted", 8).alias("rms_a_weighted"),
+        F.round("dba", 1).alias("dBA_spl"), F.coalesce(top["label"], F.lit("n/a")).alias("top_label"), F.coalesce(top["confidence"], F.lit(0.0)).alias("top_confidence"), "predictions",
+        F.lit(model).alias("model_name"), F.lit(version).alias("model_version"), F.round("lafmax", 1).alias("LAFmax_dB"), *optional,
+    )
+
+
 def export(events: DataFrame, path: str, spectrum: bool = True, gate: bool = True) -> None:
     """JSON Lines with or without the bulky fields."""
     dropped = [c for c, keep in (("spectrum", spectrum), ("yamnet_preprocess", gate)) if not keep]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +37,8 @@ BLACKLIST_LABELS = (
 BLACKLIST_THEMES = ("Domestic / interior",)
 HISS_LABELS = ("Wind", "White noise", "Mechanical fan")
 HISS_TARGET, HISS_ABOVE = "Vehicle / Tire Rolling", 52.0
-#: A short default of theme rules, first match wins; the full table is read by ``load_theme_rules``.
+# Some keywords of the first rules that a label meets; the whole table of keywords is a
+# file that ``load_theme_rules`` reads.
 THEME_RULES = (
     ("Human voice", ("speech", "conversation", "shout", "whisper")),
     ("Human non-speech", ("laughter", "crying", "breathing", "cough", "footsteps")),
@@ -110,6 +111,20 @@ def theme_of(labels: DataFrame, rules=THEME_RULES) -> DataFrame:
     return labels.withColumn("theme", theme)
 
 
+def theme_catalog(classes: DataFrame, rules=THEME_RULES) -> DataFrame:
+    """Per class (index, mid, display_name) its theme: the catalog that votes look labels up in."""
+    return theme_of(classes, rules)
+
+
+def with_catalog(chunks: DataFrame, catalog: DataFrame, name: str = "top_label") -> DataFrame:
+    """``chunks`` with the theme that a catalog (display_name, theme) has for a label column, null where it has none.
+
+    Class names are some hundreds, so Catalyst broadcasts the catalog by its size.
+    """
+    themes = catalog.groupBy(F.col("display_name").alias(name)).agg(F.min("theme").alias("theme"))
+    return chunks.drop("theme").join(themes, name, "left")
+
+
 @dataclass(frozen=True)
 class TriggerConfig:
     """When a capture is armed and how it ends."""
@@ -123,12 +138,71 @@ class TriggerConfig:
     decay_db: float = 5.0
     onset_margin_db: float = 3.0
     pad_ms: float = 150.0
+    lookback_s: float = 4.0
+    warm_rows: int = 1
 
     def normalised(self) -> TriggerConfig:
         """Labels trimmed, distinct and sorted; what triggers isn't ambiguous."""
         clean = lambda xs: tuple(sorted({x.strip() for x in xs if x.strip()}))
         trigger = clean(self.trigger)
-        return TriggerConfig(trigger, tuple(x for x in clean(self.ambiguous) if x not in trigger), self.loud_dba, self.cooldown_s, self.end_settle, self.max_event_s, self.decay_db, self.onset_margin_db, self.pad_ms)
+        return replace(self, trigger=trigger, ambiguous=tuple(x for x in clean(self.ambiguous) if x not in trigger))
+
+
+#: Keys of a stored trigger configuration.
+_TRIGGER_KEYS = {
+    "cooldown_seconds": "cooldown_s", "dba_threshold": "loud_dba", "lookback_seconds": "lookback_s", "pre_onset_pad_ms": "pad_ms", "end_settle_chunks": "end_settle",
+    "max_event_seconds": "max_event_s", "onset_dba_margin_db": "onset_margin_db", "peak_decay_db": "decay_db", "trigger_labels": "trigger", "ambiguous_labels": "ambiguous",
+}
+
+
+def load_trigger_config(path: str) -> TriggerConfig:
+    """A trigger configuration from JSON; labels that an old file suppresses trigger nothing."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    off = {str(x).strip().lower() for x in data.get("suppress_labels") or ()}
+    found = {}
+    for key, name in _TRIGGER_KEYS.items():
+        if isinstance(value := data.get(key, () if key.endswith("labels") else None), (list, tuple)):
+            found[name] = tuple(str(x) for x in value if str(x).strip().lower() not in off)
+        elif value is not None:
+            found[name] = int(value) if name == "end_settle" else float(value)
+    return TriggerConfig(**found).normalised()
+
+
+def save_trigger_config(config: TriggerConfig, path: str) -> None:
+    config = config.normalised()
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({key: getattr(config, name) for key, name in _TRIGGER_KEYS.items()}, f, indent=2)
+
+
+@dataclass(frozen=True)
+class WindowConfig:
+    """Fixed windows of the detector, and what makes a span of its frames."""
+
+    pre_roll_s: float = 5.0
+    post_roll_s: float = 5.0
+    frame_threshold: float = 0.5
+    min_span_s: float = 0.02
+    frames_per_second: float = 50.0
+
+    def normalised(self) -> WindowConfig:
+        """Values held to their bounds."""
+        return WindowConfig(max(0.1, self.pre_roll_s), max(0.1, self.post_roll_s), min(1.0, max(0.0, self.frame_threshold)), max(0.0, self.min_span_s), max(1.0, self.frames_per_second))
+
+
+def load_window_config(path: str) -> WindowConfig:
+    """A window configuration from JSON; absent keys, or an absent file, have the defaults."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+    except FileNotFoundError:
+        data = {}
+    return WindowConfig(**{k: float(data[k]) for k in vars(WindowConfig()) if k in data}).normalised()
+
+
+def save_window_config(config: WindowConfig, path: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(vars(config.normalised()), f, indent=2)
 
 
 def check_prompts(pairs: list[tuple[str, str]], most: int | None = None) -> list[tuple[str, str]]:
@@ -139,6 +213,20 @@ def check_prompts(pairs: list[tuple[str, str]], most: int | None = None) -> list
     return out
 
 
+def load_prompts(path: str, most: int | None = None) -> list[tuple[str, str]]:
+    """Prompt pairs from a JSON object with ``prompts`` or a JSON list."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    raw = data if isinstance(data, list) else data.get("prompts", [])
+    return check_prompts([(str(x.get("label", "")), str(x.get("prompt", ""))) for x in raw], most)
+
+
+def save_prompts(pairs: list[tuple[str, str]], path: str, most: int | None = None, prefix: str = "") -> None:
+    pairs = check_prompts(pairs, most)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"prompt_prefix": prefix, "prompts": [{"label": a, "prompt": b} for a, b in pairs]}, f, indent=2)
+
+
 def prompts_hash(pairs: list[tuple[str, str]]) -> str:
     """First 16 hex digits of the SHA-256 of the pairs as compact JSON in their order."""
     import hashlib

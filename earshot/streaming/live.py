@@ -18,9 +18,9 @@ from ..operators.capture import SCHEMA as CAPTURE_SCHEMA
 from ..operators.capture import CaptureState, run_rows
 from ..sources.labels import TriggerConfig
 
-GATE_SCHEMA = "device_id string, chunk_id long, floor double, gate_open boolean, reason string"
-_GATE_STATE = "history array<double>, previous double, open boolean, streak int"
-_CAPTURE_STATE = "last_arm double, active boolean, seconds double, peak double, closed int, decay int, armed_id long"
+GATE_SCHEMA = f"device_id string, chunk_id long, raw double, level double, peak double, {g.STAGE}"
+_GATE_STATE = "history array<double>, previous double, open boolean, streak int, amplitudes array<double>"
+_CAPTURE_STATE = "last_arm double, active boolean, seconds double, peak double, closed int, decay int, armed_id long, run int, levels array<double>"
 
 
 def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -28,35 +28,34 @@ def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _gate_rows(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    import numpy as np
-
-    history, previous, open_, streak = state.get if state.exists else ([], None, False, 0)
-    history = list(history or [])
-    pdf = _ordered(parts)
-    rows, now = [], (bool(open_), int(streak))
-    for r in pdf.itertuples(index=False):
-        floor = float(np.percentile(history, 100 * g.PERCENT)) if history else r.raw
-        gain = min(max(g.TARGET - floor - g.MARGIN, g.GAIN_MIN), g.GAIN_MAX)
-        delta = None if previous is None else r.raw - previous
-        (opened,), (reason,), now = g.gate_rows(now, [r.raw], [floor], [delta], [r.raw + gain >= g.TARGET - g.SLACK])
-        rows.append((key[0], r.chunk_id, floor, opened, reason))
-        history, previous = [*history, r.raw][-g.WINDOW :], r.raw
-    state.update((history, previous, *now))
-    yield pd.DataFrame(rows, columns=["device_id", "chunk_id", "floor", "gate_open", "reason"])
+    held = _held(g.GateState, state)
+    yield g._frame(_ordered(parts), ["device_id", "chunk_id", "raw", "level", "peak"], held)
+    state.update(tuple(vars(held).values()))
+
+
+def _held(kind: type, state: GroupState):
+    """The state that a device left, lists as lists."""
+    return kind(*[list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v for v in state.get]) if state.exists else kind()
 
 
 def live_gate(chunks: DataFrame) -> DataFrame:
-    """Streaming (device_id, dt_utc, chunk_id, raw) to the state of the gate at each row."""
-    keyed = chunks.select("device_id", "dt_utc", "chunk_id", "raw").groupBy("device_id")
+    """Streaming (device_id, dt_utc, chunk_id, raw, level, peak) to the gate stage's columns at each row."""
+    keyed = chunks.select("device_id", "dt_utc", "chunk_id", "raw", "level", "peak").groupBy("device_id")
     return keyed.applyInPandasWithState(_gate_rows, GATE_SCHEMA, _GATE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def heartbeat(chunks: DataFrame, late: str = "10 minutes", silent: str = "5 minutes") -> DataFrame:
+    """Streaming session of each device: a device that is silent for that long ends its session, with its rows and last level."""
+    session = F.session_window("dt_utc", silent).alias("session")
+    return chunks.withWatermark("dt_utc", late).groupBy("device_id", session).agg(F.count("*").alias("chunks"), F.max_by("dba", "dt_utc").alias("last_dba"), F.max("dt_utc").alias("last_utc"))
+
+
 def live_captures(chunks: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFrame:
     """Streaming chunks to the status of each row and the captures that end."""
     config = config.normalised()
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = CaptureState(*state.get) if state.exists else CaptureState()
+        held = _held(CaptureState, state)
         yield run_rows(held, _ordered(parts), config)
         state.update(tuple(vars(held).values()))
 

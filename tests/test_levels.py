@@ -94,7 +94,7 @@ def test_formats(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
     assert [get(text.gap_label(F.lit(h))) for h in (4, 24, 50)] == ["4 h gap", "1 d gap", "2 d 2 h gap"]
-    assert [get(text.duration_label(F.lit(s))) for s in (30, 60, 3660, 90000)] == ["< 1 min", "1 min", "1 h 1 min", "1 d 1 h"]
+    assert [get(text.duration_label(F.lit(s))) for s in (30, 60, 3660, 90000)] == ["< 1 min", "1 min", "1 h 1 min", "1 d 1 h 0 min"]
     assert [get(text.human_bytes(F.lit(float(n)))) for n in (10, 2048, 5 << 20)] == ["10 B", "2.0 KB", "5.0 MB"]
     assert get(text.safe_name(F.lit("a b/ü-_!"))) == "abü-_" and get(text.safe_name(F.lit("!!"))) == "recording"
     assert get(text.export_name(F.lit("x.jsonl"), False, False)) == "x-no-spectrum-no-preprocess.jsonl"
@@ -107,4 +107,4 @@ def test_report(spark):
     made = report.build(chunks(spark, [60, 61, 40, 62, 40, 40, 40, 70, 71] * 20))
     assert made["zone_a"]["location"] == "pi" and len(made["zone_b"]["typical_day"]) == 24 and made["zone_c"]["events"]
     assert made["takeaway"].startswith("Comfort grade")
-    assert [x["stage"] for x in report.stream(lambda: chunks(spark, [60, 61]))] == ["start", "loading", "aggregating", "done"]
+    assert [x["stage"] for x in report.stream(lambda: chunks(spark, [60, 61]))] == ["start", "loading", "loaded", "aggregating", "done"]

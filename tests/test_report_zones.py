@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from earshot.operators import profiles
 from earshot.plans import report
 from test_levels import T0, chunks
 
@@ -15,4 +16,15 @@ def test_timeline_and_budgets(spark):
     assert report.build(rows, covered_s=10.0)["zone_b"]["timeline"] == line[:1]
     period, hourly = made["zone_c"]["time_budget_period"], made["zone_c"]["time_budget_hourly"]
     assert sorted((r["period"], r["chunks"], r["pct"]) for r in period) == [("day", 12, 100.0), ("night", 8, 100.0)]
-    assert sorted((r["hour"], r["chunks"], r["pct"]) for r in hourly) == [(13, 12, 100.0), (23, 8, 100.0)]
+    assert [(r["hour"].hour, r["category"], r["chunks"], r["is_gap"], r["gap_hours"]) for r in hourly] == [(13, "Human & Community", 12, False, None), (14, None, None, True, 9), (23, "Human & Community", 8, False, None)]
+    assert [r["hour"].hour for r in report.build(rows, covered_s=10.0)["zone_c"]["time_budget_hourly"]] == [13]
+    assert made["zone_c"]["categories"] == ["Human & Community"] and made["zone_a"]["total"]["recordings"] == 1
+    assert made["zone_a"]["lived_experience"]["warning"] is None and made["zone_a"]["comfort_rating"]["insufficient"] is False
+    assert [x["stage"] for x in report.stream(lambda: rows, covered_s=5.0)] == ["start", "loading", "loaded", "aggregating", "done"]
+    assert list(report.stream(lambda: 1 / 0))[-1]["code"] == "failed"
+
+
+def test_categories_in_chart_order(spark):
+    names = ["Relative silence", "Zebra", "Unclassified / Ambient", "Apes", "Human & Community", "Traffic & Transit"]
+    rows = profiles.categories(spark.createDataFrame([(n,) for n in names], "category string")).orderBy("place").collect()
+    assert [r["category"] for r in rows] == ["Traffic & Transit", "Human & Community", "Unclassified / Ambient", "Apes", "Zebra", "Relative silence"]

@@ -68,12 +68,13 @@ def test_window_has_both_ends(spark):
     assert segment.inspect_window(c, at, 60).count() == 61
 
 
-def gate_model(raw):
-    out, history, open_, streak, previous = [], [], False, 0, None
-    for r in raw:
-        floor = float(np.percentile(history, 10)) if history else r
-        gain = min(max(-23.0 - floor - 18.0, 12.0), 40.0)
-        warm, above, reason = r + gain >= -35.0, r >= floor + 5.0, "closed"
+def gate_model(rows):
+    """(open, reason, gain) row by row from (raw, level, peak)."""
+    out, history, open_, streak, previous, amps = [], [], False, 0, None, []
+    for raw, level, peak in rows:
+        floor = round(float(np.percentile(history, 10)), 9) if history else raw
+        most = min(max(-23.0 - floor - 18.0, 12.0), 40.0)
+        warm, above, reason = level + most >= -35.0, level >= floor + 5.0, "closed"
         if open_:
             if above and warm:
                 streak, reason = 0, "hold"
@@ -85,27 +86,86 @@ def gate_model(raw):
                     reason = "hold"
         elif above and warm:
             open_, reason, streak = True, "l90", 0
-        if not open_ and warm and previous is not None and r - previous >= 4.0 and r >= -55.0:
+        if not open_ and warm and previous is not None and level - previous >= 4.0 and level >= -55.0:
             open_, reason, streak = True, "delta", 0
-        out.append((open_, reason))
-        history, previous = [*history, r][-300:], r
+        gain = 0.0
+        if open_:
+            amps = [*amps, 10 ** (raw / 20)][-5:]
+            gain = min(10 ** (-23 / 20) / (sum(amps) / len(amps)), 0.9 / peak, 10 ** (most / 20))
+        out.append((open_, reason, round(gain, 9)))
+        history, previous = [*history, raw][-300:], level
     return out
 
 
 def test_gate_forms_agree(spark, tmp_path):
     rng = random.Random(2)
-    levels = [60 + rng.choice([-15, -8, 0, 3, 6, 20]) + rng.random() for _ in range(400)]
-    c = chunks(spark, levels)
-    rows = gate.ambient(gate.levels(c))
-    want = gate_model([v - 120.0 for v in levels])
-    for out in (gate.gate(rows), gate.gate_fold(rows)):
-        assert [(r["gate_open"], r["reason"]) for r in out.orderBy("chunk_id").collect()] == want
+    levels = [rng.choice([70, 70.5, 71, 73, 74, 80] if i % 200 > 60 else [50, 55, 60]) + rng.random() / 2 for i in range(700)]
+    rows = gate.levels(chunks(spark, levels)).withColumn("level", F.col("raw") + F.col("chunk_id") % 3 / 2).withColumn("peak", F.pow(F.lit(10.0), (F.col("level") + 8) / 20))
+    given = [(r["raw"], r["level"], r["peak"]) for r in rows.orderBy("chunk_id").collect()]
+    want = gate_model(given)
+    assert {w[1] for w in want} == {"closed", "hold", "l90", "delta"}
+    seen = lambda df: [(r["gate_open"], r["reason"], round(r["gain"], 9)) for r in df.orderBy("chunk_id").collect()]
+    assert seen(gate.stage(rows)) == want
     at = str(tmp_path / "in")
-    gate.levels(c).select("device_id", "dt_utc", "chunk_id", "raw").repartition(1).write.parquet(at)
-    source = spark.readStream.schema("device_id string, dt_utc timestamp, chunk_id long, raw double").parquet(at)
+    rows.select("device_id", "dt_utc", "chunk_id", "raw", "level", "peak").repartition(1).write.parquet(at)
+    source = spark.readStream.schema("device_id string, dt_utc timestamp, chunk_id long, raw double, level double, peak double").parquet(at)
     q = live.live_gate(source).writeStream.format("memory").queryName("gates").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert [(r["gate_open"], r["reason"]) for r in spark.table("gates").orderBy("chunk_id").collect()] == want
+    assert seen(spark.table("gates")) == want
+    assert gate.stage(rows.limit(0)).count() == 0
+
+
+def test_stage_from_batch_to_batch():
+    """Rows in parts of any size, from state to state, give what one batch gives."""
+    rng = np.random.default_rng(4)
+    raw = -60 + rng.choice([-10.0, 0, 4, 20], 900) + rng.random(900)
+    level, peak = raw + 3, 10 ** ((raw + 6) / 20)
+    whole = gate.stage_rows(gate.GateState(), raw, level, peak)
+    state, parts, k = gate.GateState(), [], 0
+    for n in (1, 2, 299, 1, 301, 296):
+        parts.append(gate.stage_rows(state, raw[k : k + n], level[k : k + n], peak[k : k + n]))
+        k += n
+    for name in whole:
+        both = np.concatenate([np.asarray(p[name]) for p in parts])
+        assert np.array_equal(both, np.asarray(whole[name])) if name == "reason" else np.allclose(both.astype(float), np.asarray(whole[name], float), equal_nan=True)
+
+
+def test_stage_over_samples(spark):
+    """A quiet hum, then a tone: the gate opens with it, and the gain keeps its peak below the limit."""
+    t = np.arange(9600) / 48000
+    rows = [("pi", T0 + dt.timedelta(seconds=i), i, ((0.2 if 20 <= i < 24 else 0.001) * np.sin(2 * np.pi * 1000 * t)).tolist()) for i in range(30)]
+    pcm = spark.createDataFrame(rows, "device_id string, dt_utc timestamp, chunk_id long, pcm array<double>")
+    measured = gate.from_samples(pcm)
+    out = gate.stage(measured).orderBy("chunk_id").collect()
+    assert [r["gate_open"] for r in out[20:24]] == [True] * 4 and not any(r["gate_open"] for r in out[:20])
+    assert all(r["gain"] * r["peak"] <= 0.9 + 1e-9 for r in out if r["gate_open"])
+    meta = gate.metadata(gate.stage(measured)).orderBy("chunk_id").collect()[20]["yamnet_preprocess"]
+    assert meta["gate_open_reason"] == "l90" and not meta["gated"] and meta["ambient_sample_count"] == 21 and meta["gate_mode"] == "dynamic_l90"
+
+
+def test_onset_and_lookback(spark):
+    config = TriggerConfig()
+    c = chunks(spark, [50.0] * 8)
+    rows = c.withColumn("gate_open", F.col("chunk_id").isin(2, 3, 4, 7)).withColumn("raw", F.lit(-60.0)).withColumn("floor", F.when(F.col("chunk_id") >= 5, -70.0).otherwise(-60.0))
+    got = {r["chunk_id"]: (r["reason"], r["rows_back"], round(r["lead_s"], 3)) for r in capture.onsets(rows, config).collect()}
+    assert got[0] == ("trigger_chunk", 0, 0.975) and got[4] == ("gate_open", 2, 3.075)
+    assert got[6] == ("energy_rise", 1, 2.1) and got[7] == ("gate_open", 0, 1.125)
+    ring = capture.lookback(c, c.filter("chunk_id = 6")).orderBy("back").collect()
+    assert [(r["chunk_id"], round(r["kept_s"], 3)) for r in ring] == [(6, 0.975), (5, 0.975), (4, 0.975), (3, 0.975), (2, 0.1)]
+    fill = capture.fixed_fill(c, c.filter("chunk_id in (0, 7)")).orderBy("armed_id").collect()
+    assert [(round(r["pad_before_s"], 3), round(r["pad_after_s"], 3), r["complete"]) for r in fill] == [(4.025, 0.0, True), (0.0, 5.0, False)]
+
+
+def test_lead_of_a_capture_reaches_back():
+    config = TriggerConfig(trigger=("Car",), max_event_s=10.0).normalised()
+    state = capture.CaptureState()
+    for i in range(4):
+        capture.step(state, i * 0.975, "Hum", 60.0 + i, True, i, config)
+    status, reason, done = capture.step(state, 3.9, "Car", 62.0, True, 4, config)
+    assert (status, reason, done) == ("scheduled", "label:Car", None)
+    assert state.seconds == 4.0 and state.peak == 63.0  # five open rows, of which the lookback holds four seconds
+    early = TriggerConfig(trigger=("Car",), warm_rows=2).normalised()
+    assert capture.step(capture.CaptureState(), 0.0, "Car", 60.0, True, 0, early)[:2] == ("skipped", "buffer_warming")
 
 
 def test_cooldown_and_capture(spark, tmp_path):
