@@ -99,8 +99,8 @@ def gate_model(rows):
 
 def test_gate_forms_agree(spark, tmp_path):
     rng = random.Random(2)
-    levels = [rng.choice([70, 70.5, 71, 73, 74, 80] if i % 200 > 60 else [50, 55, 60]) + rng.random() / 2 for i in range(700)]
-    rows = gate.levels(chunks(spark, levels)).withColumn("level", F.col("raw") + F.col("chunk_id") % 3 / 2).withColumn("peak", F.pow(F.lit(10.0), (F.col("level") + 8) / 20))
+    levels = [rng.choice([70, 70.2, 70.4, 74.5, 80] if i < 350 else [50, 55, 60, 75]) + rng.random() / 4 for i in range(700)]
+    rows = gate.levels(chunks(spark, levels)).withColumn("level", F.col("raw") + F.col("chunk_id") % 3 / 20).withColumn("peak", F.pow(F.lit(10.0), (F.col("level") + 8) / 20))
     given = [(r["raw"], r["level"], r["peak"]) for r in rows.orderBy("chunk_id").collect()]
     want = gate_model(given)
     assert {w[1] for w in want} == {"closed", "hold", "l90", "delta"}
