@@ -202,37 +202,73 @@ def subwindow_peak_rms(x: np.ndarray, rate: float = RATE, ms: float = 200.0) ->
     return max(float(np.sqrt(np.mean(np.square(p)))) for p in parts if len(p) >= n / 2)
 
 
+def chunk_stats(x: np.ndarray) -> dict[str, float]:
+    """Largest amplitude and RMS."""
+    x = np.asarray(x, np.float64)
+    return {"peak": float(np.abs(x).max(initial=0.0)), "rms": float(np.sqrt(np.mean(x * x))) if len(x) else 0.0}
+
+
 @cache
 def mel_bank(rate: int, size: int, bands: int, low: float, high: float) -> np.ndarray:
-    """Triangular filters at equal steps of the mel scale."""
+    """Triangles between whole bins at equal steps of the mel scale, each of about the same area."""
     mel = lambda f: 2595.0 * np.log10(1 + f / 700.0)
     edges = 700.0 * (10 ** (np.linspace(mel(low), mel(high), bands + 2) / 2595.0) - 1)
-    hz = np.fft.rfftfreq(size, 1 / rate)
-    up = (hz - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
-    down = (edges[2:, None] - hz) / (edges[2:] - edges[1:-1])[:, None]
-    return np.maximum(0.0, np.minimum(up, down))
+    bins = np.clip(np.floor((size + 1) * edges / rate), 0, size // 2).astype(int)
+    left, centre, right = bins[:-2], bins[1:-1].copy(), bins[2:].copy()
+    centre += centre == left  # a triangle has a bin on either side at least
+    right += right == centre
+    j, (left, centre, right) = np.arange(size // 2 + 1), (v[:, None] for v in (left, centre, right))
+    up, down = (j - left) / (centre - left), (right - j) / (right - centre)
+    bank = np.where((j >= left) & (j < centre), up, np.where((j >= centre) & (j < right), down, 0.0))
+    return bank * (2.0 / (edges[2:] - edges[:-2]))[:, None]
 
 
 def log_mel(x: np.ndarray, rate: int = RATE, size: int = 1024, hop: int = 480, bands: int = 64, power: bool = True) -> np.ndarray:
-    """Centred short-time log-mel frames: natural log of power, or base-10 log of magnitude."""
+    """Centred short-time log-mel frames: natural log of power, or base-10 log of magnitude under a symmetric window."""
     padded = np.pad(np.asarray(x, np.float64), size // 2, "reflect" if len(x) > size // 2 else "constant")
     frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop]
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size if power else size - 1))
     mag = np.abs(np.fft.rfft(frames * window))
     bank = mel_bank(rate, size, bands, 50.0, min(14000.0, rate / 2))
-    return np.log(np.maximum(mag**2 @ bank.T, 1e-10)) if power else np.log10(np.maximum(mag @ bank.T, 1e-5))
+    return np.log(np.maximum(mag**2 @ bank.T, 1e-10)) if power else np.log10(np.maximum(mag @ bank.T, 1e-10))
 
 
 def fit_window(x: np.ndarray, n: int, keep_last: bool) -> np.ndarray:
-    """Exactly n samples: repeated and padded, and cut to the last n; or padded with zeros, and cut to the first n."""
+    """Exactly n samples: repeated up to n, or cut to the last n; or else padded with zeros, or cut to the first n."""
     if len(x) >= n:
         return x[-n:] if keep_last else x[:n]
-    if keep_last and len(x):
-        x = np.tile(x, n // len(x))
-    return np.pad(x, (0, n - len(x)))
+    return np.resize(x, n) if keep_last and len(x) else np.pad(x, (0, n - len(x)))
+
+
+def classifier_wave(x: np.ndarray, gain: float = 1.0, rate: int = RATE) -> np.ndarray:
+    """Samples for the sound classifier: amplified, clipped, at 16 kHz, 15,600 of them."""
+    x = np.clip(np.asarray(x, np.float64) * gain, -1.0, 1.0)
+    return fit_window(resample(x, 1, rate // 16_000) if len(x) else x, 15_600, False).astype(np.float32)
+
+
+def caption_mel(x: np.ndarray) -> np.ndarray:
+    """Features of the captioning model: ten seconds (the last ones, or repeated), (1001, 64), natural log of power."""
+    return log_mel(fit_window(np.asarray(x, np.float64), 10 * RATE, True)).astype(np.float32)
 
 
-def resample(x: np.ndarray, up: int, down: int, taps: int = 64) -> np.ndarray:
+def detector_mel(x: np.ndarray, norm: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Features of the detector: high-passed, peak-normalised, the first ten seconds at 32 kHz, (1001, 64), base-10 log of magnitude.
+
+    ``norm`` has mean, var, weight and bias by band, and eps, of a batch norm.
+    """
+    x = np.asarray(x, np.float64)
+    if len(x):
+        sos = highpass(4, 80.0, RATE)
+        x, _ = run_filter(sos, x, settle(sos) * x[0])
+        x = x / peak if (peak := np.abs(x).max()) > 1e-8 else x
+        x = resample(x, 2, 3)
+    mel = log_mel(fit_window(x, 320_000, False), 32_000, 1024, 320, power=False)
+    if norm is not None:
+        mel = (mel - norm["mean"]) / np.sqrt(norm["var"] + norm.get("eps", 1e-5)) * norm["weight"] + norm["bias"]
+    return mel.astype(np.float32)
+
+
+def resample(x: np.ndarray, up: int, down: int, taps: int = 20) -> np.ndarray:
     """Polyphase resampling with a Kaiser-windowed sinc."""
     most = max(up, down)
     half = taps * most // 2
@@ -276,6 +312,44 @@ def mel_means(pcm: DataFrame, bands: int = 64) -> DataFrame:
     return _small_batches(pcm).mapInPandas(run, "chunk_id long, frames int, mel array<double>")
 
 
+#: Chains from samples to a model's input, and the shape of what they give.
+CHAINS = {"classifier": (classifier_wave, (15_600,)), "caption": (caption_mel, (1001, 64)), "detector": (detector_mel, (1001, 64))}
+
+
+def prepared(pcm: DataFrame, chain: str) -> DataFrame:
+    """(chunk_id, features) of chunks (chunk_id, pcm) by one of CHAINS, row after row of the shape; one row of input at a time is held."""
+    make, shape = CHAINS[chain]
+
+    def run(batches):
+        for pdf in batches:
+            for i, x in zip(pdf["chunk_id"], pdf["pcm"]):
+                out = make(np.asarray(x, float))
+                assert out.shape == shape
+                yield pd.DataFrame({"chunk_id": [i], "features": [out.ravel()]})
+
+    return _small_batches(pcm).mapInPandas(run, "chunk_id long, features array<float>")
+
+
+def rechunked(pcm: DataFrame, samples: int = 46_800) -> DataFrame:
+    """(device_id, window, pcm): each device's samples in windows of a fixed number, side by side; a last part is left out."""
+
+    def run(batches):
+        device, held, window = None, np.zeros(0), 0
+        for pdf in batches:
+            out = []
+            for d, x in zip(pdf["device_id"], pdf["pcm"]):
+                if d != device:
+                    device, held, window = d, np.zeros(0), 0
+                held = np.concatenate((held, np.asarray(x, float)))
+                while len(held) >= samples:
+                    out.append((d, window, held[:samples]))
+                    held, window = held[samples:], window + 1
+            yield pd.DataFrame(out, columns=["device_id", "window", "pcm"])
+
+    rows = pcm.select("device_id", "chunk_id", "pcm").repartition("device_id").sortWithinPartitions("device_id", "chunk_id")
+    return rows.mapInPandas(run, "device_id string, window int, pcm array<double>")
+
+
 def loudness_of(pcm: DataFrame) -> DataFrame:
     """Levels of chunks (device_id, recording_id, chunk_index, pcm); the filter's memory passes from chunk to chunk of a recording."""
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.acoustics import round_to
 
 
+#: Most prompts that every task gets: a few megabytes.
+PROMPTS = 1024
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -21,8 +25,10 @@ def zero_shot(clips: DataFrame, prompts: DataFrame, top: int = 3) -> DataFrame:
 
     The ranking keeps only an array of the best per clip, map-side; prompts are
     a bounded dimension (16 at most for one classifier, a few hundred for the
-    other), so every task gets them all.
+    other), so every task gets them all; more than ``PROMPTS`` are an error.
     """
+    if prompts.limit(PROMPTS + 1).count() > PROMPTS:
+        raise ValueError(f"more than {PROMPTS} prompts: rank them in blocks")
     few = prompts.agg(F.collect_list(F.struct(F.col("prompt_id").alias("id"), F.col("embedding").alias("e"), norm(F.col("embedding")).alias("n"))).alias("_p"))
     length = norm(F.col("embedding"))
     rows = clips.withColumn("_n", length).crossJoin(F.broadcast(few))

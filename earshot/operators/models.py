@@ -7,9 +7,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import dsp
+
 #: Query slots of the open-vocabulary detector.
 SLOTS = 16
 
@@ -62,6 +64,74 @@ def in_sync(stored: dict[str, Any], model: str, dim: int, prompts: str, labels:
     return compatible(stored, model, dim) and stored.get("prompts_hash") == prompts and list(stored.get("labels", [])) == labels
 
 
+def load_embeddings(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, dict[str, Any]]:
+    """Stored prompt embeddings and what they were made by, checked for their length."""
+    rows = spark.read.parquet(path)
+    made = rows.groupBy("model_name", "embed_dim", "prompts_hash").agg(F.count_if(F.col("embedding").isNull() | (F.size("embedding") != dim)).alias("bad")).limit(2).collect()
+    if len(made) != 1 or made[0]["bad"]:
+        raise ValueError("stored embeddings are of several makes, or of another length")
+    return rows.select("label", "prompt", "embedding"), {k: made[0][k] for k in ("model_name", "embed_dim", "prompts_hash")}
+
+
+def encode_prompts(prompts: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int, batch: int = 64) -> DataFrame:
+    """(label, prompt, embedding) of prompts (label, prompt) by a text encoder that each worker loads once; vectors get unit length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = load()
+        for pdf in batches:
+            for k in range(0, len(pdf), batch):
+                some = pdf.iloc[k : k + batch]
+                x = np.asarray(encode(some["prompt"].tolist()), np.float64)
+                if x.shape != (len(some), dim):
+                    raise ValueError(f"the encoder gave {x.shape} for {len(some)} prompts of {dim} components")
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                yield pd.DataFrame({"label": some["label"], "prompt": some["prompt"], "embedding": list(x.astype(np.float32))})
+
+    return prompts.select("label", "prompt").mapInPandas(run, "label string, prompt string, embedding array<float>")
+
+
+def embed_audio(pcm: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], chain: str = "caption") -> DataFrame:
+    """(vec_id, embedding) of chunks (chunk_id, pcm): features by one of ``dsp.CHAINS``, then an audio encoder that each worker loads once; unit length."""
+    make, _ = dsp.CHAINS[chain]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = load()
+        for pdf in batches:
+            found = [np.asarray(encode(make(np.asarray(x, float))), np.float64) for x in pdf["pcm"]]
+            yield pd.DataFrame({"vec_id": pdf["chunk_id"], "embedding": [(v / max(np.linalg.norm(v), 1e-12)).astype(np.float32) for v in found]})
+
+    return pcm.select("chunk_id", "pcm").mapInPandas(run, "vec_id long, embedding array<float>")
+
+
+def detect(mels: DataFrame, load: Callable[[], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]], labels: list[str], shape: tuple[int, int] = (1001, 64)) -> DataFrame:
+    """(chunk_id, label, clip_confidence, scores) of features (chunk_id, features): a detector gives (queries, frames) and (queries,) scores; padding rows go, the surest labels come first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for pdf in batches:
+            for i, x in zip(pdf["chunk_id"], pdf["features"]):
+                strong, weak = model(np.asarray(x, np.float32).reshape(shape))
+                order = np.argsort(-weak[: len(labels)], kind="stable")
+                yield pd.DataFrame({"chunk_id": i, "label": [labels[k] for k in order], "clip_confidence": weak[order].astype(float), "scores": [strong[k].astype(float) for k in order]})
+
+    return mels.select("chunk_id", "features").mapInPandas(run, "chunk_id long, label string, clip_confidence double, scores array<double>")
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(name, fingerprint) of model files: twelve hex digits of the SHA-256 of the first MiB and the size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    digest = F.sha2(F.concat(F.substring("content", 1, 1 << 20), F.col("length").cast("string").cast("binary")), 256)
+    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.substring(digest, 1, 12).alias("fingerprint"))
+
+
+def rebuild(prompts: DataFrame, path: str, stored: dict[str, Any] | None, load: Callable, model: str, dim: int, digest: str, labels: list[str]) -> bool:
+    """Encode and save prompts again unless what is stored is in sync with them; tells whether it did."""
+    if stored is not None and in_sync(stored, model, dim, digest, labels):
+        return False
+    save_embeddings(encode_prompts(prompts, load, dim), path, model, dim, digest)
+    return True
+
+
 def save_embeddings(rows: DataFrame, path: str, model: str, dim: int, prompts: str) -> None:
     """Prompt embeddings (label, prompt, embedding) as Parquet, with what they were made by."""
     bad = rows.filter(F.col("embedding").isNull() | (F.size("embedding") != dim)).limit(1).count()

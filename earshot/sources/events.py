@@ -53,12 +53,13 @@ REPORT_COLUMNS = ("device_id", "created_at", "dBA_spl", "LAFmax_dB", "top_label"
 
 
 def read_for_report(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The columns of a report alone: a narrow schema, so the JSON reader skips spectra and the like; malformed lines are skipped."""
+    """The columns of a report alone: a narrow schema, so the parser skips spectra and the like; malformed lines are skipped."""
     kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(EVENT_DDL).fields}
     kinds["yamnet_preprocess"] = "struct<gated:boolean>"
     ddl = ", ".join(f"{c} {kinds[c]}" for c in REPORT_COLUMNS)
-    rows = spark.read.schema(f"{ddl}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(paths)
-    return rows.select(F.col("_metadata.file_name").alias("source_file"), *REPORT_COLUMNS, "_bad").filter(F.col("_bad").isNull()).drop("_bad")
+    lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("source_file"), F.from_json("value", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e"), "value")
+    good = F.trim("value").startswith("{") & F.col("e").isNotNull() & F.col("e._bad").isNull()
+    return lines.filter(good).select("source_file", *[F.col(f"e.{c}") for c in REPORT_COLUMNS])
 
 
 def parse_created(created: Column) -> Column:
