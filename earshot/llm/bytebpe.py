@@ -58,7 +58,12 @@ def encode(docs: DataFrame, path: str, pattern: str, decode: bool = True) -> Dat
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Per row with doc_id and ids: doc_id and the decoded bytes; null ids decode to no bytes."""
+    """Per row with doc_id and ids: doc_id and the decoded bytes.
+
+    Null or empty ids decode to no bytes, an id that the vocabulary lacks is an
+    error; repeated rows each give a row, an empty table none, and other columns
+    are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = bpe.rank_file(path)

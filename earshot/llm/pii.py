@@ -135,7 +135,11 @@ def count_of(spans_: Column, kind: str) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of the text replaced by its kind in brackets; of overlapping spans the first counts."""
+    """``docs`` with each span of the text replaced by its kind in brackets; of overlapping spans the first counts.
+
+    A null text becomes empty, a text without spans stays as it is; other
+    columns keep their names and values, ``spans`` too; an empty table stays empty.
+    """
     names = docs.columns
     docs = docs.withColumnRenamed("spans", "_spans_before")
     found = spans(docs).withColumn("_whole", F.coalesce(F.col("text"), F.lit("")))

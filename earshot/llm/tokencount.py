@@ -234,6 +234,11 @@ def prefix_counts(text: str, path: str) -> np.ndarray:
     """Tokens of text[:k] for k from 0 to its length, from one pass of dynamic programming."""
     block = Block([text], False, path)
     if len(block.odd):
+        parts = cut(text, False, path)
+        if len(parts) > 1:  # nothing reaches across a cut, so counts of parts add up
+            each = [prefix_counts(p, path) for p in parts]
+            before = np.concatenate(([0], np.cumsum([c[-1] for c in each])))
+            return np.concatenate([each[0][:1], *[c[1:] + b for c, b in zip(each, before)]])
         return np.array([len(word_library(path).encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)])
     out = np.zeros(len(text) + 1, np.int64)
     raw, begin, size = block.raw(np.arange(len(block.start)))
@@ -265,13 +270,17 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def fit_to_budget(docs: DataFrame, path: str, budget: int) -> DataFrame:
-    """Per row: doc_id, and ``kept`` - the longest prefix of the text of at most ``budget`` tokens whose longer prefixes exceed it."""
+    """Per row: doc_id, and ``kept`` - the longest prefix of the text of at most ``budget`` tokens whose longer prefixes exceed it.
+
+    A null text counts as empty and keeps an empty prefix, as every text does for
+    a budget of 0 or less; repeated rows each give a row, an empty table none.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            kept = [t[: int(np.flatnonzero(prefix_counts(t, path) <= budget)[-1])] for t in texts]
+            kept = [t[: int(np.flatnonzero(prefix_counts(t, path) <= max(budget, 0))[-1])] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string())], names=["doc_id", "kept"])
 
     return documents(docs).mapInArrow(run, "doc_id long, kept string")

@@ -105,3 +105,29 @@ def test_extreme_ids_come_back(spark, word_file):
     want = sorted((i is not None, i or 0) for i in ids)
     assert key(tokenfile.read_ids(spark, tokenfile.write_ids(docs, word_file, 2)).collect()) == want
     assert key(suffix.remove_repeats(docs).collect()) == want
+
+
+def test_small_helpers_take_nulls_and_nothing(spark, word_file):
+    from earshot.llm import graph
+
+    d = docs_of(spark, [row(1, None), row(1, ""), row(None, "three plain words"), row(2, "naïve ﬁ text and more ﬁ words here")])
+    kept = sorted((r["doc_id"] or 0, r["kept"]) for r in tokencount.fit_to_budget(d, word_file, 3).collect())
+    assert kept[0] == (0, "three plain words") and kept[1:3] == [(1, ""), (1, "")] and len(kept) == 4
+    assert {r["kept"] for r in tokencount.fit_to_budget(d, word_file, -1).collect()} == {""}
+    assert tokencount.fit_to_budget(docs_of(spark, []), word_file, 3).count() == 0
+    path = queries.tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    ids = spark.createDataFrame([(1, None, "x"), (1, bytearray(), "x"), (None, bytearray(b"\x00\x00\x00\x00"), "x")], "doc_id long, ids binary, decoded string")
+    assert sorted(len(r["decoded"]) for r in bytebpe.decode(ids, path).collect()) == [0, 0, 1]
+    assert bytebpe.decode(ids.limit(0), path).count() == 0
+    links = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (None, 4), (5, None)], "a long, b long")
+    assert sorted(map(tuple, graph.components(links).collect())) == [(1, 1), (2, 1)]
+    assert graph.components(links.limit(0)).count() == 0
+    assert pii.redact(docs_of(spark, [])).count() == 0 and pii.redact(docs_of(spark, [row(1, None)])).first()["text"] == ""
+
+
+def test_prefix_counts_of_odd_texts_add_up(word_file):
+    from earshot.llm import encode
+
+    text = "naïve ﬁ words and ﬁ more İ text with words"
+    lib = encode.word_library(word_file)
+    assert tokencount.prefix_counts(text, word_file).tolist() == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
