@@ -202,4 +202,11 @@ SQL = {
         SELECT *, CASE WHEN 'critical' IN (wifi, ping, disk, cpu, temperature) THEN 'critical' WHEN 'warn' IN (wifi, ping, disk, cpu, temperature) THEN 'warn' ELSE 'ok' END AS overall FROM l""",
     "value_formats": f"""WITH {CH}, n AS (SELECT *, CASE WHEN (chunk_id % 400 % 30) * 60 + chunk_id % 400 % 61 = 0 THEN 60 ELSE (chunk_id % 400 % 30) * 60 + chunk_id % 400 % 61 END AS m FROM ch)
         SELECT chunk_id, CASE WHEN m % 60 = 0 THEN (m // 60) || 'h' ELSE m || 'm' END AS timeout, printf('%.1f dBA', dba) AS level, strftime(date_trunc('hour', dt_local), '%d %b %H:%M') AS hour_label, strftime(dt_local, '%d %b') AS day_label, strftime(dt_utc, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, strftime(dt_utc, '%Y-%m-%dT%H-%M-%SZ') AS recording FROM n""",
+    "host_texts": """SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 'net ' || event_id END AS ssid, CASE WHEN event_id % 5 <> 0 THEN floor((-(event_id % 60 + 30) - 0.25e0) * 10e0 + 0.5e0) / 10e0 END AS dbm, CASE WHEN event_id % 3 <> 0 THEN event_id % 300 + 0.5e0 END AS ping_ms,
+        'wlan0' AS interface, event_id % 2 = 0 AS cards, CASE event_id % 4 WHEN 0 THEN 1.5e0 WHEN 1 THEN CAST(-event_id AS DOUBLE) ELSE CAST(event_id AS DOUBLE) END AS number, CASE event_id % 4 WHEN 0 THEN 7 WHEN 1 THEN 0 ELSE event_id END AS count,
+        CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE event_id END AS count_or_null FROM events""",
+    "lived_experience": f"""WITH {CH}, {_LEVELS}, i AS (SELECT ld.*, (SELECT max(coalesce(lafmax, dba)) FROM ch) AS peak, {_indoor('lnight_db', 30)} AS nc, {_indoor('lnight_db', 15)} AS no, {_indoor('lden_db', 30)} AS lc, {_indoor('lden_db', 15)} AS lo, {_indoor('lday_db', 30)} AS dc, {_indoor('lday_db', 15)} AS do_ FROM ld),
+        b AS (SELECT *, coalesce(nc, dc) AS bc, CASE WHEN nc IS NOT NULL THEN no ELSE do_ END AS bo, lnight_db IS NOT NULL AS night, lday_db IS NOT NULL OR levening_db IS NOT NULL AS day FROM i)
+        SELECT lden_db, CASE WHEN nc IS NULL THEN 'watch' WHEN nc <= 30 AND no <= 40 THEN 'ok' WHEN nc <= 40 THEN 'watch' ELSE 'alert' END AS sleep_badge, CASE WHEN lc IS NULL THEN 'watch' WHEN lc <= 35 AND lo <= 45 THEN 'ok' WHEN lc <= 50 THEN 'watch' ELSE 'alert' END AS office_badge,
+        CASE WHEN bc IS NULL THEN 'watch' WHEN peak >= 70 OR (bo > 40 AND NOT bc <= 30) THEN 'alert' WHEN bo > 40 THEN 'watch' ELSE 'ok' END AS baby_badge, NOT (night AND day) AS insufficient, CASE WHEN NOT night THEN 'no night' WHEN NOT day THEN 'no day' END AS warning FROM b""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import host, text
 from ..functions.acoustics import leq, level_percentiles, octave_edges, round_to
 from ..operators import capture, dsp, embed, gate, overview, peaks, profiles, scoring, segment, votes
 from ..sources import events
@@ -306,6 +306,19 @@ def value_formats(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", text.timeout_label((n % 30).cast("double"), (n % 61).cast("double")).alias("timeout"), text.level_label(F.col("dba"), 1).alias("level"), text.hour_label(F.date_trunc("hour", "dt_local")).alias("hour_label"), text.day_label(F.col("dt_local")).alias("day_label"), text.utc_iso(F.col("dt_utc")).alias("iso"), text.recording_name(F.col("dt_utc")).alias("recording"))
 
 
+def host_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What a host's tools print, made from the table's values, and read back."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    link = F.format_string("Connected\n\tSSID:  net %d \n\tsignal: -%d.25 dBm\n", F.col("event_id"), F.col("event_id") % 60 + 30)
+    link = F.when(F.col("event_id") % 5 == 0, "Not connected.").otherwise(link)
+    ping = F.when(F.col("event_id") % 3 == 0, "no answer").otherwise(F.format_string("64 bytes: icmp_seq=1 time=%d.5 ms", F.col("event_id") % 300))
+    raw = F.when(F.col("event_id") % 4 == 0, "x").when(F.col("event_id") % 4 == 1, F.concat(F.lit(" -"), F.col("event_id").cast("string"))).otherwise(F.col("event_id").cast("string"))
+    return e.select(
+        "event_id", host.wifi_name(link).alias("ssid"), host.wifi_signal(link).alias("dbm"), host.ping_ms(ping).alias("ping_ms"), host.default_interface(F.lit("default via 1.2.3.4 dev wlan0 proto dhcp")).alias("interface"),
+        host.lists_capture_cards(F.when(F.col("event_id") % 2 == 0, "list\ncard 1: USB").otherwise("a card 1: no")).alias("cards"), host.number(raw, 1.5).alias("number"), host.count(raw, 7).alias("count"), host.count(raw).alias("count_or_null"),
+    )
+
+
 def lived_experience(spark: SparkSession, d: str) -> DataFrame:
     return scoring.experience(chunks(spark, d)).select("lden_db", "sleep_badge", "office_badge", "baby_badge", "insufficient", "warning")
 
@@ -322,7 +335,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         hourly_timeline, hourly_timeline_gaps, typical_day, leq_by_device, recording_summary, location, lden, vote_labels, theme_catalog,
         time_budget_total, time_budget_period, time_budget_hourly, chart_categories, total_duration, inspect_marks, overview_identity, overview_labels, recordings_catalog, recording_bounds,
-        status_snapshot, stored_events, gate_metadata, capture_onsets, lookback_rows, fixed_capture_fill, host_levels, value_formats, lived_experience, acoustic_events, acoustic_events_top, events_l90_threshold, sound_diet, label_spans,
+        status_snapshot, stored_events, gate_metadata, capture_onsets, lookback_rows, fixed_capture_fill, host_levels, host_texts, value_formats, lived_experience, acoustic_events, acoustic_events_top, events_l90_threshold, sound_diet, label_spans,
         change_markers, downsample_points, inspect_window, top_disturbances, peak_snippets, overview_summary, top_labels, comfort_rating, indoor_badges,
         who_check, ambient_floor, gate_state, gain_smoothing, arm_cooldown, fixed_capture_windows, zero_shot_topk, embedding_quality, frame_spans,
         json_props, export_projection, label_formats, octave_bands, resource_levels, spectrum_bands, mel_features,
