@@ -4,7 +4,8 @@ Each table projects unit vectors to eight dimensions and decodes the result to
 the nearest point of the E8 lattice; that point is the vector's cell.  A vector
 also probes the neighbouring cells that it lies nearest to.  Pairs that meet in
 a cell, of which one lies in it, are verified in double precision.  Equal
-vectors are one node, so copies are never expanded into pairs.  A cell that many
+vectors are one node, so copies are never expanded into pairs.  Pairs that merely
+share a cell go by sketches of signs before any vector moves.  A cell that many
 lie in is crowded: its members are dealt into blocks whose products are taken at
 once, and what leaves a block is a count of links and a root for each member,
 never a row for each pair.  A pair that meets in several crowded cells counts in
@@ -33,7 +34,10 @@ COSINE = 0.95
 #: Tables, neighbouring cells probed in each, and the side of the lattice in 64 dimensions.
 TABLES, PROBES, SIDE = 14, 6, 0.12
 #: Vectors that lie in a cell before it is crowded, and members of a block of a crowded one.
-CROWD, BLOCK = 32, 2048
+CROWD, BLOCK = 16, 2048
+#: Signs of a vector's sketch, and how many may differ between two that are verified: at the
+#: threshold a tenth do, and more than these with probability 1e-8.
+SIGNS, DIFFERENT = 128, 36
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -111,8 +115,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.withColumn("good", F.coalesce(able, F.lit(False)))
 
 
+def sketches(x: np.ndarray) -> np.ndarray:
+    """Signs of random projections, as two 64-bit numbers for each vector."""
+    signs = x @ np.random.default_rng(64).standard_normal((x.shape[1], SIGNS)) > 0
+    return np.packbits(signs, axis=1).view(np.int64)
+
+
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, own): own cells and probed ones."""
+    """(bucket, node, own, sketch1, sketch2): own cells and probed ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +134,11 @@ def _keyed(nodes: DataFrame) -> DataFrame:
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 own, more = cells(x)
+                sketch = sketches(x)
                 for key, flag in ((own, True), (more.reshape(len(x), -1), False)):
-                    yield pa.RecordBatch.from_arrays([pa.array((key + U64(int(dim))).view(np.int64).ravel()), pa.array(np.repeat(node[which], key.shape[1])), pa.array(np.full(key.size, flag))], names=["bucket", "node", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array((key + U64(int(dim))).view(np.int64).ravel()), pa.array(np.repeat(node[which], key.shape[1])), pa.array(np.full(key.size, flag))] + [pa.array(np.repeat(sketch[:, k], key.shape[1])) for k in (0, 1)], names=["bucket", "node", "own", "sketch1", "sketch2"])
 
-    return nodes.select("node", "vector").mapInArrow(run, "bucket long, node long, own boolean")
+    return nodes.select("node", "vector").mapInArrow(run, "bucket long, node long, own boolean, sketch1 long, sketch2 long")
 
 
 def meetings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,13 +146,20 @@ def meetings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = materialize(_keyed(nodes), "cells")
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("many"), F.count_if("own").alias("owners")).filter("many > 1 and owners > 0")
     live = materialize(join_even(keyed, sizes, ["bucket"]), "cells")
-    return live.filter(f"owners <= {CROWD}").select("bucket", "node", "own"), live.filter(f"owners > {CROWD}").select("bucket", "node", "own", "many")
+    return live.filter(f"owners <= {CROWD}").select("bucket", "node", "own", "sketch1", "sketch2"), live.filter(f"owners > {CROWD}").select("bucket", "node", "own", "many")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, one of which lies in a cell that the other lies in or probes; ``rows`` has no crowded cells."""
-    own = rows.filter("own").select("bucket", F.col("node").alias("p"))
-    met = join_even(own, rows.select("bucket", F.col("node").alias("q"), "own"), ["bucket"]).filter("(own and p < q) or (not own and p <> q)")
+    """Distinct pairs (a, b), a < b, one of which lies in a cell that the other lies in or probes; ``rows`` has no crowded cells.
+
+    A cell with one node, or with probes alone, gives no pair; neither do rows
+    that repeat; without rows there are none.
+    """
+    marks = [F.col(f"sketch{k}") for k in (1, 2)]
+    own = rows.filter("own").select("bucket", F.col("node").alias("p"), *[m.alias(f"p{k}") for k, m in enumerate(marks)])
+    others = rows.select("bucket", F.col("node").alias("q"), "own", *[m.alias(f"q{k}") for k, m in enumerate(marks)])
+    apart = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(2)), F.lit(0))
+    met = join_even(own, others, ["bucket"]).filter(F.expr("(own and p < q) or (not own and p <> q)") & (apart <= DIFFERENT))
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 

@@ -71,3 +71,13 @@ def test_rows_grow_with_the_members_of_a_crowd(spark):
     (pairs_1, rows_1), (pairs_2, rows_2) = made
     assert rows_2 <= 2.5 * rows_1 + 50 and rows_2 <= 600 * lattice.TABLES * (1 + lattice.PROBES)
     assert pairs_2 <= 2.5 * pairs_1 + 600 * lattice.CROWD
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for dim in (8, 64):
+        unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+        x, y = unit(rng.standard_normal((20_000, dim))), rng.standard_normal((20_000, dim))
+        y = 0.95 * x + np.sqrt(1 - 0.95**2) * unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+        apart = np.unpackbits((lattice.sketches(x) ^ lattice.sketches(y)).view(np.uint8), axis=1).sum(axis=1)
+        assert (apart <= lattice.DIFFERENT).mean() > 0.999
