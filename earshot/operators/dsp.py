@@ -6,10 +6,12 @@ package beyond numpy is needed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,20 +179,57 @@ def peaks(hz: np.ndarray, power: np.ndarray, most: int = 3) -> list[tuple[float,
     return out
 
 
-def spectrum(x: np.ndarray, rate: float = RATE, offset: float = CALIBRATION, weight: bool = True) -> dict:
-    """Third-octave levels, peaks, centroid, 85 % rolloff and shares of energy of a chunk."""
-    hz, power = welch(x, rate)
-    if weight:
-        power = power * np.abs(response(a_weighting(rate), hz, rate)) ** 2
+@cache
+def _bands(n: int, rate: float, weight: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, slice]:
+    """Of spectra of n samples: frequencies, weights of their power, how bands integrate it by trapezoids, and where the bands lie."""
+    hz = np.fft.rfftfreq(n, 1 / rate)
     half = 2 ** (1 / 6)
-    levels = [10 * np.log10(max(band_power(hz, power, c / half, c * half), 1e-20)) + offset for c in CENTRES]
-    inside = (hz >= CENTRES[0]) & (hz <= CENTRES[-1])
-    f, p = hz[inside], power[inside]
-    total = p.sum()
-    shares = [band_power(hz, power, *b) for b in (LOW, MID, HIGH)]
-    whole = sum(shares) or 1.0
-    rolloff = float(f[np.searchsorted(np.cumsum(p), 0.85 * total)]) if total > 0 else 0.0
-    return {"levels_db": [round(v, 1) for v in levels], "peaks_hz": [round(a, 1) for a, _ in peaks(hz, power)], "centroid_hz": round(float((f * p).sum() / total), 1) if total > 0 else 0.0, "rolloff_85_hz": round(rolloff, 1), "low_pct": round(100 * shares[0] / whole, 1), "mid_pct": round(100 * shares[1] / whole, 1), "high_pct": round(100 * shares[2] / whole, 1)}
+    bounds = [(c / half, c * half) for c in CENTRES] + [LOW, MID, HIGH]
+    table = np.zeros((len(bounds), len(hz)))
+    for k, (low, high) in enumerate(bounds):
+        inside = np.flatnonzero((hz >= low) & (hz < high))
+        if len(inside) > 1:
+            table[k, inside] = hz[1]
+            table[k, inside[[0, -1]]] /= 2
+    curve = np.abs(response(a_weighting(rate), hz, rate)) ** 2 if weight else np.ones(len(hz))
+    return hz, curve, table, slice(int(np.searchsorted(hz, CENTRES[0])), int(np.searchsorted(hz, CENTRES[-1], side="right")))
+
+
+def spectra_of(x: np.ndarray, rate: float = RATE, offset: float = CALIBRATION, weight: bool = True) -> list[dict]:
+    """Third-octave levels, peaks, centroid, 85 % rolloff and shares of energy of chunks of one length, the rows of x."""
+    x = np.atleast_2d(np.asarray(x, np.float64))
+    n = min(SEGMENT, x.shape[1])
+    power = np.stack([welch(row, rate)[1] for row in x]) if x.shape[1] > SEGMENT else _one_window(x, rate)
+    hz, curve, table, inside = _bands(n, rate, weight)
+    power = power * curve
+    bands = power @ table.T
+    levels = (10 * np.log10(np.maximum(bands[:, : len(CENTRES)], 1e-20)) + offset).round(1)
+    shares = bands[:, len(CENTRES) :]
+    parts = (100 * shares / np.where(shares.sum(axis=1) > 0, shares.sum(axis=1), 1.0)[:, None]).round(1)
+    f, p = hz[inside], power[:, inside]
+    total = p.sum(axis=1)
+    sums = p.cumsum(axis=1)
+    out = []
+    for k in range(len(x)):
+        some = total[k] > 0
+        centroid = round(float((f * p[k]).sum() / total[k]), 1) if some else 0.0
+        rolloff = round(float(f[np.searchsorted(sums[k], 0.85 * total[k])]), 1) if some else 0.0
+        out.append({"levels_db": levels[k].tolist(), "peaks_hz": [round(a, 1) for a, _ in peaks(hz, power[k])], "centroid_hz": centroid, "rolloff_85_hz": rolloff, "low_pct": float(parts[k, 0]), "mid_pct": float(parts[k, 1]), "high_pct": float(parts[k, 2])})
+    return out
+
+
+def _one_window(x: np.ndarray, rate: float) -> np.ndarray:
+    """``welch`` of rows that are one segment each."""
+    n = x.shape[1]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    power = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window)) ** 2 / (rate * (window**2).sum())
+    power[:, 1 : (-1 if n % 2 == 0 else None)] *= 2
+    return power
+
+
+def spectrum(x: np.ndarray, rate: float = RATE, offset: float = CALIBRATION, weight: bool = True) -> dict:
+    """``spectra_of`` for one chunk."""
+    return spectra_of(x, rate, offset, weight)[0]
 
 
 def subwindow_peak_rms(x: np.ndarray, rate: float = RATE, ms: float = 200.0) -> float:
@@ -291,25 +330,36 @@ def _small_batches(pcm: DataFrame) -> DataFrame:
     return pcm.select("chunk_id", "pcm")
 
 
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """chunk_ids and samples, a row each, of the chunks of a batch that are equally long."""
+    for batch in batches:
+        lists = batch.column("pcm")
+        size = np.diff(lists.offsets.to_numpy())
+        for n in np.unique(size[size > 0]):
+            which = pa.array(np.flatnonzero(size == n))
+            yield batch.column("chunk_id").take(which), lists.take(which).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
 def spectra(pcm: DataFrame) -> DataFrame:
-    """(chunk_id, spectrum columns) of chunks (chunk_id, pcm array<double>)."""
+    """(chunk_id, spectrum columns) of chunks (chunk_id, pcm array<double>); a chunk without samples has no row."""
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([{"chunk_id": i, **spectrum(np.array(x))} for i, x in zip(pdf["chunk_id"], pdf["pcm"])])
+        for ids, x in _by_length(batches):
+            found = spectra_of(x)
+            yield pa.RecordBatch.from_arrays([ids] + [pa.array([r[c] for r in found]) for c in found[0]], names=["chunk_id", *found[0]])
 
-    return _small_batches(pcm).mapInPandas(run, f"chunk_id long, {SPECTRUM}")
+    return _small_batches(pcm).mapInArrow(run, f"chunk_id long, {SPECTRUM}")
 
 
 def mel_means(pcm: DataFrame, bands: int = 64) -> DataFrame:
-    """(chunk_id, frames, mel) with the mean log-mel of each chunk."""
+    """(chunk_id, frames, mel) with the mean log-mel of each chunk; a chunk without samples has no row."""
 
     def run(batches):
-        for pdf in batches:
-            rows = [(i, log_mel(np.array(x), bands=bands)) for i, x in zip(pdf["chunk_id"], pdf["pcm"])]
-            yield pd.DataFrame([{"chunk_id": i, "frames": len(m), "mel": m.mean(axis=0).round(6).tolist()} for i, m in rows])
+        for ids, x in _by_length(batches):
+            rows = [log_mel(v, bands=bands) for v in x]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(m) for m in rows], pa.int32()), pa.array([m.mean(axis=0).round(6).tolist() for m in rows])], names=["chunk_id", "frames", "mel"])
 
-    return _small_batches(pcm).mapInPandas(run, "chunk_id long, frames int, mel array<double>")
+    return _small_batches(pcm).mapInArrow(run, "chunk_id long, frames int, mel array<double>")
 
 
 #: Chains from samples to a model's input, and the shape of what they give.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.acoustics import CHUNK_SECONDS, leq, round_to
+from ..functions.acoustics import CHUNK_SECONDS, decibels, energy, round_to
 from ..sources.labels import THEME_RULES, UNCLASSIFIED, LabelMap
 from .votes import macro_of, with_themes, with_votes
 
@@ -63,13 +63,15 @@ def acoustic_events(chunks: DataFrame, labels: LabelMap = LabelMap(), threshold:
     else:
         voted = voted.crossJoin(F.broadcast(threshold.select(F.col("threshold").alias("_threshold"))))  # one row
     rows = members(voted, F.col("_threshold"), labels)
-    per = rows.groupBy("event").agg(
-        F.min("dt_utc").alias("start"), F.max("dt_utc").alias("end"), F.count("*").alias("chunk_count"), F.min("rn").alias("start_rn"),
-        F.max("dba").alias("max_dba"), F.max("lafmax").alias("max_lafmax"), leq(F.col("dba")).alias("leq_db"),
+    # By event and vote first, then by event: one pass over the rows gives levels and votes.
+    parts = rows.groupBy("event", "vote").agg(
+        F.min("dt_utc").alias("start"), F.max("dt_utc").alias("end"), F.count("*").alias("c"), F.min("rn").alias("f"),
+        F.max("dba").alias("max_dba"), F.max("lafmax").alias("max_lafmax"), F.sum(energy(F.col("dba"))).alias("energy"), F.count("dba").alias("levels"),
+    )
+    out = parts.groupBy("event").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("c").alias("chunk_count"), F.min("f").alias("start_rn"), F.max("max_dba").alias("max_dba"), F.max("max_lafmax").alias("max_lafmax"),
+        round_to(decibels(F.sum("energy") / F.sum("levels"))).alias("leq_db"), F.max_by("vote", F.when(F.col("vote").isNotNull(), F.struct("c", -F.col("f")))).alias("dominant"),
     ).filter(F.col("chunk_count") >= labels.min_chunks)
-    votes = rows.filter("vote IS NOT NULL").groupBy("event", "vote").agg(F.count("*").alias("c"), F.min("rn").alias("f"))
-    votes = votes.groupBy("event").agg(F.max_by("vote", F.struct("c", -F.col("f"))).alias("dominant"))
-    out = per.join(votes, "event", "left")
     hiss = F.coalesce(F.col("dominant").isin(*labels.hiss), F.lit(False)) & (F.col("max_dba") > labels.hiss_above)
     out = out.withColumn("resolved", F.when(hiss, F.lit(labels.hiss_target)).otherwise(F.coalesce("dominant", F.lit(UNCLASSIFIED))))
     out = with_themes(out, "resolved", rules).withColumn("macro", macro_of(F.col("resolved"), F.col("theme"), labels))
