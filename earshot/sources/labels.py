@@ -101,14 +101,11 @@ def read_class_map(spark: SparkSession, path: str) -> DataFrame:
 
 def theme_of(labels: DataFrame, rules=THEME_RULES) -> DataFrame:
     """``labels(display_name)`` with the theme of the first rule, in order, one of whose keywords the name contains."""
-    low = F.lower("display_name")
-    theme = F.lit(OTHER)
-    for name, words in reversed(rules):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | (F.instr(low, w) > 0)
-        theme = F.when(hit, F.lit(name)).otherwise(theme)
-    return labels.withColumn("theme", theme)
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    # One expression as text: hundreds of keywords would be hundreds of calls from Python.
+    cases = [f"WHEN {' OR '.join(f'contains(_low, {quoted(w)})' for w in words)} THEN {quoted(name)}" for name, words in rules if words]
+    theme = F.expr(f"CASE {' '.join(cases)} ELSE {quoted(OTHER)} END") if cases else F.lit(OTHER)
+    return labels.withColumn("_low", F.lower("display_name")).withColumn("theme", F.coalesce(theme, F.lit(OTHER))).drop("_low")
 
 
 def theme_catalog(classes: DataFrame, rules=THEME_RULES) -> DataFrame:
