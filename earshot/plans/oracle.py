@@ -209,4 +209,21 @@ SQL = {
         b AS (SELECT *, coalesce(nc, dc) AS bc, CASE WHEN nc IS NOT NULL THEN no ELSE do_ END AS bo, lnight_db IS NOT NULL AS night, lday_db IS NOT NULL OR levening_db IS NOT NULL AS day FROM i)
         SELECT lden_db, CASE WHEN nc IS NULL THEN 'watch' WHEN nc <= 30 AND no <= 40 THEN 'ok' WHEN nc <= 40 THEN 'watch' ELSE 'alert' END AS sleep_badge, CASE WHEN lc IS NULL THEN 'watch' WHEN lc <= 35 AND lo <= 45 THEN 'ok' WHEN lc <= 50 THEN 'watch' ELSE 'alert' END AS office_badge,
         CASE WHEN bc IS NULL THEN 'watch' WHEN peak >= 70 OR (bo > 40 AND NOT bc <= 30) THEN 'alert' WHEN bo > 40 THEN 'watch' ELSE 'ok' END AS baby_badge, NOT (night AND day) AS insufficient, CASE WHEN NOT night THEN 'no night' WHEN NOT day THEN 'no day' END AS warning FROM b""",
+    "arm_cooldown": f"""WITH RECURSIVE {CH}, w AS (SELECT device_id, chunk_id, epoch_us(dt_utc) / 1e6 AS sec, dba, NOT gated AS open, row_number() OVER o AS k, max(CASE WHEN gated THEN 1 ELSE 0 END) OVER o AS any_, list(dba) OVER (PARTITION BY device_id ORDER BY dt_utc, chunk_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS five,
+          CASE WHEN top_label IN ('Vehicle', 'Speech') THEN 'label:' || top_label WHEN top_label = 'Wind' AND dba >= 55 THEN 'ambiguous:Wind@dBA>=55.0' END AS cand FROM ch WINDOW o AS (PARTITION BY device_id ORDER BY dt_utc, chunk_id)),
+        x AS (SELECT *, k - coalesce(max(CASE WHEN NOT open THEN k END) OVER (PARTITION BY device_id ORDER BY k), 0) AS run FROM w),
+        y AS (SELECT *, least(least(run, least(k, 5)) * 0.975e0 + 0.15e0, least(least(k, 5) * 0.975e0, 4e0)) AS lead FROM x),
+        r AS MATERIALIZED (SELECT *, list_max(list_slice(five, -CAST(ceil(lead / 0.975e0 - 1e-9) AS INT), -1)) AS seed FROM y),
+        f AS (SELECT device_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS chunk_id, '' AS status, '' AS reason, NULL::BIGINT AS capture_of, NULL::VARCHAR AS end_reason, NULL::DOUBLE AS event_seconds, NULL::DOUBLE AS dba_peak,
+            NULL::DOUBLE AS last_arm, false AS active, 0e0 AS seconds, 0e0 AS peak, 0 AS closed, 0 AS decay, CAST(-1 AS BIGINT) AS armed_id FROM r WHERE k = 1
+          UNION ALL SELECT device_id, k, chunk_id, CASE WHEN was THEN 'pending' WHEN NOT open THEN 'gated' WHEN arms THEN 'scheduled' ELSE 'skipped' END,
+            CASE WHEN was THEN 'capturing' WHEN NOT open THEN 'gated' WHEN arms THEN cand WHEN cand IS NULL THEN 'no_match' ELSE 'cooldown' END,
+            CASE WHEN why IS NOT NULL THEN armed END, why, CASE WHEN why IS NOT NULL THEN round(sec_, 3) END, CASE WHEN why IS NOT NULL THEN peak_ END,
+            CASE WHEN arms THEN sec ELSE last_arm END, (was OR arms) AND why IS NULL, sec_, peak_, closed_, decay_, CASE WHEN arms THEN chunk_id ELSE armed END FROM (
+            SELECT *, CASE WHEN NOT was THEN NULL WHEN sec_ >= 5 THEN 'capped' WHEN closed_ >= 2 THEN 'gate_close' WHEN decay_ >= 2 THEN 'peak_decay' END AS why FROM (
+              SELECT *, CASE WHEN was OR arms THEN CASE WHEN dba <= peak_ - 5e0 THEN CASE WHEN was THEN decay + 1 ELSE 1 END ELSE 0 END ELSE decay END AS decay_ FROM (
+                SELECT *, CASE WHEN was THEN greatest(peak, dba) WHEN arms THEN seed ELSE peak END AS peak_, CASE WHEN was THEN least(seconds + 0.975e0, 5e0) WHEN arms THEN lead ELSE seconds END AS sec_, CASE WHEN was AND NOT open THEN closed + 1 WHEN was OR arms THEN 0 ELSE closed END AS closed_ FROM (
+                  SELECT r.device_id, r.k, r.chunk_id, r.sec, r.dba, r.open, r.cand, r.lead, r.seed, f.active AS was, f.last_arm, f.seconds, f.peak, f.closed, f.decay, f.armed_id AS armed,
+                    NOT f.active AND r.open AND r.cand IS NOT NULL AND (f.last_arm IS NULL OR r.sec - f.last_arm >= 5) AS arms FROM f JOIN r ON r.device_id = f.device_id AND r.k = f.k + 1)))))
+        SELECT device_id, chunk_id, status, reason, capture_of, end_reason, event_seconds, dba_peak FROM f WHERE k > 0""",
 }
