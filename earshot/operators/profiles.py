@@ -64,7 +64,7 @@ def time_budget(voted: DataFrame, keys: list, labels: LabelMap = LabelMap()) ->
 def hourly_budget(voted: DataFrame, min_seconds: float = 1800.0, labels: LabelMap = LabelMap()) -> DataFrame:
     """The budget of each calendar hour that is covered enough, and one row more wherever hours are missing between two of them."""
     rows = time_budget(voted, [F.date_trunc("hour", "dt_local").alias("hour")], labels)
-    rows = rows.withColumn("seconds_total", F.sum("seconds").over(Window.partitionBy("hour"))).filter(F.col("seconds_total") >= F.lit(min_seconds))
+    rows = rows.withColumn("seconds_total", F.sum("chunks").over(Window.partitionBy("hour")) * F.lit(CHUNK_SECONDS)).filter(F.col("seconds_total") >= F.lit(min_seconds))
     gaps = _gaps(rows.select("hour").distinct())
     marked = rows.withColumn("is_gap", F.lit(False)).unionByName(gaps, allowMissingColumns=True)
     return marked.withColumn("label", F.when(F.col("is_gap"), F.col("gap")).otherwise(hour_label(F.col("hour")))).withColumn("period", F.when(~F.col("is_gap"), F.when(is_night(F.hour("hour")), "night").otherwise("day")))

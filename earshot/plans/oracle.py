@@ -118,7 +118,7 @@ SQL = {
     "time_budget_total": _budget("", ""),
     "time_budget_period": _budget(_PERIOD.format("dt_local"), "period"),
     "time_budget_hourly": f"""WITH {CH}, {VO}, b AS (SELECT date_trunc('hour', dt_local) AS hour, category, count(*) AS chunks FROM vm GROUP BY 1, 2),
-        t AS (SELECT *, sum(chunks * 0.975e0) OVER (PARTITION BY hour) AS seconds_total, sum(chunks) OVER (PARTITION BY hour) AS n FROM b),
+        t AS (SELECT *, sum(chunks) OVER (PARTITION BY hour) * 0.975e0 AS seconds_total, sum(chunks) OVER (PARTITION BY hour) AS n FROM b),
         h AS (SELECT * FROM t WHERE seconds_total >= 12 * 0.975e0), p AS (SELECT hour, lag(hour) OVER (ORDER BY hour) AS prev FROM (SELECT DISTINCT hour FROM h)),
         q AS (SELECT prev, CAST((epoch(hour) - epoch(prev)) // 3600 - 1 AS BIGINT) AS g FROM p)
         SELECT {_T.format('hour')} AS hour, category, CAST(row_number() OVER (PARTITION BY hour ORDER BY {_PLACE}, category) AS INT) AS place, chunks, chunks * 0.975e0 AS seconds, {_r('100e0 * chunks / n')} AS pct, seconds_total, false AS is_gap, NULL::BIGINT AS gap_hours, NULL::VARCHAR AS gap, strftime(hour, '%d %b %H:%M') AS label, {_PERIOD.format('hour')} AS period FROM h
