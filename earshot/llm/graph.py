@@ -28,16 +28,24 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node hangs on one node only, which hangs on none."""
+    per = links.groupBy("a").agg(F.count("*").alias("n"))
+    if not per.filter("n > 1").isEmpty():
+        return False
+    return join_even(links.select(F.col("b").alias("a")).distinct(), per, ["a"]).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """Per node of the links (a, b): node and component, the smallest node reachable."""
-    now = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    mark = None
-    while True:
+    """Per node of the links (a, b): node and component, the smallest node reachable.
+
+    Repeated links, both directions of one, and links of a node with itself
+    change nothing; links with a null end are left out; without links there are
+    no rows, and a node without links has none.
+    """
+    now = materialize(links.filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    while not _stars(now):
         after = materialize(_star(_star(now, small=False), small=True), "links")
-        row = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
         now = after
-        if tuple(row) == mark:
-            break
-        mark = tuple(row)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -237,8 +237,8 @@ def _classed(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 prefix.append(classes[i].values.to_numpy()[100 * left >= n * percent])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "n", "component")] + [pa.array(prefix, pa.list_(pa.int64())), classes, weights], names=["node", "n", "component", "prefix", "classes", "weights"])
 
-    rows = rows.select("node", "n", "component", "whole", F.col("list.class").alias("classes"), F.col("list.weight").alias("weights"))
-    return materialize(rows.mapInArrow(run, "node long, n long, component long, prefix array<long>, classes array<long>, weights array<long>"), "classes")
+    rows = rows.select("node", "n", "component", "whole", F.col("list.class").alias("classes"), F.col("list.weight").cast("array<int>").alias("weights"))
+    return materialize(rows.mapInArrow(run, "node long, n long, component long, prefix array<long>, classes array<long>, weights array<int>"), "classes")
 
 
 def forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,34 +273,34 @@ def _rest_pairs(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     per = per.select("class", "main", blocks_(F.col("rights")).alias("nr"), blocks_(F.col("rights") - F.col("most")).alias("nl"))
     met = join_even(prefix, per, ["class"])
 
-    def dealt(mine: str, others: str, left: bool) -> DataFrame:
-        rows = met.filter("component <> main") if left else met
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col(mine)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
-        l, r = ("own", "other") if left else ("other", "own")
-        return rows.select("class", "node", F.col(l).alias("l"), F.col(r).alias("r"), F.lit(left).alias("left"), "main")
-
-    placed = join_even(dealt("nl", "nr", True).union(dealt("nr", "nl", False)), lists.drop("prefix").withColumnRenamed("classes", "list"), ["node"])
+    at = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    is_left = F.col("component") != F.col("main")
+    # A node that is on both sides of a task comes once.
+    right = met.select("class", "node", is_left.alias("_left"), at("nl").alias("_l"), spread("nl").alias("l"), at("nr").alias("r"))
+    right = right.select("class", "node", "l", "r", (F.col("_left") & (F.col("l") == F.col("_l"))).alias("left"), F.lit(True).alias("right"))
+    left = met.filter(is_left).select("class", "node", at("nl").alias("l"), at("nr").alias("_r"), spread("nr").alias("r")).filter("r <> _r")
+    left = left.select("class", "node", "l", "r", F.lit(True).alias("left"), F.lit(False).alias("right"))
+    placed = join_even(right.union(left), lists.drop("prefix").withColumnRenamed("classes", "list"), ["node"])
 
     def compare(table: pa.Table) -> pa.Table:
-        main = table.column("main")[0].as_py()
-        is_left = table.column("left").to_numpy(zero_copy_only=False)
+        sides = [table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right")]
         node, n, component = (table.column(c).to_numpy() for c in ("node", "n", "component"))
         lists_, weights = (table.column(c).combine_chunks() for c in ("list", "weights"))
         keys, weight, size = lists_.flatten().to_numpy(), weights.flatten().to_numpy(), np.diff(lists_.offsets.to_numpy())
         owner = np.repeat(np.arange(len(node)), size)
-        a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        place = np.empty(len(node), np.int64)
-        place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+        a, b = (np.flatnonzero(side) for side in sides)
+        place = [np.cumsum(side) - 1 for side in sides]
         known, at = np.unique(keys, return_inverse=True)
-        sides = [np.bincount(at[is_left[owner] == side], minlength=len(known)) > 0 for side in (True, False)]
-        column = np.where(sides[0] & sides[1], np.cumsum(sides[0] & sides[1]) - 1, -1)[at]  # classes that both sides have
+        has = [np.bincount(at[side[owner]], minlength=len(known)) > 0 for side in sides]
+        column = np.where(has[0] & has[1], np.cumsum(has[0] & has[1]) - 1, -1)[at]  # classes that both sides have
         both = np.zeros((len(a), len(b)))
         for k in range(0, int(column.max(initial=-1)) + 1, CLASSES):
             some = (column >= k) & (column < k + CLASSES)
             x, y = np.zeros((len(a), CLASSES), np.float32), np.zeros((len(b), CLASSES), np.float32)
-            for matrix, side, value in ((x, True, weight), (y, False, np.ones(len(keys)))):
-                w = np.flatnonzero(some & (is_left[owner] == side))
-                matrix[place[owner[w]], column[w] - k] = value[w]
+            for matrix, side, where, value in ((x, sides[0], place[0], weight), (y, sides[1], place[1], np.ones(len(keys)))):
+                w = np.flatnonzero(some & side[owner])
+                matrix[where[owner[w]], column[w] - k] = value[w]
             both += x @ y.T
         good = 100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)
         good &= component[a][:, None] != component[b][None, :]
