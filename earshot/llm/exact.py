@@ -156,10 +156,10 @@ def groups(docs: DataFrame, incoming: Column | None = None) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; a row is known by its doc_id and its text."""
-    gone = materialize(groups(docs).filter("doc_id <> keep_id").select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha")).distinct(), "gone")
+    """The rows of ``docs`` that stay, with their columns; a row is known by its doc_id and 64 bits of its text's digest."""
+    gone = materialize(groups(docs).filter("doc_id <> keep_id").select(F.col("doc_id").alias("_doc"), F.xxhash64("sha").alias("_sha")).distinct(), "gone")
     sha = F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))), 256)
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), sha.alias("_sha"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(sha).alias("_sha"))
     return keyed.join(gone, ["_doc", "_sha"], "left_anti").select("_row.*")
 
 

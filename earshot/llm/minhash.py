@@ -361,16 +361,16 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     known = materialize(join_even(nodes.select("set1", "set2", "node", "low"), merged, ["node"], "left").withColumn("component", F.coalesce("component", "node")), "known")
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
     classes = materialize(join_even(known, lowest, ["component"]).select("set1", "set2", "component_id"), "classes")
-    digest = F.md5(F.col("text").cast("binary")).alias("digest")
+    digest = F.xxhash64("text").alias("digest")
     out = join_even(rows.select("doc_id", "n_shingles", "set1", "set2", digest), classes, ["set1", "set2"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", "digest", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with their columns; a row is known by its doc_id and its text."""
+    """The rows of ``docs`` that stay, one document of each group, with their columns; a row is known by its doc_id and a 64-bit hash of its text."""
     gone = _grouped(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
     gone = materialize(gone.distinct(), "gone")
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), digest.alias("_digest"))
     return keyed.join(gone, ["_doc", "_digest"], "left_anti").select("_row.*")
