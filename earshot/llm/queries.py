@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, exact, lattice, minhash, mixing, pii, quality, suffix, tokencount, tokenfile
+from . import audit, bytebpe, exact, lattice, merkle, minhash, mixing, pii, piece, quality, suffix, tokencount, tokenfile
 
 TOKEN_LIMIT = 2048
 END_ID = 2
@@ -128,6 +128,93 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_docs(spark, sf_dir), keep_text=False).drop("kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, alone and in every order, for each source."""
+    return audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+b AS (
+  SELECT d.doc_id, part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+     regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM d LEFT JOIN (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id),
+f AS (
+  SELECT part, good, toxic, list_sum([CASE WHEN fails[i] THEN 1 << (i - 1) ELSE 0 END FOR i IN range(1, 6)])::INT AS mask, count(*) AS n FROM b GROUP BY ALL),
+o AS (
+  SELECT a.i || b.i || c.i || d.i || e.i AS filter_order FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS i) a, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS i) b,
+    (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS i) c, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS i) d, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS i) e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+    coalesce(list_sum([1 << (ascii(filter_order[j]) - 65) FOR j IN range(1, step)]), 0)::INT AS prior FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (mask & (prior | own) = 0) AS kept, sum(n) FILTER (mask & prior = 0 AND mask & own > 0) AS removed,
+    sum(n) FILTER (mask & prior > 0 AND mask & own > 0) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+    sum(n) FILTER (mask & prior = 0 AND mask & own > 0 AND good) AS good_lost, sum(n) FILTER (mask & prior = 0 AND mask & own > 0 AND toxic) AS toxic_lost
+  FROM f, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r
+"""
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of each document, begin and end included, and of the text they decode to."""
+    out = piece.encode(_docs(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf, subroot, proof and the root it folds to; of every fifth after its text was tampered with."""
+    tampered = merkle.leaf(text=merkle.lower_case(F.col("text")))
+    altered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered)
+    out = merkle.verify(merkle.manifest(_docs(spark, sf_dir), altered))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('s' || source, '-') AS tree, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') ||
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+    list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')])),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc
+  FROM documents),
+l AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS altered FROM d),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+t AS (
+  SELECT 0 AS level, tree, pos, n, leaf AS hash, NULL::VARCHAR AS preimage FROM p
+  UNION ALL
+  SELECT level + 1, tree, pos // 16, (n + 15) // 16, sha256(string_agg(hash, '' ORDER BY pos)), string_agg(hash, '' ORDER BY pos) FROM t WHERE n > 1 GROUP BY level, tree, pos // 16, n),
+subroots AS (
+  SELECT tree, hash, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, pos, n, hash, NULL::VARCHAR AS preimage FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(hash, '' ORDER BY pos)), string_agg(hash, '' ORDER BY pos) FROM u WHERE n > 1 GROUP BY level, pos // 16, n),
+low AS (
+  SELECT doc_id, tree, pos AS own, 0 AS level, pos, n, '' AS proof, coalesce(altered, leaf) AS fold FROM p
+  UNION ALL
+  SELECT doc_id, low.tree, own, low.level + 1, t.pos, t.n, proof || substr(preimage, 1, 64 * (low.pos % 16)::INT) || substr(preimage, 64 * (low.pos % 16)::INT + 65),
+    sha256(substr(preimage, 1, 64 * (low.pos % 16)::INT) || fold || substr(preimage, 64 * (low.pos % 16)::INT + 65))
+  FROM low JOIN t ON low.n > 1 AND t.tree = low.tree AND t.level = low.level + 1 AND t.pos = low.pos // 16),
+high AS (
+  SELECT doc_id, low.tree, own, 0 AS level, s.pos, s.n, proof, fold, s.hash AS subroot FROM low JOIN subroots s ON low.n = 1 AND s.tree = low.tree
+  UNION ALL
+  SELECT doc_id, high.tree, own, high.level + 1, u.pos, u.n, proof || substr(preimage, 1, 64 * (high.pos % 16)::INT) || substr(preimage, 64 * (high.pos % 16)::INT + 65),
+    sha256(substr(preimage, 1, 64 * (high.pos % 16)::INT) || fold || substr(preimage, 64 * (high.pos % 16)::INT + 65)), subroot
+  FROM high JOIN u ON high.n > 1 AND u.level = high.level + 1 AND u.pos = high.pos // 16)
+SELECT h.doc_id, p.leaf, h.subroot, r.hash AS root, sha256(h.proof) AS proof_sha256, h.fold AS folded_root, h.fold = r.hash AS verified
+FROM high h JOIN p ON p.tree = h.tree AND p.pos = h.own, (SELECT hash FROM u WHERE n = 1) r WHERE h.n = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -140,8 +227,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_token_files": op9_token_files,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_sentencepiece": op12_sentencepiece,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_mixing": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op11_filter_audit": OP11_SQL, "op13_merkle": OP13_SQL}
