@@ -6,7 +6,7 @@ package beyond numpy is needed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 RATE = 48_000
 #: Third-octave centres in Hz, and the bounds of the energy regions.
 CENTRES = (31.5, 40.0, 50.0, 63.0, 80.0, 100.0, 125.0, 160.0, 200.0, 250.0, 315.0, 400.0, 500.0, 630.0, 800.0, 1000.0, 1250.0, 1600.0, 2000.0, 2500.0, 3150.0, 4000.0, 5000.0, 6300.0, 8000.0, 10000.0, 12500.0, 16000.0)
@@ -63,15 +65,16 @@ def highpass(order: int, cutoff: float, rate: float) -> np.ndarray:
     return sections(*bilinear([0j] * order, poles, 1.0, rate))
 
 
+# Corner frequencies in Hz of the standard's curve, and the gain in dB that makes it about 0 dB at 1 kHz.
+CORNERS = (20.598997, 107.65265, 737.86223, 12194.217)
+CURVE_GAIN = 1.9997
+
+
 @cache
 def a_weighting(rate: float) -> np.ndarray:
-    """A-weighting sections: four zeros at 0, double poles at the ends, unity at 1 kHz."""
-    # Corner frequencies in Hz of the standard's curve.
-    f1, f2, f3, f4 = 20.598997, 107.65265, 737.86223, 12194.217
-    poles = [complex(-2 * np.pi * f) for f in (f1, f1, f2, f3, f4, f4)]
-    sos = sections(*bilinear([0j] * 4, poles, (2 * np.pi * f4) ** 2, rate))
-    sos[0, :3] /= abs(response(sos, np.array([1000.0]), rate)[0])
-    return sos
+    """A-weighting sections: four zeros at 0, double poles at the ends; corners are warped first, so that they come out right near half the rate."""
+    f1, f2, f3, f4 = (2.0 * rate * np.tan(np.pi * f / rate) for f in CORNERS)
+    return sections(*bilinear([0j] * 4, [complex(-w) for w in (f1, f1, f2, f3, f4, f4)], f4**2 * 10 ** (CURVE_GAIN / 20), rate))
 
 
 def response(sos: np.ndarray, hz: np.ndarray, rate: float) -> np.ndarray:
@@ -138,15 +141,18 @@ def fast_max(x: np.ndarray, rate: float = RATE, tau: float = 0.125) -> float:
     alpha = 1.0 - np.exp(-1.0 / (rate * tau))
     pole = np.array([[alpha, 0.0, 0.0, 1.0, alpha - 1.0, 0.0]])
     y, _ = run_filter(pole, np.asarray(x, np.float64) ** 2)
-    return float(10 * np.log10(max(y.max(initial=0.0), 1e-20)))
+    return float(10 * np.log10(max(y.max(initial=0.0), 1e-24)))
 
 
 def loudness(x: np.ndarray, state: np.ndarray | None, rate: float = RATE, offset: float = CALIBRATION) -> tuple[dict[str, float], np.ndarray]:
-    """Levels of a chunk and the filter's state after it."""
-    weighted, state = run_filter(a_weighting(rate), x, state)
+    """Levels of a chunk and the filter's state after it; without a state the first sample counts as what has always been."""
+    x, sos = np.asarray(x, np.float64), a_weighting(rate)
+    if state is None:
+        state = settle(sos) * (x[0] if len(x) else 0.0)
+    weighted, state = run_filter(sos, x, state)
     rms = lambda v: float(np.sqrt(np.mean(np.square(v)))) if len(v) else 0.0
     r = rms(weighted)
-    return {"rms_unweighted": round(rms(np.asarray(x, float)), 8), "rms_a_weighted": round(r, 8), "dBA_spl": round(20 * np.log10(r + 1e-12) + offset, 1), "LAFmax_dB": round(fast_max(weighted, rate) + offset, 1)}, state
+    return {"rms_unweighted": round(rms(x), 8), "rms_a_weighted": round(r, 8), "dBA_spl": round(20 * np.log10(r + 1e-12) + offset, 1), "LAFmax_dB": round(fast_max(weighted, rate) + offset, 1)}, state
 
 
 def welch(x: np.ndarray, rate: float = RATE, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
@@ -160,76 +166,92 @@ def welch(x: np.ndarray, rate: float = RATE, segment: int = SEGMENT) -> tuple[np
     return np.fft.rfftfreq(n, 1 / rate), power
 
 
-def band_power(hz: np.ndarray, power: np.ndarray, low: float, high: float) -> float:
-    inside = (hz >= low) & (hz < high)
-    return float(np.trapezoid(power[inside], hz[inside])) if inside.sum() > 1 else 0.0
+# Where peaks are looked for, the share of a rolloff, the least power, how near two peaks lie as a part of the lower one, and points of the smoothing.
+PEAKS_HZ, ROLLOFF, LEAST, NEAR, SMOOTH = (25.0, 16_000.0), 0.85, 1e-20, 2 ** (1 / 12) - 2 ** (-1 / 12), 5
 
 
-def peaks(hz: np.ndarray, power: np.ndarray, most: int = 3) -> list[tuple[float, float]]:
-    """Local maxima of the smoothed spectrum, strongest first, none within a third of an octave of another."""
-    smooth = np.convolve(power, np.ones(5) / 5, "same")
-    at = np.flatnonzero((smooth[1:-1] > smooth[:-2]) & (smooth[1:-1] >= smooth[2:])) + 1
-    at = at[(hz[at] >= 25.0) & (hz[at] <= 16000.0)]
-    out: list[tuple[float, float]] = []
-    for k in at[np.argsort(-smooth[at], kind="stable")]:
-        if all(abs(np.log2(hz[k] / f)) >= 1 / 3 for f, _ in out):
-            out.append((float(hz[k]), float(10 * np.log10(max(smooth[k], 1e-20)))))
+def power_db(power: np.ndarray) -> np.ndarray:
+    """Power in dB, rounded; none is -200."""
+    return (10.0 * np.log10(np.maximum(power, LEAST))).round(1)
+
+
+def peaks(hz: np.ndarray, power: np.ndarray, most: int = 3) -> list[dict[str, float]]:
+    """The strongest local maxima between the bounds, smoothed; one that is near a stronger one is part of it."""
+    inside = (hz >= PEAKS_HZ[0]) & (hz <= PEAKS_HZ[1])
+    f, smooth = hz[inside], power[inside]
+    if len(f) < 3:
+        return []
+    if len(f) >= SMOOTH:
+        smooth = np.convolve(smooth, np.full(SMOOTH, 1 / SMOOTH), "same")
+    at = np.flatnonzero((smooth[1:-1] >= smooth[:-2]) & (smooth[1:-1] > smooth[2:])) + 1
+    out: list[int] = []
+    for k in at[np.argsort(-smooth[at], kind="stable")].tolist():
+        if all(abs(f[k] - f[o]) >= NEAR * min(f[k], f[o]) for o in out):
+            out.append(k)
             if len(out) == most:
                 break
-    return out
+    return [{"hz": float(f[k].round(1)), "db": float(power_db(smooth[k]))} for k in out]
 
 
 @cache
-def _bands(n: int, rate: float, weight: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, slice]:
-    """Of spectra of n samples: frequencies, weights of their power, how bands integrate it by trapezoids, and where the bands lie."""
+def _bands(n: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, slice]:
+    """Of spectra of n samples: frequencies, the A curve of power, how bands integrate power by trapezoids (both ends included), and where the bands lie."""
     hz = np.fft.rfftfreq(n, 1 / rate)
     half = 2 ** (1 / 6)
     bounds = [(c / half, c * half) for c in CENTRES] + [LOW, MID, HIGH]
     table = np.zeros((len(bounds), len(hz)))
     for k, (low, high) in enumerate(bounds):
-        inside = np.flatnonzero((hz >= low) & (hz < high))
+        inside = np.flatnonzero((hz >= low) & (hz <= high))
         if len(inside) > 1:
             table[k, inside] = hz[1]
             table[k, inside[[0, -1]]] /= 2
-    curve = np.abs(response(a_weighting(rate), hz, rate)) ** 2 if weight else np.ones(len(hz))
-    return hz, curve, table, slice(int(np.searchsorted(hz, CENTRES[0])), int(np.searchsorted(hz, CENTRES[-1], side="right")))
+    curve = np.abs(response(a_weighting(rate), hz, rate)) ** 2
+    return hz, curve, table, slice(int(np.searchsorted(hz, LOW[0])), int(np.searchsorted(hz, HIGH[1], side="right")))
 
 
-def spectra_of(x: np.ndarray, rate: float = RATE, offset: float = CALIBRATION, weight: bool = True) -> list[dict]:
-    """Third-octave levels, peaks, centroid, 85 % rolloff and shares of energy of chunks of one length, the rows of x."""
+def _metrics(power: np.ndarray, n: int, rate: float, most_peaks: int) -> list[dict]:
+    """Levels, peaks, centroid, rolloff and shares of energy of each row of power."""
+    hz, _, table, inside = _bands(n, rate)
+    bands = power @ table.T
+    levels, regions = power_db(bands[:, : len(CENTRES)]), bands[:, len(CENTRES) :]
+    whole = regions.sum(axis=1)
+    shares = np.where(whole[:, None] > LEAST, 100.0 * regions / np.maximum(whole, LEAST)[:, None], 0.0).round(1)
+    f, p = hz[inside], power[:, inside]
+    total, sums = p.sum(axis=1), p.cumsum(axis=1)
+    some = total > LEAST
+    centroid = np.where(some, (p @ f) / np.maximum(total, LEAST), 0.0).round(1)
+    at = (sums < ROLLOFF * sums[:, -1:]).sum(axis=1) if len(f) else np.zeros(len(p), int)
+    rolloff = np.where(some, f[np.minimum(at, len(f) - 1)], 0.0).round(1) if len(f) else centroid
+    return [
+        {"levels_db": lv, "peaks": peaks(hz, row, most_peaks) if most_peaks else [], "centroid_hz": c, "rolloff_85_hz": r, "energy_pct": {"low": e[0], "mid": e[1], "high": e[2]}}
+        for lv, row, c, r, e in zip(levels.tolist(), power, centroid.tolist(), rolloff.tolist(), shares.tolist())
+    ]
+
+
+def spectra_of(x: np.ndarray, rate: float = RATE, most_peaks: int = 3) -> list[dict]:
+    """Unweighted (z) and A-weighted (a) third-octave summaries of chunks of one length, the rows of x; no samples make no power."""
     x = np.atleast_2d(np.asarray(x, np.float64))
     n = min(SEGMENT, x.shape[1])
+    if not n:
+        none = {"levels_db": [-200.0] * len(CENTRES), "peaks": [], "centroid_hz": 0.0, "rolloff_85_hz": 0.0, "energy_pct": {"low": 0.0, "mid": 0.0, "high": 0.0}}
+        return [{"z": none, "a": none} for _ in x]
     power = np.stack([welch(row, rate)[1] for row in x]) if x.shape[1] > SEGMENT else _one_window(x, rate)
-    hz, curve, table, inside = _bands(n, rate, weight)
-    power = power * curve
-    bands = power @ table.T
-    levels = (10 * np.log10(np.maximum(bands[:, : len(CENTRES)], 1e-20)) + offset).round(1)
-    shares = bands[:, len(CENTRES) :]
-    parts = (100 * shares / np.where(shares.sum(axis=1) > 0, shares.sum(axis=1), 1.0)[:, None]).round(1)
-    f, p = hz[inside], power[:, inside]
-    total = p.sum(axis=1)
-    sums = p.cumsum(axis=1)
-    out = []
-    for k in range(len(x)):
-        some = total[k] > 0
-        centroid = round(float((f * p[k]).sum() / total[k]), 1) if some else 0.0
-        rolloff = round(float(f[np.searchsorted(sums[k], 0.85 * total[k])]), 1) if some else 0.0
-        out.append({"levels_db": levels[k].tolist(), "peaks_hz": [round(a, 1) for a, _ in peaks(hz, power[k])], "centroid_hz": centroid, "rolloff_85_hz": rolloff, "low_pct": float(parts[k, 0]), "mid_pct": float(parts[k, 1]), "high_pct": float(parts[k, 2])})
-    return out
+    weighted = power * _bands(n, rate)[1]
+    return [{"z": z, "a": a} for z, a in zip(_metrics(power, n, rate, most_peaks), _metrics(weighted, n, rate, most_peaks))]
 
 
 def _one_window(x: np.ndarray, rate: float) -> np.ndarray:
     """``welch`` of rows that are one segment each."""
     n = x.shape[1]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-    power = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window)) ** 2 / (rate * (window**2).sum())
+    power = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window)) ** 2 / (rate * max((window**2).sum(), LEAST))
     power[:, 1 : (-1 if n % 2 == 0 else None)] *= 2
     return power
 
 
-def spectrum(x: np.ndarray, rate: float = RATE, offset: float = CALIBRATION, weight: bool = True) -> dict:
+def spectrum(x: np.ndarray, rate: float = RATE, most_peaks: int = 3) -> dict:
     """``spectra_of`` for one chunk."""
-    return spectra_of(x, rate, offset, weight)[0]
+    return spectra_of(np.asarray(x, np.float64)[None, :], rate, most_peaks)[0]
 
 
 def subwindow_peak_rms(x: np.ndarray, rate: float = RATE, ms: float = 200.0) -> float:
@@ -262,16 +284,22 @@ def mel_bank(rate: int, size: int, bands: int, low: float, high: float) -> np.nd
     return bank * (2.0 / (edges[2:] - edges[:-2]))[:, None]
 
 
-def log_mel(x: np.ndarray, rate: int = RATE, size: int = 1024, hop: int = 480, bands: int = 64, power: bool = True) -> np.ndarray:
-    """Centred short-time log-mel frames: natural log of power, or base-10 log of magnitude under a symmetric window."""
-    padded = np.pad(np.asarray(x, np.float64), size // 2, "reflect" if len(x) > size // 2 else "constant")
-    frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop]
+def log_mels(x: np.ndarray, rate: int = RATE, size: int = 1024, hop: int = 480, bands: int = 64, power: bool = True) -> np.ndarray:
+    """Centred short-time log-mel frames of each row of x: natural log of power, or base-10 log of magnitude under a symmetric window."""
+    half = size // 2
+    padded = np.pad(np.asarray(x, np.float64), ((0, 0), (half, half)), "reflect" if x.shape[1] > half else "constant")
+    frames = np.lib.stride_tricks.sliding_window_view(padded, size, axis=1)[:, ::hop]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size if power else size - 1))
     mag = np.abs(np.fft.rfft(frames * window))
     bank = mel_bank(rate, size, bands, 50.0, min(14000.0, rate / 2))
     return np.log(np.maximum(mag**2 @ bank.T, 1e-10)) if power else np.log10(np.maximum(mag @ bank.T, 1e-10))
 
 
+def log_mel(x: np.ndarray, rate: int = RATE, size: int = 1024, hop: int = 480, bands: int = 64, power: bool = True) -> np.ndarray:
+    """``log_mels`` of one chunk."""
+    return log_mels(np.asarray(x, np.float64)[None, :], rate, size, hop, bands, power)[0]
+
+
 def fit_window(x: np.ndarray, n: int, keep_last: bool) -> np.ndarray:
     """Exactly n samples: repeated up to n, or cut to the last n; or else padded with zeros, or cut to the first n."""
     if len(x) >= n:
@@ -321,45 +349,56 @@ def resample(x: np.ndarray, up: int, down: int, taps: int = 20) -> np.ndarray:
     return full[::down]
 
 
-SPECTRUM = "levels_db array<double>, peaks_hz array<double>, centroid_hz double, rolloff_85_hz double, low_pct double, mid_pct double, high_pct double"
+_SIDE = "struct<levels_db:array<double>,peaks:array<struct<hz:double,db:double>>,centroid_hz:double,rolloff_85_hz:double,energy_pct:struct<low:double,mid:double,high:double>>"
+SPECTRUM = f"z {_SIDE}, a {_SIDE}"
+#: Samples that are transformed together.
+_SAMPLES = 1 << 20
+Source = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.Array, np.ndarray]]]
 
 
-def _small_batches(pcm: DataFrame) -> DataFrame:
+def _small_batches(pcm: DataFrame, *columns: str) -> DataFrame:
     """chunk_id and pcm; samples are many, so the Arrow batches that Python workers hold get few rows."""
     pcm.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return pcm.select("chunk_id", "pcm")
+    return pcm.select(*(columns or ("chunk_id", "pcm")))
 
 
-def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """chunk_ids and samples, a row each, of the chunks of a batch that are equally long."""
     for batch in batches:
         lists = batch.column("pcm")
         size = np.diff(lists.offsets.to_numpy())
-        for n in np.unique(size[size > 0]):
-            which = pa.array(np.flatnonzero(size == n))
-            yield batch.column("chunk_id").take(which), lists.take(which).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        for n in np.unique(size):
+            which = np.flatnonzero(size == n)
+            for k in range(0, len(which), few := max(1, _SAMPLES // max(int(n), 1))):
+                some = pa.array(which[k : k + few])
+                yield batch.column("chunk_id").take(some), lists.take(some).flatten().to_numpy(zero_copy_only=False).reshape(len(some), n)
 
 
-def spectra(pcm: DataFrame) -> DataFrame:
-    """(chunk_id, spectrum columns) of chunks (chunk_id, pcm array<double>); a chunk without samples has no row."""
+def spectra(pcm: DataFrame, most_peaks: int = 3, source: Source = by_length) -> DataFrame:
+    """(chunk_id, band_type, centers_hz, z, a) of chunks (chunk_id, pcm array<double>), or of what ``source`` makes samples of."""
 
     def run(batches):
-        for ids, x in _by_length(batches):
-            found = spectra_of(x)
-            yield pa.RecordBatch.from_arrays([ids] + [pa.array([r[c] for r in found]) for c in found[0]], names=["chunk_id", *found[0]])
+        side = pa.struct([("levels_db", pa.list_(pa.float64())), ("peaks", pa.list_(pa.struct([("hz", pa.float64()), ("db", pa.float64())]))), ("centroid_hz", pa.float64()), ("rolloff_85_hz", pa.float64()), ("energy_pct", pa.struct([(c, pa.float64()) for c in ("low", "mid", "high")]))])
+        for ids, x in source(batches):
+            found = spectra_of(x, most_peaks=most_peaks)
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[c] for r in found], side) for c in ("z", "a")]], names=["chunk_id", "z", "a"])
 
-    return _small_batches(pcm).mapInArrow(run, f"chunk_id long, {SPECTRUM}")
+    rows = _small_batches(pcm) if source is by_length else pcm
+    out = rows.mapInArrow(run, f"chunk_id long, {SPECTRUM}")
+    return out.select("chunk_id", F.lit("third_octave").alias("band_type"), F.array(*map(F.lit, CENTRES)).alias("centers_hz"), "z", "a")
 
 
-def mel_means(pcm: DataFrame, bands: int = 64) -> DataFrame:
-    """(chunk_id, frames, mel) with the mean log-mel of each chunk; a chunk without samples has no row."""
+def mel_means(pcm: DataFrame, bands: int = 64, source: Source = by_length) -> DataFrame:
+    """(chunk_id, frames, mel) with the mean log-mel of each chunk, or of what ``source`` makes samples of; a chunk without samples has no row."""
 
     def run(batches):
-        for ids, x in _by_length(batches):
-            rows = [log_mel(v, bands=bands) for v in x]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(m) for m in rows], pa.int32()), pa.array([m.mean(axis=0).round(6).tolist() for m in rows])], names=["chunk_id", "frames", "mel"])
+        for ids, x in source(batches):
+            if x.shape[1]:
+                mel = log_mels(x, bands=bands)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(x), mel.shape[1], np.int32)), pa.array(mel.mean(axis=1).round(6).tolist())], names=["chunk_id", "frames", "mel"])
 
-    return _small_batches(pcm).mapInArrow(run, "chunk_id long, frames int, mel array<double>")
+    rows = _small_batches(pcm) if source is by_length else pcm
+    return rows.mapInArrow(run, "chunk_id long, frames int, mel array<double>")
 
 
 #: Chains from samples to a model's input, and the shape of what they give.
@@ -400,26 +439,96 @@ def rechunked(pcm: DataFrame, samples: int = 46_800) -> DataFrame:
     return rows.mapInPandas(run, "device_id string, window int, pcm array<double>")
 
 
+@cache
+def _step(path: bytes, n: int) -> np.ndarray:
+    """How n samples of silence change the states of sections."""
+    sos = np.frombuffer(path).reshape(-1, 6)
+    size = 2 * len(sos)
+    one = np.stack([run_filter(sos, np.zeros(1), unit.reshape(-1, 2))[1].ravel() for unit in np.eye(size)], axis=1)
+    return np.linalg.matrix_power(one, n)
+
+
+class FilterMaps:
+    """What chunks do to a filter's states, as maps that compose: number of samples, the first one, and the states that they leave from zero."""
+
+    def __init__(self, sos: np.ndarray) -> None:
+        self.sos, self.raw, self.rest = sos, np.ascontiguousarray(sos).tobytes(), settle(sos).ravel()
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate(([len(x), x[0] if len(x) else np.nan], run_filter(self.sos, x)[1].ravel()))
+
+    def combine(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        first = b[1] if np.isnan(a[1]) else a[1]
+        return np.concatenate(([a[0] + b[0], first], _step(self.raw, int(b[0])) @ a[2:] + b[2:]))
+
+    def act(self, state: np.ndarray | None, m: np.ndarray) -> np.ndarray | None:
+        if state is None:
+            if np.isnan(m[1]):
+                return None
+            state = self.rest * m[1]
+        return _step(self.raw, int(m[0])) @ state + m[2:]
+
+
+def with_filter_states(pcm: DataFrame, sos: np.ndarray, keys: list[str], place: str) -> DataFrame:
+    """``pcm`` with ``state``, what the filter remembers before each chunk of its key (null before the first sample).
+
+    Chunks are filtered from zero, wherever they lie, to one small map each; maps
+    are composed along ``place``, and each chunk gets its state back by a join.
+    So one recording takes as many tasks as its samples have partitions.
+    """
+    maps = FilterMaps(sos)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.drop(columns="pcm").assign(map=pd.Series([maps.of(np.asarray(x, float)) for x in pdf["pcm"]], dtype=object, index=pdf.index))
+
+    names = [f"_k{i}" for i in range(len(keys))]  # a null key is one of its own
+    named = pcm.select("*", *[F.coalesce(F.concat(F.lit("k"), F.col(k).cast("string")), F.lit("")).alias(n) for k, n in zip(keys, names)])
+    rows = _small_batches(named, *names, F.col(place).cast("long").alias("place"), "pcm").mapInPandas(run, ", ".join(f"{n} string" for n in names) + ", place long, map array<double>")
+    states = scan.before(rows, names, maps.combine, maps.act, levels=2).withColumnRenamed("place", "_place")
+    return named.withColumn("_place", F.col(place).cast("long")).join(states, [*names, "_place"]).drop(*names, "_place")
+
+
 def loudness_of(pcm: DataFrame) -> DataFrame:
-    """Levels of chunks (device_id, recording_id, chunk_index, pcm); the filter's memory passes from chunk to chunk of a recording."""
+    """Levels of chunks (device_id, recording_id, chunk_index, pcm); the filter's memory passes from chunk to chunk of a recording, whose chunk_index are distinct."""
+    names = ["rms_unweighted", "rms_a_weighted", "dBA_spl", "LAFmax_dB"]
 
-    def run(batches):
-        key, state = None, None
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if (r.device_id, r.recording_id) != key:
-                    key, state = (r.device_id, r.recording_id), None
-                levels, state = loudness(np.array(r.pcm), state)
-                out.append((r.device_id, r.recording_id, r.chunk_index, *levels.values()))
-            yield pd.DataFrame(out, columns=["device_id", "recording_id", "chunk_index", "rms_unweighted", "rms_a_weighted", "dBA_spl", "LAFmax_dB"])
-
-    rows = pcm.select("device_id", "recording_id", "chunk_index", "pcm").repartition("device_id", "recording_id").sortWithinPartitions("device_id", "recording_id", "chunk_index")
-    return rows.mapInPandas(run, "device_id string, recording_id string, chunk_index int, rms_unweighted double, rms_a_weighted double, dBA_spl double, LAFmax_dB double")
-
-
-def tones(chunks: DataFrame, samples: int = 4800) -> DataFrame:
-    """(chunk_id, pcm): a sine for each chunk whose pitch and strength follow from its id and level, for tests."""
-    f = F.lit(100.0) * (1 + F.col("chunk_id") % 50)
-    amp = F.pow(F.lit(10.0), (F.col("dba") - F.lit(CALIBRATION)) / 20)
-    return chunks.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: amp * F.sin(F.lit(2 * np.pi) * f * i / F.lit(float(RATE)))).alias("pcm"))
+            found = [loudness(np.asarray(x, float), None if s is None else np.asarray(s).reshape(-1, 2))[0] for x, s in zip(pdf["pcm"], pdf["state"])]
+            yield pdf.drop(columns=["pcm", "state"]).assign(**{c: [r[c] for r in found] for c in names})
+
+    rows = with_filter_states(pcm.select("device_id", "recording_id", "chunk_index", "pcm"), a_weighting(RATE), ["device_id", "recording_id"], "chunk_index")
+    return rows.mapInPandas(run, "device_id string, recording_id string, chunk_index int, " + ", ".join(f"{c} double" for c in names))
+
+
+TONE_SAMPLES = 4800
+
+
+def _tone_rows(ids: np.ndarray, dba: np.ndarray) -> np.ndarray:
+    """A sine for each id, a row each: its pitch follows from the id, its strength from the level."""
+    hz = 100.0 * (1 + ids % 50)
+    return 10.0 ** ((dba - CALIBRATION) / 20)[:, None] * np.sin(2 * np.pi * hz[:, None] * np.arange(TONE_SAMPLES) / RATE)
+
+
+def tone_source(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Samples made of (chunk_id, dba) where they are needed, so they never leave the worker."""
+    for batch in batches:
+        ids, dba = batch.column("chunk_id"), batch.column("dba").to_numpy(zero_copy_only=False)
+        for k in range(0, len(ids), few := _SAMPLES // TONE_SAMPLES):
+            yield ids.slice(k, few), _tone_rows(ids.slice(k, few).to_numpy(), dba[k : k + few])
+
+
+def tone_rows(chunks: DataFrame) -> DataFrame:
+    """What ``tone_source`` reads, dealt to all cores: a few bytes of table become many samples."""
+    return chunks.select("chunk_id", "dba").repartition(4 * chunks.sparkSession.sparkContext.defaultParallelism, "chunk_id")
+
+
+def tones(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, pcm): the samples of ``tone_source``, for tests."""
+
+    def run(batches):
+        for ids, x in tone_source(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(list(x))], names=["chunk_id", "pcm"])
+
+    return tone_rows(chunks).mapInArrow(run, "chunk_id long, pcm array<double>")

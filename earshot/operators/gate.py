@@ -4,9 +4,9 @@ A row has three levels: ``raw`` (RMS of the whole chunk, dBFS), ``level`` (the
 loudest sub-window's RMS, dBFS) and ``peak`` (largest amplitude).  The floor is
 that of ``raw``; the gate and its jumps look at ``level``; the gain brings the
 mean amplitude of the last open rows to the target, within the peak's and the
-floor's limits.  Each device's rows stream in order through one stage whose
-state is small, so a device with a third of all rows needs no more memory than
-another; batch, streaming and samples share it.
+floor's limits.  One stage works on rows in order from a small state to another;
+batch, streaming and samples share it.  In batch a recording is cut into
+stretches that are maps of the gate's states, so no task needs all its rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.acoustics import from_dbfs
-from . import dsp
+from . import dsp, scan
+from .segment import numbered
 
 # The gate's settings.
 TARGET, MARGIN, SLACK = -23.0, 18.0, 12.0
@@ -32,6 +33,8 @@ HIGHPASS_HZ, HIGHPASS_ORDER, SUBWINDOW_MS = 80.0, 4, 200.0
 CALIBRATION = 120.0
 #: Amplitudes below this count as silence.
 EPSILON = 1e-12
+#: Rows of a stretch, a few times those of a window.
+STRETCH = 4096
 #: Rows whose windows are sorted at once.
 _ROWS = 4096
 
@@ -74,61 +77,107 @@ def floors(history: list[float], raw: np.ndarray) -> np.ndarray:
     return np.round(out, 9)
 
 
-def gate_rows(state: GateState, level: np.ndarray, floor: np.ndarray, delta: np.ndarray, warm: np.ndarray) -> tuple[list[bool], list[str], list[int]]:
+#: States of the gate: 0 is closed, 1 + k is open after k rows below.
+STATES = RELEASE + 1
+
+
+def transitions(level: np.ndarray, floor: np.ndarray, delta: np.ndarray, warm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the state that each state goes to, and whether the row is above the floor and whether it jumps."""
+    above = (level >= floor + SENSITIVITY) & warm
+    jump = warm & (level >= DELTA_MIN) & (np.nan_to_num(delta, nan=-np.inf) >= DELTA)
+    out = np.empty((len(level), STATES), np.int8)
+    out[:, 0] = above | jump
+    for k in range(RELEASE):  # one row more below; where that closes the gate, a jump opens it again
+        out[:, 1 + k] = np.where(above, 1, k + 2 if k + 1 < RELEASE else jump)
+    return out, above, jump
+
+
+def composed(steps: np.ndarray) -> np.ndarray:
+    """For each row the state that each state has become after it: maps of the rows composed by doubling."""
+    out, wide = steps.copy(), 1
+    while wide < len(out):
+        out[wide:] = np.take_along_axis(out[wide:], out[:-wide].astype(np.intp), axis=1)
+        wide *= 2
+    return out
+
+
+def gate_rows(state: GateState, level: np.ndarray, floor: np.ndarray, delta: np.ndarray, warm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whether the gate is open at each row, why, and its streak; from the state and to it."""
-    above = ((level >= floor + SENSITIVITY) & warm).tolist()
-    jump = (warm & (level >= DELTA_MIN) & (np.nan_to_num(delta, nan=-np.inf) >= DELTA)).tolist()
-    open_, streak = state.open, state.streak
-    opens, reasons, streaks = [], [], []
-    for a, j in zip(above, jump):
-        if open_:
-            streak = 0 if a else streak + 1
-            open_ = streak < RELEASE
-            reason = "hold" if open_ else "closed"
-        else:
-            open_, reason = a, "l90" if a else "closed"
-        if not open_:
-            streak = 0
-            if j:  # also on the row that just closed it
-                open_, reason = True, "delta"
-        opens.append(open_)
-        reasons.append(reason)
-        streaks.append(streak)
-    state.open, state.streak = open_, streak
-    return opens, reasons, streaks
-
-
-def stage_rows(state: GateState, raw: np.ndarray, level: np.ndarray, peak: np.ndarray) -> dict[str, np.ndarray | list]:
-    """The whole stage over rows in order, from the state and to it."""
+    steps, above, jump = transitions(level, floor, delta, warm)
+    start = 1 + state.streak if state.open else 0
+    after = composed(steps)[:, start].astype(np.int64)
+    prior = np.concatenate(([start], after))[: len(after)]
+    held = np.where(prior > 0, above | (prior < RELEASE), above)  # open without a jump
+    reason = np.where(held, np.where(prior > 0, "hold", "l90"), np.where(jump, "delta", "closed"))
+    if len(after):
+        state.open, state.streak = bool(after[-1]), max(int(after[-1]) - 1, 0)
+    return after > 0, reason, np.maximum(after - 1, 0)
+
+
+def _ambient(state: GateState, raw: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Floor, step from the level before, largest gain and warmth of each row: what rows before it tell whatever the gate did."""
     floor = floors(state.history, raw)
-    before = np.concatenate(([np.nan if state.previous is None else state.previous], level))[: len(level)]
-    delta = level - before
+    delta = level - np.concatenate(([np.nan if state.previous is None else state.previous], level))[: len(level)]
     most = np.clip(TARGET - floor - MARGIN, GAIN_MIN, GAIN_MAX)
-    warm = level + most >= TARGET - SLACK
-    opens, reasons, streaks = gate_rows(state, level, floor, delta, warm)
+    return floor, delta, most, level + most >= TARGET - SLACK
+
+
+def stage_rows(state: GateState, raw: np.ndarray, level: np.ndarray, peak: np.ndarray) -> dict[str, np.ndarray]:
+    """The whole stage over rows in order, from the state and to it."""
+    floor, delta, most, warm = _ambient(state, raw, level)
+    is_open, reasons, streaks = gate_rows(state, level, floor, delta, warm)
     count = np.minimum(len(state.history) + 1 + np.arange(len(raw)), WINDOW)
-    is_open = np.array(opens, bool)
     amplitude = 10.0 ** (raw / 20.0)
     smooth, gain = np.where(is_open, 0.0, amplitude), np.zeros(len(raw))
     at = np.flatnonzero(is_open)
     if len(at):
-        kept = np.concatenate((state.amplitudes, amplitude[at]))
-        held = len(state.amplitudes)
-        for k, i in enumerate(at):
-            some = kept[max(0, held + k - SMOOTH + 1) : held + k + 1]
-            smooth[i] = some.sum() / len(some)
+        kept = np.concatenate((np.zeros(SMOOTH - 1 - len(state.amplitudes)), state.amplitudes, amplitude[at]))
+        known = np.minimum(len(state.amplitudes) + 1 + np.arange(len(at)), SMOOTH)
+        smooth[at] = np.lib.stride_tricks.sliding_window_view(kept, SMOOTH).sum(axis=1) / known
         limit = np.where(peak[at] > EPSILON, CEILING / np.maximum(peak[at], EPSILON), np.inf)
         gain[at] = np.minimum(np.minimum(10.0 ** (TARGET / 20.0) / np.maximum(smooth[at], EPSILON), limit), 10.0 ** (most[at] / 20.0))
-        state.amplitudes = kept[-(SMOOTH - 1) :].tolist()
+        state.amplitudes = [*state.amplitudes, *amplitude[at].tolist()][-(SMOOTH - 1) :]
     if len(raw):
         state.history = [*state.history, *raw.tolist()][-WINDOW:]
         state.previous = float(level[-1])
     return {
-        "floor": floor, "delta": delta, "max_gain": most, "warm": warm, "gate_open": opens, "reason": reasons, "streak": streaks,
+        "floor": floor, "delta": delta, "max_gain": most, "warm": warm, "gate_open": is_open, "reason": reasons, "streak": streaks,
         "ambient_count": count, "smoothed": 20.0 * np.log10(np.maximum(smooth, EPSILON)), "gain": gain,
     }
 
 
+# A stretch of rows as a map: for each state of the gate the state after it, the number of open rows and the amplitudes of the last of them.
+_CELL = 1 + SMOOTH
+
+
+def _cells(m: np.ndarray) -> list[tuple[int, list[float]]]:
+    return [(int(c[0]), c[2 : 2 + int(c[1])].tolist()) for c in np.asarray(m).reshape(-1, _CELL)]
+
+
+def _flat(cells: list[tuple[int, list[float]]]) -> np.ndarray:
+    return np.array([[end, len(last), *last, *[0.0] * (SMOOTH - 1 - len(last))] for end, last in cells]).ravel()
+
+
+def stretch_map(state: GateState, raw: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """What a stretch does to the gate and the amplitudes; ``state`` has the window and the level before it only."""
+    floor, delta, _, warm = _ambient(state, raw, level)
+    after, amplitude = composed(transitions(level, floor, delta, warm)[0]), 10.0 ** (raw / 20.0)
+    return _flat([(after[-1, k], amplitude[np.flatnonzero(after[:, k])[-(SMOOTH - 1) :]].tolist()) for k in range(STATES)])
+
+
+def join_maps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two stretches in turn as one."""
+    later = _cells(b)
+    return _flat([(later[end][0], [*last, *later[end][1]][-(SMOOTH - 1) :]) for end, last in _cells(a)])
+
+
+def after_map(state: np.ndarray | None, m: np.ndarray) -> np.ndarray:
+    """The state (one cell) after a stretch; before all rows the gate is closed."""
+    start, last = _cells(state)[0] if state is not None else (0, [])
+    end, more = _cells(m)[start]
+    return _flat([(end, [*last, *more][-(SMOOTH - 1) :])])
+
+
 STAGE = "floor double, delta double, max_gain double, warm boolean, gate_open boolean, reason string, streak int, ambient_count int, smoothed double, gain double"
 
 
@@ -137,20 +186,52 @@ def _frame(pdf: pd.DataFrame, keys: list[str], state: GateState) -> pd.DataFrame
     return pd.DataFrame({**{k: pdf[k] for k in keys}, **out})
 
 
-def stage(rows: DataFrame) -> DataFrame:
-    """(device_id, chunk_id, raw, level, peak) and the columns of STAGE, from rows with dt_utc too."""
-    keys = ["device_id", "chunk_id", "raw", "level", "peak"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        device, state = None, GateState()
-        for pdf in batches:
-            for _, g in pdf.groupby((pdf["device_id"] != pdf["device_id"].shift()).cumsum(), sort=False):
-                if (first := g["device_id"].iloc[0]) != device:
-                    device, state = first, GateState()
-                yield _frame(g, keys, state)
-
-    ordered = rows.select("device_id", "dt_utc", "chunk_id", "raw", "level", "peak").repartition("device_id").sortWithinPartitions("device_id", "dt_utc", "chunk_id")
-    return ordered.mapInPandas(run, f"device_id string, chunk_id long, raw double, level double, peak double, {STAGE}")
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with _device and _recording, strings without nulls; rows without a recording are one of their device."""
+    recording = F.col("recording_id") if "recording_id" in rows.columns else F.lit(None).cast("string")
+    known = lambda c: F.coalesce(F.concat(F.lit("k"), c), F.lit(""))
+    return rows.withColumn("_device", known(F.col("device_id"))).withColumn("_recording", known(recording))
+
+
+def stage(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(device_id, chunk_id, raw, level, peak) and the columns of STAGE, from rows with dt_utc and perhaps recording_id too.
+
+    The rows of a recording are numbered in order and cut into stretches, each
+    with the window before it.  Every stretch is a map of the gate's states; the
+    maps are composed, and each stretch then runs from the state before it.  So
+    a device with all rows takes as many tasks as it has stretches.
+    """
+    own = ["device_id", *(["recording_id"] if "recording_id" in rows.columns else [])]
+    keys, values = ["_device", "_recording"], [*own, "chunk_id", "raw", "level", "peak"]
+    rn = numbered(keyed(rows.select(*own, "dt_utc", "chunk_id", "raw", "level", "peak")), keys).select(*keys, *values, "rn")
+    place = F.floor((F.col("rn") - 1) / stretch)
+    # The last rows of a stretch come to those after it too, as far as their windows reach.
+    ahead = F.floor((F.col("rn") - 1 + WINDOW) / stretch)
+    spread = rn.withColumn("own", place).withColumn("place", F.explode(F.sequence(place, ahead)))
+
+    def parts(pdf: pd.DataFrame) -> tuple[pd.DataFrame, GateState]:
+        pdf = pdf.sort_values("rn")
+        halo, rest = pdf[pdf["own"] != pdf["place"]].tail(WINDOW), pdf[pdf["own"] == pdf["place"]]
+        return rest, GateState(halo["raw"].tolist(), float(halo["level"].iloc[-1]) if len(halo) else None)
+
+    def maps(pdf: pd.DataFrame) -> pd.DataFrame:
+        rest, state = parts(pdf)
+        if not len(rest):
+            return pdf[[*keys, "place"]].head(0).assign(map=pd.Series([], dtype=object))
+        return rest[[*keys, "place"]].head(1).assign(map=[stretch_map(state, rest["raw"].to_numpy(float), rest["level"].to_numpy(float))])
+
+    def final(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        rest, state = parts(pdf)
+        if len(start) and (held := start["state"].iloc[0]) is not None:
+            at, state.amplitudes = _cells(held)[0]
+            state.open, state.streak = at > 0, max(at - 1, 0)
+        return _frame(rest, values, state)
+
+    groups = spread.groupBy(*keys, "place")
+    found = groups.applyInPandas(maps, "_device string, _recording string, place long, map array<double>")
+    starts = scan.before(found, keys, join_maps, after_map)
+    kinds = ", ".join(f"{c} string" for c in own)
+    return groups.cogroup(starts.groupBy(*keys, "place")).applyInPandas(final, f"{kinds}, chunk_id long, raw double, level double, peak double, {STAGE}")
 
 
 def metadata(staged: DataFrame) -> DataFrame:
@@ -171,26 +252,26 @@ def metadata(staged: DataFrame) -> DataFrame:
 
 
 def from_samples(pcm: DataFrame, rate: float = dsp.RATE) -> DataFrame:
-    """(device_id, dt_utc, chunk_id, raw, level, peak) of chunks (device_id, dt_utc, chunk_id, pcm); the high-pass remembers the chunk before."""
+    """(device_id, recording_id if given, dt_utc, chunk_id, raw, level, peak) of chunks (the same and pcm); the high-pass remembers the chunks before, in any number of tasks."""
+    own = ["device_id", *(["recording_id"] if "recording_id" in pcm.columns else []), "dt_utc", "chunk_id"]
+    sos = dsp.highpass(HIGHPASS_ORDER, HIGHPASS_HZ, rate)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        device, state, sos = None, None, dsp.highpass(HIGHPASS_ORDER, HIGHPASS_HZ, rate)
+        rms = lambda v: float(np.sqrt(np.mean(np.square(v)))) if len(v) else 0.0
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                x = np.asarray(r.pcm, float)
-                if r.device_id != device:
-                    device, state = r.device_id, None
-                if state is None and len(x):
-                    state = dsp.settle(sos) * x[0]
-                y, state = dsp.run_filter(sos, x, state)
-                rms = lambda v: float(np.sqrt(np.mean(np.square(v)))) if len(v) else 0.0
+            found = []
+            for x, held in zip(pdf["pcm"], pdf["state"]):
+                x = np.asarray(x, float)
+                state = np.asarray(held).reshape(-1, 2) if held is not None else dsp.settle(sos) * (x[0] if len(x) else 0.0)
+                y, _ = dsp.run_filter(sos, x, state)
                 dbfs = [20.0 * np.log10(max(v, EPSILON)) for v in (rms(y), dsp.subwindow_peak_rms(y, rate, SUBWINDOW_MS))]
-                out.append((r.device_id, r.dt_utc, r.chunk_id, *dbfs, float(np.abs(y).max(initial=0.0))))
-            yield pd.DataFrame(out, columns=["device_id", "dt_utc", "chunk_id", "raw", "level", "peak"])
+                found.append((*dbfs, float(np.abs(y).max(initial=0.0))))
+            yield pdf[own].assign(**dict(zip(("raw", "level", "peak"), zip(*found)))) if found else pdf[own].assign(raw=[], level=[], peak=[])
 
-    rows = pcm.select("device_id", "dt_utc", "chunk_id", "pcm").repartition("device_id").sortWithinPartitions("device_id", "dt_utc", "chunk_id")
-    return rows.mapInPandas(run, "device_id string, dt_utc timestamp, chunk_id long, raw double, level double, peak double")
+    rows = numbered(keyed(pcm.select(*own, "pcm")), ["_device", "_recording"])
+    rows = dsp.with_filter_states(rows, sos, ["_device", "_recording"], "rn")
+    kinds = {"device_id": "string", "recording_id": "string", "dt_utc": "timestamp", "chunk_id": "long"}
+    return rows.select(*own, "pcm", "state").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in own) + ", raw double, level double, peak double")
 
 
 def from_state(values: tuple | None) -> GateState:
@@ -198,4 +279,4 @@ def from_state(values: tuple | None) -> GateState:
     return GateState(*values) if values else GateState()
 
 
-__all__ = ["GateState", "astuple", "floors", "from_samples", "from_state", "gate_rows", "levels", "metadata", "stage", "stage_rows"]
+__all__ = ["GateState", "after_map", "astuple", "composed", "floors", "from_samples", "from_state", "gate_rows", "join_maps", "keyed", "levels", "metadata", "stage", "stage_rows", "stretch_map", "transitions"]

@@ -100,6 +100,31 @@ def _theme() -> str:
     return f"CASE {cases} ELSE 'Other' END"
 
 
+def _spectrum() -> str:
+    """Summaries of the tones in closed form: under a Hann window a tone lies in its bin and, a quarter as strong, in the two beside it."""
+    w = [f"2e0 * 48000 * tan(pi() * {c}e0 / 48000)" for c in dsp.CORNERS]
+    curve = f"pow(pow({w[3]}, 2) * pow(10e0, {dsp.CURVE_GAIN}e0 / 20e0) * pow(w, 4) / ((w * w + pow({w[0]}, 2)) * sqrt((w * w + pow({w[1]}, 2)) * (w * w + pow({w[2]}, 2))) * (w * w + pow({w[3]}, 2))), 2)"
+    half = 2 ** (1 / 6)
+    centres = ", ".join(f"({k}, {c / half!r}, {c * half!r})" for k, c in enumerate(dsp.CENTRES))
+    regions = ", ".join(f"({100 + k}, {a}e0, {b}e0)" for k, (a, b) in enumerate((dsp.LOW, dsp.MID, dsp.HIGH)))
+    sides = []
+    for k in ("z", "a"):
+        share = lambda n, k=k: f"round(100e0 * sum({k}) FILTER (band = {n}) / sum({k}) FILTER (band >= 100), 1)"
+        sides.append(
+            f"string_agg(CAST(CAST(round(round(10e0 * log10(greatest({k}, 1e-20)), 1) * 10) AS INT) AS VARCHAR), ',' ORDER BY band) FILTER (band < 100) AS levels_{k}, "
+            f"any_value(centroid_{k}) AS centroid_{k}, any_value(rolloff_{k}) AS rolloff_{k}, {share(100)} AS low_{k}, {share(101)} AS mid_{k}, {share(102)} AS high_{k}"
+        )
+    rolloff = ", ".join(
+        f"round(sum(hz * {k}) / sum({k}), 1) AS centroid_{k}, any_value(f) + CASE WHEN sum({k}) FILTER (k = -1) >= 0.85e0 * sum({k}) THEN -10e0 WHEN sum({k}) FILTER (k < 1) >= 0.85e0 * sum({k}) THEN 0e0 ELSE 10e0 END AS rolloff_{k}" for k in ("z", "a")
+    )
+    return f"""WITH {CH}, t AS (SELECT chunk_id, 100e0 * (1 + chunk_id % 50) AS f, pow(10e0, (dba - 120e0) / 20e0) AS amp FROM ch),
+        p AS (SELECT chunk_id, f, k, f + 10e0 * k AS hz, amp * amp * 0.1e0 / CASE WHEN k = 0 THEN 3e0 ELSE 12e0 END AS z, 2e0 * 48000 * tan(pi() * (f + 10e0 * k) / 48000) AS w FROM t, (SELECT unnest([-1, 0, 1]) AS k)),
+        q AS (SELECT *, z * {curve} AS a FROM p), c AS (SELECT chunk_id, {rolloff} FROM q GROUP BY chunk_id),
+        b AS (SELECT band, ceil(low / 10e0) AS first, floor(high / 10e0) AS last FROM (VALUES {centres}, {regions}) v(band, low, high)),
+        s AS (SELECT chunk_id, band, sum(z * wide) AS z, sum(a * wide) AS a FROM (SELECT q.*, band, CASE WHEN hz / 10e0 < first OR hz / 10e0 > last OR first = last THEN 0e0 WHEN hz / 10e0 IN (first, last) THEN 5e0 ELSE 10e0 END AS wide FROM q, b) GROUP BY 1, 2)
+        SELECT chunk_id, {", ".join(sides)} FROM s JOIN c USING (chunk_id) GROUP BY chunk_id"""
+
+
 _C = "SELECT l_night_db, l50_day_db, noisy_pct, "
 SQL = {
     "hourly_timeline": f"WITH {CH}, h AS (SELECT date_trunc('hour', dt_local) AS hour, {_STATS} FROM ch GROUP BY 1) SELECT {_T.format('hour')} AS hour, * EXCLUDE (hour), {_PERIOD.format('hour')} AS period FROM h WHERE chunks * 0.975e0 >= 5e0",
@@ -162,6 +187,7 @@ SQL = {
         g AS (SELECT *, i - row_number() OVER (PARTITION BY clip ORDER BY i) AS g FROM i WHERE s >= 0.5e0), r AS (SELECT clip, g, min(i) AS a, max(i) + 1 AS b, max(s) AS m FROM g GROUP BY 1, 2) SELECT clip, {_r('a / 50e0', 3)} AS t0_s, {_r('b / 50e0', 3)} AS t1_s, {_r('m', 4)} AS confidence FROM r""",
     "json_props": f"SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS rows, {_r('avg(value)', 6)} AS mean_value FROM events GROUP BY 1",
     "export_projection": f"WITH {CH} SELECT chunk_id, device_id, dba, device_id || '-no-spectrum.jsonl' AS file FROM ch",
+    "spectrum_bands": _spectrum(),
     "octave_bands": "SELECT centre, " + _r("centre / pow(2e0, 1e0 / 6e0)", 6) + " AS low, " + _r("centre * pow(2e0, 1e0 / 6e0)", 6) + " AS high FROM (VALUES " + ", ".join(f"({c}e0)" for c in dsp.CENTRES) + ") t(centre)",
     "resource_levels": "SELECT CASE WHEN value >= 90 THEN 'critical' WHEN value >= 75 THEN 'warn' WHEN value IS NULL THEN 'unknown' ELSE 'ok' END AS level, CASE WHEN (event_id * 4099) & 15 > 0 THEN 'critical' WHEN (event_id * 4099) & 983040 > 0 THEN 'warn' ELSE 'ok' END AS throttle, count(*) AS rows FROM events GROUP BY 1, 2",
     "label_formats": f"""WITH {CH}, p AS (SELECT device_id, min(dt_local) AS a, max(dt_local) AS b, count(*) AS n, {_leq()} AS level FROM ch GROUP BY 1),

@@ -324,11 +324,17 @@ def lived_experience(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spectrum_bands(spark: SparkSession, d: str) -> DataFrame:
-    return dsp.spectra(dsp.tones(chunks(spark, d)))
+    """Unweighted and A-weighted summaries of a tone for each chunk; levels of the bands in tenths of a dB."""
+    s = dsp.spectra(dsp.tone_rows(chunks(spark, d)), 0, dsp.tone_source)
+    out = [F.col("chunk_id")]
+    for k in ("z", "a"):
+        tenths = F.array_join(F.transform(f"{k}.levels_db", lambda x: F.round(x * 10).cast("int").cast("string")), ",")
+        out += [tenths.alias(f"levels_{k}"), F.col(f"{k}.centroid_hz").alias(f"centroid_{k}"), F.col(f"{k}.rolloff_85_hz").alias(f"rolloff_{k}"), *[F.col(f"{k}.energy_pct.{c}").alias(f"{c}_{k}") for c in ("low", "mid", "high")]]
+    return s.select(*out)
 
 
 def mel_features(spark: SparkSession, d: str) -> DataFrame:
-    return dsp.mel_means(dsp.tones(chunks(spark, d)))
+    return dsp.mel_means(dsp.tone_rows(chunks(spark, d)), source=dsp.tone_source)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -115,6 +115,43 @@ def test_gate_forms_agree(spark, tmp_path):
     assert gate.stage(rows.limit(0)).count() == 0
 
 
+def test_one_device_in_many_stretches(spark):
+    """Stretches of any length give the rows of one fold, by recording; one device takes many tasks."""
+    rng = random.Random(12)
+    levels = [rng.choice([70, 70.2, 74.5, 80] if i % 200 < 120 else [50, 55, 60, 75]) + rng.random() / 4 for i in range(1500)]
+    rows = gate.levels(chunks(spark, levels)).withColumn("recording_id", F.when(F.col("chunk_id") < 1100, "a")).withColumn("peak", F.pow(F.lit(10.0), (F.col("level") + 8) / 20))
+    given = [(r["raw"], r["level"], r["peak"]) for r in rows.orderBy("chunk_id").collect()]
+    want = gate_model(given[:1100]) + gate_model(given[1100:])
+    for stretch in (7, 299, 301, 4096):
+        out = gate.stage(rows.repartition(6), stretch)
+        got = out.orderBy("chunk_id").collect()
+        assert [(r["gate_open"], r["reason"], round(r["gain"], 9)) for r in got] == want
+        assert [r["ambient_count"] for r in got] == [min(k + 1, 300) for n in (1100, 400) for k in range(n)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would go to one task
+    many = {i for (i,) in gate.stage(rows, 50).select(F.spark_partition_id()).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(many) == 4
+
+
+def test_maps_of_stretches_compose():
+    rng = np.random.default_rng(6)
+    raw = -60 + rng.choice([-10.0, 0, 4, 20], 700) + rng.random(700)
+    level = raw + 3
+    whole = gate.stretch_map(gate.GateState(), raw, level)
+    state, maps, k = gate.GateState(), [], 0
+    for n in (1, 300, 5, 394):
+        maps.append(gate.stretch_map(state, raw[k : k + n], level[k : k + n]))
+        k += n
+        state = gate.GateState(raw[max(0, k - 300) : k].tolist(), float(level[k - 1]))
+    left = gate.join_maps(gate.join_maps(gate.join_maps(maps[0], maps[1]), maps[2]), maps[3])
+    right = gate.join_maps(maps[0], gate.join_maps(maps[1], gate.join_maps(maps[2], maps[3])))
+    assert np.array_equal(left, whole) and np.array_equal(right, whole)
+    walked = None
+    for m in maps:
+        walked = gate.after_map(walked, m)
+    assert np.array_equal(walked, gate.after_map(None, whole))
+
+
 def test_stage_from_batch_to_batch():
     """Rows in parts of any size, from state to state, give what one batch gives."""
     rng = np.random.default_rng(4)
