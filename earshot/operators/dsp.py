@@ -30,6 +30,11 @@ def align(samples: Column) -> Column:
     return F.transform(samples, lambda x: F.shiftright(x, 8).cast("double") / F.lit(8388608.0))
 
 
+def aligned(samples: np.ndarray) -> np.ndarray:
+    """``align`` of an array."""
+    return (samples.astype(np.int32) >> 8) / 8388608.0
+
+
 def _pairs(roots: list[complex]) -> list[tuple[complex, complex]]:
     """Roots in conjugate or real pairs."""
     complex_ = [r for r in roots if r.imag > 1e-12]

@@ -16,7 +16,7 @@ from dataclasses import astuple, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.acoustics import from_dbfs
@@ -193,8 +193,8 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_device", known(F.col("device_id"))).withColumn("_recording", known(recording))
 
 
-def stage(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """(device_id, chunk_id, raw, level, peak) and the columns of STAGE, from rows with dt_utc and perhaps recording_id too.
+def stage(rows: DataFrame, stretch: int = STRETCH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(device_id, chunk_id, raw, level, peak), the columns of STAGE and those to ``carry``, from rows with dt_utc and perhaps recording_id too.
 
     The rows of a recording are numbered in order and cut into stretches, each
     with the window before it.  Every stretch is a map of the gate's states; the
@@ -202,8 +202,8 @@ def stage(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     a device with all rows takes as many tasks as it has stretches.
     """
     own = ["device_id", *(["recording_id"] if "recording_id" in rows.columns else [])]
-    keys, values = ["_device", "_recording"], [*own, "chunk_id", "raw", "level", "peak"]
-    rn = numbered(keyed(rows.select(*own, "dt_utc", "chunk_id", "raw", "level", "peak")), keys).select(*keys, *values, "rn")
+    keys, values = ["_device", "_recording"], [*own, "chunk_id", "raw", "level", "peak", *carry]
+    rn = numbered(keyed(rows.select("dt_utc", *[c for c in values if c != "dt_utc"])), keys).select(*keys, *values, "rn")
     place = F.floor((F.col("rn") - 1) / stretch)
     # The last rows of a stretch come to those after it too, as far as their windows reach.
     ahead = F.floor((F.col("rn") - 1 + WINDOW) / stretch)
@@ -230,11 +230,11 @@ def stage(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     groups = spread.groupBy(*keys, "place")
     found = groups.applyInPandas(maps, "_device string, _recording string, place long, map array<double>")
     starts = scan.before(found, keys, join_maps, after_map)
-    kinds = ", ".join(f"{c} string" for c in own)
-    return groups.cogroup(starts.groupBy(*keys, "place")).applyInPandas(final, f"{kinds}, chunk_id long, raw double, level double, peak double, {STAGE}")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in values)
+    return groups.cogroup(starts.groupBy(*keys, "place")).applyInPandas(final, f"{kinds}, {STAGE}")
 
 
-def metadata(staged: DataFrame) -> DataFrame:
+def diagnostics() -> Column:
     """A staged row's diagnostics as events hold them: rounded values, and the settings."""
     one = lambda c: F.round(F.col(c), 1)
     fixed = {
@@ -247,26 +247,39 @@ def metadata(staged: DataFrame) -> DataFrame:
         "silence_gate_open_dbfs": F.round(F.col("floor") + F.lit(SENSITIVITY), 1), "gate_level_dbfs": one("level"), "delta_rms_dbfs": F.round(F.nanvl(F.col("delta"), F.lit(None)), 1), "below_open_streak": F.col("streak"),
         "gate_open_reason": F.col("reason"), "gate_open": F.col("gate_open"), "gated": ~F.col("gate_open"), "applied_gain": F.round("gain", 4), "raw_rms_dbfs": one("raw"), "smoothed_rms_dbfs": one("smoothed"),
     }
-    parts = [F.lit(v).alias(k) for k, v in fixed.items()] + [v.alias(k) for k, v in values.items()]
-    return staged.select("device_id", "chunk_id", F.struct(*parts).alias("yamnet_preprocess"))
+    return F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], *[v.alias(k) for k, v in values.items()])
+
+
+def metadata(staged: DataFrame) -> DataFrame:
+    """The diagnostics of each staged row."""
+    return staged.select("device_id", "chunk_id", diagnostics().alias("yamnet_preprocess"))
+
+
+def highpass(rate: float = dsp.RATE) -> np.ndarray:
+    """The stage's high-pass filter."""
+    return dsp.highpass(HIGHPASS_ORDER, HIGHPASS_HZ, rate)
+
+
+def measure(x: np.ndarray, state: np.ndarray | None, rate: float = dsp.RATE) -> tuple[tuple[float, float, float], np.ndarray]:
+    """raw, level and peak of a chunk, and the filter's state after it; without a state the first sample counts as what has always been."""
+    sos = highpass(rate)
+    if state is None:
+        state = dsp.settle(sos) * (x[0] if len(x) else 0.0)
+    y, state = dsp.run_filter(sos, x, state)
+    rms = float(np.sqrt(np.mean(np.square(y)))) if len(y) else 0.0
+    raw, level = (20.0 * np.log10(max(v, EPSILON)) for v in (rms, dsp.subwindow_peak_rms(y, rate, SUBWINDOW_MS)))
+    return (raw, level, float(np.abs(y).max(initial=0.0))), state
 
 
 def from_samples(pcm: DataFrame, rate: float = dsp.RATE) -> DataFrame:
     """(device_id, recording_id if given, dt_utc, chunk_id, raw, level, peak) of chunks (the same and pcm); the high-pass remembers the chunks before, in any number of tasks."""
     own = ["device_id", *(["recording_id"] if "recording_id" in pcm.columns else []), "dt_utc", "chunk_id"]
-    sos = dsp.highpass(HIGHPASS_ORDER, HIGHPASS_HZ, rate)
+    sos = highpass(rate)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rms = lambda v: float(np.sqrt(np.mean(np.square(v)))) if len(v) else 0.0
         for pdf in batches:
-            found = []
-            for x, held in zip(pdf["pcm"], pdf["state"]):
-                x = np.asarray(x, float)
-                state = np.asarray(held).reshape(-1, 2) if held is not None else dsp.settle(sos) * (x[0] if len(x) else 0.0)
-                y, _ = dsp.run_filter(sos, x, state)
-                dbfs = [20.0 * np.log10(max(v, EPSILON)) for v in (rms(y), dsp.subwindow_peak_rms(y, rate, SUBWINDOW_MS))]
-                found.append((*dbfs, float(np.abs(y).max(initial=0.0))))
-            yield pdf[own].assign(**dict(zip(("raw", "level", "peak"), zip(*found)))) if found else pdf[own].assign(raw=[], level=[], peak=[])
+            found = [measure(np.asarray(x, float), None if held is None else np.reshape(held, (-1, 2)), rate)[0] for x, held in zip(pdf["pcm"], pdf["state"])]
+            yield pd.concat((pdf[own], pd.DataFrame(found, columns=["raw", "level", "peak"], index=pdf.index, dtype=float)), axis=1)
 
     rows = numbered(keyed(pcm.select(*own, "pcm")), ["_device", "_recording"])
     rows = dsp.with_filter_states(rows, sos, ["_device", "_recording"], "rn")
@@ -279,4 +292,4 @@ def from_state(values: tuple | None) -> GateState:
     return GateState(*values) if values else GateState()
 
 
-__all__ = ["GateState", "after_map", "astuple", "composed", "floors", "from_samples", "from_state", "gate_rows", "join_maps", "keyed", "levels", "metadata", "stage", "stage_rows", "stretch_map", "transitions"]
+__all__ = ["GateState", "after_map", "astuple", "composed", "diagnostics", "floors", "from_samples", "from_state", "gate_rows", "join_maps", "highpass", "keyed", "levels", "measure", "metadata", "stage", "stage_rows", "stretch_map", "transitions"]

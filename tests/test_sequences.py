@@ -106,15 +106,35 @@ def test_gate_forms_agree(spark, tmp_path):
     assert {w[1] for w in want} == {"closed", "hold", "l90", "delta"}
     seen = lambda df: [(r["gate_open"], r["reason"], round(r["gain"], 9)) for r in df.orderBy("chunk_id").collect()]
     assert seen(gate.stage(rows)) == want
-    at = str(tmp_path / "in")
-    rows.select("device_id", "dt_utc", "chunk_id", "raw", "level", "peak").repartition(1).write.parquet(at)
-    source = spark.readStream.schema("device_id string, dt_utc timestamp, chunk_id long, raw double, level double, peak double").parquet(at)
-    q = live.live_gate(source).writeStream.format("memory").queryName("gates").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert seen(spark.table("gates")) == want
+    values = rows.select("device_id", "dt_utc", "chunk_id", "raw", "level", "peak")
+    assert seen(streamed(spark, tmp_path, values, lambda s: live.live_gate(s, "15 minutes"), "gates")) == want
     assert gate.stage(rows.limit(0)).count() == 0
 
 
+def streamed(spark, tmp_path, rows, operator, name, files=7):
+    """Rows dealt to micro-batches of a file each, far from their order in time, and one much later row of another device that ends them all."""
+    at = str(tmp_path / name)
+    late = rows.limit(1).withColumn("device_id", F.lit("later")).withColumn("dt_utc", F.lit(T0 + dt.timedelta(days=2)))
+    rows.withColumn("_file", F.pmod(F.hash("chunk_id"), F.lit(files))).repartition(files, "_file").drop("_file").write.parquet(at)
+    late.repartition(1).write.mode("append").parquet(at)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    q = operator(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert kept <= 4, kept  # of the later device alone: an ended recording leaves nothing
+    return spark.table(name).filter("device_id <> 'later'")
+
+
+def test_recordings_in_a_stream_are_apart(spark, tmp_path):
+    """Two recordings of one device, interleaved and shuffled: each has a gate of its own, as in batch."""
+    rng = random.Random(9)
+    levels = [rng.choice([50, 55, 60, 75]) + rng.random() / 4 for _ in range(300)]
+    rows = gate.levels(chunks(spark, levels)).withColumn("recording_id", F.when(F.col("chunk_id") % 3 == 0, "a").otherwise("b"))
+    rows = rows.select("device_id", "recording_id", "dt_utc", "chunk_id", "raw", "level", "peak")
+    key = lambda df: [(r["recording_id"], r["chunk_id"], r["gate_open"], r["reason"], round(r["floor"], 9), round(r["gain"], 9)) for r in df.orderBy("chunk_id").collect()]
+    assert key(streamed(spark, tmp_path, rows, live.live_gate, "two")) == key(gate.stage(rows))
+
+
 def test_one_device_in_many_stretches(spark):
     """Stretches of any length give the rows of one fold, by recording; one device takes many tasks."""
     rng = random.Random(12)
@@ -215,12 +235,9 @@ def test_cooldown_and_capture(spark, tmp_path):
     armed = [r["chunk_id"] for r in out if r["status"] == "scheduled"]
     assert all((b - a) * 0.975 >= 5.0 for a, b in zip(armed, armed[1:]))
     assert any(r["reason"] == "cooldown" for r in out) or len(armed) > 1
-    at = str(tmp_path / "in")
-    c.select("device_id", "dt_utc", "chunk_id", "top_label", "dba", "gated").repartition(1).write.parquet(at)
-    source = spark.readStream.schema("device_id string, dt_utc timestamp, chunk_id long, top_label string, dba double, gated boolean").parquet(at)
-    q = live.live_captures(source, TriggerConfig(cooldown_s=5.0)).writeStream.format("memory").queryName("caps").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(spark.table("caps").collect(), key=lambda r: r["chunk_id"]) == out
+    values = c.select("device_id", "dt_utc", "chunk_id", "top_label", "dba", "gated")
+    caps = streamed(spark, tmp_path, values, lambda s: live.live_captures(s, TriggerConfig(cooldown_s=5.0)), "caps").drop("recording_id")
+    assert sorted(caps.collect(), key=lambda r: r["chunk_id"]) == out
 
 
 def test_frame_spans(spark):
