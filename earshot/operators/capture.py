@@ -184,4 +184,43 @@ def fixed_windows(chunks: DataFrame, armed: DataFrame, before_s: float = 5.0, af
     return right.join(left, ["device_id", "bucket"]).filter((F.col("t") >= F.col("at") - before_s) & (F.col("t") <= F.col("at") + after_s)).select("device_id", "armed_id", "chunk_id", (F.col("t") - F.col("at")).alias("offset_s"))
 
 
-__all__ = ["CaptureState", "SCHEMA", "arm_reason", "asdict", "captures", "fixed_fill", "fixed_windows", "lead_seconds", "lookback", "onsets", "run_rows", "step"]
+def fixed_samples(armed: DataFrame, before_s: float = 5.0, after_s: float = 5.0, samples: int = 46_800, rate: int = 48_000) -> DataFrame:
+    """(device_id, recording_id, armed_id, first, n): the samples of a window of fixed length around the end of each armed row (chunk_index)."""
+    pre, post = (max(1, round(s * rate)) for s in (before_s, after_s))
+    return armed.select("device_id", "recording_id", F.col("chunk_id").alias("armed_id"), ((F.col("chunk_index") + 1) * F.lit(samples) - pre).cast("long").alias("first"), F.lit(pre + post).cast("long").alias("n"))
+
+
+def dynamic_samples(armed: DataFrame, samples: int = 46_800, rate: int = 48_000) -> DataFrame:
+    """The same of captures from their onset: ``armed`` has chunk_index, lead_s (from the onset to the row's end, as ``onsets`` gives) and event_seconds."""
+    lead, n = (F.round(F.col(c) * rate).cast("long") for c in ("lead_s", "event_seconds"))
+    end = (F.col("chunk_index").cast("long") + 1) * F.lit(samples)
+    first = F.greatest(end - lead, F.lit(0).cast("long"))
+    return armed.select("device_id", "recording_id", F.col("chunk_id").alias("armed_id"), first.alias("first"), n.alias("n"))
+
+
+def waveforms(pcm: DataFrame, windows: DataFrame, samples: int = 46_800) -> DataFrame:
+    """(device_id, recording_id, armed_id, pcm, missing) of ``windows`` (first, n) over chunks (device_id, recording_id, chunk_index, pcm) of ``samples`` each.
+
+    A window is joined with the chunks that it touches by their numbers, cut to
+    the sample and put together; what no chunk has, before a recording's first
+    sample or after its last one, is zero and counted in ``missing``.
+    """
+    keys = ["device_id", "recording_id"]
+    end = F.col("first") + F.col("n")
+    index = lambda c: F.floor(c / F.lit(samples)).cast("long")
+    touched = windows.filter("n > 0").withColumn("k", F.explode(F.sequence(index(F.col("first")), index(end - 1))))
+    begin = F.col("k") * samples
+    touched = touched.select(*keys, "armed_id", "k", (F.greatest("first", begin) - begin).cast("int").alias("from"), (F.least(end, begin + samples) - begin).cast("int").alias("to"))
+    chunks = pcm.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("chunk_index").cast("long").alias("_k"), F.col("pcm").alias("_pcm"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    met = touched.join(chunks, [*same, F.col("k") == F.col("_k")], "left")
+    wide = F.col("to") - F.col("from")
+    cut = F.coalesce(F.slice("_pcm", F.col("from") + 1, wide), F.array().cast("array<double>"))
+    parts = met.select(*keys, "armed_id", "k", wide.alias("wide"), cut.alias("cut"))
+    zeros = F.array_repeat(F.lit(0.0), F.col("wide") - F.size("cut"))
+    parts = parts.select(*keys, "armed_id", F.struct("k", F.concat("cut", zeros).alias("x")).alias("part"), (F.col("wide") - F.size("cut")).alias("missing"))
+    out = parts.groupBy(*keys, "armed_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("missing").alias("missing"))  # some dozen chunks at most
+    return out.select(*keys, "armed_id", F.flatten(F.transform("parts", lambda p: p["x"])).alias("pcm"), "missing")
+
+
+__all__ = ["CaptureState", "SCHEMA", "arm_reason", "asdict", "captures", "dynamic_samples", "fixed_fill", "fixed_samples", "fixed_windows", "lead_seconds", "lookback", "onsets", "run_rows", "step", "waveforms"]

@@ -7,7 +7,7 @@ import pytest
 
 from earshot.operators import models
 from earshot.plans import requests
-from earshot.sources import audio
+from earshot.sources import audio, flac
 
 
 def test_scorer_is_plugged_in(spark):
@@ -44,7 +44,7 @@ def test_stored_embeddings(spark, tmp_path):
 
 
 def test_audio(spark, tmp_path):
-    audio.write_wav(str(tmp_path / "a.wav"), np.array([0.0, 2.0, -2.0]))
+    (tmp_path / "a.wav").write_bytes(flac.wav_header(3) + audio.to_pcm16(np.array([0.0, 2.0, -2.0])).tobytes())
     with wave.open(str(tmp_path / "a.wav")) as w:
         assert np.frombuffer(w.readframes(3), "<i2").tolist() == [0, 32767, -32767]
     head = b"fLaC" + bytes([0, 0, 0, 34]) + bytes(10) + (48000 << 44 | 7 << 36 | 123456789012 % (1 << 36)).to_bytes(8, "big") + bytes(16)
