@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.labels import TriggerConfig
+from .segment import numbered
 
 CHUNK_S = 0.975
 
@@ -136,14 +137,14 @@ def onsets(rows: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFram
     """
     order = Window.partitionBy("device_id").orderBy("dt_utc", "chunk_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.withColumn("_n", F.row_number().over(order))
+    placed = rows.withColumn("_n", F.row_number().over(order))
     high = F.coalesce(F.col("raw") > F.col("floor") + F.lit(config.onset_margin_db), F.lit(False))
 
     def run_of(good: Column) -> Column:
         return F.col("_n") - F.coalesce(F.max(F.when(~good, F.col("_n"))).over(upto), F.lit(0))
 
     held = F.least(F.col("_n"), F.lit(lookback_rows(config)))
-    out = numbered.withColumn("_open", run_of(F.col("gate_open"))).withColumn("_high", run_of(high))
+    out = placed.withColumn("_open", run_of(F.col("gate_open"))).withColumn("_high", run_of(high))
     reason = F.when(F.col("_open") > 0, "gate_open").when(F.col("_high") > 0, "energy_rise").otherwise("trigger_chunk")
     run = F.least(F.when(F.col("_open") > 0, F.col("_open")).when(F.col("_high") > 0, F.col("_high")).otherwise(1), held)
     lead = F.least(run * F.lit(CHUNK_S) + F.lit(config.pad_ms / 1000), F.least(F.col("_n") * F.lit(CHUNK_S), F.lit(config.lookback_s)))
@@ -156,17 +157,16 @@ def lookback(chunks: DataFrame, armed: DataFrame, seconds: float = 4.0) -> DataF
     Rows are numbered by device, so it is an equi-join on a bounded number of places.
     """
     rows = math.ceil(seconds / CHUNK_S - 1e-9)
-    numbered = chunks.select("device_id", "chunk_id", F.row_number().over(Window.partitionBy("device_id").orderBy("dt_utc", "chunk_id")).alias("_n"))
-    at = numbered.join(armed.select("device_id", F.col("chunk_id")), ["device_id", "chunk_id"]).select("device_id", F.col("chunk_id").alias("armed_id"), F.posexplode(F.sequence(F.col("_n"), F.col("_n") - rows + 1, F.lit(-1))).alias("back", "_n"))
+    places = numbered(chunks.select("device_id", "dt_utc", "chunk_id"), ["device_id"]).select("device_id", "chunk_id", F.col("rn").alias("_n"))
+    at = places.join(armed.select("device_id", F.col("chunk_id")), ["device_id", "chunk_id"]).select("device_id", F.col("chunk_id").alias("armed_id"), F.posexplode(F.sequence(F.col("_n"), F.col("_n") - rows + 1, F.lit(-1))).alias("back", "_n"))
     kept = F.least(F.lit(CHUNK_S), F.lit(seconds) - F.col("back") * F.lit(CHUNK_S))
-    return at.join(numbered, ["device_id", "_n"]).select("device_id", "armed_id", "chunk_id", "back", kept.alias("kept_s"))
+    return at.join(places, ["device_id", "_n"]).select("device_id", "armed_id", "chunk_id", "back", kept.alias("kept_s"))
 
 
 def fixed_fill(chunks: DataFrame, armed: DataFrame, before_s: float = 5.0, after_s: float = 5.0) -> DataFrame:
     """What a window of fixed length around each armed row holds: seconds before (the row included) and after, and the zeros that pad both ends."""
-    order = Window.partitionBy("device_id").orderBy("dt_utc", "chunk_id")
-    numbered = chunks.withColumn("_n", F.row_number().over(order)).withColumn("_all", F.count("*").over(Window.partitionBy("device_id"))).select("device_id", "chunk_id", "_n", "_all")
-    at = numbered.join(armed.select("device_id", "chunk_id"), ["device_id", "chunk_id"])
+    places = numbered(chunks.select("device_id", "dt_utc", "chunk_id"), ["device_id"]).select("device_id", "chunk_id", F.col("rn").alias("_n"), F.col("n").alias("_all"))
+    at = places.join(armed.select("device_id", "chunk_id"), ["device_id", "chunk_id"])
     pre = F.least(F.lit(before_s), F.col("_n") * F.lit(CHUNK_S))
     post = F.least(F.lit(after_s), (F.col("_all") - F.col("_n")) * F.lit(CHUNK_S))
     return at.select("device_id", F.col("chunk_id").alias("armed_id"), pre.alias("pre_s"), post.alias("post_s"), (F.lit(before_s) - pre).alias("pad_before_s"), (F.lit(after_s) - post).alias("pad_after_s"), (post >= after_s).alias("complete"))

@@ -66,11 +66,12 @@ def who_check(levels: DataFrame) -> DataFrame:
     return levels.select("lnight_db", "lden_db", met[0].alias("night_met"), met[1].alias("day_met"), round_to(night - WHO_NIGHT).alias("night_delta"), round_to(day - WHO_DAY).alias("day_delta"), tone.alias("tone"))
 
 
-def experience(chunks: DataFrame, peak: Column | None = None) -> DataFrame:
-    """One row: period levels, badges, whether data are too few for a judgment, and the warning."""
+def experience(chunks: DataFrame) -> DataFrame:
+    """One row: period levels, the highest peak, badges, whether data are too few for a judgment, and the warning."""
     from . import profiles
 
-    row = badges(profiles.period_levels(chunks) if peak is None else profiles.period_levels(chunks).crossJoin(chunks.agg(peak.alias("peak"))), None if peak is None else F.col("peak"))
+    peak = chunks.agg(F.max(F.coalesce("lafmax", "dba")).alias("peak_db"))  # one row
+    row = badges(profiles.period_levels(chunks).crossJoin(peak), F.col("peak_db"))
     night, day = F.col("lnight_db").isNotNull(), F.col("lday_db").isNotNull() | F.col("levening_db").isNotNull()
     warning = F.when(~night, "no night").when(~day, "no day")
     return row.withColumn("insufficient", ~(night & day)).withColumn("warning", warning)

@@ -29,14 +29,18 @@ def numbered(rows: DataFrame, keys: list[str] | None = None, order: tuple[str, .
 
 
 def members(chunks: DataFrame, threshold: Column, labels: LabelMap) -> DataFrame:
-    """Chunks that belong to an event, with its number ``event``, first row and last row."""
+    """Chunks that belong to an event, with its number ``event``.
+
+    An event may have all rows, so nothing is grouped by it here: where the last
+    active row of all lies tells which quiet rows at the end belong to none.
+    """
     gap = labels.max_gap
     rows = numbered(chunks).withColumn("active", F.col("dba") >= threshold)
     on = F.when(F.col("active"), F.col("rn"))
     local = Window.partitionBy("_slice").orderBy("rn")
     rows = rows.withColumn("_prev", F.last(on, True).over(local.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_last", F.last(on, True).over(local))
     days = rows.groupBy("_slice").agg(F.max(on).alias("_on"))
-    carried = days.select("_slice", F.max("_on").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    carried = days.select("_slice", F.max("_on").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"), F.max("_on").over(Window.partitionBy()).alias("_end"))
     rows = rows.join(carried, "_slice")
     rows = rows.withColumn("_prev", F.coalesce("_prev", "_carry")).withColumn("_last", F.coalesce("_last", "_carry"))
     start = F.col("active") & (F.col("_prev").isNull() | (F.col("rn") - F.col("_prev") - 1 > gap))
@@ -44,12 +48,10 @@ def members(chunks: DataFrame, threshold: Column, labels: LabelMap) -> DataFrame
     starts = rows.groupBy("_slice").agg(F.sum("_start").alias("_s"))
     starts = starts.select("_slice", (F.sum("_s").over(Window.orderBy("_slice")) - F.col("_s")).alias("_ahead"))
     rows = rows.join(starts, "_slice").withColumn("event", F.col("_local") + F.col("_ahead"))
-    rows = rows.filter((F.col("event") > 0) & (F.col("rn") - F.col("_last") <= gap))
-    by = Window.partitionBy("event")
-    rows = rows.withColumn("first_rn", F.min("rn").over(by)).withColumn("_l", F.max(on).over(by))
-    closed = F.col("n") - F.col("_l") > gap
-    rows = rows.withColumn("end_rn", F.when(closed, F.col("_l") + gap).otherwise(F.col("_l"))).filter("rn <= end_rn")
-    return rows.drop("_prev", "_last", "_carry", "_start", "_local", "_ahead", "_l", "_slice")
+    # Quiet rows up to the gap end an event; where the rows themselves end first, they end no event.
+    cut = (F.col("n") - F.col("_end") <= gap) & (F.col("rn") > F.col("_end"))
+    rows = rows.filter((F.col("event") > 0) & (F.col("rn") - F.col("_last") <= gap) & ~cut)
+    return rows.drop("_prev", "_last", "_carry", "_start", "_local", "_ahead", "_end", "_slice")
 
 
 def acoustic_events(chunks: DataFrame, labels: LabelMap = LabelMap(), threshold: DataFrame | None = None, rules=THEME_RULES) -> DataFrame:

@@ -100,6 +100,14 @@ def _theme() -> str:
     return f"CASE {cases} ELSE 'Other' END"
 
 
+def _lived(name: str, where: str) -> str:
+    """Badges of a selection."""
+    return f"""SELECT * FROM (WITH {CH.replace("ch AS (", "c0 AS (", 1)}, ch AS (SELECT * FROM c0 WHERE {where}), {_LEVELS}, i AS (SELECT ld.*, (SELECT max(coalesce(lafmax, dba)) FROM ch) AS peak, {_indoor('lnight_db', 30)} AS nc, {_indoor('lnight_db', 15)} AS no, {_indoor('lden_db', 30)} AS lc, {_indoor('lden_db', 15)} AS lo, {_indoor('lday_db', 30)} AS dc, {_indoor('lday_db', 15)} AS do_ FROM ld),
+        b AS (SELECT *, coalesce(nc, dc) AS bc, CASE WHEN nc IS NOT NULL THEN no ELSE do_ END AS bo, lnight_db IS NOT NULL AS night, lday_db IS NOT NULL OR levening_db IS NOT NULL AS day FROM i)
+        SELECT '{name}' AS selection, lden_db, peak AS peak_db, CASE WHEN nc IS NULL THEN 'watch' WHEN nc <= 30 AND no <= 40 THEN 'ok' WHEN nc <= 40 THEN 'watch' ELSE 'alert' END AS sleep_badge, CASE WHEN lc IS NULL THEN 'watch' WHEN lc <= 35 AND lo <= 45 THEN 'ok' WHEN lc <= 50 THEN 'watch' ELSE 'alert' END AS office_badge,
+        CASE WHEN bc IS NULL THEN 'watch' WHEN peak >= 70 OR (bo > 40 AND NOT bc <= 30) THEN 'alert' WHEN bo > 40 THEN 'watch' ELSE 'ok' END AS baby_badge, NOT (night AND day) AS insufficient, CASE WHEN NOT night THEN 'no night' WHEN NOT day THEN 'no day' END AS warning FROM b)"""
+
+
 def _spectrum() -> str:
     """Summaries of the tones in closed form: under a Hann window a tone lies in its bin and, a quarter as strong, in the two beside it."""
     w = [f"2e0 * 48000 * tan(pi() * {c}e0 / 48000)" for c in dsp.CORNERS]
@@ -156,7 +164,7 @@ SQL = {
     "change_markers": f"WITH {_SPANS} SELECT device_id, label, {_T.format('t0')} AS t, height AS dba, confidence FROM sp",
     "downsample_points": f"WITH {CH}, n AS (SELECT *, row_number() OVER (ORDER BY dt_utc, chunk_id) AS rn, count(*) OVER () AS total FROM ch), b AS (SELECT *, CASE WHEN total <= 1500 THEN rn ELSE (rn * 1500 - 1) // total END AS b FROM n), o AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY dba DESC, lafmax DESC, rn) AS k FROM b) SELECT rn, chunk_id, dba, lafmax FROM o WHERE k = 1",
     "inspect_window": f"WITH {CH} SELECT chunk_id, device_id, dba, top_label FROM ch WHERE epoch_us(dt_utc) BETWEEN epoch_us(TIMESTAMP '2024-01-10 12:00:00') - 450000000 AND epoch_us(TIMESTAMP '2024-01-10 12:00:00') + 450000000",
-    "top_disturbances": f"WITH {CH}, {_PEAKS} SELECT rank, chunk_id, level, dba, source_file FROM pk",
+    "top_disturbances": f"WITH {CH}, {VO}, {_PEAKS} SELECT rank, pk.chunk_id, level, pk.dba, pk.source_file, category, CASE WHEN gated THEN 'Relative silence' ELSE coalesce(vote, 'Unclassified / Ambient') END AS label, {_T.format('dt_local')} AS at_local FROM pk JOIN vm ON pk.chunk_id = vm.chunk_id",
     "peak_snippets": f"WITH {CH}, {_PEAKS}, j AS (SELECT rank, ch.chunk_id, (epoch_us(ch.dt_utc) - us) / 1e6 AS offset_s, ch.dba FROM ch JOIN pk ON ch.source_file = pk.source_file AND abs(epoch_us(ch.dt_utc) - us) <= 3600000000) SELECT *, row_number() OVER (PARTITION BY rank ORDER BY abs(offset_s), chunk_id) = 1 AS nearest FROM j",
     "overview_summary": f"""WITH {_TELE} SELECT device_id, count(*) AS chunks, {_r('avg(dba)')} AS mean_dba, {_p(0.5)} AS l50_db, {_p(0.9)} AS l10_db, {_p(0.1)} AS l90_db, {_leq()} AS leq_db, {_r('avg(lafmax)')} AS mean_lafmax, max(lafmax) AS max_lafmax,
         count(*) FILTER (WHERE lafmax >= 65e0) AS loud_chunks, CASE WHEN count(lafmax) > 0 THEN {_r('100e0 * count(*) FILTER (WHERE lafmax >= 65e0) / count(lafmax)')} ELSE 0e0 END AS loud_pct, {_r('100e0 * count(*) FILTER (WHERE gated) / count(*)')} AS gated_pct, {_r('100e0 * count(*) FILTER (WHERE NOT gated AND gate_open) / count(*)')} AS gate_open_pct, count(*) FILTER (WHERE NOT gated AND top_label IS NOT NULL) AS classified, CASE WHEN count(*) = 1 THEN 1 ELSE CAST(floor((epoch_us(max(dt_utc)) - epoch_us(min(dt_utc))) / 1e6) AS BIGINT) END AS duration_s FROM te GROUP BY 1""",
@@ -231,10 +239,7 @@ SQL = {
     "host_texts": """SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 'net ' || event_id END AS ssid, CASE WHEN event_id % 5 <> 0 THEN floor((-(event_id % 60 + 30) - 0.25e0) * 10e0 + 0.5e0) / 10e0 END AS dbm, CASE WHEN event_id % 3 <> 0 THEN event_id % 300 + 0.5e0 END AS ping_ms,
         'wlan0' AS interface, event_id % 2 = 0 AS cards, CASE event_id % 4 WHEN 0 THEN 1.5e0 WHEN 1 THEN CAST(-event_id AS DOUBLE) ELSE CAST(event_id AS DOUBLE) END AS number, CASE event_id % 4 WHEN 0 THEN 7 WHEN 1 THEN 0 ELSE event_id END AS count,
         CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE event_id END AS count_or_null FROM events""",
-    "lived_experience": f"""WITH {CH}, {_LEVELS}, i AS (SELECT ld.*, (SELECT max(coalesce(lafmax, dba)) FROM ch) AS peak, {_indoor('lnight_db', 30)} AS nc, {_indoor('lnight_db', 15)} AS no, {_indoor('lden_db', 30)} AS lc, {_indoor('lden_db', 15)} AS lo, {_indoor('lday_db', 30)} AS dc, {_indoor('lday_db', 15)} AS do_ FROM ld),
-        b AS (SELECT *, coalesce(nc, dc) AS bc, CASE WHEN nc IS NOT NULL THEN no ELSE do_ END AS bo, lnight_db IS NOT NULL AS night, lday_db IS NOT NULL OR levening_db IS NOT NULL AS day FROM i)
-        SELECT lden_db, CASE WHEN nc IS NULL THEN 'watch' WHEN nc <= 30 AND no <= 40 THEN 'ok' WHEN nc <= 40 THEN 'watch' ELSE 'alert' END AS sleep_badge, CASE WHEN lc IS NULL THEN 'watch' WHEN lc <= 35 AND lo <= 45 THEN 'ok' WHEN lc <= 50 THEN 'watch' ELSE 'alert' END AS office_badge,
-        CASE WHEN bc IS NULL THEN 'watch' WHEN peak >= 70 OR (bo > 40 AND NOT bc <= 30) THEN 'alert' WHEN bo > 40 THEN 'watch' ELSE 'ok' END AS baby_badge, NOT (night AND day) AS insufficient, CASE WHEN NOT night THEN 'no night' WHEN NOT day THEN 'no day' END AS warning FROM b""",
+    "lived_experience": " UNION ALL ".join(_lived(*x) for x in (("all", "true"), ("quiet nights", f"hour(dt_local) NOT IN {_NIGHT} OR dba < 40"), ("quiet", f"dba < CASE WHEN hour(dt_local) IN {_NIGHT} THEN 40 ELSE 60 END"), ("days", f"hour(dt_local) NOT IN {_NIGHT}"))),
     "arm_cooldown": f"""WITH RECURSIVE {CH}, w AS (SELECT device_id, chunk_id, epoch_us(dt_utc) / 1e6 AS sec, dba, NOT gated AS open, row_number() OVER o AS k, max(CASE WHEN gated THEN 1 ELSE 0 END) OVER o AS any_, list(dba) OVER (PARTITION BY device_id ORDER BY dt_utc, chunk_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS five,
           CASE WHEN top_label IN ('Vehicle', 'Speech') THEN 'label:' || top_label WHEN top_label = 'Wind' AND dba >= 55 THEN 'ambiguous:Wind@dBA>=55.0' END AS cand FROM ch WINDOW o AS (PARTITION BY device_id ORDER BY dt_utc, chunk_id)),
         x AS (SELECT *, k - coalesce(max(CASE WHEN NOT open THEN k END) OVER (PARTITION BY device_id ORDER BY k), 0) AS run FROM w),

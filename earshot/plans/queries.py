@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import host, text
-from ..functions.acoustics import leq, level_percentiles, octave_edges, round_to
+from ..functions.acoustics import is_night, leq, level_percentiles, octave_edges, round_to
 from ..operators import capture, dsp, embed, gate, overview, peaks, profiles, scoring, segment, votes
 from ..sources import events
 from ..sources.events import chunks, telemetry
@@ -75,8 +75,6 @@ def time_budget_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def time_budget_period(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.acoustics import is_night
-
     return _budget(spark, d, [F.when(is_night(F.hour("dt_local")), "night").otherwise("day").alias("period")])
 
 
@@ -132,11 +130,11 @@ def inspect_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_disturbances(spark: SparkSession, d: str) -> DataFrame:
-    return peaks.spaced_peaks(chunks(spark, d)).drop("us")
+    return peaks.spaced_peaks(votes.with_votes(chunks(spark, d))).drop("us")
 
 
 def peak_snippets(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
+    c = votes.with_votes(chunks(spark, d))
     return peaks.snippets(c, peaks.spaced_peaks(c), 3600)
 
 
@@ -320,7 +318,15 @@ def host_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lived_experience(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.experience(chunks(spark, d)).select("lden_db", "sleep_badge", "office_badge", "baby_badge", "insufficient", "warning")
+    """Of all rows, and of selections with quiet nights: by day any level, or none that a nap would notice."""
+    c = chunks(spark, d)
+    night = is_night(F.hour("dt_local"))
+    selections = {"all": F.lit(True), "quiet nights": ~night | (F.col("dba") < 40), "quiet": F.col("dba") < F.when(night, 40).otherwise(60), "days": ~night}
+    out = None
+    for name, rows in selections.items():
+        one = scoring.experience(c.filter(rows)).select(F.lit(name).alias("selection"), "lden_db", "peak_db", "sleep_badge", "office_badge", "baby_badge", "insufficient", "warning")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def spectrum_bands(spark: SparkSession, d: str) -> DataFrame:

@@ -27,13 +27,13 @@ def build(chunks: DataFrame, labels: LabelMap = LabelMap(), site: str | None = N
         threshold = None if l90_offset is None else segment.l90_threshold(chunks, l90_offset, labels.threshold)
         voted = votes.with_votes(chunks, labels)
         events = segment.acoustic_events(chunks, labels, threshold)
-        top = peaks.spaced_peaks(chunks)
+        top = peaks.spaced_peaks(voted)
         levels = _rows(chunks.agg(leq(F.col("dba")).alias("leq_db"), *level_percentiles(), F.count("*").alias("chunks")))[0]
         anchor = chunks.sparkSession.createDataFrame([(levels["l50_db"] if levels["l50_db"] is not None else levels["leq_db"],)], "v double").select(level_anchor(F.col("v"))).first()[0]
         periods = profiles.period_levels(chunks)
         zone_a = levels | {
-            "leq_context": anchor, "location": profiles.location(chunks, site).first()[0], "total": _rows(profiles.total_seconds(chunks))[0], "top_disturbances": _rows(top.drop("us")),
-            "comfort_rating": next(iter(_rows(scoring.comfort(chunks))), None), "lived_experience": _rows(scoring.experience(chunks, F.max(F.coalesce("lafmax", "dba"))))[0], "guideline": _rows(scoring.who_check(periods))[0],
+            "leq_context": anchor, "location": profiles.location(chunks, site).first()[0], "total": _rows(profiles.total_seconds(chunks))[0], "top_disturbances": _with_snippets(top, chunks),
+            "comfort_rating": next(iter(_rows(scoring.comfort(chunks))), None), "lived_experience": _rows(scoring.experience(chunks))[0], "guideline": _rows(scoring.who_check(periods))[0],
         }
         zone_b = {"typical_day": _rows(profiles.typical_day(chunks).orderBy("hour")), "timeline": _rows(profiles.with_gaps(profiles.timeline(chunks, covered_s)).orderBy("hour"))}
         period = F.when(is_night(F.hour("dt_local")), "night").otherwise("day").alias("period")
@@ -48,6 +48,18 @@ def build(chunks: DataFrame, labels: LabelMap = LabelMap(), site: str | None = N
         chunks.unpersist()
 
 
+def _with_snippets(top: DataFrame, chunks: DataFrame) -> list[dict[str, Any]]:
+    """The loudest moments, each with the levels around it and the place of its own among them."""
+    around: dict[int, list[dict[str, Any]]] = {}
+    for r in _rows(peaks.snippets(chunks, top).orderBy("rank", "offset_s", "chunk_id")):  # a minute and a half for each
+        around.setdefault(r["rank"], []).append(r)
+    out = []
+    for r in _rows(top.drop("us").orderBy("rank")):
+        rows = around.get(r["rank"], [])
+        out.append(r | {"snippet": {"dba": [x["dba"] for x in rows], "peak_index": next((k for k, x in enumerate(rows) if x["nearest"]), 0)}})
+    return out
+
+
 def stream(load: Callable[[], DataFrame], **options: Any) -> Iterator[dict[str, Any]]:
     """Progress and then the report, or what went wrong; too little memory is told apart."""
     yield {"stage": "start"}
@@ -77,20 +89,21 @@ def day_band(hours: list[dict[str, Any]], within: float = 3.0) -> tuple[int, int
 
 
 def takeaway(zone_a: dict[str, Any], zone_b: dict[str, Any], zone_c: dict[str, Any]) -> str:
-    """A short briefing in our own words; the same rows give the same text."""
+    """A short briefing in our own words, a paragraph each on character, rhythm, effect, the loudest moment and what is missing; the same rows give the same text."""
+    comfort, paragraphs = zone_a.get("comfort_rating") or {}, []
+    l50, l90, l10 = (zone_a.get(k) for k in ("l50_db", "l90_db", "l10_db"))
     out = []
-    comfort = zone_a.get("comfort_rating")
-    if comfort:
+    if comfort.get("grade"):
         out.append(f"Comfort grade {comfort['grade']} ({comfort['label'].lower()}), score {comfort['score']}.")
-    if (l50 := zone_a.get("l50_db")) is not None:
-        kind = "loud" if l50 >= 70 else "busy" if l50 >= 55 else "moderate" if l50 >= 40 else "quiet"
-        out.append(f"Typical level {l50:.1f} dBA: {kind}.")
+    if l50 is not None:
+        context = zone_a.get("leq_context")
+        out.append(f"Typical level {l50:.1f} dBA" + (f", comparable to: {context.lower()}." if context and context != "—" else "."))
+    if l90 is not None and l10 is not None:
+        out.append(f"It stays near {l90:.1f} dBA when quiet and gets to {l10:.1f} dBA when loud.")
+    paragraphs.append(out)
+    out = []
     if band := day_band(zone_b["typical_day"]):
         out.append(f"Daytime is loudest from {band[0]:02d}:00 to {band[1] + 1:02d}:00.")
-    nights = [h["leq_db"] for h in zone_b["typical_day"] if h["period"] == "night" and h["leq_db"] is not None]
-    if nights:
-        floor = min(nights)
-        out.append(f"The quietest night hour has {floor:.0f} dBA: " + ("sleep needs closed windows." if floor >= 55 else "noticeable with open windows." if floor >= 45 else "restful."))
     shares = sorted(((-r["pct"], r["category"]) for r in zone_c["time_budget"] if r["category"] != SILENCE and r["pct"] > 0))
     if shares:
         text = f"Most of the sound is {shares[0][1]} ({-shares[0][0]:.0f} %)"
@@ -98,7 +111,21 @@ def takeaway(zone_a: dict[str, Any], zone_b: dict[str, Any], zone_c: dict[str, A
     silence = sum(r["pct"] for r in zone_c["time_budget"] if r["category"] == SILENCE)
     if silence >= 20:
         out.append(f"{silence:.0f} % of the time is relative silence.")
-    return " ".join(out)
+    paragraphs.append(out)
+    out = []
+    if l50 is not None:
+        out.append("By day it is " + ("loud." if l50 >= 70 else "busy." if l50 >= 55 else "moderate." if l50 >= 40 else "quiet."))
+    nights = [h["leq_db"] for h in zone_b["typical_day"] if h["period"] == "night" and h["leq_db"] is not None]
+    if nights:
+        floor = min(nights)
+        out.append(f"The quietest night hour has {floor:.0f} dBA: " + ("sleep needs closed windows." if floor >= 55 else "noticeable with open windows." if floor >= 45 else "restful."))
+    paragraphs.append(out)
+    top = next(iter(zone_a.get("top_disturbances") or []), None)
+    if top:
+        paragraphs.append([f"Loudest moment: {top['level']:.1f} dBA, {top['category'] or top['label']}, {top['at_local']}."])
+    if comfort.get("insufficient"):
+        paragraphs.append([f"Data cover {comfort['coverage']}; the grade rests on that part."])
+    return "\n\n".join(" ".join(p) for p in paragraphs if p)
 
 
 def report_briefing(spark: SparkSession, d: str) -> DataFrame:

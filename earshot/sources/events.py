@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,28 +24,22 @@ EVENT_DDL = (
 )
 
 
+def _read(spark: SparkSession, paths: str | list[str], names: dict[str, T.DataType], raw: bool) -> DataFrame:
+    """Lines that are objects, with ``names`` out of each; nothing else of a line is made into columns."""
+    lines = spark.read.text(paths).select(F.col("value").alias("raw"), F.col("_metadata.file_name").alias("source_file")).filter(F.trim("value") != "")
+    parsed = lines.withColumn("_v", F.try_parse_json("raw")).filter(F.expr("schema_of_variant(_v) LIKE 'OBJECT%'"))
+    string = lambda k: F.expr(f"CASE WHEN schema_of_variant(variant_get(_v, '$.{k}', 'variant')) = 'STRING' THEN variant_get(_v, '$.{k}', 'string') END")
+    cols = [(string(k) if isinstance(kind, T.StringType) else F.expr(f"try_variant_get(_v, '$.{k}', '{kind.simpleString()}')")).alias(k) for k, kind in names.items()]
+    return parsed.select("source_file", *(["raw"] if raw else []), *cols)
+
+
 def read_jsonl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Events with ``source_file`` and the raw line; blank and malformed lines are skipped.
 
     Numbers stored as strings parse too, and a string field counts only where it
     is a string, as a variant tells.
     """
-    lines = spark.read.text(paths).select(F.col("value").alias("raw"), F.col("_metadata.file_name").alias("source_file")).filter(F.trim("value") != "")
-    parsed = lines.withColumn("_v", F.try_parse_json("raw")).filter(F.expr("schema_of_variant(_v) LIKE 'OBJECT%'"))
-    number = lambda k: F.expr(f"try_variant_get(_v, '$.{k}', 'double')")
-    string = lambda k: F.expr(f"CASE WHEN schema_of_variant(variant_get(_v, '$.{k}', 'variant')) = 'STRING' THEN variant_get(_v, '$.{k}', 'string') END")
-    names = {f.name: f.dataType for f in T.StructType.fromDDL(EVENT_DDL).fields}
-    cols = []
-    for name, kind in names.items():
-        if isinstance(kind, T.StringType):
-            cols.append(string(name).alias(name))
-        elif isinstance(kind, T.DoubleType):
-            cols.append(number(name).alias(name))
-        elif isinstance(kind, T.IntegerType):
-            cols.append(F.expr(f"try_variant_get(_v, '$.{name}', 'int')").alias(name))
-        else:
-            cols.append(F.expr(f"try_variant_get(_v, '$.{name}', '{kind.simpleString()}')").alias(name))
-    return parsed.select("source_file", "raw", *cols)
+    return _read(spark, paths, {f.name: f.dataType for f in T.StructType.fromDDL(EVENT_DDL).fields}, True)
 
 
 #: Columns that a report reads.
@@ -53,13 +47,10 @@ REPORT_COLUMNS = ("device_id", "created_at", "dBA_spl", "LAFmax_dB", "top_label"
 
 
 def read_for_report(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The columns of a report alone: a narrow schema, so the parser skips spectra and the like; malformed lines are skipped."""
-    kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(EVENT_DDL).fields}
-    kinds["yamnet_preprocess"] = "struct<gated:boolean>"
-    ddl = ", ".join(f"{c} {kinds[c]}" for c in REPORT_COLUMNS)
-    lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("source_file"), F.from_json("value", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e"), "value")
-    good = F.trim("value").startswith("{") & F.col("e").isNotNull() & F.col("e._bad").isNull()
-    return lines.filter(good).select("source_file", *[F.col(f"e.{c}") for c in REPORT_COLUMNS])
+    """The columns of a report alone, from the lines that ``read_jsonl`` keeps and by its rules; spectra and the like are never made."""
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(EVENT_DDL).fields}
+    kinds["yamnet_preprocess"] = T.StructType.fromDDL("gated boolean")
+    return _read(spark, paths, {c: kinds[c] for c in REPORT_COLUMNS}, False)
 
 
 def parse_created(created: Column) -> Column:
@@ -109,7 +100,10 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     out = c.withColumn("gate_open", ~F.col("gated") & (i % 3 != 0)).withColumn("clap_status", captured).withColumn("clap_top_label", F.when(captured == "triggered", F.concat(F.lit("a "), F.lower("top_label"))))
-    return out.withColumn("dasm", detected).withColumn("recording_id", F.concat(F.col("device_id"), F.lit("-r"))).withColumn("chunk_index", (F.row_number().over(Window.partitionBy("source_file").orderBy("dt_utc", "chunk_id")) - 1).cast("int"))
+    out = out.withColumn("dasm", detected).withColumn("recording_id", F.concat(F.col("device_id"), F.lit("-r")))
+    from ..operators.segment import numbered
+
+    return numbered(out, ["source_file"]).withColumn("chunk_index", (F.col("rn") - 1).cast("int")).drop("rn", "n", "_slice")
 
 
 def bounds(events: DataFrame, order: Column | None = None) -> DataFrame:

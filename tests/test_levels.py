@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from earshot.functions import acoustics, text
-from earshot.operators import overview, peaks, profiles, scoring
+from earshot.operators import overview, peaks, profiles, scoring, votes
 from earshot.plans import report
 
 T0 = dt.datetime(2026, 1, 15, 12, 0, 0)
@@ -53,8 +53,8 @@ def test_autumn_hour_merges(spark):
 
 def test_spaced_peaks(spark):
     rows = [(i, T0 + dt.timedelta(seconds=s), "pi", v, v + 3.0, "x", 0.9, False, "a", None) for i, (s, v) in enumerate([(0, 90.0), (1, 89.0), (120, 80.0), (240, 70.0), (300, 50.0)])]
-    c = spark.createDataFrame(rows, SCHEMA)
-    top = peaks.spaced_peaks(c)
+    c = spark.createDataFrame(rows, SCHEMA).withColumn("dt_local", F.col("dt_utc"))
+    top = peaks.spaced_peaks(votes.with_votes(c))
     assert [r["level"] for r in top.orderBy("rank").collect()] == [93.0, 83.0, 73.0]
     near = peaks.snippets(c, top).filter("rank = 1").collect()
     assert sorted(r["chunk_id"] for r in near) == [0, 1] and [r["chunk_id"] for r in near if r["nearest"]] == [0]

@@ -24,6 +24,20 @@ def test_timeline_and_budgets(spark):
     assert list(report.stream(lambda: 1 / 0))[-1]["code"] == "failed"
 
 
+def test_loudest_moments_and_the_briefing(spark):
+    """Spaced peaks with label, category and what surrounds them; a paragraph each on levels, the loudest moment and missing nights."""
+    levels = [50.0] * 30 + [90.0] + [50.0] * 119 + [80.0] + [50.0] * 20
+    rows = chunks(spark, levels, gated=[k == 150 for k in range(len(levels))])
+    made = report.build(rows, covered_s=5.0)
+    top = made["zone_a"]["top_disturbances"]
+    assert [(t["level"], t["label"], t["category"], t["at_local"]) for t in top[:2]] == [(93.0, "Speech", "Human & Community", "2026-01-15 13:00:30"), (83.0, "Relative silence", "Relative silence", "2026-01-15 13:02:30")]
+    assert len(top[0]["snippet"]["dba"]) == 76 and top[0]["snippet"]["peak_index"] == 30 and top[0]["snippet"]["dba"][30] == 90.0
+    text = made["takeaway"].split("\n\n")
+    assert "stays near 50.0 dBA when quiet and gets to 50.0 dBA" in text[0] and "Loudest moment: 93.0 dBA, Human & Community, 2026-01-15 13:00:30." in text
+    assert text[-1] == "Data cover day only; the grade rests on that part."
+    assert report.build(rows, covered_s=5.0)["takeaway"] == made["takeaway"]
+
+
 def test_categories_in_chart_order(spark):
     names = ["Relative silence", "Zebra", "Unclassified / Ambient", "Apes", "Human & Community", "Traffic & Transit"]
     rows = profiles.categories(spark.createDataFrame([(n,) for n in names], "category string")).orderBy("place").collect()

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_levels import SCHEMA, T0, chunks
 
-from earshot.operators import capture, embed, gate, segment
+from earshot.operators import capture, embed, gate, segment, votes
 from earshot.sources.labels import LabelMap, TriggerConfig
 from earshot.streaming import live
 
@@ -41,6 +41,15 @@ def test_events_equal_the_model(spark):
         assert sorted((r["start_rn"], r["chunk_count"]) for r in got.collect()) == model(levels, gap=gap, least=least)
 
 
+def test_one_endless_event(spark):
+    """Rows that never fall silent are one event, and no window is grouped by it."""
+    c = chunks(spark, [60.0] * 300, step=60.0)
+    out = segment.acoustic_events(c)
+    assert [(r["start_rn"], r["chunk_count"]) for r in out.collect()] == [(1, 300)]
+    plan = segment.members(votes.with_votes(c), F.lit(45.0), LabelMap())._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window" in line and "[event" in line]
+
+
 def test_golden_events(spark):
     count = lambda levels: segment.acoustic_events(chunks(spark, levels)).collect()
     assert len(count([60, 58, 40, 59, 57])) == 1 and len(count([60, 58, 40, 40, 40, 59, 57])) == 2

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from earshot.operators import overview, votes
 from earshot.sources import events, labels
@@ -29,6 +30,18 @@ def test_tolerant_reader(stored):
     assert [(r["dba"], r["gated"]) for r in c] == [(62.2, False), (56.5, True)] and c[0]["dt_local"].hour == 13
 
 
+def test_report_reads_the_same_rows(spark, stored, tmp_path):
+    """Levels stored as text, labels that are numbers, broken and nested lines: the narrow reader keeps what the other one keeps."""
+    odd = ['{"dBA_spl":"61.2","top_confidence":"0.5"}', '{"dBA_spl":50,"top_label":5,"created_at":"x"}', '{"dBA_spl":[1],"yamnet_preprocess":{"gated":"yes"}}', '  {"dBA_spl":null} ', '{"dBA_spl":1', '"text"', "7", "null", '{"yamnet_preprocess":7,"LAFmax_dB":{"a":1}}', '{"yamnet_preprocess":{"gated":true,"more":[1]}}']
+    (tmp_path / "odd.jsonl").write_text("\n".join(odd))
+    wide = events.read_jsonl(spark, str(tmp_path))
+    narrow = events.read_for_report(spark, str(tmp_path))
+    same = wide.select("source_file", *[F.struct(F.col("yamnet_preprocess.gated").alias("gated")).alias(c) if c == "yamnet_preprocess" else F.col(c) for c in events.REPORT_COLUMNS])
+    key = lambda df: sorted(str({k: (v if not isinstance(v, dict) or v["gated"] is not None else None) for k, v in r.asDict(recursive=True).items()}) for r in df.collect())
+    assert key(narrow) == key(same) and narrow.count() == 3 + 6
+    assert {r["top_label"] for r in narrow.collect()} == {None, "Vehicle", "gated"}
+
+
 def test_points_and_markers(stored):
     p = overview.slim_points(stored, 2.0).orderBy("ms").collect()[0]
     assert (p["dba"], p["l90_rel"], p["gate_open"], p["event_seconds"]) == (63.2, 50.0, True, 2.5)
