@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import documents, join_even, materialize
+from .session import documents, join_even, materialize, packed
 from .vectext import U64, mix
 
 #: Digests that a bucket's filter holds on average.
@@ -159,7 +159,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; a row is known by its doc_id and 64 bits of its text's digest."""
     gone = materialize(groups(docs).filter("doc_id <> keep_id").select(F.col("doc_id").alias("_doc"), F.xxhash64("sha").alias("_sha")).distinct(), "gone")
     sha = F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))), 256)
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(sha).alias("_sha"))
+    keyed = packed(docs, _doc=F.col("doc_id"), _sha=F.xxhash64(sha))
     return keyed.join(gone, ["_doc", "_sha"], "left_anti").select("_row.*")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .bytebpe import binaries
 from .graph import components
-from .session import discard, documents, join_even, materialize, small_batches
+from .session import discard, documents, join_even, materialize, packed, small_batches
 from .vectext import U64, Words, blocks, mix
 
 SHINGLE = 5
@@ -372,5 +372,5 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = _grouped(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
     gone = materialize(gone.distinct(), "gone")
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), digest.alias("_digest"))
+    keyed = packed(docs, _doc=F.col("doc_id"), _digest=digest)
     return keyed.join(gone, ["_doc", "_digest"], "left_anti").select("_row.*")

@@ -8,7 +8,7 @@ Defined cases: a null or empty text has size 0 and is copied like any other of
 its source; a null source is a source of its own, last in order; a source whose
 documents are all empty has target 0 and rate 0; rows that repeat a doc_id get
 the same decision; an empty table gives an empty result; other columns are
-untouched, and helper columns begin with _mix.
+untouched whatever their names; ``with_copies`` adds columns that begin with _mix.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import join_even, materialize
+from .session import join_even, materialize, packed
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -80,5 +80,6 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with the columns of ``docs``."""
-    taken = with_copies(docs, weights, most, seed).filter(F.col("_mix_copies") > 0)
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
+    rows = packed(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"))
+    taken = with_copies(rows, weights, most, seed).filter(F.col("_mix_copies") > 0)
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select("_row.*")

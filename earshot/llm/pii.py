@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import packed
+
 #: Private-use characters that mark matches; in a text they are replaced by a third before.
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
 LEAST = 0.6
@@ -85,7 +87,7 @@ _SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,score:double>>"
 def spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``spans``: array of (start, rank, stop, kind, score) in code points, stop exclusive, by start and kind."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), OPEN + CLOSE, OTHER + OTHER)
-    df = docs.withColumn("_text", text)
+    df = packed(docs, _text=text)
     marked = {f"_m_{k.name}": F.when(F.col("_text").rlike(k.needs), F.split(F.regexp_replace("_text", k.pattern, f"{OPEN}$0{CLOSE}"), OPEN, -1)) for k in KINDS}
     df = df.withColumns(marked)
 
@@ -118,7 +120,8 @@ def spans(docs: DataFrame) -> DataFrame:
 
     df = df.withColumns({f"_c_{k.name}": confirmed(i, k) for i, k in enumerate(KINDS)})
     df = df.withColumn("spans", F.array_sort(F.concat(*[F.col(f"_c_{k.name}") for k in KINDS])))
-    return df.select(*[c for c in docs.columns if c != "spans"], "spans")
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != "spans"]
+    return df.select(*kept, "spans")
 
 
 def joined(spans_: Column) -> Column:
@@ -140,10 +143,8 @@ def redact(docs: DataFrame) -> DataFrame:
     A null text becomes empty, a text without spans stays as it is; other
     columns keep their names and values, ``spans`` too; an empty table stays empty.
     """
-    names = docs.columns
-    docs = docs.withColumnRenamed("spans", "_spans_before")
-    found = spans(docs).withColumn("_whole", F.coalesce(F.col("text"), F.lit("")))
-    whole = F.col("_whole")
+    rows = packed(docs, text=F.coalesce(F.col("text"), F.lit("")))
+    whole = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
         more = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))
@@ -152,4 +153,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.char_length(whole))))
-    return found.withColumn("text", text).select(*docs.columns).toDF(*names)
+    return spans(rows).select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import documents, join_even, materialize, small_batches
+from .session import documents, join_even, materialize, packed, small_batches
 from .vectext import U64, Words, blocks, mix
 
 BITS = 18
@@ -259,8 +259,10 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [model.scores(block) >= least for block in blocks((t or "").encode() for t in batch.column("text").to_pylist())]
+            texts = batch.column("_row").field("text").to_pylist()
+            good = [model.scores(block) >= least for block in blocks((t or "").encode() for t in texts)]
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = packed(docs)  # a column of any name goes through Arrow as a field
+    return rows.mapInArrow(run, rows.schema).select("_row.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,12 +63,30 @@ def join_even(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     ``merge`` it is a sort-merge join at every size, so that no plan changes
     when one side outgrows the broadcast limit; without, Catalyst chooses.
     """
-    salt = "_even"
+    salt = free_name("_even", left, right)
     h = F.pmod(F.xxhash64(*on), F.lit(1 << 20))
     right = right.withColumn(salt, h)
     return left.withColumn(salt, h).join(right.hint("merge") if merge else right, [*on, salt], how).drop(salt)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, or with more of its first letter as long as a frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = name[0] + name
+    return name
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """Each row of ``df`` as the struct _row, beside ``more``: helpers can't clash with its columns; ``_row.*`` gives them back."""
+    return df.select(F.struct(*every(df)).alias("_row"), *[v.alias(k) for k, v in more.items()])
+
+
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns of ``docs``; a null text counts as empty."""
     cols = columns or ("doc_id", "text")

@@ -19,6 +19,7 @@ result; other columns of ``docs`` are not read, so their names can't clash.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache, cached_property
 
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .encode import Block, char_blocks, cut, word_library
+from .encode import Block, char_blocks, cut, special_strings, word_library
 from .session import documents, small_batches
 from .vectext import BYTE_VALUE, U64, IdCache, powers, prefix_hash, ragged
 
 _CELLS = 1 << 20
+#: A space ends every piece, and neither NFC nor lower case reaches across it.
+_APART = re.compile("(?<=[^ ])(?= )")
 #: Longer pieces are walked along one by one.
 _ROW = 512
 #: Answers of the walk that are remembered.
@@ -234,8 +237,9 @@ def prefix_counts(text: str, path: str) -> np.ndarray:
     """Tokens of text[:k] for k from 0 to its length, from one pass of dynamic programming."""
     block = Block([text], False, path)
     if len(block.odd):
-        parts = cut(text, False, path)
-        if len(parts) > 1:  # nothing reaches across a cut, so counts of parts add up
+        special = any(" " in x or x in text for x in special_strings(path))
+        parts = [text] if special else _APART.split(text)
+        if len(parts) > 1:  # nothing reaches across a space, so counts of parts add up
             each = [prefix_counts(p, path) for p in parts]
             before = np.concatenate(([0], np.cumsum([c[-1] for c in each])))
             return np.concatenate([each[0][:1], *[c[1:] + b for c, b in zip(each, before)]])

@@ -131,3 +131,45 @@ def test_prefix_counts_of_odd_texts_add_up(word_file):
     text = "naïve ﬁ words and ﬁ more İ text with words"
     lib = encode.word_library(word_file)
     assert tokencount.prefix_counts(text, word_file).tolist() == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+
+
+def test_prefix_counts_of_long_odd_texts(word_file):
+    """A long text of odd words in about the time of its words, each prefix by the library."""
+    import time
+
+    from earshot.llm import encode
+
+    words = ["\U0001f680", "na\u0131ve\U0001f680x", "\u20b9\u20b9", "e\u0301t\u0301", "\U0001fae0 \u0301a", "12\U0001f6803"]
+    text = " ".join(words * 700)
+    began = time.time()
+    got = tokencount.prefix_counts(text, word_file)
+    assert len(text) > 15_000 and time.time() - began < 20
+    lib = encode.word_library(word_file)
+    for k in [*range(200), *range(200, len(text) + 1, 997), len(text)]:
+        assert got[k] == len(lib.encode(text[:k], add_special_tokens=False).ids), k
+
+
+NAMES = ["_even", "_text", "_m_email", "x.y", "_row", "_mix_size", "a b`c", "_doc", "_digest", "Spans", "_sha", "_part", "key", "tree", "marks", "A"]
+
+
+@pytest.mark.parametrize("name", ["exact", "minhash", "mix", "keep", "spans", "redact"])
+def test_columns_of_any_name_come_back(spark, name):
+    rows = [(r[0], r[1], r[3], *[f"{k}-{i}" for k in range(len(NAMES))]) for i, r in enumerate(ROWS)]
+    fields = ["doc_id long", "text string", "source string", *[f"`{c.replace('`', '``')}` string" for c in NAMES]]
+    d = spark.createDataFrame(rows, ", ".join(fields))
+    run = {"exact": exact.deduplicate, "minhash": minhash.deduplicate, "mix": mixing.mix, "keep": lambda x: quality.keep(x, quality.neutral(), 0.3), "spans": pii.spans, "redact": pii.redact}[name]
+    if name == "spans":
+        d = d.drop("Spans")
+    out = run(d)
+    assert out.columns == d.columns + ["spans"] * (name == "spans")
+    given = {tuple(r)[2:] for r in d.collect()}
+    got = [tuple(r)[2 : len(d.columns)] for r in out.collect()]
+    assert got and set(got) <= given and (name in ("exact", "minhash", "mix") or len(got) == len(rows))
+
+
+def test_joins_leave_clashing_names(spark):
+    from earshot.llm import session
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, _even string")
+    b = spark.createDataFrame([(1, "z")], "k int, __even string")
+    assert [tuple(r) for r in session.join_even(a, b, ["k"]).collect()] == [(1, "x", "z")]

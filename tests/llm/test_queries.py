@@ -140,6 +140,19 @@ def test_op2(spark, tables):
         assert r["taken"] in {sizes[i] * int(rate), sizes[i] * (int(rate) + 1)} and r["taken"] <= 3 * sizes[i]
 
 
+def test_sums_come_near_their_targets(spark, sf_dir):
+    """What is taken of each source differs from its target by no more than the drawn copies can: a few standard deviations of their sizes."""
+    rows = queries.op2_mixing(spark, "/root/testdata/sf0.01").collect()
+    by_target = {}
+    for r in rows:
+        by_target.setdefault((r["source_size"], r["target"]), []).append(r)
+    for (whole, target), some in by_target.items():
+        part = (target / whole) % 1
+        spread = (part * (1 - part) * sum(r["size"] ** 2 for r in some)) ** 0.5
+        assert abs(sum(r["taken"] for r in some) - target) <= 4.5 * spread + 1e-6 * target
+    assert abs(sum(r["taken"] for r in rows) / sum(r["size"] for r in rows) - 1) < 0.1
+
+
 def test_op3(spark, tables):
     lib = encode.rank_library(tokenizer_file("byte_bpe_multi_50k.tiktoken"), byte_pattern())
     got = by_id(rows_of(spark, tables, "op3_byte_bpe"))
