@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.acoustics import round_to
 
 
-#: Most prompts that every task gets: a few megabytes.
+#: Prompts of a block: a few megabytes.
 PROMPTS = 1024
 
 
@@ -21,20 +21,21 @@ def norm(a: Column) -> Column:
 
 
 def zero_shot(clips: DataFrame, prompts: DataFrame, top: int = 3) -> DataFrame:
-    """The ``top`` prompts nearest to each clip (vec_id, embedding); prompts are (prompt_id, embedding).
+    """The ``top`` prompts nearest to each clip (vec_id, embedding); prompts are (prompt_id, embedding), any number of them.
 
-    The ranking keeps only an array of the best per clip, map-side; prompts are
-    a bounded dimension (16 at most for one classifier, a few hundred for the
-    other), so every task gets them all; more than ``PROMPTS`` are an error.
+    Prompts are dealt into blocks of about ``PROMPTS``; each clip keeps an array
+    of the best of a block, map-side, and a last step ranks those of its blocks.
+    Catalyst broadcasts the blocks where they are small.
     """
-    if prompts.limit(PROMPTS + 1).count() > PROMPTS:
-        raise ValueError(f"more than {PROMPTS} prompts: rank them in blocks")
-    few = prompts.agg(F.collect_list(F.struct(F.col("prompt_id").alias("id"), F.col("embedding").alias("e"), norm(F.col("embedding")).alias("n"))).alias("_p"))
-    length = norm(F.col("embedding"))
-    rows = clips.withColumn("_n", length).crossJoin(F.broadcast(few))
+    blocks = max(1, -(-prompts.count() // PROMPTS))
+    one = F.struct(F.col("prompt_id").alias("id"), F.col("embedding").alias("e"), norm(F.col("embedding")).alias("n"))
+    dealt = prompts.groupBy(F.pmod(F.xxhash64("prompt_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list(one).alias("_p"))
+    rows = clips.select("vec_id", "embedding", norm(F.col("embedding")).alias("_n"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block")
     score = lambda p: dot(F.col("embedding"), p["e"]) / (F.greatest(F.col("_n"), F.lit(1e-12)) * F.greatest(p["n"], F.lit(1e-12)))
-    ranked = F.slice(F.array_sort(F.transform("_p", lambda p: F.struct((-score(p)).alias("s"), p["id"].alias("id")))), 1, top)
-    out = rows.select("vec_id", F.posexplode(ranked).alias("pos", "r"))
+    best = F.slice(F.array_sort(F.transform("_p", lambda p: F.struct((-score(p)).alias("s"), p["id"].alias("id")))), 1, top)
+    found = rows.select("vec_id", "_row", best.alias("_best")).groupBy("_row", "vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, top).alias("_best"))
+    out = found.select("vec_id", F.posexplode("_best").alias("pos", "r"))
     return out.select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("r.id").alias("prompt_id"), (-F.col("r.s")).alias("similarity"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - F.col("r.s")) / 2)).alias("confidence"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.labels import SILENCE, THEME_RULES, UNCLASSIFIED, LabelMap, theme_of
+from ..sources.labels import SILENCE, THEME_RULES, UNCLASSIFIED, LabelMap, theme_of, with_catalog
 
 
 def macro_of(label: Column, theme: Column, labels: LabelMap) -> Column:
@@ -24,9 +24,13 @@ def with_themes(chunks: DataFrame, name: str = "top_label", rules=THEME_RULES) -
     return renamed.withColumn("theme", F.when(F.col(name).isNotNull(), F.col("theme"))).drop("display_name")
 
 
-def with_votes(chunks: DataFrame, labels: LabelMap = LabelMap(), rules=THEME_RULES) -> DataFrame:
-    """``chunks`` with theme, ``vote`` (null where not eligible), macro and category."""
-    out = with_themes(chunks, rules=rules)
+def with_votes(chunks: DataFrame, labels: LabelMap = LabelMap(), rules=THEME_RULES, catalog: DataFrame | None = None) -> DataFrame:
+    """``chunks`` with theme, ``vote`` (null where not eligible), macro and category.
+
+    Themes come from ``catalog`` (display_name, theme) where one is given, by the
+    rules otherwise.
+    """
+    out = with_themes(chunks, rules=rules) if catalog is None else with_catalog(chunks, catalog)
     label = F.col("top_label")
     ok = (
         ~F.col("gated")

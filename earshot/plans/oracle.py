@@ -188,7 +188,7 @@ SQL = {
         SELECT g.chunk_id, gate_open, {_r('CASE WHEN gate_open THEN 20e0 * log10(greatest(rms, 1e-12)) ELSE raw END', 6)} AS smoothed_dbfs, CASE WHEN gate_open THEN {_r('least(least(pow(10e0, -23e0 / 20e0) / greatest(rms, 1e-12), 0.9e0 / l.peak), pow(10e0, l.max_gain / 20e0))', 4)} ELSE 0e0 END AS gain FROM g LEFT JOIN l ON g.chunk_id = l.chunk_id""",
     "gate_state": f"WITH RECURSIVE {_GATE} SELECT device_id, chunk_id, gate_open, reason, streak FROM g",
     "fixed_capture_windows": f"WITH {CH}, a AS (SELECT device_id, chunk_id AS armed_id, dt_utc AS at FROM ch WHERE top_label = 'Vehicle' AND dba >= 70) SELECT a.device_id, armed_id, count(*) AS rows, CAST(sum(chunk_id) AS BIGINT) AS ids FROM a JOIN ch ON a.device_id = ch.device_id AND ch.dt_utc BETWEEN a.at - INTERVAL 1800 SECOND AND a.at + INTERVAL 1800 SECOND GROUP BY 1, 2",
-    "zero_shot_topk": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings), s AS (SELECT c.vec_id, p.vec_id AS prompt_id, array_cosine_similarity(c.e, p.e) AS sim FROM v c, v p WHERE p.vec_id < 16),
+    "zero_shot_topk": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings), s AS (SELECT c.vec_id, p.vec_id AS prompt_id, array_cosine_similarity(c.e, p.e) AS sim FROM v c, v p WHERE p.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, prompt_id) AS rank FROM s) SELECT vec_id, CAST(rank AS INT) AS rank, prompt_id, {_r('greatest(0e0, least(1e0, (sim + 1e0) / 2e0))', 6)} AS confidence FROM r WHERE rank <= 3""",
     "embedding_quality": "SELECT count(*) AS vectors, count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <> 64) AS wrong_length, count(*) FILTER (WHERE coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0, true)) AS not_finite, count(*) FILTER (WHERE abs(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) - 1) > 1e-3) AS not_unit FROM embeddings",
     "frame_spans": f"""WITH {CH}, i AS (SELECT device_id || '/' || strftime(dt_utc, '%Y-%m-%d') AS clip, top_confidence AS s, row_number() OVER (PARTITION BY device_id, CAST(dt_utc AS DATE) ORDER BY dt_utc, chunk_id) - 1 AS i FROM ch),
@@ -258,3 +258,8 @@ SQL = {
                     NOT f.active AND r.open AND r.cand IS NOT NULL AND (f.last_arm IS NULL OR r.sec - f.last_arm >= 5) AS arms FROM f JOIN r ON r.device_id = f.device_id AND r.k = f.k + 1)))))
         SELECT device_id, chunk_id, status, reason, capture_of, end_reason, event_seconds, dba_peak FROM f WHERE k > 0""",
 }
+SQL |= {
+    "level_histograms": f"WITH {CH}, {VO} SELECT strftime(dt_local, '%Y-%m-%d') AS day, {_T.format("date_trunc('hour', dt_local)")} AS hour, device_id, source_file, category, gated, CAST(round(dba * 10) AS INT) AS tenth, count(*) AS chunks, max(coalesce(lafmax, dba)) AS max_peak FROM vm GROUP BY ALL",
+    "histogram_devices": f"WITH {CH} SELECT device_id, {_leq()} AS leq_db, count(*) AS chunks, {_p(0.9)} AS l10_db, {_p(0.5)} AS l50_db, {_p(0.1)} AS l90_db FROM ch GROUP BY 1",
+    "histogram_timeline": SQL["hourly_timeline"], "histogram_typical_day": SQL["typical_day"], "histogram_lden": SQL["lden"], "histogram_budget": SQL["time_budget_period"],
+}

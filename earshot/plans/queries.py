@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import host, text
 from ..functions.acoustics import is_night, leq, level_percentiles, octave_edges, round_to
-from ..operators import capture, dsp, embed, gate, overview, peaks, profiles, scoring, segment, votes
+from ..operators import capture, dsp, embed, gate, histograms, overview, peaks, profiles, scoring, segment, votes
 from ..sources import events
 from ..sources.events import chunks, telemetry
-from ..sources.labels import theme_of
+from ..sources.labels import theme_catalog as theme_catalog_
 
 #: About fourteen rows an hour in the smallest tables: the coverage rule is a parameter.
 COVERED_S = 5.0
@@ -63,7 +63,7 @@ def vote_labels(spark: SparkSession, d: str) -> DataFrame:
 def theme_catalog(spark: SparkSession, d: str) -> DataFrame:
     parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("part_key"), F.col("p_name").alias("display_name"))
     events_ = chunks(spark, d).select("top_label").distinct().select(F.lit(0).cast("long").alias("part_key"), F.col("top_label").alias("display_name"))
-    return theme_of(parts.unionByName(events_)).groupBy("theme").agg(F.count("*").alias("labels"))
+    return theme_catalog_(parts.unionByName(events_)).groupBy("theme").agg(F.count("*").alias("labels"))
 
 
 def _budget(spark: SparkSession, d: str, keys: list) -> DataFrame:
@@ -242,9 +242,9 @@ def fixed_capture_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zero_shot_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest prompts of every row; the tables have no prompts, so the rows with vec_id < 16 stand for the bounded table of them."""
+    """The nearest prompts of every row; the tables have no prompts, so the rows whose vec_id 100 divides stand for them."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    prompts = e.filter("vec_id < 16").select(F.col("vec_id").alias("prompt_id"), "embedding")
+    prompts = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("prompt_id"), "embedding")
     return embed.zero_shot(e, prompts).select("vec_id", "rank", "prompt_id", round_to(F.col("confidence"), 6).alias("confidence"))
 
 
@@ -329,6 +329,35 @@ def lived_experience(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.cells(votes.with_votes(chunks(spark, d)))
+
+
+def level_histograms(spark: SparkSession, d: str) -> DataFrame:
+    c = _cells(spark, d)
+    return c.select(F.date_format("day", "yyyy-MM-dd").alias("day"), _stamp("hour"), "device_id", "source_file", "category", "gated", "tenth", "chunks", "max_peak")
+
+
+def histogram_devices(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.device_levels(_cells(spark, d))
+
+
+def histogram_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.timeline(_cells(spark, d), COVERED_S).withColumn("hour", _stamp("hour"))
+
+
+def histogram_typical_day(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.typical_day(_cells(spark, d))
+
+
+def histogram_lden(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.period_levels(_cells(spark, d))
+
+
+def histogram_budget(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.time_budget(_cells(spark, d), [F.when(is_night(F.hour("hour")), "night").otherwise("day").alias("period")])
+
+
 def spectrum_bands(spark: SparkSession, d: str) -> DataFrame:
     """Unweighted and A-weighted summaries of a tone for each chunk; levels of the bands in tenths of a dB."""
     s = dsp.spectra(dsp.tone_rows(chunks(spark, d)), 0, dsp.tone_source)
@@ -350,7 +379,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         status_snapshot, stored_events, gate_metadata, capture_onsets, lookback_rows, fixed_capture_fill, host_levels, host_texts, value_formats, lived_experience, acoustic_events, acoustic_events_top, events_l90_threshold, sound_diet, label_spans,
         change_markers, downsample_points, inspect_window, top_disturbances, peak_snippets, overview_summary, top_labels, comfort_rating, indoor_badges,
         who_check, ambient_floor, gate_state, gain_smoothing, arm_cooldown, fixed_capture_windows, zero_shot_topk, embedding_quality, frame_spans,
-        json_props, export_projection, label_formats, octave_bands, resource_levels, spectrum_bands, mel_features,
+        json_props, export_projection, label_formats, octave_bands, level_histograms, histogram_devices, histogram_timeline, histogram_typical_day, histogram_lden, histogram_budget, resource_levels, spectrum_bands, mel_features,
     )
     return {f.__name__: f for f in found} | {"level_percentiles": level_percentiles_}
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,9 +110,55 @@ def theme_of(labels: DataFrame, rules=THEME_RULES) -> DataFrame:
     return labels.withColumn("_low", F.lower("display_name")).withColumn("theme", F.coalesce(theme, F.lit(OTHER))).drop("_low")
 
 
-def theme_catalog(classes: DataFrame, rules=THEME_RULES) -> DataFrame:
-    """Per class (index, mid, display_name) its theme: the catalog that votes look labels up in."""
-    return theme_of(classes, rules)
+#: Keywords of a rule table that is sent to all workers.
+MOST_KEYWORDS = 10_000
+
+
+def rule_rows(spark: SparkSession, rules=THEME_RULES) -> DataFrame:
+    """Rules as a dimension: rule (their order), theme and keyword."""
+    rows = [(i, theme, w) for i, (theme, words) in enumerate(rules) for w in words]
+    return spark.createDataFrame(rows, "rule int, theme string, keyword string")
+
+
+def read_theme_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The same from a CSV file with these three columns; keywords in any script, lower-cased and trimmed, empty ones left out."""
+    rows = spark.read.csv(path, header=True, escape='"', schema="rule int, theme string, keyword string")
+    return rows.withColumn("keyword", F.lower(F.trim("keyword"))).filter("keyword <> '' AND rule IS NOT NULL")
+
+
+def theme_catalog(classes: DataFrame, rules: DataFrame | tuple = THEME_RULES) -> DataFrame:
+    """Per class (index, mid, display_name) its theme: the catalog that votes look labels up in.
+
+    All keywords go into one automaton, built once by each worker, that finds
+    them in one pass over a name; of the rules that have one the first decides,
+    and without any the theme is Other.  A table of more than MOST_KEYWORDS is an error.
+    """
+    table = rules if isinstance(rules, DataFrame) else rule_rows(classes.sparkSession, rules)
+    rows = [tuple(r) for r in table.select("rule", "theme", "keyword").limit(MOST_KEYWORDS + 1).collect()]
+    if len(rows) > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
+    first: dict[str, int] = {}
+    for rule, _, word in rows:
+        first[word] = min(rule, first.get(word, rule))
+    names = {rule: theme for rule, theme, _ in rows}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for word, rule in first.items():
+            words.add_word(word, rule)
+        if first:
+            words.make_automaton()
+        for batch in batches:
+            low = [x or "" for x in batch.column("_low").to_pylist()]
+            best = [min((rule for _, rule in words.iter(x)), default=None) if first else None for x in low]
+            yield pa.RecordBatch.from_arrays([batch.column("display_name"), pa.array([OTHER if r is None else names[r] for r in best], pa.string())], names=["display_name", "theme"])
+
+    low = classes.select("display_name", F.lower("display_name").alias("_low")).distinct()
+    themes = low.mapInArrow(run, "display_name string, theme string")
+    named = themes.withColumnRenamed("display_name", "_name")
+    return classes.drop("theme").join(named, F.col("display_name").eqNullSafe(F.col("_name")), "left").drop("_name")
 
 
 def with_catalog(chunks: DataFrame, catalog: DataFrame, name: str = "top_label") -> DataFrame:

@@ -80,3 +80,30 @@ def test_votes_leave_out(spark):
     out = votes.with_votes(spark.createDataFrame(rows, "chunk_id long, top_label string, top_confidence double, gated boolean, clap_status string")).orderBy("chunk_id").collect()
     assert [r["vote"] for r in out] == ["Vehicle", None, None, None, None, None, None]
     assert out[0]["macro"] == "Traffic & Transit" and out[3]["category"] == "Relative silence"
+
+
+def test_themes_by_one_automaton(spark, tmp_path):
+    """The first rule with a keyword inside the name decides, in any script; equal to trying each keyword in turn."""
+    (tmp_path / "rules.csv").write_text('rule,theme,keyword\n0,Vehicles,train\n0,Vehicles," Car "\n1,Weather,rain\n1,Weather,дождь\n2,Tools,vacuum\n3,Tiere,"hund, groß"\n3,Tiere,\n1,Weather,car\n')
+    rules = labels.read_theme_rules(spark, str(tmp_path / "rules.csv"))
+    names = ["Train horn", "Heavy RAIN", "Vacuum cleaner", "Brain", "Дождь", "Hund, groß", "carpet", "none", "", None, "rain on a train", "Heavy RAIN"]
+    classes = spark.createDataFrame([(i, f"/m/{i}", n) for i, n in enumerate(names)], "index int, mid string, display_name string")
+    got = {r["index"]: r["theme"] for r in labels.theme_catalog(classes, rules).collect()}
+    table = sorted((r["rule"], r["theme"], r["keyword"]) for r in rules.collect())
+    assert len(table) == 7
+    for i, n in enumerate(names):
+        assert got[i] == next((t for _, t, w in table if w in (n or "").lower()), "Other"), n
+    assert {r["theme"] for r in labels.theme_catalog(classes, rules.limit(0)).collect()} == {"Other"}
+    assert {r["index"]: r["theme"] for r in labels.theme_catalog(classes).collect()} == {r["index"]: r["theme"] for r in labels.theme_of(classes).collect()}
+    with pytest.raises(ValueError):
+        labels.theme_catalog(classes, spark.range(labels.MOST_KEYWORDS + 1).selectExpr("0 AS rule", "'x' AS theme", "string(id) AS keyword"))
+
+
+def test_votes_look_labels_up(spark):
+    """A catalog's themes decide macros and what never votes; a label that it lacks has no theme."""
+    from test_levels import chunks as made
+
+    rows = made(spark, [50.0] * 4).withColumn("top_label", F.element_at(F.array(*map(F.lit, ("Train horn", "Kettle", "Unheard", "Printer"))), (F.col("chunk_id") + 1).cast("int")))
+    catalog = spark.createDataFrame([("Train horn", "Vehicles"), ("Kettle", "Domestic / interior"), ("Printer", "Tools and industry")], "display_name string, theme string")
+    got = {r["chunk_id"]: (r["theme"], r["vote"], r["category"]) for r in votes.with_votes(rows, catalog=catalog).collect()}
+    assert got == {0: ("Vehicles", "Train horn", "Traffic & Transit"), 1: ("Domestic / interior", None, labels.UNCLASSIFIED), 2: (None, "Unheard", labels.UNCLASSIFIED), 3: ("Tools and industry", None, labels.UNCLASSIFIED)}
