@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.labels import WindowConfig, load_prompts, prompts_hash
 from . import dsp
+from .embed import zero_shot
 
 #: Query slots of the open-vocabulary detector.
 SLOTS = 16
@@ -117,6 +121,122 @@ def detect(mels: DataFrame, load: Callable[[], Callable[[np.ndarray], tuple[np.n
     return mels.select("chunk_id", "features").mapInPandas(run, "chunk_id long, label string, clip_confidence double, scores array<double>")
 
 
+def runs(scores: np.ndarray, threshold: float, fps: float, min_span_s: float) -> list[dict[str, float]]:
+    """Stretches of frames at the threshold or above that last long enough, with their bounds in seconds and highest score."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.asarray(scores) >= threshold).view(np.int8), [0]))))
+    least = max(1, round(min_span_s * fps)) if min_span_s > 0 else 1
+    return [{"t0_s": round(a / fps, 3), "t1_s": round(b / fps, 3), "confidence": round(float(scores[a:b].max()), 4)} for a, b in edge.reshape(-1, 2).tolist() if b - a >= least]
+
+
+SPANS = "array<struct<label:string,clip_confidence:double,spans:array<struct<t0_s:double,t1_s:double,confidence:double>>>>"
+
+
+class NotReady(RuntimeError):
+    """Stored embeddings or queries that can't be used with these prompts."""
+
+
+@dataclass(frozen=True)
+class PromptModel:
+    """Prompts, what they are stored as, and the checks between them: what both classifiers load before they predict.
+
+    ``queries`` is where a detector's base queries are stored (index, embedding),
+    None for a classifier that has none; ``most`` bounds the prompts.
+    """
+
+    prompts_path: str
+    embeddings_path: str
+    name: str
+    dim: int
+    most: int | None = None
+    queries: str | None = None
+
+    def problem(self, spark: SparkSession) -> str | None:
+        """Why the model can't predict, or None."""
+        try:
+            self.load(spark)
+        except (NotReady, FileNotFoundError, ValueError) as e:
+            return str(e)
+        return None
+
+    def load(self, spark: SparkSession) -> tuple[list[str], DataFrame, np.ndarray | None]:
+        """Labels in their order, their embeddings (label, prompt, embedding), and the base queries; read anew each time, so changed files count."""
+        pairs = load_prompts(self.prompts_path, self.most)
+        rows, made = _stored(spark, self.embeddings_path, self.dim)
+        if not compatible(made, self.name, self.dim):
+            raise NotReady(f"embeddings of {made['model_name']} with {made['embed_dim']} components; {self.name} needs {self.dim}: rebuild them")
+        if made["prompts_hash"] != prompts_hash(pairs):
+            raise NotReady("embeddings are out of sync with the prompts: rebuild them")
+        labels, known = [label for label, _ in pairs], {r[0] for r in rows.select("label").limit(len(pairs) + 1).collect()}
+        if known != set(labels):
+            raise NotReady("labels of the embeddings aren't those of the prompts")
+        return labels, rows, None if self.queries is None else base_queries(spark, self.queries, self.dim)
+
+
+#: Base queries that a detector may have.
+MOST_QUERIES = 4096
+
+
+def base_queries(spark: SparkSession, path: str, dim: int) -> np.ndarray:
+    """A detector's base queries (index, embedding) as a matrix, in order."""
+    rows = _table(spark, path).select("index", "embedding").orderBy("index").limit(MOST_QUERIES + 1).collect()
+    if not rows or len(rows) > MOST_QUERIES or any(r["embedding"] is None or len(r["embedding"]) != dim for r in rows):
+        raise NotReady(f"base queries must be 1 to {MOST_QUERIES} rows of {dim} components")
+    return np.array([r["embedding"] for r in rows], np.float32)
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"nothing is stored at {path}: rebuild it") from e
+
+
+def _stored(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, dict[str, Any]]:
+    _table(spark, path)
+    try:
+        return load_embeddings(spark, path, dim)
+    except ValueError as e:
+        raise NotReady(f"{e}: rebuild them") from e
+
+
+def captions(model: PromptModel, pcm: DataFrame, load: Callable, top: int = 3) -> DataFrame:
+    """The labels nearest to each chunk (chunk_id, pcm) by the audio encoder that ``load`` gives: vec_id, rank, label, confidence."""
+    labels, rows, _ = model.load(pcm.sparkSession)
+    place = F.create_map(*[x for k, label in enumerate(labels) for x in (F.lit(label), F.lit(k))])
+    prompts = rows.select(F.element_at(place, F.col("label")).alias("prompt_id"), "embedding")
+    named = F.element_at(F.array(*map(F.lit, labels)), F.col("prompt_id") + 1)
+    return zero_shot(embed_audio(pcm, load), prompts, top).select("vec_id", "rank", named.alias("label"), "confidence")
+
+
+def detections(model: PromptModel, pcm: DataFrame, load: Callable, window: WindowConfig = WindowConfig()) -> DataFrame:
+    """What the detector hears in each window (chunk_id, pcm): top_label, top_confidence, and for each label its confidence and spans, the surest first.
+
+    ``load`` gives a function from features, queries and mask to scores by query
+    and frame and by query; each worker loads it once, queries and mask once too.
+    """
+    labels, rows, base = model.load(pcm.sparkSession)
+    if base is None:
+        raise NotReady("a detector needs base queries")
+    stored = {r["label"]: r["embedding"] for r in rows.limit(SLOTS + 1).collect()}
+    own = np.array([stored[x] for x in labels], np.float32)
+    query, mask, first = np.concatenate((base, pad_queries(own))), attention_mask(len(base), len(own)), len(base)
+    w = window.normalised()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = load()
+        for pdf in batches:
+            out = []
+            for i, x in zip(pdf["chunk_id"], pdf["pcm"]):
+                strong, weak = (np.asarray(v, np.float32) for v in predict(dsp.detector_mel(np.asarray(x, float)), query, mask))
+                strong, weak = (v[0] if v.ndim == n else v for v, n in ((strong, 3), (weak, 2)))  # a batch of one
+                found = [{"label": label, "clip_confidence": round(float(weak[first + k]), 4), "spans": runs(strong[first + k], w.frame_threshold, w.frames_per_second, w.min_span_s)} for k, label in enumerate(labels)]
+                found.sort(key=lambda r: -r["clip_confidence"])
+                out.append((i, found[0]["label"], found[0]["clip_confidence"], found))
+            yield pd.DataFrame(out, columns=["chunk_id", "top_label", "top_confidence", "labels"])
+
+    return pcm.select("chunk_id", "pcm").mapInPandas(run, f"chunk_id long, top_label string, top_confidence double, labels {SPANS}")
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """(name, fingerprint) of model files: twelve hex digits of the SHA-256 of the first MiB and the size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

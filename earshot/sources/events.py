@@ -5,6 +5,8 @@ from __future__ import annotations
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,6 +189,38 @@ def tail(events: DataFrame, seconds: int) -> DataFrame:
     return events.join(last, "device_id").filter(F.col("dt_utc") >= F.col("_last") - F.expr(f"INTERVAL {w} SECONDS")).drop("_last")
 
 
+def tail_lines(spark: SparkSession, path: str, most: int = 320) -> DataFrame:
+    """The last ``most`` lines of each file that aren't blank, oldest first, as (source_file, place, raw).
+
+    A file is read from its end in ever larger parts until it has enough lines,
+    so a long recording costs no more than its tail; files are read by executors.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at in batch["path"]:
+                yield pd.DataFrame({"source_file": at.rsplit("/", 1)[-1], "raw": _last_lines(at, most)}).assign(place=lambda d: range(1, len(d) + 1))
+
+    listing = spark.read.format("binaryFile").load(path).select("path")
+    return listing.repartition("path").mapInPandas(run, "source_file string, raw string, place int").select("source_file", "place", "raw")
+
+
+def _last_lines(path: str, most: int, part: int = 1 << 18) -> list[str]:
+    store, at = pyarrow.fs.FileSystem.from_uri(path) if ":" in path else (pyarrow.fs.LocalFileSystem(), path)
+    with store.open_input_file(at) as f:
+        size = f.size()
+        while True:
+            begin = max(0, size - part)
+            lines = [x for x in f.read_at(size - begin, begin).split(b"\n") if x.strip()]
+            if begin == 0:
+                break
+            if len(lines) > most:
+                lines = lines[1:]  # the first may be part of a line
+                break
+            part *= 2
+    return [x.decode("utf-8", "replace").rstrip("\r") for x in lines[-most:]] if most > 0 else []
+
+
 def with_audio(names: DataFrame, audio: DataFrame) -> DataFrame:
     """Recordings with their sibling audio file, FLAC before WAV; both sides have ``name``."""
     stem = F.regexp_replace("name", r"\.[^.]*$", "")

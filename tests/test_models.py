@@ -7,7 +7,7 @@ import pytest
 
 from earshot.operators import models
 from earshot.plans import requests
-from earshot.sources import audio, flac
+from earshot.sources import audio, flac, labels
 
 
 def test_scorer_is_plugged_in(spark):
@@ -64,3 +64,81 @@ def test_requests():
     with pytest.raises(ValueError):
         requests.delete_request(["a.jsonl"], active="a.jsonl")
     assert requests.zone("Nowhere/Else")[0] == "Europe/Amsterdam" and requests.zone("UTC") == ("UTC", None)
+
+
+def stored_model(spark, tmp_path, pairs, name="m", dim=4, queries=None, most=16):
+    labels.save_prompts(pairs, str(tmp_path / "prompts.json"))
+    rows = spark.createDataFrame([(a, b, [float(k == i) for k in range(dim)]) for i, (a, b) in enumerate(pairs)], "label string, prompt string, embedding array<float>")
+    models.save_embeddings(rows, str(tmp_path / "stored"), name, dim, labels.prompts_hash(pairs))
+    return models.PromptModel(str(tmp_path / "prompts.json"), str(tmp_path / "stored"), "m", dim, most, queries)
+
+
+def test_what_keeps_a_model_from_predicting(spark, tmp_path):
+    """Missing, of another make, out of sync, too many: each has its own message, and mended files count at once."""
+    pairs = [("dog", "a dog"), ("car", "a car")]
+    m = stored_model(spark, tmp_path, pairs)
+    assert m.problem(spark) is None and m.load(spark)[0] == ["dog", "car"]
+    assert "nothing is stored" in models.PromptModel(m.prompts_path, str(tmp_path / "none"), "m", 4).problem(spark)
+    labels.save_prompts([*pairs, ("new", "x")], m.prompts_path)
+    assert "out of sync" in m.problem(spark)
+    with pytest.raises(models.NotReady):
+        models.captions(m, spark.createDataFrame([], "chunk_id long, pcm array<double>"), None)
+    labels.save_prompts(pairs, m.prompts_path)
+    assert m.problem(spark) is None
+    assert "of other with 4" in stored_model(spark, tmp_path, pairs, name="other").problem(spark)
+    stored_model(spark, tmp_path, pairs)
+    assert "rebuild" in models.PromptModel(m.prompts_path, m.embeddings_path, "m", 5).problem(spark)
+    assert models.PromptModel(m.prompts_path, m.embeddings_path, "m", 4, most=1).problem(spark)
+
+
+def test_captions_and_detections(spark, tmp_path):
+    pairs = [("dog", "a dog"), ("car", "a car"), ("bell", "a bell")]
+    base = spark.createDataFrame([(k, [0.5] * 4) for k in range(5)], "index int, embedding array<float>")
+    base.write.parquet(str(tmp_path / "base"))
+    m = stored_model(spark, tmp_path, pairs, queries=str(tmp_path / "base"))
+    pcm = spark.createDataFrame([(i, [0.1 * i] * 480) for i in range(3)], "chunk_id long, pcm array<double>")
+
+    def towers():
+        import numpy
+
+        return lambda mel: numpy.array([0.0, 3.0, 1.0, 0.0])
+
+    got = models.captions(m, pcm, towers, 2).collect()
+    assert sorted({(r["rank"], r["label"]) for r in got}) == [(1, "car"), (2, "bell")] and len(got) == 6
+
+    def detector():
+        import numpy
+
+        def predict(mel, query, mask):
+            assert mel.shape == (1001, 64) and query.shape == (5 + 16, 4) and mask.shape == (21, 21) and not query[8:].any()
+            strong, weak = numpy.zeros((1, 21, 50)), numpy.zeros((1, 21))
+            strong[0, 5, 10:20], strong[0, 5, 30], strong[0, 7, 48:] = 0.8, 0.9, 0.6
+            weak[0, 5:8], weak[0, 20] = (0.4, 0.1, 0.7), 1.0
+            return strong, weak
+
+        return predict
+
+    r = models.detections(m, pcm, detector).orderBy("chunk_id").collect()
+    assert len(r) == 3 and (r[0]["top_label"], r[0]["top_confidence"]) == ("bell", 0.7)
+    spans = {x["label"]: [(s["t0_s"], s["t1_s"], s["confidence"]) for s in x["spans"]] for x in r[0]["labels"]}
+    assert spans == {"dog": [(0.2, 0.4, 0.8), (0.6, 0.62, 0.9)], "car": [], "bell": [(0.96, 1.0, 0.6)]}
+    assert [x["label"] for x in r[0]["labels"]] == ["bell", "dog", "car"]
+    base.withColumn("embedding", models.F.array(models.F.lit(0.5).cast("float"))).write.mode("overwrite").parquet(str(tmp_path / "base"))
+    assert "base queries" in m.problem(spark)
+    with pytest.raises(models.NotReady):
+        models.detections(stored_model(spark, tmp_path, pairs), pcm, detector)
+
+
+def test_last_lines_of_long_files(spark, tmp_path, monkeypatch):
+    from earshot.sources import events
+
+    lines = [f'{{"k": {i}, "pad": "{"ä" * (i % 50)}"}}' for i in range(2000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n\n")
+    (tmp_path / "b.jsonl").write_text("one\r\n\ntwo")
+    (tmp_path / "c.jsonl").write_text("")
+    got = {}
+    for r in events.tail_lines(spark, str(tmp_path), 7).orderBy("place").collect():
+        got.setdefault(r["source_file"], []).append(r["raw"])
+    assert got == {"a.jsonl": lines[-7:], "b.jsonl": ["one", "two"]}
+    for part in (1, 100, 5000, 1 << 20):
+        assert events._last_lines(str(tmp_path / "a.jsonl"), 320, part) == lines[-320:] and events._last_lines(str(tmp_path / "a.jsonl"), 0, part) == []
