@@ -113,19 +113,24 @@ def run_rows(state: CaptureState, pdf, config: TriggerConfig):
 
 
 def captures(chunks: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFrame:
-    """Status of every row, and for the row that ends a capture what it held."""
+    """Status of every row, and for the row that ends a capture what it held; each recording of a device (recording_id, if there is one) begins anew."""
     config = config.normalised()
 
     def run(batches):
-        device, state = None, CaptureState()
+        key, state = None, CaptureState()
         for pdf in batches:
-            for _, g in pdf.groupby((pdf["device_id"] != pdf["device_id"].shift()).cumsum(), sort=False):
-                if g["device_id"].iloc[0] != device:
-                    device, state = g["device_id"].iloc[0], CaptureState()
-                yield run_rows(state, g, config)
-
-    rows = chunks.select("device_id", "dt_utc", "chunk_id", "top_label", "dba", "gated", (F.unix_micros("dt_utc") / F.lit(1e6)).alias("seconds"))
-    return rows.repartition("device_id").sortWithinPartitions("device_id", "dt_utc", "chunk_id").mapInPandas(run, SCHEMA)
+            here = list(zip(pdf["device_id"], pdf["_recording"]))
+            edges = [0, *[k for k in range(1, len(here)) if here[k] != here[k - 1]], len(here)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if here[a] != key:
+                    key, state = here[a], CaptureState()
+                yield run_rows(state, pdf.iloc[a:b], config)
+
+    recording = F.coalesce("recording_id", F.lit("")) if "recording_id" in chunks.columns else F.lit("")
+    rows = chunks.select("device_id", recording.alias("_recording"), "dt_utc", "chunk_id", "top_label", "dba", "gated", (F.unix_micros("dt_utc") / F.lit(1e6)).alias("seconds"))
+    return rows.repartition("device_id", "_recording").sortWithinPartitions("device_id", "_recording", "dt_utc", "chunk_id").mapInPandas(run, SCHEMA)
 
 
 def onsets(rows: DataFrame, config: TriggerConfig = TriggerConfig()) -> DataFrame:

@@ -15,8 +15,15 @@ from ..sources.labels import THEME_RULES, UNCLASSIFIED, LabelMap
 from .votes import macro_of, with_themes, with_votes
 
 
+def by_slice(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what ``sums`` has for their keys and _slice; null keys match."""
+    names = [*keys, "_slice"]
+    named = sums.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(names)], *[c for c in sums.columns if c not in names])
+    return rows.join(named, [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(names)]).drop(*[f"_on{i}" for i in range(len(names))])
+
+
 def numbered(rows: DataFrame, keys: list[str] | None = None, order: tuple[str, ...] = ("dt_utc", "chunk_id")) -> DataFrame:
-    """``rows`` with ``rn`` (from 1, over all rows or by ``keys``) and ``n`` (their number)."""
+    """``rows`` with ``rn`` (from 1, over all rows or by ``keys``) and ``n`` (their number); rows without a time come first."""
     keys = keys or []
     day = rows.withColumn("_slice", F.date_trunc("hour", "dt_utc"))
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
@@ -24,7 +31,7 @@ def numbered(rows: DataFrame, keys: list[str] | None = None, order: tuple[str, .
     over = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
     sizes = sizes.select(*keys, "_slice", (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n"))
-    joined = day.withColumn("_rn", F.row_number().over(local)).join(sizes, [*keys, "_slice"])
+    joined = by_slice(day.withColumn("_rn", F.row_number().over(local)), sizes, keys)
     return joined.withColumn("rn", F.col("_rn") + F.col("_before")).drop("_rn", "_before")
 
 
@@ -91,13 +98,23 @@ def l90_threshold(chunks: DataFrame, offset: float = 5.0, default: float = Label
 
 
 def label_spans(chunks: DataFrame, min_confidence: float = 0.25, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
-    """Runs of consecutive rows with one label; gated, unlabelled and unsure rows end a run."""
-    w = Window.partitionBy(*keys).orderBy("dt_utc", "chunk_id")
+    """Runs of consecutive rows with one label; gated, unlabelled and unsure rows end a run.
+
+    Rows are compared within hours; the last label of the hour before, and how many
+    runs began before, come from one small row for each key and hour.
+    """
+    keys_, order = list(keys), F.struct("dt_utc", "chunk_id")
     good = ~F.col("gated") & F.col("top_label").isNotNull() & F.col("dba").isNotNull() & (F.col("top_confidence").isNull() | (F.col("top_confidence") >= min_confidence))
-    rows = chunks.withColumn("_l", F.when(good, F.col("top_label")))
-    rows = rows.withColumn("_new", (~F.col("_l").eqNullSafe(F.lag("_l").over(w))).cast("int")).withColumn("span", F.sum("_new").over(w)).filter("_l IS NOT NULL")
-    first = F.struct("dt_utc", "chunk_id")
-    return rows.groupBy(*keys, "span").agg(F.first("_l").alias("label"), F.min("dt_utc").alias("t0"), F.max("dt_utc").alias("t1"), F.min_by("dba", first).alias("height"), F.min("top_confidence").alias("confidence"), F.count("*").alias("rows"))
+    rows = chunks.withColumn("_l", F.when(good, F.col("top_label"))).withColumn("_slice", F.date_trunc("hour", "dt_utc"))
+    local, over = Window.partitionBy(*keys_, "_slice").orderBy("dt_utc", "chunk_id"), Window.partitionBy(*keys_).orderBy("_slice")
+    ends = rows.groupBy(*keys_, "_slice").agg(F.max_by(F.struct("_l"), order).alias("_end"))
+    rows = by_slice(rows, ends.select(*keys_, "_slice", F.lag("_end").over(over).alias("_carry")), keys_)
+    before = F.when(F.row_number().over(local) == 1, F.col("_carry._l")).otherwise(F.lag("_l").over(local))
+    rows = rows.withColumn("_new", (~F.col("_l").eqNullSafe(before)).cast("int")).withColumn("_local", F.sum("_new").over(local))
+    starts = rows.groupBy(*keys_, "_slice").agg(F.sum("_new").alias("_s"))
+    rows = by_slice(rows, starts.select(*keys_, "_slice", (F.sum("_s").over(over) - F.col("_s")).alias("_ahead")), keys_)
+    rows = rows.withColumn("span", F.col("_local") + F.col("_ahead")).filter("_l IS NOT NULL")
+    return rows.groupBy(*keys_, "span").agg(F.first("_l").alias("label"), F.min("dt_utc").alias("t0"), F.max("dt_utc").alias("t1"), F.min_by("dba", order).alias("height"), F.min("top_confidence").alias("confidence"), F.count("*").alias("rows"))
 
 
 def change_markers(spans: DataFrame) -> DataFrame:

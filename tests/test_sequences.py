@@ -63,6 +63,39 @@ def test_spans_break(spark):
     assert sorted(r["rows"] for r in segment.label_spans(c).collect()) == [2, 3]
 
 
+def test_spans_and_numbers_over_hours(spark):
+    """Spans that reach over hours, many devices, null among them: the same as one pass over each device."""
+    rng = random.Random(7)
+    n = 400
+    c = chunks(spark, [50.0] * n, step=500.0, gated=[rng.random() < 0.1 for _ in range(n)]).withColumn("top_label", F.element_at(F.array(*map(F.lit, "aaaab")), (F.pmod(F.hash("chunk_id"), F.lit(5)) + 1).cast("int")))
+    c = c.withColumn("device_id", F.when(F.col("chunk_id") % 7 > 2, F.lit("x")).when(F.col("chunk_id") % 7 > 0, F.lit("y")))
+    want, last = {}, {}
+    for r in c.orderBy("chunk_id").collect():
+        label = None if r["gated"] else r["top_label"]
+        if label is not None:
+            if last.get(r["device_id"]) != label:
+                want.setdefault(r["device_id"], []).append([label, 0, r["dt_utc"]])
+            want[r["device_id"]][-1][1] += 1
+        last[r["device_id"]] = label
+    got = {}
+    for r in segment.label_spans(c).orderBy("t0").collect():
+        got.setdefault(r["device_id"], []).append([r["label"], r["rows"], r["t0"]])
+    assert got == want and None in got
+    places = {(r["device_id"], r["chunk_id"]): (r["rn"], r["n"]) for r in segment.numbered(c, ["device_id"]).collect()}
+    assert len(places) == n
+    for d in ("x", "y", None):
+        ids = sorted(i for k, i in places if k == d)
+        assert [places[d, i] for i in ids] == [(k + 1, len(ids)) for k in range(len(ids))]
+
+
+def test_captures_of_recordings_are_apart(spark):
+    """A cooldown of one recording doesn't keep another from arming."""
+    c = chunks(spark, [70.0] * 40, step=0.975, label="Vehicle").withColumn("recording_id", F.when(F.col("chunk_id") < 3, "a").otherwise("b"))
+    whole = {r["chunk_id"]: r["status"] for r in capture.captures(c.drop("recording_id"), TriggerConfig(cooldown_s=20.0)).collect()}
+    apart = {r["chunk_id"]: r["status"] for r in capture.captures(c, TriggerConfig(cooldown_s=20.0)).collect()}
+    assert whole[0] == apart[0] == apart[3] == "scheduled" and whole[3] == "pending" and len(apart) == 40
+
+
 def test_downsample_keeps_the_loudest(spark):
     levels = [50.0 + (i * 7919) % 30 for i in range(100)]
     out = sorted(segment.downsample(chunks(spark, levels), 10).collect(), key=lambda r: r["rn"])
