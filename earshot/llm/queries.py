@@ -93,11 +93,38 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(_docs(spark, sf_dir)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles FROM w),
+every AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+e AS (SELECT * FROM every SEMI JOIN (SELECT shingle FROM every GROUP BY shingle HAVING count(*) > 1) USING (shingle)),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT doc_id, CAST(any_value(len(shingles)) AS BIGINT) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM s JOIN reach USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and group of each embedding."""
     return lattice.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT *, sqrt(list_sum([x * x FOR x IN e])) AS norm FROM v WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.norm > 0 AND b.norm > 0
+  WHERE list_dot_product(a.e, b.e) / a.norm / b.norm >= 0.95),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept FROM reach GROUP BY vec_id
+"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of each document."""
     g = exact.groups(_docs(spark, sf_dir))
@@ -234,4 +261,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op11_filter_audit": OP11_SQL, "op13_merkle": OP13_SQL}
+    return {"op2_mixing": OP2_SQL, "op5_minhash_dedup": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op11_filter_audit": OP11_SQL, "op13_merkle": OP13_SQL}
