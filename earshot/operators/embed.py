@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.acoustics import round_to
@@ -48,10 +48,13 @@ def quality(vectors: DataFrame, dim: int) -> DataFrame:
 
 def frame_spans(frames: DataFrame, threshold: float = 0.5, fps: float = 50.0, min_span_s: float = 0.02) -> DataFrame:
     """Runs of frames (clip, scores array) at the threshold or above: t0_s, t1_s and the highest score."""
-    from pyspark.sql import Window
+    return frame_row_spans(frames.select("clip", F.posexplode("scores").alias("place", "score")), threshold, fps, min_span_s)
 
+
+def frame_row_spans(frames: DataFrame, threshold: float = 0.5, fps: float = 50.0, min_span_s: float = 0.02) -> DataFrame:
+    """``frame_spans`` of frames that are rows (clip, place from 0, score), in order of their places: no array of a clip's scores is made."""
+    above = frames.filter(F.col("score") >= threshold)
+    run = F.col("place") - F.row_number().over(Window.partitionBy("clip").orderBy("place"))  # the same within a run
+    spans = above.select("clip", "place", "score", run.alias("run")).groupBy("clip", "run").agg(F.min("place").alias("a"), (F.max("place") + 1).alias("b"), F.max("score").alias("m"))
     least = max(1, round(min_span_s * fps))
-    rows = frames.select("clip", F.posexplode("scores").alias("i", "s")).filter(F.col("s") >= threshold)
-    island = F.col("i") - F.row_number().over(Window.partitionBy("clip").orderBy("i"))
-    runs = rows.withColumn("_g", island).groupBy("clip", "_g").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b"), F.max("s").alias("m"))
-    return runs.filter(F.col("b") - F.col("a") >= least).select("clip", round_to(F.col("a") / fps, 3).alias("t0_s"), round_to(F.col("b") / fps, 3).alias("t1_s"), round_to(F.col("m"), 4).alias("confidence"))
+    return spans.filter(F.col("b") - F.col("a") >= least).select("clip", round_to(F.col("a") / fps, 3).alias("t0_s"), round_to(F.col("b") / fps, 3).alias("t1_s"), round_to(F.col("m"), 4).alias("confidence"))

@@ -196,7 +196,7 @@ SQL = {
     "json_props": f"SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS rows, {_r('avg(value)', 6)} AS mean_value FROM events GROUP BY 1",
     "export_projection": f"WITH {CH} SELECT chunk_id, device_id, dba, device_id || '-no-spectrum.jsonl' AS file FROM ch",
     "spectrum_bands": _spectrum(),
-    "octave_bands": "SELECT centre, " + _r("centre / pow(2e0, 1e0 / 6e0)", 6) + " AS low, " + _r("centre * pow(2e0, 1e0 / 6e0)", 6) + " AS high FROM (VALUES " + ", ".join(f"({c}e0)" for c in dsp.CENTRES) + ") t(centre)",
+    "octave_bands": f"WITH {CH}, b AS (SELECT centre, centre / pow(2e0, 1e0 / 6e0) AS low, centre * pow(2e0, 1e0 / 6e0) AS high FROM (VALUES {', '.join(f'({c}e0)' for c in dsp.CENTRES)}) t(centre)) SELECT centre, {_r('low', 6)} AS low, {_r('high', 6)} AS high, count(chunk_id) AS chunks FROM b LEFT JOIN ch ON 100e0 * (1 + chunk_id % 50) >= low AND 100e0 * (1 + chunk_id % 50) < high GROUP BY centre, low, high",
     "resource_levels": "SELECT CASE WHEN value >= 90 THEN 'critical' WHEN value >= 75 THEN 'warn' WHEN value IS NULL THEN 'unknown' ELSE 'ok' END AS level, CASE WHEN (event_id * 4099) & 15 > 0 THEN 'critical' WHEN (event_id * 4099) & 983040 > 0 THEN 'warn' ELSE 'ok' END AS throttle, count(*) AS rows FROM events GROUP BY 1, 2",
     "label_formats": f"""WITH {CH}, p AS (SELECT device_id, min(dt_local) AS a, max(dt_local) AS b, count(*) AS n, {_leq()} AS level FROM ch GROUP BY 1),
         m AS (SELECT *, CAST(floor((epoch_us(b) - epoch_us(a)) / 1e6) AS BIGINT) AS m, n * 700e0 AS z FROM p)

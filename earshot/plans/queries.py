@@ -253,9 +253,10 @@ def embedding_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_spans(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunks(spark, d).select("device_id", F.to_date("dt_utc").alias("day"), F.struct("dt_utc", "chunk_id", "top_confidence").alias("r"))
-    clips = rows.groupBy("device_id", "day").agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["top_confidence"]).alias("scores"))
-    return embed.frame_spans(clips.select(F.concat_ws("/", "device_id", F.date_format("day", "yyyy-MM-dd")).alias("clip"), "scores"))
+    """Each device's day as a clip, its confidences as frames."""
+    clip = F.concat_ws("/", "device_id", F.date_format("dt_utc", "yyyy-MM-dd"))
+    rows = segment.numbered(chunks(spark, d).select(clip.alias("clip"), "dt_utc", "chunk_id", F.col("top_confidence").alias("score")), ["clip"])
+    return embed.frame_row_spans(rows.select("clip", (F.col("rn") - 1).alias("place"), "score"))
 
 
 def json_props(spark: SparkSession, d: str) -> DataFrame:
@@ -275,9 +276,14 @@ def label_formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def octave_bands(spark: SparkSession, d: str) -> DataFrame:
-    bands = spark.createDataFrame([(float(c),) for c in dsp.CENTRES], "centre double")
-    low, high = octave_edges(F.col("centre"))
-    return bands.select("centre", round_to(low, 6).alias("low"), round_to(high, 6).alias("high"))
+    """Each third-octave band with its edges, and how many chunks have their tone in it."""
+    c = chunks(spark, d)
+    edges = F.array(*[F.struct(F.lit(f).alias("centre"), *[e.alias(n) for e, n in zip(octave_edges(F.lit(f)), ("low", "high"))]) for f in dsp.CENTRES])
+    hz = F.lit(100.0) * (1 + F.col("chunk_id") % 50)
+    inside = F.filter(F.col("edges"), lambda b: (b["low"] <= hz) & (hz < b["high"]))
+    met = c.withColumn("edges", edges).select(F.explode(inside).alias("b")).groupBy("b.centre").agg(F.count("*").alias("n"))
+    bands = c.agg(F.count("*").alias("_all")).select(F.explode(edges).alias("b")).select("b.*")  # one row for each band
+    return bands.join(met, "centre", "left").select("centre", round_to(F.col("low"), 6).alias("low"), round_to(F.col("high"), 6).alias("high"), F.coalesce("n", F.lit(0)).alias("chunks"))
 
 
 def resource_levels(spark: SparkSession, d: str) -> DataFrame:

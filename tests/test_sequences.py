@@ -286,6 +286,9 @@ def test_frame_spans(spark):
     f = spark.createDataFrame([("a", [0.1, 0.8, 0.9, 0.2, 0.0, 0.7, 0.6, 0.1])], "clip string, scores array<double>")
     out = sorted((r["t0_s"], r["t1_s"], r["confidence"]) for r in embed.frame_spans(f).collect())
     assert out == [(0.02, 0.06, 0.9), (0.1, 0.14, 0.7)]
+    rows = f.select("clip", F.posexplode("scores").alias("place", "score")).repartition(3)
+    assert sorted((r["t0_s"], r["t1_s"], r["confidence"]) for r in embed.frame_row_spans(rows).collect()) == out
+    assert sorted(r["t0_s"] for r in embed.frame_row_spans(rows, min_span_s=0.06).collect()) == []
 
 
 def test_windows_join_in_buckets(spark):
