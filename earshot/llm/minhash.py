@@ -40,8 +40,8 @@ SHINGLE = 5
 #: Least similarity of linked documents where the caller names none.
 PERCENT = 85
 PERMUTATIONS, ROWS = 48, 4
-#: Members that are compared with a hub in one task.
-TASK_MEMBERS = 256
+#: Members that are compared with a hub in one task, and their shingles, of 16 bytes each.
+TASK_MEMBERS, TASK_SHINGLES = 256, 1 << 20
 #: Nodes of a block that is multiplied with another one, and classes at a time.
 BLOCK, CLASSES = 512, 4096
 
@@ -151,14 +151,15 @@ def _blocks(batch: pa.RecordBatch, **options: bool) -> Iterator[tuple[int, int,
 
 
 def _confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (hub, member) of nodes whose sets are near enough, as (a, b); ``texts`` has node and text.
+    """Those pairs (hub, member) of nodes whose sets are near enough, as (a, b); ``texts`` has node, n and text.
 
-    A hub's members are dealt out over groups of bounded size, each of which
-    gets the hub's set too.
+    A hub's members are dealt out over groups that are bounded in number and in
+    shingles, each of which gets the hub's set too.
     """
-    sizes = pairs.groupBy("hub").agg(F.count("*").alias("many"))
-    dealt = join_even(pairs, sizes, ["hub"])
-    dealt = materialize(dealt.select("hub", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("many") / TASK_MEMBERS)).alias("group")), "dealt")
+    sized = join_even(pairs, texts.select(F.col("node").alias("member"), "n"), ["member"])
+    sizes = sized.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / TASK_MEMBERS), F.ceil(F.sum("n") / TASK_SHINGLES)).alias("groups"))
+    dealt = join_even(sized, sizes, ["hub"])
+    dealt = materialize(dealt.select("hub", "member", F.pmod(F.xxhash64("member"), "groups").alias("group")), "dealt")
     wanted = dealt.select(F.col("member").alias("node"), "hub", "group").union(dealt.select(F.col("hub").alias("node"), "hub", "group").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +183,9 @@ def _confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([hub] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
     found = join_even(texts, wanted, ["node"]).select("node", "hub", "group", "text").mapInArrow(sets, "node long, hub long, group long, shingles binary, checks binary")
-    return materialize(found.groupBy("hub", "group").applyInArrow(compare, "a long, b long"), "confirmed")
+    out = materialize(found.groupBy("hub", "group").applyInArrow(compare, "a long, b long"), "confirmed")
+    discard(dealt)
+    return out
 
 
 def _shingle_rows(texts: DataFrame) -> DataFrame:
@@ -238,7 +241,9 @@ def _classed(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "n", "component")] + [pa.array(prefix, pa.list_(pa.int64())), classes, weights], names=["node", "n", "component", "prefix", "classes", "weights"])
 
     rows = rows.select("node", "n", "component", "whole", F.col("list.class").alias("classes"), F.col("list.weight").cast("array<int>").alias("weights"))
-    return materialize(rows.mapInArrow(run, "node long, n long, component long, prefix array<long>, classes array<long>, weights array<int>"), "classes")
+    out = materialize(rows.mapInArrow(run, "node long, n long, component long, prefix array<long>, classes array<long>, weights array<int>"), "classes")
+    discard(each)
+    return out
 
 
 def forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +315,9 @@ def _rest_pairs(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         one, other = forest(square | square.T)
         return pa.table({"hub": pa.array(name[other], pa.int64()), "member": pa.array(name[one], pa.int64())})
 
-    return materialize(placed.groupBy("class", "l", "r").applyInArrow(compare, "hub long, member long").distinct(), "rest")
+    out = materialize(placed.groupBy("class", "l", "r").applyInArrow(compare, "hub long, member long").distinct(), "rest")
+    discard(lists)
+    return out
 
 
 def near(n: str, m: str, percent: int) -> F.Column:
@@ -335,14 +342,18 @@ def links(rows: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
     hubs = live.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("hub"))
     pairs = join_even(live, hubs, ["bucket"]).filter("node <> hub.node").select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("node").alias("member"), "n")
     pairs = pairs.filter(near("n", "hub_n", percent)).select("hub", "member").distinct()
-    known = _confirm(texts, materialize(pairs, "pairs"), percent)
+    pairs = materialize(pairs, "pairs")
+    known = _confirm(texts, pairs, percent)
+    discard(pairs, able)
     # What lies in one bucket but in several components is compared further.
     merged = materialize(components(known), "merged")
     joined = materialize(join_even(live, merged, ["node"], "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "joined")
     mixed = joined.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     left = materialize(join_even(joined, mixed, ["bucket"]).select("node", "n", "component").distinct(), "left")
-    more = _confirm(texts, _rest_pairs(texts, left, percent), percent)
-    discard(live, joined)
+    discard(live, joined, merged)
+    rest = _rest_pairs(texts, left, percent)
+    more = _confirm(texts, rest, percent)
+    discard(rest, left, texts)
     return known.union(more)
 
 

@@ -25,3 +25,30 @@ def test_near_copies_from_eight_tenths(spark):
     out = corpus_pipeline.near_dedup(spark, docs, "")
     assert out.columns == docs.columns
     assert {r["doc_id"] for r in out.collect()} == {i for i in sets if want[i] == i}
+
+
+def test_long_copies_are_dealt_by_their_shingles(spark, monkeypatch):
+    """A family of long near copies goes to groups that hold so many shingles, whatever their number; the links stay the same."""
+    import random
+
+    from earshot.llm import minhash
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = []
+    for k in range(30):
+        words = list(base)
+        for i in rng.sample(range(len(words)), 12):
+            words[i] = f"x{k}-{i}"
+        texts.append((k, " ".join(words)))
+    docs = spark.createDataFrame([*texts, (100, "short text of some words only here"), (101, "short text of some words only here now")], "doc_id long, text string")
+    key = lambda: sorted(map(tuple, minhash.groups(docs).collect()))
+    want = key()
+    seen = []
+    keep = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: (seen.append(df.groupBy("hub", "group").count().agg({"count": "max"}).first()[0]) if name == "dealt" else None) or keep(df, name))
+    assert key() == want and seen[0] > 20
+    seen.clear()
+    monkeypatch.setattr(minhash, "TASK_SHINGLES", 4000)
+    assert key() == want and seen[0] < 12
+    assert {c for i, _, c in want if i < 100} == {0}
