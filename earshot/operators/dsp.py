@@ -6,7 +6,9 @@ package beyond numpy is needed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -289,14 +291,14 @@ def mel_bank(rate: int, size: int, bands: int, low: float, high: float) -> np.nd
     return bank * (2.0 / (edges[2:] - edges[:-2]))[:, None]
 
 
-def log_mels(x: np.ndarray, rate: int = RATE, size: int = 1024, hop: int = 480, bands: int = 64, power: bool = True) -> np.ndarray:
+def log_mels(x: np.ndarray, rate: int = RATE, size: int = 1024, hop: int = 480, bands: int = 64, power: bool = True, low: float = 50.0, high: float = 14_000.0) -> np.ndarray:
     """Centred short-time log-mel frames of each row of x: natural log of power, or base-10 log of magnitude under a symmetric window."""
     half = size // 2
     padded = np.pad(np.asarray(x, np.float64), ((0, 0), (half, half)), "reflect" if x.shape[1] > half else "constant")
     frames = np.lib.stride_tricks.sliding_window_view(padded, size, axis=1)[:, ::hop]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size if power else size - 1))
     mag = np.abs(np.fft.rfft(frames * window))
-    bank = mel_bank(rate, size, bands, 50.0, min(14000.0, rate / 2))
+    bank = mel_bank(rate, size, bands, low, min(high, rate / 2))
     return np.log(np.maximum(mag**2 @ bank.T, 1e-10)) if power else np.log10(np.maximum(mag @ bank.T, 1e-10))
 
 
@@ -318,9 +320,41 @@ def classifier_wave(x: np.ndarray, gain: float = 1.0, rate: int = RATE) -> np.nd
     return fit_window(resample(x, 1, rate // 16_000) if len(x) else x, 15_600, False).astype(np.float32)
 
 
-def caption_mel(x: np.ndarray) -> np.ndarray:
-    """Features of the captioning model: ten seconds (the last ones, or repeated), (1001, 64), natural log of power."""
-    return log_mel(fit_window(np.asarray(x, np.float64), 10 * RATE, True)).astype(np.float32)
+@dataclass(frozen=True)
+class CaptionConfig:
+    """How the captioning model's features are made; the names are those of its configuration file."""
+
+    sampling_rate: int = RATE
+    max_length_s: float = 10.0
+    n_fft: int = 1024
+    hop_length: int = 480
+    feature_size: int = 64
+    frequency_min: float = 50.0
+    frequency_max: float = 14_000.0
+    nb_max_samples: int | None = 480_000
+
+    @property
+    def samples(self) -> int:
+        return int(self.nb_max_samples or self.sampling_rate * self.max_length_s)
+
+
+def load_caption_config(path: str) -> CaptionConfig:
+    """The defaults, overlaid by a JSON object; keys that aren't of these are left alone, and an absent file has the defaults."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+    except FileNotFoundError:
+        data = {}
+    base = CaptionConfig()
+    found = {k: type(getattr(base, k))(v) for k, v in data.items() if k in vars(base) and v is not None}
+    return replace(base, **found)
+
+
+def caption_mel(x: np.ndarray, config: CaptionConfig = CaptionConfig()) -> np.ndarray:
+    """Features of the captioning model: ten seconds (the last ones, or repeated), (1001, 64) by default, natural log of power."""
+    c = config
+    x = fit_window(np.asarray(x, np.float64), c.samples, True)
+    return log_mels(x[None, :], c.sampling_rate, c.n_fft, c.hop_length, c.feature_size, True, c.frequency_min, c.frequency_max)[0].astype(np.float32)
 
 
 def detector_mel(x: np.ndarray, norm: dict[str, np.ndarray] | None = None) -> np.ndarray:

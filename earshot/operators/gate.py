@@ -260,15 +260,15 @@ def highpass(rate: float = dsp.RATE) -> np.ndarray:
     return dsp.highpass(HIGHPASS_ORDER, HIGHPASS_HZ, rate)
 
 
-def measure(x: np.ndarray, state: np.ndarray | None, rate: float = dsp.RATE) -> tuple[tuple[float, float, float], np.ndarray]:
-    """raw, level and peak of a chunk, and the filter's state after it; without a state the first sample counts as what has always been."""
+def measure(x: np.ndarray, state: np.ndarray | None, rate: float = dsp.RATE) -> tuple[tuple[float, float, float], np.ndarray, np.ndarray]:
+    """raw, level and peak of a chunk, its high-passed samples, and the filter's state after it; without a state the first sample counts as what has always been."""
     sos = highpass(rate)
     if state is None:
         state = dsp.settle(sos) * (x[0] if len(x) else 0.0)
     y, state = dsp.run_filter(sos, x, state)
     rms = float(np.sqrt(np.mean(np.square(y)))) if len(y) else 0.0
     raw, level = (20.0 * np.log10(max(v, EPSILON)) for v in (rms, dsp.subwindow_peak_rms(y, rate, SUBWINDOW_MS)))
-    return (raw, level, float(np.abs(y).max(initial=0.0))), state
+    return (raw, level, float(np.abs(y).max(initial=0.0))), y, state
 
 
 def from_samples(pcm: DataFrame, rate: float = dsp.RATE) -> DataFrame:

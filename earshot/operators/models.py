@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -237,11 +238,37 @@ def detections(model: PromptModel, pcm: DataFrame, load: Callable, window: Windo
     return pcm.select("chunk_id", "pcm").mapInPandas(run, f"chunk_id long, top_label string, top_confidence double, labels {SPANS}")
 
 
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """(name, length, head) of the files of a folder: their first MiB, read by executors; the rest of a model isn't touched."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            heads = []
+            for at in pdf["path"]:
+                store, own = pyarrow.fs.FileSystem.from_uri(at) if ":" in at else (pyarrow.fs.LocalFileSystem(), at)
+                with store.open_input_file(own) as f:
+                    heads.append(f.read_at(min(1 << 20, f.size()), 0))
+            yield pd.DataFrame({"name": [at.rsplit("/", 1)[-1] for at in pdf["path"]], "length": pdf["length"], "head": heads})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.mapInPandas(run, "name string, length long, head binary")
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """(name, fingerprint) of model files: twelve hex digits of the SHA-256 of the first MiB and the size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    digest = F.sha2(F.concat(F.substring("content", 1, 1 << 20), F.col("length").cast("string").cast("binary")), 256)
-    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.substring(digest, 1, 12).alias("fingerprint"))
+    digest = F.sha2(F.concat("head", F.col("length").cast("string").cast("binary")), 256)
+    return _heads(spark, path).select("name", F.substring(digest, 1, 12).alias("fingerprint"))
+
+
+def assets(spark: SparkSession, path: str, needed: list[str]) -> dict[str, Any]:
+    """Whether a model's files are all there and not empty: ready, the missing ones, and sizes of those that are there."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length")
+        found = {r["name"]: r["length"] for r in files.filter(F.col("name").isin(*needed)).collect()}
+    except AnalysisException:
+        found = {}
+    missing = [n for n in needed if not found.get(n)]
+    return {"ready": not missing, "missing": missing, "bytes": {n: found[n] for n in needed if n in found}}
 
 
 def rebuild(prompts: DataFrame, path: str, stored: dict[str, Any] | None, load: Callable, model: str, dim: int, digest: str, labels: list[str]) -> bool:

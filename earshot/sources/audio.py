@@ -22,6 +22,19 @@ from pyspark.sql.types import Row, StructType
 from . import flac
 
 
+KINDS = ("wav", "flac")
+
+
+def audio_kind(raw: object, default: str = "flac") -> str:
+    """A kind of file by its name, whatever its case; the default where there is none or another."""
+    text = str(raw or default).strip().lower()
+    return text if text in KINDS else default
+
+
+def audio_suffix(raw: object) -> str:
+    return "." + audio_kind(raw)
+
+
 def to_pcm16(x: np.ndarray) -> np.ndarray:
     """Floats to 16-bit integers, clipped."""
     return (np.clip(np.asarray(x, np.float64), -1.0, 1.0) * 32767.0).astype("<i2")
@@ -43,8 +56,8 @@ class _Recordings(DataSourceWriter):
 
     def __init__(self, options: dict) -> None:
         self.uri, self.kind, self.rate = options["path"], options.get("kind", "flac"), int(options.get("rate", 48_000))
-        if self.kind not in ("flac", "wav"):
-            raise ValueError("kind is flac or wav")
+        if self.kind not in KINDS:
+            raise ValueError(f"kind is one of {', '.join(KINDS)}")
         self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[Row]) -> Written:

@@ -33,12 +33,12 @@ _STATE = f"turn int, weighting array<double>, highpass array<double>, {_GATE_STA
 GATED = "gated"
 
 
-def _scored(model: Scorer, x: np.ndarray, is_open: bool, gain: float, top: int) -> list[dict] | None:
-    """Predictions of a chunk, none where the gate is closed, null where the model fails."""
+def _scored(model: Scorer, y: np.ndarray, is_open: bool, gain: float, top: int) -> list[dict] | None:
+    """Predictions of a chunk's high-passed samples, made up where the gate is closed, null where the model fails."""
     if not is_open:
-        return [{"label": GATED, "confidence": 1.0}]
+        return [{"label": GATED, "confidence": float(k == 0)} for k in range(max(top, 1))]
     try:
-        found = sorted(model(dsp.classifier_wave(x, gain)), key=lambda p: -p[1])[:top]
+        found = sorted(model(dsp.classifier_wave(y, gain)), key=lambda p: -p[1])[:top]
     except (ValueError, RuntimeError):
         return None
     return [{"label": a, "confidence": float(b)} for a, b in found]
@@ -57,12 +57,12 @@ def _in_turn(rows: Iterator[pd.DataFrame], turn: int) -> Iterator[tuple]:
         yield waiting[k]
 
 
-def _measure(x: np.ndarray, weighting: np.ndarray | None, high: np.ndarray | None) -> tuple[tuple, np.ndarray, np.ndarray]:
-    """What a chunk's samples tell by themselves, and the states of both filters after it."""
+def _measure(x: np.ndarray, weighting: np.ndarray | None, high: np.ndarray | None) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
+    """What a chunk's samples tell by themselves, its high-passed samples, and the states of both filters after it."""
     levels, weighting = dsp.loudness(x, weighting)
-    measured, high = gate.measure(x, high)
+    measured, y, high = gate.measure(x, high)
     spectrum = dsp.spectrum(x)
-    return (*levels.values(), *measured, spectrum["z"], spectrum["a"]), weighting, high
+    return (*levels.values(), *measured, spectrum["z"], spectrum["a"]), y, weighting, high
 
 
 _NAMES = ["rms_unweighted", "rms_a_weighted", "dba", "lafmax", "raw", "level", "peak", "z", "a"]
@@ -96,8 +96,8 @@ class SampleStage(StatefulProcessor):
 
         for index, chunk, at, samples in _in_turn(rows, turn):
             x = dsp.aligned(np.asarray(samples))
-            values, weighting, high = _measure(x, weighting, high)
-            block.append((index, chunk, at, *values, x))
+            values, y, weighting, high = _measure(x, weighting, high)
+            block.append((index, chunk, at, *values, y))
             turn = index + 1
             if len(block) == self.BLOCK:
                 yield measured()
@@ -146,15 +146,16 @@ def batch_events(samples: DataFrame, load: Callable[[], Scorer], top: int = 3, m
         for pdf in batches:
             states = [[None if v is None else np.reshape(v, (-1, 2)) for v in pdf[c]] for c in ("weighting", "high")]
             found = [_measure(np.asarray(x), w, h)[0] for x, w, h in zip(pdf["pcm"], *states)]
-            yield pd.concat((pdf[[*at, "chunk_index", "dt_utc"]], pd.DataFrame(found, columns=_NAMES, index=pdf.index)), axis=1)
+            yield pd.concat((pdf[[*at, "chunk_index", "dt_utc", "high"]], pd.DataFrame(found, columns=_NAMES, index=pdf.index)), axis=1)
 
-    measured = known.mapInPandas(measure, f"{kinds}, chunk_index int, dt_utc timestamp, {_LEVELS}, raw double, level double, peak double, {dsp.SPECTRUM}")
-    staged = gate.stage(measured, carry=("chunk_index", "dt_utc", "rms_unweighted", "rms_a_weighted", "dba", "lafmax", "z", "a"))
+    measured = known.mapInPandas(measure, f"{kinds}, chunk_index int, dt_utc timestamp, high array<double>, {_LEVELS}, raw double, level double, peak double, {dsp.SPECTRUM}")
+    staged = gate.stage(measured, carry=("chunk_index", "dt_utc", "high", "rms_unweighted", "rms_a_weighted", "dba", "lafmax", "z", "a"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for pdf in batches:
-            pdf["predictions"] = [_scored(scorer, np.asarray(x), o, g, top) for x, o, g in zip(pdf["pcm"], pdf["gate_open"], pdf["gain"])]
-            yield pdf[pdf["predictions"].notna()].drop(columns="pcm")
+            waves = (gate.measure(np.asarray(x), None if h is None else np.reshape(h, (-1, 2)))[1] if o else None for x, h, o in zip(pdf["pcm"], pdf["high"], pdf["gate_open"]))
+            pdf["predictions"] = [_scored(scorer, y, o, g, top) for y, o, g in zip(waves, pdf["gate_open"], pdf["gain"])]
+            yield pdf[pdf["predictions"].notna()].drop(columns=["pcm", "high"])
 
     return _events(staged.join(pcm.select(*at, "pcm"), at).mapInPandas(score, _MEASURED), model, version)

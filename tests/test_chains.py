@@ -110,3 +110,19 @@ def test_catalog_of_files(spark, tmp_path):
     assert narrow.count() == 2 and narrow.columns == ["source_file", *events.REPORT_COLUMNS]
     edge = events.bounds(stored.drop("raw"), events.F.col("chunk_index")).first()
     assert (edge["first"]["chunk_index"], edge["last"]["chunk_index"]) == (9, 12)
+
+
+def test_configuration_of_the_captions(tmp_path):
+    """Defaults, a file over them, and what it changes."""
+    assert dsp.load_caption_config(str(tmp_path / "none.json")) == dsp.CaptionConfig()
+    (tmp_path / "c.json").write_text(json.dumps({"hop_length": "960", "feature_size": 32, "frequency_max": 8000, "padding": "repeatpad", "nb_max_samples": None}))
+    c = dsp.load_caption_config(str(tmp_path / "c.json"))
+    assert (c.hop_length, c.feature_size, c.frequency_max, c.samples) == (960, 32, 8000.0, 480_000)
+    assert dsp.caption_mel(tone(1), c).shape == (501, 32) and dsp.caption_mel(tone(1)).shape == (1001, 64)
+    assert np.allclose(dsp.caption_mel(tone(10)), dsp.log_mel(tone(10)), atol=1e-5)
+
+
+def test_kinds_of_audio():
+    from earshot.sources import audio
+
+    assert [audio.audio_kind(x) for x in (" FLAC ", "wav", "mp3", None, "")] == ["flac", "wav", "flac", "flac", "flac"] and audio.audio_suffix("Flac") == ".flac"

@@ -142,3 +142,11 @@ def test_last_lines_of_long_files(spark, tmp_path, monkeypatch):
     assert got == {"a.jsonl": lines[-7:], "b.jsonl": ["one", "two"]}
     for part in (1, 100, 5000, 1 << 20):
         assert events._last_lines(str(tmp_path / "a.jsonl"), 320, part) == lines[-320:] and events._last_lines(str(tmp_path / "a.jsonl"), 0, part) == []
+
+
+def test_assets_that_are_missing(spark, tmp_path):
+    (tmp_path / "a.onnx").write_bytes(b"x" * 10)
+    (tmp_path / "b.json").write_bytes(b"")
+    got = models.assets(spark, str(tmp_path), ["a.onnx", "b.json", "c.npz"])
+    assert got == {"ready": False, "missing": ["b.json", "c.npz"], "bytes": {"a.onnx": 10}}
+    assert models.assets(spark, str(tmp_path), ["a.onnx"])["ready"] and models.assets(spark, str(tmp_path / "none"), ["a"])["missing"] == ["a"]

@@ -32,6 +32,8 @@ def scorer():
 
         def score(x):
             rms = float(numpy.sqrt(numpy.mean(numpy.square(x))))
+            if abs(float(numpy.mean(x))) > 0.01:
+                raise ValueError("the offset should be filtered out")
             return [("loud", round(rms, 3)), ("quiet", round(1 - rms, 3)), ("none", 0.0), ("less", -1.0)]
 
         return score
@@ -103,5 +105,6 @@ def test_stream_with_a_restart_gives_the_batch(few, tmp_path):
     assert plain(stored) == plain(want)
     labels = [r["top_label"] for r in want if r["device_id"] == "other"]
     assert "gated" in labels and {"loud", "quiet"} & set(labels)
+    assert next(r for r in want if r["top_label"] == "gated")["predictions"] == [{"label": "gated", "confidence": c} for c in (1.0, 0.0, 0.0)]
     some = next(r for r in want if r["chunk_index"] == 21 and r["device_id"] == "pi")
     assert some["yamnet_preprocess"]["gate_open"] and abs(some["spectrum"]["z"]["peaks"][0]["hz"] - 1000) <= 10 and some["dBA_spl"] > 100
