@@ -261,5 +261,9 @@ SQL = {
 SQL |= {
     "level_histograms": f"WITH {CH}, {VO} SELECT strftime(dt_local, '%Y-%m-%d') AS day, {_T.format("date_trunc('hour', dt_local)")} AS hour, device_id, source_file, category, gated, CAST(round(dba * 10) AS INT) AS tenth, count(*) AS chunks, max(coalesce(lafmax, dba)) AS max_peak FROM vm GROUP BY ALL",
     "histogram_devices": f"WITH {CH} SELECT device_id, {_leq()} AS leq_db, count(*) AS chunks, {_p(0.9)} AS l10_db, {_p(0.5)} AS l50_db, {_p(0.1)} AS l90_db FROM ch GROUP BY 1",
+    # A tone has whole cycles in half a chunk, so its power there is half the square of its strength.
+    "captured_waveforms": f"""WITH {CH}, r AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY dt_utc, chunk_id) AS rn, pow(10e0, (dba - 120e0) / 10e0) / 2 AS power FROM ch),
+        w AS (SELECT a.device_id, a.chunk_id AS armed_id, k.part, r.power FROM r a CROSS JOIN (VALUES (-1, 2400), (0, 4800), (1, 4800), (2, 2400)) k(ahead, part) LEFT JOIN r ON r.device_id = a.device_id AND r.rn = a.rn + k.ahead WHERE a.top_label = 'Vehicle' AND a.dba >= 85)
+        SELECT device_id, armed_id, 14400 AS samples, CAST(coalesce(sum(part) FILTER (power IS NULL), 0) AS BIGINT) AS missing, {_r('10e0 * log10(sum(part * power) / 14400e0)', 3)} AS level_db FROM w GROUP BY 1, 2""",
     "histogram_timeline": SQL["hourly_timeline"], "histogram_typical_day": SQL["typical_day"], "histogram_lden": SQL["lden"], "histogram_budget": SQL["time_budget_period"],
 }

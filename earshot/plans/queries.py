@@ -241,6 +241,20 @@ def fixed_capture_windows(spark: SparkSession, d: str) -> DataFrame:
     return capture.fixed_windows(c, _armed(c), 1800.0, 1800.0).groupBy("device_id", "armed_id").agg(F.count("*").alias("rows"), F.sum("chunk_id").alias("ids"))
 
 
+def captured_waveforms(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of three tenths of a second around each loud vehicle, cut out of the tones of a device's chunks, and their level."""
+    keys, n = ["device_id", "recording_id", "chunk_index"], dsp.TONE_SAMPLES
+    c = segment.numbered(chunks(spark, d), ["device_id"]).select("device_id", F.lit("r").alias("recording_id"), (F.col("rn") - 1).alias("chunk_index"), "chunk_id", "dba", "top_label")
+    windows = capture.fixed_samples(c.filter((F.col("top_label") == "Vehicle") & (F.col("dba") >= 85)), 0.15, 0.15, n, dsp.RATE)
+    index = lambda x: F.floor(x / F.lit(n))
+    touched = windows.select("device_id", "recording_id", F.explode(F.sequence(index(F.col("first")), index(F.col("first") + F.col("n") - 1))).alias("chunk_index")).distinct()
+    near = c.join(touched, keys)
+    pcm = near.select(*keys, "chunk_id").join(dsp.tones(near), "chunk_id")
+    out = capture.waveforms(pcm, windows, n)
+    power = F.aggregate("pcm", F.lit(0.0), lambda s, x: s + x * x) / F.size("pcm")
+    return out.select("device_id", "armed_id", F.size("pcm").alias("samples"), "missing", round_to(F.lit(10.0) * F.log10(power), 3).alias("level_db"))
+
+
 def zero_shot_topk(spark: SparkSession, d: str) -> DataFrame:
     """The nearest prompts of every row; the tables have no prompts, so the rows whose vec_id 100 divides stand for them."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
@@ -384,7 +398,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         time_budget_total, time_budget_period, time_budget_hourly, chart_categories, total_duration, inspect_marks, overview_identity, overview_labels, recordings_catalog, recording_bounds,
         status_snapshot, stored_events, gate_metadata, capture_onsets, lookback_rows, fixed_capture_fill, host_levels, host_texts, value_formats, lived_experience, acoustic_events, acoustic_events_top, events_l90_threshold, sound_diet, label_spans,
         change_markers, downsample_points, inspect_window, top_disturbances, peak_snippets, overview_summary, top_labels, comfort_rating, indoor_badges,
-        who_check, ambient_floor, gate_state, gain_smoothing, arm_cooldown, fixed_capture_windows, zero_shot_topk, embedding_quality, frame_spans,
+        who_check, ambient_floor, gate_state, gain_smoothing, arm_cooldown, fixed_capture_windows, captured_waveforms, zero_shot_topk, embedding_quality, frame_spans,
         json_props, export_projection, label_formats, octave_bands, level_histograms, histogram_devices, histogram_timeline, histogram_typical_day, histogram_lden, histogram_budget, resource_levels, spectrum_bands, mel_features,
     )
     return {f.__name__: f for f in found} | {"level_percentiles": level_percentiles_}
