@@ -334,4 +334,4 @@ def test_held_out_accuracy(spark):
 
 def test_queries_and_sql_match_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.queries()) == list(range(1, 14))
