@@ -151,14 +151,13 @@ def _blocks(batch: pa.RecordBatch, **options: bool) -> Iterator[tuple[int, int,
 
 
 def _confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (hub, member) of nodes whose sets are near enough, as (a, b); ``texts`` has node, n and text.
+    """Those pairs (hub, member, n: the member's size) of nodes whose sets are near enough, as (a, b); ``texts`` has node and text.
 
     A hub's members are dealt out over groups that are bounded in number and in
     shingles, each of which gets the hub's set too.
     """
-    sized = join_even(pairs, texts.select(F.col("node").alias("member"), "n"), ["member"])
-    sizes = sized.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / TASK_MEMBERS), F.ceil(F.sum("n") / TASK_SHINGLES)).alias("groups"))
-    dealt = join_even(sized, sizes, ["hub"])
+    sizes = pairs.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / TASK_MEMBERS), F.ceil(F.sum("n") / TASK_SHINGLES)).alias("groups"))
+    dealt = join_even(pairs, sizes, ["hub"])
     dealt = materialize(dealt.select("hub", "member", F.pmod(F.xxhash64("member"), "groups").alias("group")), "dealt")
     wanted = dealt.select(F.col("member").alias("node"), "hub", "group").union(dealt.select(F.col("hub").alias("node"), "hub", "group").distinct())
 
@@ -188,18 +187,19 @@ def _confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _shingle_rows(texts: DataFrame) -> DataFrame:
-    """(node, shingle) of the texts (node, text)."""
+def _shingle_rows(texts: DataFrame, *more: str) -> DataFrame:
+    """(node, shingle) of the texts (node, text), and those columns of them that ``more`` names, which are long."""
+    names = ["node", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, many, (values, upto) in _blocks(batch):
-                owner = np.repeat(batch.column("node").slice(at, many).to_numpy(), np.diff(upto))
+                own = [np.repeat(batch.column(c).slice(at, many).to_numpy(), np.diff(upto)) for c in names]
                 for k in range(0, len(values), 1 << 16):
                     part = slice(k, k + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(owner[part]), pa.array(values.view(np.int64)[part])], names=["node", "shingle"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (*own, values.view(np.int64))], names=[*names, "shingle"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingle long")
+    return texts.select(*names, "text").mapInArrow(run, "".join(f"{c} long, " for c in names) + "shingle long")
 
 
 def _worth_it(texts: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +211,7 @@ def _worth_it(texts: DataFrame, percent: int) -> DataFrame:
     """
     lone = _shingle_rows(texts).groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("lone"))
     left = F.col("n") - F.coalesce("lone", F.lit(0))
-    return join_even(texts.select("node", "n"), lone, ["node"], "left").filter(left * 100 >= F.col("n") * percent).select("node")
+    return texts.select("node", "n").join(lone.hint("merge"), "node", "left").filter(left * 100 >= F.col("n") * percent).select("node")
 
 
 def _classed(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -221,14 +221,13 @@ def _classed(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     their number and 128 bits of their hashes.  Shingles of one component alone
     are in no intersection that matters.
     """
-    each = _shingle_rows(join_even(texts, nodes.select("node"), ["node"]))
-    each = materialize(join_even(each, nodes.select("node", "component"), ["node"]), "shingles")
+    each = materialize(_shingle_rows(texts.join(nodes.select("node", "component").hint("merge"), "node"), "component"), "shingles")
     names = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)]
     kinds = each.groupBy("shingle").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high"), *names).filter("low <> high")
     kinds = kinds.select("shingle", "many", F.xxhash64("many", "x1", "x2").alias("class"))
     weights = join_even(each.drop("component"), kinds, ["shingle"]).groupBy("node", "many", "class").agg(F.count("*").alias("weight"))
     lists = weights.groupBy("node").agg(F.sum("weight").alias("whole"), F.array_sort(F.collect_list(F.struct("many", "class", "weight"))).alias("list"))  # a node's own shingles at most
-    rows = join_even(nodes, lists, ["node"]).filter(F.col("whole") * 100 >= F.col("n") * percent)
+    rows = nodes.join(lists.hint("merge"), "node").filter(F.col("whole") * 100 >= F.col("n") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +263,7 @@ def forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rest_pairs(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, member) of nodes (node, n, component) in different components, so that links between them reach as far as all of theirs do.
+    """Pairs (hub, member, n) of nodes (node, n, component) in different components, so that links between them reach as far as all of theirs do.
 
     Of the nodes that share a prefix class, those outside the largest component
     (left) are compared with all others (right), so members of one component
@@ -309,13 +308,13 @@ def _rest_pairs(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             both += x @ y.T
         good = 100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)
         good &= component[a][:, None] != component[b][None, :]
-        name, where = np.unique(node, return_inverse=True)  # a node may be on both sides
+        name, first, where = np.unique(node, return_index=True, return_inverse=True)  # a node may be on both sides
         square = np.zeros((len(name), len(name)), bool)
         square[np.ix_(where[a], where[b])] = good
         one, other = forest(square | square.T)
-        return pa.table({"hub": pa.array(name[other], pa.int64()), "member": pa.array(name[one], pa.int64())})
+        return pa.table({"hub": pa.array(name[other], pa.int64()), "member": pa.array(name[one], pa.int64()), "n": pa.array(n[first[one]], pa.int64())})
 
-    out = materialize(placed.groupBy("class", "l", "r").applyInArrow(compare, "hub long, member long").distinct(), "rest")
+    out = materialize(placed.groupBy("class", "l", "r").applyInArrow(compare, "hub long, member long, n long").distinct(), "rest")
     discard(lists)
     return out
 
@@ -330,27 +329,26 @@ def links(rows: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
     buckets = materialize(_buckets(nodes), "buckets")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
     shared = materialize(join_even(buckets, sizes, ["bucket"]).select("bucket", "node", "n"), "buckets")
-    wanted = join_even(nodes.select("node", "row", "n"), shared.select("node").distinct(), ["node"])
+    wanted = nodes.select("node", "row", "n").join(shared.select("node").distinct().hint("merge"), "node")
     texts = materialize(join_even(rows.select("row", "text"), wanted, ["row"]).select("node", "n", "text"), "texts")
-    able = materialize(_worth_it(texts, percent), "able")
-    shared_ = materialize(join_even(shared, able, ["node"]), "buckets")
+    # A node has a row for each band at most, so joins by nodes have no hot key.
+    shared_ = materialize(shared.join(_worth_it(texts, percent).hint("merge"), "node"), "buckets")
     sizes = shared_.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
     live = materialize(join_even(shared_, sizes, ["bucket"]), "live")
     discard(buckets, shared, shared_)
     weight = live.groupBy("node").agg(F.sum("many").alias("weight"))
-    live = materialize(join_even(live.drop("many"), weight, ["node"]), "weighed")
-    hubs = live.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("hub"))
+    hubs = live.join(weight.hint("merge"), "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("hub"))
     pairs = join_even(live, hubs, ["bucket"]).filter("node <> hub.node").select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("node").alias("member"), "n")
-    pairs = pairs.filter(near("n", "hub_n", percent)).select("hub", "member").distinct()
+    pairs = pairs.filter(near("n", "hub_n", percent)).select("hub", "member", "n").distinct()
     pairs = materialize(pairs, "pairs")
     known = _confirm(texts, pairs, percent)
-    discard(pairs, able)
+    discard(pairs)
     # What lies in one bucket but in several components is compared further.
-    merged = materialize(components(known), "merged")
-    joined = materialize(join_even(live, merged, ["node"], "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "joined")
+    merged = components(known)
+    joined = materialize(live.join(merged.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "joined")
     mixed = joined.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     left = materialize(join_even(joined, mixed, ["bucket"]).select("node", "n", "component").distinct(), "left")
-    discard(live, joined, merged)
+    discard(live, joined)
     rest = _rest_pairs(texts, left, percent)
     more = _confirm(texts, rest, percent)
     discard(rest, left, texts)
@@ -369,9 +367,9 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     nodes = able.groupBy("set1", "set2").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     merged = components(links(rows, nodes, percent))
-    known = materialize(join_even(nodes.select("set1", "set2", "node", "low"), merged, ["node"], "left").withColumn("component", F.coalesce("component", "node")), "known")
+    known = materialize(nodes.select("set1", "set2", "node", "low").join(merged.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "known")
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = materialize(join_even(known, lowest, ["component"]).select("set1", "set2", "component_id"), "classes")
+    classes = join_even(known, lowest, ["component"]).select("set1", "set2", "component_id")
     digest = F.xxhash64("text").alias("digest")
     out = join_even(rows.select("doc_id", "n_shingles", "set1", "set2", digest), classes, ["set1", "set2"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
